@@ -17,7 +17,7 @@ from tidemark import (
     store_by_day,
     stream_rollup,
 )
-from tidemark.functions.instants import to_micros
+from tidemark.functions.instants import literal, to_micros
 from tidemark.operators.rollup import coverage
 
 START = datetime(2024, 5, 1)
@@ -34,8 +34,15 @@ def run(spark, raw, rollup, path, **options):
     assert query.exception() is None
 
 
+@pytest.fixture(params=["UTC", "Asia/Kolkata"])
+def zone(spark, request):
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
-def test_closed_hours_equal_the_batch_rollup(spark, path, kind):
+def test_closed_hours_equal_the_batch_rollup(spark, path, kind, zone):
     where, landing, state = path("raw"), path("landing"), path("state")
     places = {"landing": landing, "state": state}
     raw = Source("r", where)
@@ -46,7 +53,7 @@ def test_closed_hours_equal_the_batch_rollup(spark, path, kind):
     run(spark, raw, stream, places.get)
     assert absorb(spark, stream, landing) == (to_micros(START), to_micros(START + timedelta(hours=4)))
     # Rows up to 04:59 have closed the hours before four o'clock.
-    assert {r[0].hour for r in stream.read(spark).select("bucket").collect()} == {0, 1, 2, 3}
+    assert stream.read(spark).count() == 4 * 2
     # A second run goes on where the first stopped, and closes the hour it left open.
     readings(spark, range(300, 550), kind).write.mode("append").parquet(where)
     run(spark, raw, stream, places.get)
@@ -56,7 +63,9 @@ def test_closed_hours_equal_the_batch_rollup(spark, path, kind):
     assert absorb(spark, stream, landing) is None
 
     full_refresh(spark, raw, batch)
-    closed = batch.read(spark).filter(F.hour("bucket") < 9)
+    stored = batch.read(spark)
+    end = literal(to_micros(START + timedelta(hours=9)), stored.schema["bucket"].dataType)
+    closed = stored.filter(F.col("bucket") < end)
     assert sorted(map(tuple, stream.read(spark).collect())) == sorted(map(tuple, closed.collect()))
     assert coverage(spark, stream) == coverage(spark, batch)
 
@@ -96,13 +105,3 @@ def test_late_rows_need_a_windowed_refresh(spark, path):
     ).first()["samples"] == 62
 
 
-def test_local_time_needs_a_session_in_utc(spark, path):
-    raw = Source("r", path("raw"))
-    readings(spark, range(10), "timestamp_ntz").write.parquet(raw.location)
-    rollup = create_rollup(spark, raw, path("r"), values=("v",))
-    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
-    try:
-        with pytest.raises(ValueError, match="session_time_zone"):
-            stream_rollup(spark, raw, rollup, path("landing"), path("state"))
-    finally:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")

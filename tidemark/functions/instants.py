@@ -74,11 +74,31 @@ def date_literal(micros: int) -> Column:
     return F.lit(from_micros(micros).date())
 
 
+def utc_wall_clock(column: Column, dtype: T.DataType) -> Column:
+    """A ``timestamp_ntz`` of the UTC wall clock."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return column
+    seconds = F.unix_micros(column).cast("decimal(20,0)") / F.lit(MICROS).cast("decimal(7,0)")
+    epoch = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
+    return epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def utc_instant(column: Column, dtype: T.DataType) -> Column:
+    """A ``timestamp`` from UTC wall-clock time."""
+    if isinstance(dtype, T.TimestampType):
+        return column
+    return F.make_timestamp_ltz(
+        F.year(column),
+        F.month(column),
+        F.dayofmonth(column),
+        F.hour(column),
+        F.minute(column),
+        F.date_part(F.lit("SECOND"), column),
+        F.lit("UTC"),
+    )
+
+
 def iso_text(column: Column, dtype: T.DataType) -> Column:
     """ISO-8601 text in UTC; the fraction is left out when it is zero."""
-    if isinstance(dtype, T.TimestampType):
-        epoch = F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
-        seconds = F.unix_micros(column).cast("decimal(20,0)") / F.lit(MICROS).cast("decimal(7,0)")
-        column = epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    text = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    text = F.date_format(utc_wall_clock(column, dtype), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return F.concat(F.regexp_replace(text, r"\.000000$", ""), F.lit("+00:00"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.buckets import HOUR
-from ..functions.instants import literal, to_micros
+from ..functions.instants import literal, to_micros, utc_instant, utc_wall_clock
 from ..operators.filters import Span, within
 from ..operators.rollup import DATE, coverage, hourly, replace_hours, stored_range
 from ..sources.registry import Source, time_column
@@ -41,10 +41,6 @@ def stream_rollup(
     time = time_column(raw.fields(shape))
     if time is None:
         raise ValueError(f"no_time_column_detected: {raw.name}")
-    local = isinstance(time.dataType, T.TimestampNTZType)
-    if local and spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z"):
-        raise ValueError(f"session_time_zone: streaming {raw.name} needs the session zone UTC")
-
     if raw.format == "table":
         rows = spark.readStream.table(raw.location)
     else:
@@ -55,10 +51,12 @@ def stream_rollup(
     if start is not None:
         first_hour = to_micros(start) // HOUR * HOUR
         rows = rows.filter(F.col(time.name) >= literal(first_hour, time.dataType))
-    # Watermarks need the type ``timestamp``; in zone UTC the cast keeps the wall clock.
-    rows = rows.withColumn(time.name, F.col(time.name).cast("timestamp"))
+    # Watermarks need the type ``timestamp``; the hours go back to the type of the input.
+    rows = rows.withColumn(time.name, utc_instant(F.col(time.name), time.dataType))
     closed = hourly(rows.withWatermark(time.name, delay), time.name, rollup.dims, rollup.values)
-    closed = closed.withColumn("bucket", F.col("bucket").cast(time.dataType))
+    if isinstance(time.dataType, T.TimestampNTZType):
+        hour = utc_wall_clock(F.col("bucket"), T.TimestampType())
+        closed = closed.withColumn("bucket", hour)
     return (
         closed.writeStream.format("parquet")
         .outputMode("append")
