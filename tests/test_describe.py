@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import Registry, Source, Workspace, store_by_day
-from tidemark.functions.json_fields import json_field, split_field
+from tidemark.functions.json_fields import json_fields, split_field
 from tidemark.operators.describe import (
     json_key_profile,
     latest,
@@ -62,7 +62,8 @@ def test_keys_of_objects_only(spark):
 
 def test_fields(spark):
     def read(key):
-        return [r[0] for r in payload_frame(spark).select(json_field(F.col("raw"), key)).collect()]
+        field = json_fields(F.col("raw"), [key]).getField(key)
+        return [r[0] for r in payload_frame(spark).select(field).collect()]
 
     assert read("a") == ["1", "2", None, None, None, None, None, None, None, None, '{"b":1}', None]
     assert read("c.d")[9] == "x"
@@ -72,6 +73,19 @@ def test_fields(spark):
     assert split_field("raw") is None and split_field("raw->>x") is None
 
 
+def test_payloads_are_parsed_once(spark, path):
+    where = path("t")
+    rows = payload_frame(spark, ['{"a": 1, "A": 5, "b": 2}', '{"b": 4, "A": 7}', '[{"a": 9}]'])
+    rows.withColumn("other", F.lit('{"a": 30}')).write.parquet(where)
+    space = Workspace(spark, Source("t", where, json_columns=("raw", "other")))
+    columns = ["raw->>'a'", "raw->>'b'", "raw->>'A'", "other->>'a'"]
+    frame = space.frame("t", columns[:2], "2024-01-01", "2024-01-02", "sum", "1 day")
+    assert plan(frame).count("from_json") == 1
+    frame = space.frame("t", columns, "2024-01-01", "2024-01-02", "sum", "1 day")
+    # Names that differ only in case would be ambiguous in a result.
+    assert tuple(frame.collect()[0])[1:] == (1.0, 6.0, 12.0, 90.0)
+
+
 @pytest.mark.parametrize("unit", ["keys", "rows"])
 @pytest.mark.parametrize("sample", [1, 7, 50, 1000, 100_000])
 def test_samples_are_the_newest(spark, unit, sample):

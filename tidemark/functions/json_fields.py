@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,9 +27,11 @@ def json_keys(text: Column) -> Column:
     return F.array_distinct(F.json_object_keys(text))
 
 
-def json_field(text: Column, key: str) -> Column:
-    """Text of one top-level field. Of duplicate keys the last counts; a value that is
-    not an object has no fields."""
-    wanted = T.StructType([T.StructField(key, T.StringType())])
-    field = F.from_json(text, wanted).getField(key)
-    return F.when(F.ltrim(text).startswith("{"), field)
+def json_fields(text: Column, keys: Iterable[str]) -> Column:
+    """A struct with the text of several top-level fields, in one pass over the payload.
+
+    Of duplicate keys the last counts; a value that is not an object has no fields. Keys
+    that differ only in case cannot share a struct.
+    """
+    wanted = T.StructType([T.StructField(key, T.StringType()) for key in keys])
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, wanted))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.json_fields import json_field, json_text
+from ..functions.json_fields import json_fields, json_text
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "avg": F.avg,
@@ -42,12 +42,6 @@ class Measure:
     def label(self) -> str:
         return self.column if self.key is None else f"{self.column}_{self.key}"
 
-    def value(self, aggregation: str) -> Column:
-        if self.key is None:
-            return F.col(self.column)
-        text = json_field(json_text(F.col(self.column), self.dtype), self.key)
-        return text if aggregation == "count" else text.cast("double")
-
     def check(self, aggregation: str, payload: bool) -> None:
         """Refuse what would otherwise fail only while the job runs."""
         if self.key is not None or aggregation == "count":
@@ -78,10 +72,7 @@ def aggregate(
 ) -> DataFrame:
     """One row per non-empty bucket; without measures, the list of those buckets."""
     function = AGGREGATES[aggregation]
-    kept = frame.select(
-        bucket.alias("bucket"),
-        *[m.value(aggregation).alias(f"m{i}") for i, m in enumerate(measures)],
-    )
+    kept = _values(frame, bucket, measures, aggregation)
     if not measures:
         return kept.distinct()
     return kept.groupBy("bucket").agg(
@@ -89,6 +80,35 @@ def aggregate(
     )
 
 
+def _values(
+    frame: DataFrame, bucket: Column, measures: list[Measure], aggregation: str
+) -> DataFrame:
+    """The bucket and the value ``m0, m1, ...`` of each measure.
+
+    Fields of one payload are read together, so each payload is parsed once.
+    """
+    parses: list[tuple[str, dict[str, str]]] = []
+    plain, fields = [], []
+    for i, m in enumerate(measures):
+        if m.key is None:
+            plain.append(F.col(m.column).alias(f"m{i}"))
+            fields.append(F.col(f"m{i}"))
+            continue
+        folded = m.key.lower()
+        fitting = [p for p, (c, keys) in enumerate(parses) if c == m.column and folded not in keys]
+        place = fitting[0] if fitting else len(parses)
+        if not fitting:
+            parses.append((m.column, {}))
+        parses[place][1][folded] = m.key
+        text = F.col(f"p{place}").getField(m.key)
+        fields.append((text if aggregation == "count" else text.cast("double")).alias(f"m{i}"))
+    structs = [
+        json_fields(json_text(F.col(c), frame.schema[c].dataType), keys.values()).alias(f"p{p}")
+        for p, (c, keys) in enumerate(parses)
+    ]
+    return frame.select(bucket.alias("bucket"), *plain, *structs).select("bucket", *fields)
+
+
 def partial_columns(measure: Measure, aggregation: str) -> list[Column]:
     """Partials of a single raw row, shaped like those stored in a rollup."""
     value = F.col(measure.column)

@@ -33,38 +33,35 @@ def time_range(frame: DataFrame, time: str, date_column: str | None = None) -> D
 
 
 def source_inventory(spark: SparkSession, registry: Registry) -> DataFrame:
-    """One row per source: raw tables by name, then rollups by name. One Spark job."""
-    rows = []
+    """One row per source: raw tables by name, then rollups by name. One Spark job.
+
+    Every source with a time column gives one aggregate row, so the rows fit one task.
+    """
+    rows, timeless = [], []
     for position, source in enumerate(registry):
         frame = source.read(spark)
         time = time_column(source.fields(frame))
+        known = (position, source.name, source.schema, source.kind, source.description)
         if time is None:
-            none = F.lit(None).cast("string")
-            found = spark.range(1).select(none.alias("time_min"), none.alias("time_max"))
-        else:
-            found = time_range(frame, time.name, source.date_column).select(
+            timeless.append((*known, None, None, None))
+            continue
+        ends = time_range(frame, time.name, source.date_column)
+        rows.append(
+            ends.select(
+                *[F.lit(value).alias(name) for name, value in zip(_KNOWN, known, strict=True)],
+                F.lit(time.name).alias("time_column"),
                 iso_text(F.col("min"), time.dataType).alias("time_min"),
                 iso_text(F.col("max"), time.dataType).alias("time_max"),
             )
-        rows.append(
-            found.select(
-                F.lit(position).alias("position"),
-                F.lit(source.name).alias("name"),
-                F.lit(source.schema).alias("schema"),
-                F.lit(source.kind).alias("kind"),
-                F.lit(source.description).cast("string").alias("description"),
-                F.lit(time.name if time else None).cast("string").alias("time_column"),
-                "time_min",
-                "time_max",
-            )
         )
-    if not rows:
-        return spark.createDataFrame([], INVENTORY)
-    return reduce(DataFrame.unionByName, rows).orderBy("position").drop("position")
+    rows.append(spark.createDataFrame(timeless, INVENTORY))
+    listed = reduce(DataFrame.unionByName, rows)
+    return listed.coalesce(1).sortWithinPartitions("position").drop("position")
 
 
+_KNOWN = ("position", "name", "schema", "kind", "description")
 INVENTORY = (
-    "name string, schema string, kind string, description string, "
+    "position int, name string, schema string, kind string, description string, "
     "time_column string, time_min string, time_max string"
 )
 
