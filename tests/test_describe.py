@@ -215,7 +215,7 @@ def test_tables_of_a_database(spark):
         "avg(kwh) AS kwh, count(*) AS samples FROM home.meter GROUP BY 1"
     )
     spark.sql("CREATE TABLE home.loose_1h USING parquet AS SELECT 1 AS bucket")
-    space = Workspace.of_database(spark, "home")
+    space = Workspace.of_database(spark, "home", {"meter": "day"})
     records = space.list_data_sources()
     assert [(r["schema"], r["name"], r["kind"]) for r in records] == [
         ("home", "loose_1h", "hypertable"),
@@ -226,6 +226,21 @@ def test_tables_of_a_database(spark):
     assert [c["name"] for c in space.get_schema("meter")["columns"]] == ["time", "kwh"]
     call = ("meter", ["kwh"], "2024-01-01", "2024-01-02T23:59:59", "max", "1 day")
     assert [r["kwh_max"] for r in space.query_timeseries(*call)["rows"]] == [143, 287]
+    assert "PartitionFilters: [isnotnull(day" in plan(space.frame(*call))
+    unasked = Workspace.of_database(spark, "home")
+    assert unasked.frame(*call).collect() == space.frame(*call).collect()
+    assert "PartitionFilters: []" in plan(unasked.frame(*call))
     stored = space.query_timeseries(*call, rollup="stored")
     assert stored["table_used"] == "meter_1h"
     assert [r["kwh_max"] for r in stored["rows"]] == [140.5, 284.5]
+
+
+@pytest.mark.parametrize("kind", ["orc", "json", "csv"])
+def test_other_formats(spark, path, kind):
+    where = path("events")
+    events = spark.read.parquet(EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    events.write.format(kind).save(where)
+    source = Source("events", where, format=kind, columns=events.schema)
+    call = ("events", ["value", "user_id"], "2024-01-01", "2024-02-01", "max", "1 week")
+    expected = Workspace(spark, Source("events", EVENTS)).query_timeseries(*call)
+    assert Workspace(spark, source).query_timeseries(*call) == expected

@@ -232,6 +232,39 @@ def test_decimal_and_float_columns(spark, path):
             assert a[1:] == pytest.approx(b[1:])
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_exact_answers_in_other_session_zones(spark, path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.range(5000).select(
+            # Across the change of clocks in New York.
+            F.timestamp_seconds(F.lit(1_709_900_000) + F.col("id") * 97).alias("time"),
+            F.col("id").alias("v"),
+        )
+        where = path("raw")
+        store_by_day(frame, where, "time")
+        raw = Source("r", where, date_column="date")
+        rollup = create_rollup(spark, raw, path("r_1h"), values=("v",))
+        full_refresh(spark, raw, rollup)
+        space = Workspace(spark, raw, rollup)
+        by_second = {}
+        for i in range(5000):
+            day = (1_709_900_000 + i * 97) // 86_400
+            by_second[day] = by_second.get(day, 0) + i
+        call = {"columns": ["v"], "from_ts": "2024-03-01", "to_ts": "2024-04-01",
+                "aggregation": "sum", "bucket": "1 day"}
+        exact = space.query_timeseries("r", **call)
+        assert exact["table_used"] == "r_1h"
+        assert [r["v_sum"] for r in exact["rows"]] == list(by_second.values())
+        assert all(r["bucket"].endswith("T00:00:00+00:00") for r in exact["rows"])
+        call |= {"from_ts": "2024-03-09T04:44:44", "to_ts": "2024-03-11T03:03:03", "bucket": "1 hour"}
+        agree(space.query_timeseries("r", **call), space.query_timeseries("r", **call, rollup="never"))
+        source = space.list_data_sources()[0]["time_range"]
+        assert source["min"] == "2024-03-08T12:13:20+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_spans():
     assert subtract([(0, 10)], [(3, 5)]) == [(0, 3), (5, 10)]
     assert subtract([(0, 10), (20, 30)], [(5, 25)]) == [(0, 5), (25, 30)]

@@ -105,3 +105,14 @@ def test_late_rows_need_a_windowed_refresh(spark, path):
     ).first()["samples"] == 62
 
 
+
+
+def test_stream_of_a_catalog_table(spark, path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS streamed")
+    readings(spark, range(0, 300)).write.saveAsTable("streamed.r")
+    raw = Source("r", "streamed.r", format="table")
+    rollup = create_rollup(spark, raw, path("r"), dims=("k",), values=("v",))
+    landing, state = path("landing"), path("state")
+    run(spark, raw, rollup, {"landing": landing, "state": state}.get)
+    absorb(spark, rollup, landing)
+    assert rollup.read(spark).agg(F.sum("samples")).first()[0] == 240

@@ -190,6 +190,36 @@ def test_filter_values_must_fit(home, filters):
         home.query_timeseries("bus", ["value"], FROM, TO, filters=filters)
 
 
+def test_filter_values_of_every_type(spark, path):
+    where = path("t")
+    spark.sql(
+        "SELECT timestamp'2024-01-01' AS time, 1 AS i, 1.5D AS d, 2.25BD AS n, true AS b, "
+        "date'2024-02-03' AS day, 'x' AS s, 9223372036854775807 AS big"
+    ).write.parquet(where)
+    space = Workspace(spark, Source("t", where))
+
+    def found(**filters):
+        call = ("t", ["s"], "2024-01-01", "2024-01-01", "count", "1 day", filters)
+        return space.query_timeseries(*call)["row_count"]
+
+    for column, values in {
+        "i": [1, "1", "1.0", 1.0], "d": [1.5, "1.5"], "n": ["2.25", 2.25, "2.250"],
+        "b": [True, "true", "T"], "day": ["2024-02-03", LAST.replace(month=2, day=3)],
+        "s": ["x"], "big": [2**63 - 1, str(2**63 - 1)],
+    }.items():
+        for value in values:
+            assert found(**{column: value}) == 1, (column, value)
+    for column, values in {
+        "i": [2, 1.5, 2**70], "d": ["nan", 0], "n": [2, "1e-30"], "b": ["f"], "day": ["2024-02-04"],
+        "s": ["X"], "big": [2**63],
+    }.items():
+        for value in values:
+            assert found(**{column: value}) == 0, (column, value)
+    for column, value in [("i", "1.5"), ("i", "nan"), ("d", "x"), ("b", 1), ("day", "soon"), ("n", 10**40)]:
+        with pytest.raises(ValueError, match="invalid_filter_value"):
+            found(**{column: value})
+
+
 def test_row_limit(home):
     with pytest.raises(ValueError, match="row_limit_exceeded"):
         home.query_timeseries("bus", ["value"], FROM, TO, "avg", "1 minute", row_limit=2)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from datetime import date
 from decimal import Decimal, InvalidOperation
 from functools import reduce
-from numbers import Number
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.instants import date_literal, is_time, literal, to_micros
+from ..functions.instants import date_literal, from_micros, is_time, literal, to_micros
 
 Span = tuple[int, int]
 
@@ -50,24 +50,39 @@ def _typed(value: Any, field: T.StructField) -> Column:
         return F.lit(_number(value, field))
     if isinstance(dtype, T.BooleanType):
         return F.lit(_boolean(value, field))
+    if isinstance(dtype, T.DateType):
+        return F.lit(_date(value, field))
     if isinstance(dtype, T.StringType) and not isinstance(value, str):
         raise _mismatch(value, field)
     return F.lit(value).cast(dtype)
 
 
-def _number(value: Any, field: T.StructField) -> Number:
+def _date(value: Any, field: T.StructField) -> date:
+    try:
+        return from_micros(to_micros(value)).date()
+    except ValueError:
+        raise _mismatch(value, field) from None
+
+
+def _number(value: Any, field: T.StructField) -> int | float | Decimal:
     if isinstance(value, str):
         try:
             exact = Decimal(value.strip())
-            if isinstance(field.dataType, T.FractionalType):
-                return exact if isinstance(field.dataType, T.DecimalType) else float(exact)
-            if exact == int(exact):
-                return int(exact)
+            if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+                return float(exact)
+            whole = not isinstance(field.dataType, T.DecimalType)
+            if whole and exact != int(exact):
+                raise _mismatch(value, field)
+            value = int(exact) if whole else exact
         except (InvalidOperation, ValueError, OverflowError):
-            pass
-    elif isinstance(value, Number) and not isinstance(value, (bool, complex)):
-        return value
-    raise _mismatch(value, field)
+            raise _mismatch(value, field) from None
+    if isinstance(value, bool) or not isinstance(value, (int, float, Decimal)):
+        raise _mismatch(value, field)
+    if isinstance(value, int) and not -(2**63) <= value < 2**63:
+        value = Decimal(value)
+    if isinstance(value, Decimal) and len(value.as_tuple().digits) > 38:
+        raise _mismatch(value, field)
+    return value
 
 
 def _boolean(value: Any, field: T.StructField) -> bool:

@@ -22,9 +22,10 @@ class Source:
     """Where a source is read from and what is known about it without reading data.
 
     ``columns`` declares the schema, which spares Spark from inferring it from files and
-    keeps NOT NULL. ``date_column`` names a storage partition column holding the UTC
-    date of the time column; it prunes scans and is not shown to callers. ``dims`` and
-    ``values`` are set on rollups that carry mergeable partial aggregates.
+    keeps NOT NULL. ``date_column`` names a storage partition column that holds the UTC
+    date of the time column, and nothing else; it prunes scans and is not shown to
+    callers. ``dims`` and ``values`` are set on rollups that carry mergeable partial
+    aggregates.
     """
 
     name: str
@@ -102,20 +103,22 @@ class Registry:
         return iter(sorted(self._sources.values(), key=lambda s: (s.kind != RAW, s.name)))
 
 
-def discover(spark: SparkSession, database: str) -> list[Source]:
-    """Every table of a catalog database, with its comment and date partition column.
+def discover(
+    spark: SparkSession, database: str, date_columns: Mapping[str, str] | None = None
+) -> list[Source]:
+    """Every table of a catalog database, with its comment.
 
-    ``<table>_1h`` counts as the rollup of ``<table>`` when it has a time column named
-    ``bucket``.
+    ``<table>_1h`` counts as the rollup of ``<table>`` when it has a column named
+    ``bucket``. ``date_columns`` names, per table, a partition column that holds the UTC
+    date of the time column; no partition column is taken to be one unasked, as a date
+    of another zone or of arrival would prune rows that belong to the answer.
     """
     tables = {t.name: t for t in spark.catalog.listTables(database) if not t.isTemporary}
     found = []
     for name, table in sorted(tables.items()):
         qualified = f"`{database}`.`{name}`"
-        columns = spark.catalog.listColumns(qualified)
-        dates = [c.name for c in columns if c.isPartition and c.dataType == "date"]
         base = name.removesuffix(ROLLUP_SUFFIX)
-        is_rollup = base != name and base in tables and any(c.name == "bucket" for c in columns)
+        is_rollup = base != name and base in tables and "bucket" in spark.table(qualified).columns
         found.append(
             Source(
                 name=name,
@@ -124,7 +127,7 @@ def discover(spark: SparkSession, database: str) -> list[Source]:
                 format="table",
                 schema=database,
                 description=table.description,
-                date_column=dates[0] if dates else None,
+                date_column=(date_columns or {}).get(name),
                 rollup_of=base if is_rollup else None,
             )
         )

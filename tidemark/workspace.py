@@ -21,9 +21,14 @@ class Workspace:
         self.registry = Registry(*sources)
 
     @classmethod
-    def of_database(cls, spark: SparkSession, database: str) -> Workspace:
-        """Every table of a catalog database."""
-        return cls(spark, *discover(spark, database))
+    def of_database(
+        cls,
+        spark: SparkSession,
+        database: str,
+        date_columns: Mapping[str, str] | None = None,
+    ) -> Workspace:
+        """Every table of a catalog database; see ``discover``."""
+        return cls(spark, *discover(spark, database, date_columns))
 
     def register(self, source: Source) -> Source:
         return self.registry.add(source)
