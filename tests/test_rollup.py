@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark import Source, Workspace, create_rollup, full_refresh, refresh_policy, refresh_window
 from tidemark.functions.instants import to_micros
-from tidemark.operators.rollup import coverage, merge, subtract
+from tidemark.functions.spans import merge, subtract
+from tidemark.operators.refresh import coverage, replace_hours
 from tidemark.sources.storage import store_by_day
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -162,9 +163,9 @@ def test_refresh_windows_leave_gaps_to_raw_rows(spark, path):
     refresh_window(spark, raw, rollup, "2024-05-01T00:00", "2024-05-02T06:00")
     now = datetime(2024, 5, 5, 3, 4, tzinfo=timezone.utc)
     span = refresh_policy(spark, raw, rollup, now, timedelta(days=1), timedelta(minutes=5))
-    assert span == (to_micros("2024-05-04T04:00"), to_micros("2024-05-05T02:00"))
+    assert span == [(to_micros("2024-05-04T04:00"), to_micros("2024-05-05T02:00"))]
     assert coverage(spark, rollup) == [
-        (to_micros("2024-05-01"), to_micros("2024-05-02T06:00")), span,
+        (to_micros("2024-05-01"), to_micros("2024-05-02T06:00")), *span,
     ]
     space = Workspace(spark, raw, rollup)
     for aggregation in ("sum", "avg", "count"):
@@ -178,6 +179,49 @@ def test_refresh_windows_leave_gaps_to_raw_rows(spark, path):
             agree(exact, space.query_timeseries("r", **call, rollup="never"))
 
 
+def test_scheduled_refresh_recomputes_what_changed(spark, path):
+    start, where = datetime(2024, 5, 1), path("raw")
+    add = lambda minutes: store_by_day(
+        day_rows(spark, start, minutes, 1), where, "time", mode="append"
+    )
+    add(range(0, 4 * 1440 + 200, 10))
+    raw = Source("r", where, date_column="date")
+    rollup = create_rollup(spark, raw, path("r_1h"), dims=("k",), values=("v",))
+    full_refresh(spark, raw, rollup)
+
+    def run(hour):
+        now = datetime(2024, 5, 5, hour, 10, tzinfo=timezone.utc)
+        spans = refresh_policy(spark, raw, rollup, now, start_offset=timedelta(days=3))
+        return [tuple((t - to_micros(start)) // (3600 * 10**6) for t in span) for span in spans]
+
+    # All is covered up to the last hour, which has begun to fill.
+    assert run(4) == [(99, 100)]
+    assert run(4) == []
+    # New rows today and late rows on the third day, hours 48 to 72.
+    add(range(4 * 1440 + 205, 4 * 1440 + 300, 10))
+    add([2 * 1440 + 3])
+    assert run(5) == [(48, 72), (96, 101)]
+    assert run(5) == []
+    assert run(6) == [(101, 102)]
+    # The window begins within the second day: its rows count from seven o'clock on.
+    add([1440 + 3, 1440 + 423])
+    assert run(6) == [(31, 48)]
+    assert run(6) == [(31, 48)]
+    hours = rollup.read(spark).groupBy("bucket").agg(F.sum("samples").alias("n")).collect()
+    counts = {(r["bucket"] - start) // timedelta(hours=1): r["n"] for r in hours}
+    assert counts[24] == 6 and counts[31] == 7 and counts[48] == 7 and counts[99] == 6
+    assert sum(counts.values()) == raw.read(spark).count() - 1
+
+
+def test_scheduled_refresh_without_files(spark, path):
+    raw = Source("events", EVENTS)
+    rollup = create_rollup(spark, raw, path(), values=("value",))
+    now = datetime(2024, 1, 10, 0, 4, tzinfo=timezone.utc)
+    whole = [(to_micros("2024-01-03T01:00"), to_micros("2024-01-09T23:00"))]
+    assert refresh_policy(spark, raw, rollup, now) == whole
+    assert refresh_policy(spark, raw, rollup, now) == whole
+
+
 def test_lost_coverage_is_made_good_by_raw_rows(spark, path):
     """What a job that died while replacing days leaves behind."""
     where = path("raw")
@@ -195,8 +239,6 @@ def test_lost_coverage_is_made_good_by_raw_rows(spark, path):
         def unionByName(self, other):
             raise Lost
 
-    from tidemark.operators.rollup import replace_hours
-
     with pytest.raises(Lost):
         replace_hours(spark, rollup, Dying(), (to_micros("2024-05-01T03:00"), to_micros("2024-05-01T05:00")))
     assert coverage(spark, rollup) == [(to_micros("2024-05-02"), to_micros("2024-05-02T23:00"))]

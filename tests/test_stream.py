@@ -18,7 +18,7 @@ from tidemark import (
     stream_rollup,
 )
 from tidemark.functions.instants import literal, to_micros
-from tidemark.operators.rollup import coverage
+from tidemark.operators.refresh import coverage
 
 START = datetime(2024, 5, 1)
 

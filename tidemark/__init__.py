@@ -1,6 +1,7 @@
 """Bounded questions over stored telemetry, answered by Spark."""
 
-from .operators.rollup import create_rollup, full_refresh, refresh_policy, refresh_window
+from .operators.refresh import full_refresh, refresh_policy, refresh_window
+from .operators.rollup import create_rollup
 from .plans.timeseries import plan_timeseries
 from .sources.registry import Registry, Source, discover
 from .sources.storage import store_by_day

@@ -66,9 +66,12 @@ INVENTORY = (
 )
 
 
-def latest(frame: DataFrame, time: T.StructField, n: int, *ties: str) -> DataFrame:
+def latest(
+    frame: DataFrame, time: T.StructField, n: int, *ties: str, date_column: str | None = None
+) -> DataFrame:
     """The newest ``n`` rows; ``ties`` orders rows of the same time."""
-    return frame.orderBy(F.desc(time.name), *ties).limit(n)
+    newest = newest_part(frame, time, F.lit(1), n, date_column)
+    return newest.orderBy(F.desc(time.name), *ties).limit(n)
 
 
 def newest_part(

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.instants import date_literal, from_micros, is_time, literal, to_micros
-
-Span = tuple[int, int]
+from ..functions.spans import Span
 
 
 def within(

@@ -1,41 +1,21 @@
-"""Hourly rollups: definition, full and windowed refresh, and what they cover.
+"""Hourly rollups: their definition and shape.
 
 A rollup is a Parquet table partitioned by UTC date with one row per hour and
 combination of dimensions. Next to the average of each value column, under the column's
 own name, and the number of ``samples``, it stores the sum, count, minimum and maximum,
 from which coarser buckets are merged exactly.
-
-``<location>_coverage`` lists the spans of time whose hours are complete in the rollup.
-It shrinks before data is replaced and grows after, so a job that dies in between leaves
-hours uncovered, never wrongly covered; queries then read those from the raw table.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.buckets import HOUR
-from ..functions.instants import (
-    DAY,
-    collected_micros,
-    date_literal,
-    from_micros,
-    to_micros,
-    utc_date,
-)
+from ..functions.instants import collected_micros, utc_date
 from ..sources.registry import ROLLUP, ROLLUP_SUFFIX, Source, time_column
 from .aggregates import mean, partial_name
 from .describe import time_range
-from .filters import Span, within
-
-# The default policy refreshes from seven days to five minutes ago.
-START_OFFSET = timedelta(days=7)
-END_OFFSET = timedelta(minutes=5)
 
 DATE = "date"
 
@@ -48,15 +28,14 @@ def hourly(frame: DataFrame, time: str, dims: tuple[str, ...], values: tuple[str
     wrong = [v for v in values if not isinstance(frame.schema[v].dataType, T.NumericType)]
     if wrong:
         raise ValueError(f"invalid_column_type: {wrong} are not numeric")
-    partials = [
-        function(v).alias(partial_name(v, name))
-        for v in values
-        for name, function in (("sum", F.sum), ("count", F.count), ("min", F.min), ("max", F.max))
-    ]
+    functions = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     grouped = (
         frame.select(time, *dims, *values)
         .groupBy(F.window(time, "1 hour"), *dims)
-        .agg(F.count(F.lit(1)).alias("samples"), *partials)
+        .agg(
+            F.count(F.lit(1)).alias("samples"),
+            *[f(v).alias(partial_name(v, p)) for v in values for p, f in functions.items()],
+        )
     )
     means = [
         mean(
@@ -64,12 +43,10 @@ def hourly(frame: DataFrame, time: str, dims: tuple[str, ...], values: tuple[str
         ).alias(v)
         for v in values
     ]
-    stored = [partial_name(v, p) for v in values for p in ("sum", "count", "min", "max")]
+    partials = [partial_name(v, p) for v in values for p in functions]
     start = F.col("window.start")
-    dtype = frame.schema[time].dataType
-    return grouped.select(
-        start.alias("bucket"), *dims, *means, "samples", *stored, utc_date(start, dtype).alias(DATE)
-    )
+    date = utc_date(start, frame.schema[time].dataType).alias(DATE)
+    return grouped.select(start.alias("bucket"), *dims, *means, "samples", *partials, date)
 
 
 def create_rollup(
@@ -81,10 +58,10 @@ def create_rollup(
     name: str | None = None,
     description: str | None = None,
 ) -> Source:
-    """Define the hourly rollup of a raw source, without data. An existing rollup at the
-    path is kept."""
+    """Define the hourly rollup of a raw source, without data. A rollup that is already
+    at the path is kept."""
     frame = raw.read(spark)
-    time = _time(raw, frame)
+    time = time_of(raw, frame)
     unknown = [c for c in (*dims, *values) if c not in {f.name for f in raw.fields(frame)}]
     if unknown:
         raise ValueError(f"unknown_columns: {unknown}")
@@ -106,145 +83,11 @@ def create_rollup(
     )
 
 
-def full_refresh(spark: SparkSession, raw: Source, rollup: Source) -> None:
-    """Rebuild the whole rollup. The hour of the newest row may still be filling: it is
-    stored but not covered."""
-    frame = raw.read(spark)
-    time = _time(raw, frame)
-    _save_coverage(spark, rollup, [])
-    (
-        hourly(frame, time.name, rollup.dims, rollup.values)
-        .hint("rebalance", DATE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(DATE)
-        .parquet(rollup.location)
-    )
-    first, last = stored_range(rollup.read(spark))
-    if first is not None and last > first:
-        _save_coverage(spark, rollup, [(first, last)])
-
-
-def refresh_window(
-    spark: SparkSession,
-    raw: Source,
-    rollup: Source,
-    start: str | datetime,
-    end: str | datetime,
-) -> Span | None:
-    """Recompute the hours that lie wholly in ``[start, end)`` and keep all others.
-
-    Reads the raw rows of the window only. Returns the refreshed span, or None if the
-    window holds no whole hour.
-    """
-    low, high = whole_hours(to_micros(start), to_micros(end))
-    if low >= high:
-        return None
-    frame = raw.read(spark)
-    time = _time(raw, frame)
-    window = frame.filter(within(time, [(low, high)], raw.date_column))
-    replace_hours(spark, rollup, hourly(window, time.name, rollup.dims, rollup.values), (low, high))
-    return low, high
-
-
-def refresh_policy(
-    spark: SparkSession,
-    raw: Source,
-    rollup: Source,
-    now: datetime | None = None,
-    start_offset: timedelta = START_OFFSET,
-    end_offset: timedelta = END_OFFSET,
-) -> Span | None:
-    """One scheduled run: refresh from ``now - start_offset`` to ``now - end_offset``."""
-    now = now or datetime.now(timezone.utc)
-    return refresh_window(spark, raw, rollup, now - start_offset, now - end_offset)
-
-
-def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: Span) -> None:
-    """Put ``fresh`` in place of the stored hours of a span, rewriting the days it touches.
-
-    Running it again with the same input gives the same table.
-    """
-    low, high = span
-    days = (low // DAY * DAY, -(-high // DAY) * DAY)
-    known = coverage(spark, rollup)
-    _save_coverage(spark, rollup, subtract(known, [days]))
-
-    stored = rollup.read(spark)
-    bucket = stored.schema["bucket"]
-    in_days = F.col(DATE).between(date_literal(days[0]), date_literal(days[1] - 1))
-    touched = stored.filter(in_days)
-    before = _files(touched)
-    (
-        fresh.unionByName(touched.filter(~within(bucket, [span])))
-        .hint("rebalance", DATE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DATE)
-        .parquet(rollup.location)
-    )
-    # Dynamic overwrite leaves a day alone for which nothing was written: one whose raw
-    # rows are gone. Its old files are still there.
-    for day in {day for day, _ in before & _files(rollup.read(spark).filter(in_days))}:
-        nothing = spark.createDataFrame([], stored.drop(DATE).schema)
-        nothing.write.mode("overwrite").parquet(f"{rollup.location}/{DATE}={day}")
-    _save_coverage(spark, rollup, merge([*known, span]))
-
-
-def _files(frame: DataFrame) -> set[tuple]:
-    """Day and path of the files behind a frame, from file metadata."""
-    files = frame.select(DATE, F.col("_metadata.file_path").alias("path")).distinct()
-    return {(r[DATE], r["path"]) for r in files.collect()}
-
-
-def whole_hours(start: int, end: int) -> Span:
-    return -(-start // HOUR) * HOUR, end // HOUR * HOUR
-
-
-def coverage(spark: SparkSession, rollup: Source) -> list[Span]:
-    """Spans of time for which the rollup holds every hour; a few rows of metadata."""
-    if rollup.format != "parquet":
-        return []
-    try:
-        rows = spark.read.schema(_COVERAGE).json(_coverage_path(rollup)).collect()
-    except AnalysisException:
-        return []
-    return sorted((r["start_us"], r["end_us"]) for r in rows)
-
-
-def subtract(spans: list[Span], holes: list[Span]) -> list[Span]:
-    for low, high in holes:
-        pieces = [p for a, b in spans for p in ((a, min(b, low)), (max(a, high), b))]
-        spans = [(a, b) for a, b in pieces if a < b]
-    return sorted(spans)
-
-
-def intersect(spans: list[Span], limit: Span) -> list[Span]:
-    clipped = [(max(a, limit[0]), min(b, limit[1])) for a, b in spans]
-    return [(a, b) for a, b in clipped if a < b]
-
-
-def merge(spans: list[Span]) -> list[Span]:
-    merged: list[Span] = []
-    for low, high in sorted(spans):
-        if merged and low <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-        else:
-            merged.append((low, high))
-    return merged
-
-
-_COVERAGE = "start_us long, end_us long, start string, end string"
-
-
-def _coverage_path(rollup: Source) -> str:
-    return f"{rollup.location.rstrip('/')}_coverage"
-
-
-def _save_coverage(spark: SparkSession, rollup: Source, spans: list[Span]) -> None:
-    rows = [(a, b, from_micros(a).isoformat(), from_micros(b).isoformat()) for a, b in spans]
-    frame = spark.createDataFrame(rows, _COVERAGE).coalesce(1)
-    frame.write.mode("overwrite").json(_coverage_path(rollup))
+def time_of(source: Source, frame: DataFrame) -> T.StructField:
+    time = time_column(source.fields(frame))
+    if time is None:
+        raise ValueError(f"no_time_column_detected: {source.name}")
+    return time
 
 
 def stored_range(frame: DataFrame) -> tuple[int | None, int | None]:
@@ -252,10 +95,3 @@ def stored_range(frame: DataFrame) -> tuple[int | None, int | None]:
     dtype = frame.schema["bucket"].dataType
     row = time_range(frame, "bucket", DATE).first()
     return collected_micros(row["min"], dtype), collected_micros(row["max"], dtype)
-
-
-def _time(raw: Source, frame: DataFrame) -> T.StructField:
-    time = time_column(raw.fields(frame))
-    if time is None:
-        raise ValueError(f"no_time_column_detected: {raw.name}")
-    return time

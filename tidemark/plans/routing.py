@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.buckets import Width, bucket_start
+from ..functions.spans import Span, intersect, subtract, whole_hours
 from ..operators.aggregates import (
     PARTIALS,
     Measure,
@@ -18,8 +19,8 @@ from ..operators.aggregates import (
     partial_columns,
     partial_name,
 )
-from ..operators.filters import Span, equal_to, within
-from ..operators.rollup import coverage, intersect, subtract, whole_hours
+from ..operators.filters import equal_to, within
+from ..operators.refresh import coverage
 from ..sources.registry import RAW, Registry, Source
 
 MODES = ("exact", "stored", "never")

@@ -16,9 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.buckets import HOUR
 from ..functions.instants import literal, to_micros, utc_instant, utc_wall_clock
-from ..operators.filters import Span, within
-from ..operators.rollup import DATE, coverage, hourly, replace_hours, stored_range
-from ..sources.registry import Source, time_column
+from ..functions.spans import Span
+from ..operators.filters import within
+from ..operators.refresh import coverage, replace_hours
+from ..operators.rollup import DATE, hourly, stored_range, time_of
+from ..sources.registry import Source
 
 
 def stream_rollup(
@@ -38,9 +40,7 @@ def stream_rollup(
     watermark are dropped here and need a windowed refresh of their hours.
     """
     shape = raw.read(spark)
-    time = time_column(raw.fields(shape))
-    if time is None:
-        raise ValueError(f"no_time_column_detected: {raw.name}")
+    time = time_of(raw, shape)
     if raw.format == "table":
         rows = spark.readStream.table(raw.location)
     else:
