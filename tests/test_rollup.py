@@ -250,6 +250,10 @@ def test_reserved_and_non_numeric_columns(spark, path):
         create_rollup(spark, raw, path(), dims=("nothing",))
     with pytest.raises(ValueError, match="invalid_column_type"):
         create_rollup(spark, raw, path(), values=("props",))
+    odd = spark.read.parquet(EVENTS).withColumnRenamed("user_id", "samples")
+    odd.createOrReplaceTempView("odd_events")
+    with pytest.raises(ValueError, match="reserved_columns"):
+        create_rollup(spark, Source("o", "odd_events", format="table"), path(), values=("samples",))
 
 
 def test_decimal_and_float_columns(spark, path):
@@ -307,6 +311,38 @@ def test_exact_answers_in_other_session_zones(spark, path, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_names_with_dots_and_blanks(spark, path):
+    frame = spark.range(500).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("at.time"),
+        (F.col("id") % 3).alias("the key"),
+        F.col("id").cast("double").alias("flow.temp"),
+        F.lit('{"x.y": 2}').alias("raw.json"),
+    )
+    where = path("raw")
+    store_by_day(frame, where, "at.time")
+    raw = Source("r", where, date_column="date", json_columns=("raw.json",))
+    rollup = create_rollup(spark, raw, path("r_1h"), ("the key",), ("flow.temp",))
+    full_refresh(spark, raw, rollup)
+    space = Workspace(spark, raw, rollup)
+    call = {
+        "columns": ["flow.temp"], "from_ts": "2023-11-14T22:30", "to_ts": "2023-11-16",
+        "aggregation": "sum", "bucket": "2 hours", "filters": {"the key": 1},
+    }
+    exact = space.query_timeseries("r", **call)
+    assert exact["table_used"] == "r_1h" and list(exact["rows"][0]) == ["bucket", "flow.temp_sum"]
+    agree(exact, space.query_timeseries("r", **call, rollup="never"))
+    assert space.get_schema("r")["jsonb_top_keys"] == {"raw.json": [{"key": "x.y", "occurrences": 500}]}
+    assert space.list_data_sources()[0]["time_column"] == "at.time"
+
+
+def test_a_rollup_keeps_its_definition(spark, path):
+    raw, where = Source("events", EVENTS), path()
+    create_rollup(spark, raw, where, ("event_type",), ("value",))
+    for dims, values in [((), ("value",)), (("event_type",), ("value", "user_id"))]:
+        with pytest.raises(ValueError, match="rollup_mismatch"):
+            create_rollup(spark, raw, where, dims, values)
+
+
 def test_spans():
     assert subtract([(0, 10)], [(3, 5)]) == [(0, 3), (5, 10)]
     assert subtract([(0, 10), (20, 30)], [(5, 25)]) == [(0, 5), (25, 30)]

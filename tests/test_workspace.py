@@ -8,7 +8,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from conftest import END
 
-from tidemark import Registry, Source, Workspace
+from tidemark import Registry, Source, Workspace, plan_timeseries
 
 FROM, TO = "2024-03-10T07:40:00+00:00", "2024-03-10T11:41:00+00:00"
 LAST = datetime.fromisoformat(END)
@@ -120,6 +120,16 @@ def test_stored_mode_checks_columns_of_the_rollup(home):
     assert sum(r["dpt_count"] for r in result["rows"]) == 201
 
 
+def test_columns_of_the_rollup_alone_are_read_as_stored(home):
+    result = home.query_timeseries("bus", ["samples"], FROM, TO, "sum", "1 hour", {"ga": "1/2/1"})
+    assert result["table_used"] == "bus_1h"
+    assert [r["samples_sum"] for r in result["rows"]] == [8, 12, 12, 8]
+    for refused in ({"bucket": "5 minutes"}, {"columns": ["samples", "dpt"]}, {"rollup": "never"}):
+        call = {"table": "bus", "columns": ["samples"], "from_ts": FROM, "to_ts": TO, **refused}
+        with pytest.raises(ValueError, match=r"unknown_columns: \['samples'\]"):
+            home.query_timeseries(**call)
+
+
 def test_rollup_can_be_asked_for(home):
     result = home.query_timeseries("bus_1h", ["samples"], FROM, TO, "sum", "30 minutes")
     assert result["table_used"] == "bus_1h"
@@ -148,6 +158,18 @@ def test_without_columns_the_buckets_are_listed(home):
         assert result["rows"] == [{"bucket": b} for b in bucketed(60)]
 
 
+def test_the_cap_is_a_top_n_without_a_full_sort(spark, home):
+    answer = plan_timeseries(
+        spark, home.registry, "bus", ["value"], FROM, TO, "avg", "1 minute", {"ga": "1/2/3"}
+    )
+    plan = answer.capped(10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=11" in plan and "rangepartitioning" not in plan
+    assert plan.count("Exchange") == 1 and "partial_avg" in plan
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "EqualTo(ga,1/2/3)" in scan and "GreaterThanOrEqual(time" in scan
+    assert "ReadSchema: struct<time:timestamp,ga:string,value:double>" in scan
+
+
 def test_bounds_are_inclusive_and_may_be_reversed(home):
     at = "2024-03-10T09:00:00+00:00"
     for mode in ("exact", "never"):

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FIELD = re.compile(r"\s*(\w+)\s*->>\s*'((?:[^']|'')+)'\s*")
+_FIELD = re.compile(r"\s*(.+?)\s*->>\s*'((?:[^']|'')+)'\s*")
 
 
 def split_field(text: str) -> tuple[str, str] | None:

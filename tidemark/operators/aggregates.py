@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.json_fields import json_fields, json_text
+from ..functions.names import column
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "avg": F.avg,
@@ -91,7 +92,7 @@ def _values(
     plain, fields = [], []
     for i, m in enumerate(measures):
         if m.key is None:
-            plain.append(F.col(m.column).alias(f"m{i}"))
+            plain.append(column(m.column).alias(f"m{i}"))
             fields.append(F.col(f"m{i}"))
             continue
         folded = m.key.lower()
@@ -103,7 +104,7 @@ def _values(
         text = F.col(f"p{place}").getField(m.key)
         fields.append((text if aggregation == "count" else text.cast("double")).alias(f"m{i}"))
     structs = [
-        json_fields(json_text(F.col(c), frame.schema[c].dataType), keys.values()).alias(f"p{p}")
+        json_fields(json_text(column(c), frame.schema[c].dataType), keys.values()).alias(f"p{p}")
         for p, (c, keys) in enumerate(parses)
     ]
     return frame.select(bucket.alias("bucket"), *plain, *structs).select("bucket", *fields)
@@ -111,7 +112,7 @@ def _values(
 
 def partial_columns(measure: Measure, aggregation: str) -> list[Column]:
     """Partials of a single raw row, shaped like those stored in a rollup."""
-    value = F.col(measure.column)
+    value = column(measure.column)
     single = {
         "sum": value.cast(sum_type(measure.dtype)),
         "count": F.when(value.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long"),
@@ -127,14 +128,14 @@ def merge_partials(frame: DataFrame, measures: list[Measure], aggregation: str)
         return frame.select("bucket").distinct()
     merged = frame.groupBy("bucket").agg(
         *[
-            _MERGE[p](partial_name(m.column, p)).alias(partial_name(m.column, p))
+            _MERGE[p](column(partial_name(m.column, p))).alias(partial_name(m.column, p))
             for m in measures
             for p in PARTIALS[aggregation]
         ]
     )
     results = []
     for m in measures:
-        parts = [F.col(partial_name(m.column, p)) for p in PARTIALS[aggregation]]
+        parts = [column(partial_name(m.column, p)) for p in PARTIALS[aggregation]]
         if aggregation == "avg":
             result = mean(*parts, m.dtype)
         elif aggregation == "sum":

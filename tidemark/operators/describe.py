@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.instants import collected_micros, iso_text
 from ..functions.json_fields import json_keys, json_text
+from ..functions.names import column
 from ..sources.registry import Registry, Source, time_column
 from .filters import within
 
@@ -25,11 +26,11 @@ def time_range(frame: DataFrame, time: str, date_column: str | None = None) -> D
     only the row counts in the file footers.
     """
     if date_column is not None:
-        days = frame.select(date_column)
-        first = days.agg(F.min(date_column)).scalar()
-        last = days.agg(F.max(date_column)).scalar()
-        frame = frame.filter((F.col(date_column) == first) | (F.col(date_column) == last))
-    return frame.agg(F.min(time).alias("min"), F.max(time).alias("max"))
+        day = column(date_column)
+        days = frame.select(day)
+        first, last = days.agg(F.min(day)).scalar(), days.agg(F.max(day)).scalar()
+        frame = frame.filter((day == first) | (day == last))
+    return frame.agg(F.min(column(time)).alias("min"), F.max(column(time)).alias("max"))
 
 
 def source_inventory(spark: SparkSession, registry: Registry) -> DataFrame:
@@ -71,7 +72,7 @@ def latest(
 ) -> DataFrame:
     """The newest ``n`` rows; ``ties`` orders rows of the same time."""
     newest = newest_part(frame, time, F.lit(1), n, date_column)
-    return newest.orderBy(F.desc(time.name), *ties).limit(n)
+    return newest.orderBy(column(time.name).desc(), *[column(t) for t in ties]).limit(n)
 
 
 def newest_part(
@@ -118,10 +119,10 @@ def json_key_profile(
     """
     if sample_unit not in ("keys", "rows"):
         raise ValueError(f"invalid_sample_unit: {sample_unit!r}")
-    text = json_text(F.col(payload), frame.schema[payload].dataType)
+    text = json_text(column(payload), frame.schema[payload].dataType)
     size = F.size(json_keys(text)) if sample_unit == "keys" else F.lit(1)
     newest = newest_part(frame, time, F.greatest(size, F.lit(0)), sample, date_column)
-    at = F.col(time.name).alias("at")
+    at = column(time.name).alias("at")
     if sample_unit == "keys":
         keys = newest.select(at, F.explode(json_keys(text)).alias("key"))
         keys = keys.orderBy(F.desc("at"), "key").limit(sample)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.instants import date_literal, from_micros, is_time, literal, to_micros
+from ..functions.names import column
 from ..functions.spans import Span
 
 
@@ -26,17 +27,17 @@ def within(
     """
     parts = []
     for start, end in spans:
-        at = F.col(time.name)
+        at = column(time.name)
         part = (at >= literal(start, time.dataType)) & (at <= literal(end - 1, time.dataType))
         if date_column is not None:
-            part &= F.col(date_column).between(date_literal(start), date_literal(end - 1))
+            part &= column(date_column).between(date_literal(start), date_literal(end - 1))
         parts.append(part)
     return reduce(Column.__or__, parts) if parts else F.lit(False)
 
 
 def equal_to(filters: Mapping[str, Any], fields: Mapping[str, T.StructField]) -> list[Column]:
     """``column = value`` per entry; a None matches nothing, as ``= NULL`` does in SQL."""
-    return [F.col(name) == _typed(value, fields[name]) for name, value in filters.items()]
+    return [column(name) == _typed(value, fields[name]) for name, value in filters.items()]
 
 
 def _typed(value: Any, field: T.StructField) -> Column:

@@ -10,17 +10,17 @@ files came or went.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import DAY, date_literal, from_micros, to_micros
+from ..functions.names import column
 from ..functions.spans import Span, intersect, merge, subtract, whole_hours
 from ..sources.registry import Source
 from .filters import within
+from .notes import read_notes, write_notes
 from .rollup import DATE, hourly, stored_range, time_of
 
 # The default policy refreshes from seven days to five minutes ago.
@@ -156,7 +156,7 @@ def coverage(spark: SparkSession, rollup: Source) -> list[Span]:
     """Spans of time for which the rollup holds every hour; a few rows of metadata."""
     if rollup.format == "table":
         return []
-    rows = _read_notes(spark, rollup, "coverage", _COVERAGE)
+    rows = read_notes(spark, rollup.location, "coverage", _COVERAGE)
     return sorted((r["start_us"], r["end_us"]) for r in rows)
 
 
@@ -170,7 +170,7 @@ def raw_files(spark: SparkSession, raw: Source, window: Span | None = None) -> d
     listing = spark.read.format("binaryFile").load(raw.location)
     if raw.date_column not in listing.columns:
         return None
-    day = F.col(raw.date_column)
+    day = column(raw.date_column)
     if window is not None:
         listing = listing.filter(day.between(date_literal(window[0]), date_literal(window[1] - 1)))
     days = (
@@ -191,30 +191,17 @@ _SEEN = "day date, files long, bytes long, newest_us long"
 
 def _save_coverage(spark: SparkSession, rollup: Source, spans: list[Span]) -> None:
     rows = [(a, b, from_micros(a).isoformat(), from_micros(b).isoformat()) for a, b in spans]
-    _write_notes(spark, rollup, "coverage", _COVERAGE, rows)
+    write_notes(spark, rollup.location, "coverage", _COVERAGE, rows)
 
 
 def _seen(spark: SparkSession, rollup: Source) -> dict[date, Files]:
-    rows = _read_notes(spark, rollup, "seen", _SEEN)
+    rows = read_notes(spark, rollup.location, "seen", _SEEN)
     return {r["day"]: (r["files"], r["bytes"], r["newest_us"]) for r in rows}
 
 
 def _save_seen(spark: SparkSession, rollup: Source, seen: dict[date, Files]) -> None:
-    _write_notes(spark, rollup, "seen", _SEEN, [(d, *f) for d, f in sorted(seen.items())])
-
-
-def _read_notes(spark: SparkSession, rollup: Source, kind: str, columns: str) -> list:
-    try:
-        return spark.read.schema(columns).json(f"{rollup.location.rstrip('/')}_{kind}").collect()
-    except AnalysisException:
-        return []
-
-
-def _write_notes(
-    spark: SparkSession, rollup: Source, kind: str, columns: str, rows: Iterable[tuple]
-) -> None:
-    notes = spark.createDataFrame(list(rows), columns).coalesce(1)
-    notes.write.mode("overwrite").json(f"{rollup.location.rstrip('/')}_{kind}")
+    rows = [(d, *f) for d, f in sorted(seen.items())]
+    write_notes(spark, rollup.location, "seen", _SEEN, rows)
 
 
 def _span_of(day: date) -> Span:

@@ -13,40 +13,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.instants import collected_micros, utc_date
+from ..functions.names import column
 from ..sources.registry import ROLLUP, ROLLUP_SUFFIX, Source, time_column
 from .aggregates import mean, partial_name
 from .describe import time_range
+from .notes import read_notes, write_notes
 
 DATE = "date"
 
+_DEFINITION = "rollup_of string, columns string"
+
 
 def hourly(frame: DataFrame, time: str, dims: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
     """Hourly partial aggregates of a batch or streaming frame, by dimension."""
-    clash = {"bucket", "samples", DATE} & {*dims, *values}
+    partials = [partial_name(v, p) for v in values for p in ("sum", "count", "min", "max")]
+    clash = {"bucket", "samples", "window", DATE, *partials} & {*dims, *values}
     if clash:
         raise ValueError(f"reserved_columns: {sorted(clash)}")
     wrong = [v for v in values if not isinstance(frame.schema[v].dataType, T.NumericType)]
     if wrong:
         raise ValueError(f"invalid_column_type: {wrong} are not numeric")
-    functions = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    by = [column(d) for d in dims]
+    measured = [f(column(v)) for v in values for f in (F.sum, F.count, F.min, F.max)]
     grouped = (
-        frame.select(time, *dims, *values)
-        .groupBy(F.window(time, "1 hour"), *dims)
+        frame.select(column(time), *by, *[column(v) for v in values])
+        .groupBy(F.window(column(time), "1 hour"), *by)
         .agg(
             F.count(F.lit(1)).alias("samples"),
-            *[f(v).alias(partial_name(v, p)) for v in values for p, f in functions.items()],
+            *[m.alias(name) for m, name in zip(measured, partials, strict=True)],
         )
     )
     means = [
         mean(
-            F.col(partial_name(v, "sum")), F.col(partial_name(v, "count")), frame.schema[v].dataType
+            column(partial_name(v, "sum")),
+            column(partial_name(v, "count")),
+            frame.schema[v].dataType,
         ).alias(v)
         for v in values
     ]
-    partials = [partial_name(v, p) for v in values for p in functions]
     start = F.col("window.start")
     date = utc_date(start, frame.schema[time].dataType).alias(DATE)
-    return grouped.select(start.alias("bucket"), *dims, *means, "samples", *partials, date)
+    return grouped.select(
+        start.alias("bucket"), *by, *means, "samples", *[column(p) for p in partials], date
+    )
 
 
 def create_rollup(
@@ -58,8 +67,10 @@ def create_rollup(
     name: str | None = None,
     description: str | None = None,
 ) -> Source:
-    """Define the hourly rollup of a raw source, without data. A rollup that is already
-    at the path is kept."""
+    """Define the hourly rollup of a raw source, without data.
+
+    A rollup that is already at the path is kept, and must have the same definition.
+    """
     frame = raw.read(spark)
     time = time_of(raw, frame)
     unknown = [c for c in (*dims, *values) if c not in {f.name for f in raw.fields(frame)}]
@@ -67,8 +78,14 @@ def create_rollup(
         raise ValueError(f"unknown_columns: {unknown}")
     shape = hourly(frame, time.name, tuple(dims), tuple(values))
     columns = T.StructType([T.StructField(f.name, f.dataType) for f in shape.schema.fields])
-    empty = spark.createDataFrame([], columns)
-    empty.write.mode("ignore").partitionBy(DATE).parquet(path)
+    definition = (raw.name, columns.json())
+    known = read_notes(spark, path, "definition", _DEFINITION)
+    if known and tuple(known[0]) != definition:
+        raise ValueError(f"rollup_mismatch: {path} holds a rollup with another definition")
+    if not known:
+        empty = spark.createDataFrame([], columns)
+        empty.write.partitionBy(DATE).parquet(path)
+        write_notes(spark, path, "definition", _DEFINITION, [definition])
     return Source(
         name=name or raw.name + ROLLUP_SUFFIX,
         location=path,

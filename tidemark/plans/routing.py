@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.buckets import Width, bucket_start
+from ..functions.names import column
 from ..functions.spans import Span, intersect, subtract, whole_hours
 from ..operators.aggregates import (
     PARTIALS,
@@ -77,8 +77,8 @@ def merged_aggregate(
     for condition in equal_to(filters, {f.name: f for f in rollup_frame.schema.fields}):
         rolled = rolled.filter(condition)
     parts = rolled.select(
-        bucket_start(F.col("bucket"), start.dataType, width).alias("bucket"),
-        *[partial_name(m.column, p) for m in measures for p in PARTIALS[aggregation]],
+        bucket_start(column("bucket"), start.dataType, width).alias("bucket"),
+        *[column(partial_name(m.column, p)) for m in measures for p in PARTIALS[aggregation]],
     )
     if split.raw:
         edges = raw_frame.filter(within(time, split.raw, raw.date_column))
@@ -86,7 +86,7 @@ def merged_aggregate(
             edges = edges.filter(condition)
         parts = parts.unionByName(
             edges.select(
-                bucket_start(F.col(time.name), time.dataType, width).alias("bucket"),
+                bucket_start(column(time.name), time.dataType, width).alias("bucket"),
                 *[c for m in measures for c in partial_columns(m, aggregation)],
             )
         )

@@ -8,12 +8,12 @@ from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.buckets import bucket_start, parse_width
 from ..functions.instants import isoformat, to_micros
 from ..functions.json_fields import split_field
+from ..functions.names import column
 from ..operators.aggregates import AGGREGATES, Measure, aggregate
 from ..operators.filters import equal_to, within
 from ..sources.registry import Registry, Source, time_column
@@ -81,7 +81,8 @@ def plan_timeseries(
     ``rollup`` says how an hourly rollup may be used when buckets are made of whole
     hours: ``exact`` takes covered hours from it and the rest from raw rows, giving the
     answer over raw rows; ``stored`` aggregates the rollup's own columns instead of the
-    raw table; ``never`` reads raw rows. Planning reads metadata only.
+    raw table, as does ``exact`` for columns that only the rollup has; ``never`` reads
+    raw rows. Planning reads metadata only.
     """
     if aggregation not in AGGREGATES:
         raise ValueError(f"invalid_aggregation: {aggregation!r}")
@@ -91,11 +92,14 @@ def plan_timeseries(
     source = registry.get(table)
     wanted = dict(filters or {})
     routed = candidate(registry, source, width) if rollup != "never" else None
-    if routed is not None and rollup == "stored":
-        source, routed = routed, None
-
     frame = source.read(spark)
     fields = {f.name: f for f in source.fields(frame)}
+    if routed is not None and (
+        rollup == "stored" or _known_to_rollup_only(spark, routed, fields, {*columns, *wanted})
+    ):
+        source, routed = routed, None
+        frame = source.read(spark)
+        fields = {f.name: f for f in source.fields(frame)}
     time = time_column(list(fields.values()))
     if time is None:
         raise ValueError(f"no_time_column_detected: {source.name}")
@@ -120,11 +124,21 @@ def plan_timeseries(
         selected = frame.filter(within(time, [span], source.date_column))
         for condition in conditions:
             selected = selected.filter(condition)
-        start = bucket_start(F.col(time.name), time.dataType, width)
+        start = bucket_start(column(time.name), time.dataType, width)
         result = aggregate(selected, start, measures, aggregation)
     return Answer(table, used.name, used.kind, bucket, aggregation, result.orderBy("bucket"))
 
 
+def _known_to_rollup_only(
+    spark: SparkSession, rollup: Source, raw: Mapping[str, T.StructField], names: set[str]
+) -> bool:
+    """Whether some names, such as ``samples``, are columns of the rollup but not of its
+    raw table, and the rollup has all the others too."""
+    if all(name in raw or split_field(name) for name in names):
+        return False
+    return names <= {f.name for f in rollup.fields(rollup.read(spark))}
+
+
 def _measures(
     source: Source,
     frame: DataFrame,

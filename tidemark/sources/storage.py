@@ -6,9 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.instants import utc_date
+from ..functions.names import column
 
 
 def store_by_day(
@@ -27,10 +27,10 @@ def store_by_day(
     ranges inside a day.
     """
     dtype = frame.schema[time_column].dataType
-    dated = frame.withColumn(date_column, utc_date(F.col(time_column), dtype))
+    dated = frame.withColumn(date_column, utc_date(column(time_column), dtype))
     if rebalance:
         dated = dated.hint("rebalance", date_column)
-    ordered = dated.sortWithinPartitions(date_column, time_column)
+    ordered = dated.sortWithinPartitions(column(date_column), column(time_column))
     ordered.write.mode(mode).partitionBy(date_column).parquet(path)
 
 

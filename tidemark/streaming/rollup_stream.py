@@ -10,12 +10,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.buckets import HOUR
 from ..functions.instants import literal, to_micros, utc_instant, utc_wall_clock
+from ..functions.names import column, quoted
 from ..functions.spans import Span
 from ..operators.filters import within
 from ..operators.refresh import coverage, replace_hours
@@ -50,12 +50,12 @@ def stream_rollup(
         rows = reader.load(raw.location)
     if start is not None:
         first_hour = to_micros(start) // HOUR * HOUR
-        rows = rows.filter(F.col(time.name) >= literal(first_hour, time.dataType))
+        rows = rows.filter(column(time.name) >= literal(first_hour, time.dataType))
     # Watermarks need the type ``timestamp``; the hours go back to the type of the input.
-    rows = rows.withColumn(time.name, utc_instant(F.col(time.name), time.dataType))
-    closed = hourly(rows.withWatermark(time.name, delay), time.name, rollup.dims, rollup.values)
+    rows = rows.withColumn(time.name, utc_instant(column(time.name), time.dataType))
+    closed = hourly(rows.withWatermark(quoted(time.name), delay), time.name, rollup.dims, rollup.values)
     if isinstance(time.dataType, T.TimestampNTZType):
-        hour = utc_wall_clock(F.col("bucket"), T.TimestampType())
+        hour = utc_wall_clock(column("bucket"), T.TimestampType())
         closed = closed.withColumn("bucket", hour)
     return (
         closed.writeStream.format("parquet")
