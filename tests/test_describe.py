@@ -115,8 +115,7 @@ def test_at_most_thirty_keys(spark):
 def test_variant_payloads(spark):
     frame = payload_frame(spark, ['{"a": 1, "b": "x"}', '{"a": 2}'])
     frame = frame.withColumn("raw", F.parse_json("raw"))
-    source = Source("v", "unused")
-    assert source.payloads(frame) == ["raw"]
+    assert Source("v", "unused", columns=frame.schema).payloads() == ["raw"]
     profile = json_key_profile(frame, "raw", NTZ).collect()
     assert [(r["key"], r["occurrences"]) for r in profile] == [("a", 2), ("b", 1)]
 
@@ -142,7 +141,7 @@ def test_storage_by_day(spark, path):
     stored = Source("events", where, json_columns=("props",), date_column="date")
     frame = stored.read(spark)
     assert frame.drop("date").exceptAll(raw).count() == 0 and frame.count() == raw.count()
-    assert [f.name for f in stored.fields(frame)] == raw.columns
+    assert [f.name for f in stored.resolved(spark).fields()] == raw.columns
     space = Workspace(spark, stored)
     bound = ("2024-01-03T12:00", "2024-01-05T11:00")
     query = space.frame("events", ["value"], *bound, bucket="15 minutes")
@@ -155,6 +154,29 @@ def test_storage_by_day(spark, path):
     ).collect()
 
 
+def test_queries_list_the_days_they_read(spark, path):
+    where = path("events")
+    store_by_day(spark.read.parquet(EVENTS), where, "ts")
+    space = Workspace(spark, Source("events", where, date_column="date"))
+    everything = space.registry.get("events").read(spark)
+
+    def days(frame):
+        return {f.split("date=")[1][:10] for f in frame.inputFiles()}
+
+    def frame(start, end):
+        return space.frame("events", ["value"], start, end, "count", "1 day")
+
+    assert len(days(everything)) == 30
+    few = frame("2024-01-03T12:00", "2024-01-05T00:00")
+    assert days(few) == {"2024-01-03", "2024-01-04", "2024-01-05"}
+    # Days without files, at an end of the range or all through it.
+    assert days(frame("2023-12-20", "2024-01-01T05:00")) == {"2024-01-01"}
+    assert frame("2021-01-01", "2021-02-01").collect() == []
+    assert len(frame("2024-01-01", "2024-12-31").collect()) == 30
+    assert len(frame("1900-01-01", "2100-01-01").collect()) == 30
+    assert frame("2024-02-01", "2024-01-01").collect() == []
+
+
 def test_time_range_of_storage_by_day_scans_two_days(spark, path):
     where = path("events")
     raw = spark.read.parquet(EVENTS)

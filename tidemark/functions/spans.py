@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date, timedelta
+
 from .buckets import HOUR
+from .instants import from_micros
 
 Span = tuple[int, int]
 
@@ -12,6 +16,16 @@ def whole_hours(start: int, end: int) -> Span:
     return -(-start // HOUR) * HOUR, end // HOUR * HOUR
 
 
+def dates_of(spans: Iterable[Span]) -> set[date]:
+    """The UTC days that the spans touch."""
+    days = set()
+    for start, end in spans:
+        if start < end:
+            first, last = from_micros(start).date(), from_micros(end - 1).date()
+            days |= {first + timedelta(days=i) for i in range((last - first).days + 1)}
+    return days
+
+
 def subtract(spans: list[Span], holes: list[Span]) -> list[Span]:
     for low, high in holes:
         pieces = [p for a, b in spans for p in ((a, min(b, low)), (max(a, high), b))]

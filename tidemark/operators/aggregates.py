@@ -146,8 +146,8 @@ def merge_partials(frame: DataFrame, measures: list[Measure], aggregation: str)
     return merged.select("bucket", *results)
 
 
-def partial_name(column: str, partial: str) -> str:
-    return f"{column}__{partial}"
+def partial_name(value: str, partial: str) -> str:
+    return f"{value}__{partial}"
 
 
 def sum_type(dtype: T.DataType) -> T.DataType:

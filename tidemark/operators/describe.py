@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.instants import collected_micros, iso_text
 from ..functions.json_fields import json_keys, json_text
 from ..functions.names import column
-from ..sources.registry import Registry, Source, time_column
+from ..sources.registry import Registry, Source
 from .filters import within
 
 # How much is sampled and how many keys are reported.
@@ -40,13 +40,13 @@ def source_inventory(spark: SparkSession, registry: Registry) -> DataFrame:
     """
     rows, timeless = [], []
     for position, source in enumerate(registry):
-        frame = source.read(spark)
-        time = time_column(source.fields(frame))
+        source = source.resolved(spark)
+        time = source.time()
         known = (position, source.name, source.schema, source.kind, source.description)
         if time is None:
             timeless.append((*known, None, None, None))
             continue
-        ends = time_range(frame, time.name, source.date_column)
+        ends = time_range(source.read(spark), time.name, source.date_column)
         rows.append(
             ends.select(
                 *[F.lit(value).alias(name) for name, value in zip(_KNOWN, known, strict=True)],
@@ -133,11 +133,11 @@ def json_key_profile(
     return counts.orderBy(F.desc("occurrences"), "key").limit(top)
 
 
-def column_rows(spark: SparkSession, source: Source, frame: DataFrame) -> DataFrame:
+def column_rows(spark: SparkSession, source: Source) -> DataFrame:
     """``position, name, type, nullable`` of each column, from metadata alone."""
     rows = [
         (i, f.name, f.dataType.simpleString(), f.nullable)
-        for i, f in enumerate(source.fields(frame), start=1)
+        for i, f in enumerate(source.fields(), start=1)
     ]
     return spark.createDataFrame(rows, "position int, name string, type string, nullable boolean")
 
@@ -149,12 +149,11 @@ def source_description(
 
     Rows for a column have NULL ``key`` and ``occurrences``.
     """
-    frame = source.read(spark)
-    fields = source.fields(frame)
-    time = time_column(fields)
+    source = source.resolved(spark)
+    time = source.time()
     is_time = F.col("name") == time.name if time else F.lit(False)
     rows = [
-        column_rows(spark, source, frame).select(
+        column_rows(spark, source).select(
             "position",
             "name",
             "type",
@@ -164,10 +163,10 @@ def source_description(
             F.lit(None).cast("long").alias("occurrences"),
         )
     ]
-    for position, field in enumerate(fields, start=1):
-        if time is not None and field.name in source.payloads(frame):
+    for position, field in enumerate(source.fields(), start=1):
+        if time is not None and field.name in source.payloads():
             keys = json_key_profile(
-                frame, field.name, time, sample=sample, date_column=source.date_column
+                source.read(spark), field.name, time, sample, date_column=source.date_column
             )
             rows.append(
                 keys.select(

@@ -36,8 +36,9 @@ def full_refresh(spark: SparkSession, raw: Source, rollup: Source) -> None:
     stored but not covered."""
     seen = raw_files(spark, raw)
     frame = raw.read(spark)
-    time = time_of(raw, frame)
-    _save_coverage(spark, rollup, [])
+    time = time_of(raw.resolved(spark))
+    if coverage(spark, rollup):
+        _save_coverage(spark, rollup, [])
     (
         hourly(frame, time.name, rollup.dims, rollup.values)
         .hint("rebalance", DATE)
@@ -109,9 +110,8 @@ def refresh_policy(
 
 
 def _recompute(spark: SparkSession, raw: Source, rollup: Source, span: Span) -> None:
-    frame = raw.read(spark)
-    time = time_of(raw, frame)
-    rows = frame.filter(within(time, [span], raw.date_column))
+    time = time_of(raw.resolved(spark))
+    rows = raw.read(spark, [span]).filter(within(time, [span], raw.date_column))
     replace_hours(spark, rollup, hourly(rows, time.name, rollup.dims, rollup.values), span)
 
 
@@ -123,9 +123,10 @@ def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: S
     low, high = span
     days = (low // DAY * DAY, -(-high // DAY) * DAY)
     known = coverage(spark, rollup)
-    _save_coverage(spark, rollup, subtract(known, [days]))
+    if subtract(known, [days]) != known:
+        _save_coverage(spark, rollup, subtract(known, [days]))
 
-    stored = rollup.read(spark)
+    stored = rollup.read(spark, [days])
     bucket = stored.schema["bucket"]
     in_days = F.col(DATE).between(date_literal(days[0]), date_literal(days[1] - 1))
     touched = stored.filter(in_days)
@@ -140,7 +141,7 @@ def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: S
     )
     # Dynamic overwrite leaves a day alone for which nothing was written: one whose raw
     # rows are gone. Its old files are still there.
-    for day in {day for day, _ in before & _stored_files(rollup.read(spark).filter(in_days))}:
+    for day in {day for day, _ in before & _stored_files(rollup.read(spark, [days]).filter(in_days))}:
         nothing = spark.createDataFrame([], stored.drop(DATE).schema)
         nothing.write.mode("overwrite").parquet(f"{rollup.location}/{DATE}={day}")
     _save_coverage(spark, rollup, merge([*known, span]))
@@ -165,7 +166,7 @@ def raw_files(spark: SparkSession, raw: Source, window: Span | None = None) -> d
 
     Lists files, one row each, without opening them.
     """
-    if raw.date_column is None or raw.format == "table" or not raw.location:
+    if not raw.stored_by_day():
         return None
     listing = spark.read.format("binaryFile").load(raw.location)
     if raw.date_column not in listing.columns:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.instants import collected_micros, utc_date
 from ..functions.names import column
-from ..sources.registry import ROLLUP, ROLLUP_SUFFIX, Source, time_column
+from ..sources.registry import ROLLUP, ROLLUP_SUFFIX, Source
 from .aggregates import mean, partial_name
 from .describe import time_range
 from .notes import read_notes, write_notes
@@ -71,12 +71,14 @@ def create_rollup(
 
     A rollup that is already at the path is kept, and must have the same definition.
     """
-    frame = raw.read(spark)
-    time = time_of(raw, frame)
-    unknown = [c for c in (*dims, *values) if c not in {f.name for f in raw.fields(frame)}]
+    raw = raw.resolved(spark)
+    time = time_of(raw)
+    unknown = [c for c in (*dims, *values) if c not in {f.name for f in raw.fields()}]
     if unknown:
         raise ValueError(f"unknown_columns: {unknown}")
-    shape = hourly(frame, time.name, tuple(dims), tuple(values))
+    used = [f for f in raw.fields() if f.name in {time.name, *dims, *values}]
+    rows = spark.createDataFrame([], T.StructType(used))
+    shape = hourly(rows, time.name, tuple(dims), tuple(values))
     columns = T.StructType([T.StructField(f.name, f.dataType) for f in shape.schema.fields])
     definition = (raw.name, columns.json())
     known = read_notes(spark, path, "definition", _DEFINITION)
@@ -100,8 +102,9 @@ def create_rollup(
     )
 
 
-def time_of(source: Source, frame: DataFrame) -> T.StructField:
-    time = time_column(source.fields(frame))
+def time_of(source: Source) -> T.StructField:
+    """The time column of a resolved source that must have one."""
+    time = source.time()
     if time is None:
         raise ValueError(f"no_time_column_detected: {source.name}")
     return time

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +59,6 @@ def merged_aggregate(
     spark: SparkSession,
     rollup: Source,
     raw: Source,
-    raw_frame: DataFrame,
-    time: T.StructField,
     split: Split,
     width: Width,
     measures: list[Measure],
@@ -71,21 +70,21 @@ def merged_aggregate(
     Both sides become rows of partials of the same shape, so one aggregation, combined
     before its only shuffle, finishes them.
     """
-    rollup_frame = rollup.read(spark)
-    start = rollup_frame.schema["bucket"]
-    rolled = rollup_frame.filter(within(start, split.rolled, rollup.date_column))
-    for condition in equal_to(filters, {f.name: f for f in rollup_frame.schema.fields}):
-        rolled = rolled.filter(condition)
-    parts = rolled.select(
-        bucket_start(column("bucket"), start.dataType, width).alias("bucket"),
+    time = raw.time()
+    conditions = equal_to(filters, {f.name: f for f in raw.fields()})
+
+    def selected(source: Source, at: T.StructField, spans: list[Span]) -> DataFrame:
+        rows = source.read(spark, spans).filter(within(at, spans, source.date_column))
+        return reduce(DataFrame.filter, conditions, rows)
+
+    start = rollup.time()
+    parts = selected(rollup, start, split.rolled).select(
+        bucket_start(column(start.name), start.dataType, width).alias("bucket"),
         *[column(partial_name(m.column, p)) for m in measures for p in PARTIALS[aggregation]],
     )
     if split.raw:
-        edges = raw_frame.filter(within(time, split.raw, raw.date_column))
-        for condition in equal_to(filters, {f.name: f for f in raw_frame.schema.fields}):
-            edges = edges.filter(condition)
         parts = parts.unionByName(
-            edges.select(
+            selected(raw, time, split.raw).select(
                 bucket_start(column(time.name), time.dataType, width).alias("bucket"),
                 *[c for m in measures for c in partial_columns(m, aggregation)],
             )

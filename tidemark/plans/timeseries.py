@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from ..functions.buckets import bucket_start, parse_width
 from ..functions.instants import isoformat, to_micros
@@ -16,7 +16,7 @@ from ..functions.json_fields import split_field
 from ..functions.names import column
 from ..operators.aggregates import AGGREGATES, Measure, aggregate
 from ..operators.filters import equal_to, within
-from ..sources.registry import Registry, Source, time_column
+from ..sources.registry import Registry, Source
 from .routing import MODES, can_merge, candidate, merged_aggregate, split_range
 
 # Fixed value: the default cap on result rows.
@@ -92,18 +92,16 @@ def plan_timeseries(
     source = registry.get(table)
     wanted = dict(filters or {})
     routed = candidate(registry, source, width) if rollup != "never" else None
-    frame = source.read(spark)
-    fields = {f.name: f for f in source.fields(frame)}
-    if routed is not None and (
-        rollup == "stored" or _known_to_rollup_only(spark, routed, fields, {*columns, *wanted})
-    ):
-        source, routed = routed, None
-        frame = source.read(spark)
-        fields = {f.name: f for f in source.fields(frame)}
-    time = time_column(list(fields.values()))
+    source = source.resolved(spark)
+    if routed is not None:
+        routed = routed.resolved(spark)
+        if rollup == "stored" or _known_to_rollup_only(routed, source, {*columns, *wanted}):
+            source, routed = routed, None
+    fields = {f.name: f for f in source.fields()}
+    time = source.time()
     if time is None:
         raise ValueError(f"no_time_column_detected: {source.name}")
-    measures = _measures(source, frame, fields, columns)
+    measures = _measures(source, columns)
     unknown = [name for name in wanted if name not in fields]
     if unknown:
         raise ValueError(f"unknown_filter_columns: {unknown}")
@@ -118,35 +116,28 @@ def plan_timeseries(
         if split.rolled:
             used = routed
             result = merged_aggregate(
-                spark, routed, source, frame, time, split, width, measures, aggregation, wanted
+                spark, routed, source, split, width, measures, aggregation, wanted
             )
     if result is None:
-        selected = frame.filter(within(time, [span], source.date_column))
-        for condition in conditions:
-            selected = selected.filter(condition)
+        selected = source.read(spark, [span]).filter(within(time, [span], source.date_column))
+        selected = reduce(DataFrame.filter, conditions, selected)
         start = bucket_start(column(time.name), time.dataType, width)
         result = aggregate(selected, start, measures, aggregation)
     return Answer(table, used.name, used.kind, bucket, aggregation, result.orderBy("bucket"))
 
 
-def _known_to_rollup_only(
-    spark: SparkSession, rollup: Source, raw: Mapping[str, T.StructField], names: set[str]
-) -> bool:
+def _known_to_rollup_only(rollup: Source, raw: Source, names: set[str]) -> bool:
     """Whether some names, such as ``samples``, are columns of the rollup but not of its
     raw table, and the rollup has all the others too."""
-    if all(name in raw or split_field(name) for name in names):
+    if names <= {f.name for f in raw.fields()}:
         return False
-    return names <= {f.name for f in rollup.fields(rollup.read(spark))}
+    return names <= {f.name for f in rollup.fields()}
 
 
-def _measures(
-    source: Source,
-    frame: DataFrame,
-    fields: Mapping[str, T.StructField],
-    columns: Sequence[str],
-) -> list[Measure]:
+def _measures(source: Source, columns: Sequence[str]) -> list[Measure]:
     """Distinct measures, each a column or ``payload->>'key'`` of a JSON column."""
-    payloads = source.payloads(frame)
+    fields = {f.name: f for f in source.fields()}
+    payloads = source.payloads()
     found, unknown = {}, []
     for text in columns:
         field = split_field(text)

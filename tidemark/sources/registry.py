@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.instants import is_time
+from ..functions.spans import Span, dates_of
 
 # The kind of a source as reported to callers, and the suffix that links
 # an hourly rollup to its raw table.
@@ -16,6 +19,9 @@ RAW = "hypertable"
 ROLLUP = "continuous_aggregate"
 ROLLUP_SUFFIX = "_1h"
 
+# Beyond this many days the whole table is listed.
+_LISTED_DAYS = 400
+
 
 @dataclass(frozen=True)
 class Source:
@@ -43,24 +49,52 @@ class Source:
     dims: tuple[str, ...] = ()
     values: tuple[str, ...] = ()
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def read(self, spark: SparkSession, spans: Iterable[Span] | None = None) -> DataFrame:
+        """The source; given spans of time, at least its rows in those.
+
+        Files are listed when a path is read. With spans, a source stored by day has only
+        the directories of their days listed, if those are few.
+        """
         if self.format == "table":
             return spark.table(self.location)
         reader = spark.read.format(self.format).options(**self.options)
         if self.columns is not None:
             reader = reader.schema(self.columns)
-        return reader.load(self.location) if self.location else reader.load()
+        days = dates_of(spans) if spans is not None and self.stored_by_day() else set()
+        if not 0 < len(days) <= _LISTED_DAYS:
+            return reader.load(self.location) if self.location else reader.load()
+        root = self.location.rstrip("/")
+        names = ",".join(f"{self.date_column}={day}" for day in sorted(days))
+        try:
+            return reader.option("basePath", root).load(f"{root}/{{{names}}}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return reader.load(self.location).filter(F.lit(False))
+
+    def stored_by_day(self) -> bool:
+        """Whether the files lie in one directory per day."""
+        return bool(self.date_column and self.location and self.format != "table")
+
+    def resolved(self, spark: SparkSession) -> Source:
+        """The source with its columns, found by reading it where they are not declared."""
+        if self.columns is not None:
+            return self
+        return replace(self, columns=self.read(spark).schema)
+
+    def fields(self) -> list[T.StructField]:
+        """The columns callers see, of a resolved source."""
+        return [f for f in self.columns.fields if f.name != self.date_column]
 
-    def fields(self, frame: DataFrame) -> list[T.StructField]:
-        """The columns callers see, with declared nullability where there is one."""
-        declared = self.columns if self.columns is not None else frame.schema
-        return [f for f in declared.fields if f.name != self.date_column]
+    def time(self) -> T.StructField | None:
+        """The time column of a resolved source."""
+        return time_column(self.fields())
 
-    def payloads(self, frame: DataFrame) -> list[str]:
+    def payloads(self) -> list[str]:
         """JSON columns: the declared ones and every variant column, in table order."""
         return [
             f.name
-            for f in self.fields(frame)
+            for f in self.fields()
             if f.name in self.json_columns or isinstance(f.dataType, T.VariantType)
         ]
 

@@ -39,12 +39,12 @@ def stream_rollup(
     history need not hold all its hours in state. Rows later than ``delay`` behind the
     watermark are dropped here and need a windowed refresh of their hours.
     """
-    shape = raw.read(spark)
-    time = time_of(raw, shape)
+    raw = raw.resolved(spark)
+    time = time_of(raw)
     if raw.format == "table":
         rows = spark.readStream.table(raw.location)
     else:
-        reader = spark.readStream.format(raw.format).options(**raw.options).schema(shape.schema)
+        reader = spark.readStream.format(raw.format).options(**raw.options).schema(raw.columns)
         if max_files is not None:
             reader = reader.option("maxFilesPerTrigger", max_files)
         rows = reader.load(raw.location)

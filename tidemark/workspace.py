@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.describe import KEY_SAMPLE, json_key_profile, source_inventory
 from .plans.timeseries import ROW_LIMIT, plan_timeseries
-from .sources.registry import Registry, Source, discover, time_column
+from .sources.registry import Registry, Source, discover
 
 
 class Workspace:
@@ -18,7 +18,9 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, *sources: Source) -> None:
         self.spark = spark
-        self.registry = Registry(*sources)
+        self.registry = Registry()
+        for source in sources:
+            self.register(source)
 
     @classmethod
     def of_database(
@@ -31,7 +33,9 @@ class Workspace:
         return cls(spark, *discover(spark, database, date_columns))
 
     def register(self, source: Source) -> Source:
-        return self.registry.add(source)
+        """Add a source. The columns of one stored by day are looked up now, so that its
+        queries need to list no more than the days they read."""
+        return self.registry.add(source.resolved(self.spark) if source.stored_by_day() else source)
 
     def list_data_sources(self) -> list[dict[str, Any]]:
         """Raw tables, then rollups, with their time ranges."""
@@ -44,14 +48,13 @@ class Workspace:
 
     def get_schema(self, table: str, jsonb_sample_size: int = KEY_SAMPLE) -> dict[str, Any]:
         """Columns, types, time column and the most common keys of JSON columns."""
-        source = self.registry.get(table)
-        frame = source.read(self.spark)
-        time = time_column(source.fields(frame))
+        source = self.registry.get(table).resolved(self.spark)
+        time = source.time()
         keys = {}
         if time is not None:
-            for payload in source.payloads(frame):
+            for payload in source.payloads():
                 profile = json_key_profile(
-                    frame,
+                    source.read(self.spark),
                     payload,
                     time,
                     sample=jsonb_sample_size,
@@ -60,7 +63,7 @@ class Workspace:
                 keys[payload] = [row.asDict() for row in profile.collect()]
         columns = [
             {"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable}
-            for f in source.fields(frame)
+            for f in source.fields()
         ]
         return {
             "name": source.name,
