@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.instants import collected_micros, iso_text
 from ..functions.json_fields import json_keys, json_text
+from ..functions.local import columns, rows_of
 from ..functions.names import column
 from ..sources.registry import Registry, Source
 from .filters import within
@@ -55,16 +56,23 @@ def source_inventory(spark: SparkSession, registry: Registry) -> DataFrame:
                 iso_text(F.col("max"), time.dataType).alias("time_max"),
             )
         )
-    rows.append(spark.createDataFrame(timeless, INVENTORY))
+    rows.append(rows_of(spark, timeless, _INVENTORY))
     listed = reduce(DataFrame.unionByName, rows)
     return listed.coalesce(1).sortWithinPartitions("position").drop("position")
 
 
 _KNOWN = ("position", "name", "schema", "kind", "description")
-INVENTORY = (
-    "position int, name string, schema string, kind string, description string, "
-    "time_column string, time_min string, time_max string"
+_INVENTORY = columns(
+    position="integer",
+    name="string",
+    schema="string",
+    kind="string",
+    description="string",
+    time_column="string",
+    time_min="string",
+    time_max="string",
 )
+_COLUMNS = columns(position="integer", name="string", type="string", nullable="boolean")
 
 
 def latest(
@@ -139,7 +147,7 @@ def column_rows(spark: SparkSession, source: Source) -> DataFrame:
         (i, f.name, f.dataType.simpleString(), f.nullable)
         for i, f in enumerate(source.fields(), start=1)
     ]
-    return spark.createDataFrame(rows, "position int, name string, type string, nullable boolean")
+    return rows_of(spark, rows, _COLUMNS)
 
 
 def source_description(

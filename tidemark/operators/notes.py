@@ -6,9 +6,12 @@ from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Row, SparkSession
+from pyspark.sql import types as T
 
+from ..functions.local import rows_of
 
-def read_notes(spark: SparkSession, location: str, kind: str, columns: str) -> list[Row]:
+
+def read_notes(spark: SparkSession, location: str, kind: str, columns: T.StructType) -> list[Row]:
     try:
         return spark.read.schema(columns).json(_path(location, kind)).collect()
     except AnalysisException:
@@ -16,10 +19,9 @@ def read_notes(spark: SparkSession, location: str, kind: str, columns: str) -> l
 
 
 def write_notes(
-    spark: SparkSession, location: str, kind: str, columns: str, rows: Iterable[tuple]
+    spark: SparkSession, location: str, kind: str, columns: T.StructType, rows: Iterable[tuple]
 ) -> None:
-    notes = spark.createDataFrame(list(rows), columns).coalesce(1)
-    notes.write.mode("overwrite").json(_path(location, kind))
+    rows_of(spark, rows, columns).write.mode("overwrite").json(_path(location, kind))
 
 
 def _path(location: str, kind: str) -> str:

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import DAY, date_literal, from_micros, to_micros
+from ..functions.local import columns, no_rows
 from ..functions.names import column
-from ..functions.spans import Span, intersect, merge, subtract, whole_hours
+from ..functions.spans import Span, dates_of, intersect, merge, subtract, whole_hours
 from ..sources.registry import Source
 from .filters import within
 from .notes import read_notes, write_notes
@@ -130,7 +131,7 @@ def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: S
     bucket = stored.schema["bucket"]
     in_days = F.col(DATE).between(date_literal(days[0]), date_literal(days[1] - 1))
     touched = stored.filter(in_days)
-    before = _stored_files(touched)
+    before = _files_by_day(stored, days)
     (
         fresh.unionByName(touched.filter(~within(bucket, [span])))
         .hint("rebalance", DATE)
@@ -141,16 +142,18 @@ def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: S
     )
     # Dynamic overwrite leaves a day alone for which nothing was written: one whose raw
     # rows are gone. Its old files are still there.
-    for day in {day for day, _ in before & _stored_files(rollup.read(spark, [days]).filter(in_days))}:
-        nothing = spark.createDataFrame([], stored.drop(DATE).schema)
-        nothing.write.mode("overwrite").parquet(f"{rollup.location}/{DATE}={day}")
+    kept = before & _files_by_day(rollup.read(spark, [days]), days)
+    for day in {day for day, _ in kept}:
+        no_rows(spark, stored.drop(DATE).schema).write.mode("overwrite").parquet(f"{rollup.location}/{DATE}={day}")
     _save_coverage(spark, rollup, merge([*known, span]))
 
 
-def _stored_files(frame: DataFrame) -> set[tuple[date, str]]:
-    """Day and path of the files behind a rollup frame."""
-    files = frame.select(DATE, F.col("_metadata.file_path").alias("path")).distinct()
-    return {(r[DATE], r["path"]) for r in files.collect()}
+def _files_by_day(frame: DataFrame, days: Span) -> set[tuple[date, str]]:
+    """Day and path of the files a rollup frame would read for some days."""
+    wanted = dates_of([days])
+    paths = [(path.rsplit(f"/{DATE}=", 1)[1][:10], path) for path in frame.inputFiles()]
+    files = {(date.fromisoformat(day), path) for day, path in paths}
+    return {(day, path) for day, path in files if day in wanted}
 
 
 def coverage(spark: SparkSession, rollup: Source) -> list[Span]:
@@ -186,8 +189,8 @@ def raw_files(spark: SparkSession, raw: Source, window: Span | None = None) -> d
     return {r["day"]: (r["files"], r["bytes"], r["newest_us"]) for r in days.collect()}
 
 
-_COVERAGE = "start_us long, end_us long, start string, end string"
-_SEEN = "day date, files long, bytes long, newest_us long"
+_COVERAGE = columns(start_us="long", end_us="long", start="string", end="string")
+_SEEN = columns(day="date", files="long", bytes="long", newest_us="long")
 
 
 def _save_coverage(spark: SparkSession, rollup: Source, spans: list[Span]) -> None:

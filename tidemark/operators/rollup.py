@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.instants import collected_micros, utc_date
+from ..functions.local import columns, no_rows
 from ..functions.names import column
 from ..sources.registry import ROLLUP, ROLLUP_SUFFIX, Source
 from .aggregates import mean, partial_name
@@ -21,7 +22,7 @@ from .notes import read_notes, write_notes
 
 DATE = "date"
 
-_DEFINITION = "rollup_of string, columns string"
+_DEFINITION = columns(rollup_of="string", columns="string")
 
 
 def hourly(frame: DataFrame, time: str, dims: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
@@ -77,16 +78,14 @@ def create_rollup(
     if unknown:
         raise ValueError(f"unknown_columns: {unknown}")
     used = [f for f in raw.fields() if f.name in {time.name, *dims, *values}]
-    rows = spark.createDataFrame([], T.StructType(used))
-    shape = hourly(rows, time.name, tuple(dims), tuple(values))
-    columns = T.StructType([T.StructField(f.name, f.dataType) for f in shape.schema.fields])
-    definition = (raw.name, columns.json())
+    shape = hourly(no_rows(spark, T.StructType(used)), time.name, tuple(dims), tuple(values))
+    stored = T.StructType([T.StructField(f.name, f.dataType) for f in shape.schema.fields])
+    definition = (raw.name, stored.json())
     known = read_notes(spark, path, "definition", _DEFINITION)
     if known and tuple(known[0]) != definition:
         raise ValueError(f"rollup_mismatch: {path} holds a rollup with another definition")
     if not known:
-        empty = spark.createDataFrame([], columns)
-        empty.write.partitionBy(DATE).parquet(path)
+        no_rows(spark, stored).write.partitionBy(DATE).parquet(path)
         write_notes(spark, path, "definition", _DEFINITION, [definition])
     return Source(
         name=name or raw.name + ROLLUP_SUFFIX,
@@ -94,7 +93,7 @@ def create_rollup(
         kind=ROLLUP,
         schema=raw.schema,
         description=description,
-        columns=columns,
+        columns=stored,
         date_column=DATE,
         rollup_of=raw.name,
         dims=tuple(dims),
