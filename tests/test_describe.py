@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark import Registry, Source, Workspace, store_by_day
+from tidemark import Registry, Source, Workspace, create_rollup, full_refresh, store_by_day
 from tidemark.functions.json_fields import json_fields, split_field
 from tidemark.operators.describe import (
     json_key_profile,
@@ -218,6 +218,26 @@ def test_description_rows(spark):
     assert [r["name"] for r in rows if r["is_time"]] == ["ts"]
 
 
+def test_both_ends_of_an_exact_answer_prune_partitions(spark, path):
+    """In a catalog table, where the days are not picked by path."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS edges")
+    events = spark.read.parquet(EVENTS)
+    dated = events.withColumn("day", F.to_date("ts"))
+    dated.write.partitionBy("day").saveAsTable("edges.events")
+    raw = Source("events", "edges.events", format="table", date_column="day")
+    rollup = create_rollup(spark, raw, path("events_1h"), values=("value",))
+    full_refresh(spark, raw, rollup)
+    space = Workspace(spark, raw, rollup)
+    call = ("events", ["value"], "2024-01-03T10:20", "2024-01-20T11:40", "sum", "1 day")
+    exact = space.frame(*call)
+    scan = next(s for s in plan(exact).splitlines() if "FileScan" in s and "[ts#" in s)
+    filters = scan.split("PartitionFilters:")[1].split("], PushedFilters")[0]
+    assert "OR" in filters and "2024-01-03" in filters and "2024-01-20" in filters
+    totals = [r["value_sum"] for r in exact.collect()]
+    raw_totals = [r["value_sum"] for r in space.frame(*call, rollup="never").collect()]
+    assert totals == pytest.approx(raw_totals)
+
+
 def test_an_empty_registry(spark):
     assert source_inventory(spark, Registry()).collect() == []
 

@@ -107,6 +107,20 @@ def test_late_rows_need_a_windowed_refresh(spark, path):
 
 
 
+def test_batches_of_files_in_order(spark, path):
+    raw = Source("r", path("raw"))
+    for first in (0, 200, 400):
+        readings(spark, range(first, first + 200)).coalesce(1).write.mode("append").parquet(raw.location)
+    rollup = create_rollup(spark, raw, path("r"), values=("v",))
+    places = {"landing": path("landing"), "state": path("state")}
+    query = stream_rollup(spark, raw, rollup, *places.values(), max_files=1)
+    query.awaitTermination()
+    assert [p.numInputRows for p in query.recentProgress if p.numInputRows] == [200, 200, 200]
+    absorb(spark, rollup, places["landing"])
+    counts = rollup.read(spark).groupBy("samples").count().collect()
+    assert [tuple(r) for r in counts] == [(60, 9)]
+
+
 def test_stream_of_a_catalog_table(spark, path):
     spark.sql("CREATE DATABASE IF NOT EXISTS streamed")
     readings(spark, range(0, 300)).write.saveAsTable("streamed.r")

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from datetime import date, timedelta
 
 from .buckets import HOUR
-from .instants import from_micros
+from .instants import DAY, from_micros
 
 Span = tuple[int, int]
 
@@ -16,6 +16,11 @@ def whole_hours(start: int, end: int) -> Span:
     return -(-start // HOUR) * HOUR, end // HOUR * HOUR
 
 
+def days_in(spans: Iterable[Span]) -> int:
+    """How many days the spans touch; one that two of them share counts twice."""
+    return sum((end - 1) // DAY - start // DAY + 1 for start, end in spans if start < end)
+
+
 def dates_of(spans: Iterable[Span]) -> set[date]:
     """The UTC days that the spans touch."""
     days = set()

@@ -14,7 +14,9 @@ from ..functions.local import rows_of
 def read_notes(spark: SparkSession, location: str, kind: str, columns: T.StructType) -> list[Row]:
     try:
         return spark.read.schema(columns).json(_path(location, kind)).collect()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
 
 

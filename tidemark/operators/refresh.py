@@ -142,9 +142,9 @@ def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: S
     )
     # Dynamic overwrite leaves a day alone for which nothing was written: one whose raw
     # rows are gone. Its old files are still there.
-    kept = before & _files_by_day(rollup.read(spark, [days]), days)
-    for day in {day for day, _ in kept}:
-        no_rows(spark, stored.drop(DATE).schema).write.mode("overwrite").parquet(f"{rollup.location}/{DATE}={day}")
+    nothing = no_rows(spark, stored.drop(DATE).schema)
+    for day in {day for day, _ in before & _files_by_day(rollup.read(spark, [days]), days)}:
+        nothing.write.mode("overwrite").parquet(f"{rollup.location}/{DATE}={day}")
     _save_coverage(spark, rollup, merge([*known, span]))
 
 
@@ -164,7 +164,9 @@ def coverage(spark: SparkSession, rollup: Source) -> list[Span]:
     return sorted((r["start_us"], r["end_us"]) for r in rows)
 
 
-def raw_files(spark: SparkSession, raw: Source, window: Span | None = None) -> dict[date, Files] | None:
+def raw_files(
+    spark: SparkSession, raw: Source, window: Span | None = None
+) -> dict[date, Files] | None:
     """The files of each day of a raw table stored by day, or None for other tables.
 
     Lists files, one row each, without opening them.

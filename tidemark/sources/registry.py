@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.instants import is_time
-from ..functions.spans import Span, dates_of
+from ..functions.spans import Span, dates_of, days_in
 
 # The kind of a source as reported to callers, and the suffix that links
 # an hourly rollup to its raw table.
@@ -49,7 +49,7 @@ class Source:
     dims: tuple[str, ...] = ()
     values: tuple[str, ...] = ()
 
-    def read(self, spark: SparkSession, spans: Iterable[Span] | None = None) -> DataFrame:
+    def read(self, spark: SparkSession, spans: Sequence[Span] | None = None) -> DataFrame:
         """The source; given spans of time, at least its rows in those.
 
         Files are listed when a path is read. With spans, a source stored by day has only
@@ -60,11 +60,10 @@ class Source:
         reader = spark.read.format(self.format).options(**self.options)
         if self.columns is not None:
             reader = reader.schema(self.columns)
-        days = dates_of(spans) if spans is not None and self.stored_by_day() else set()
-        if not 0 < len(days) <= _LISTED_DAYS:
+        if not (self.stored_by_day() and 0 < days_in(spans or ()) <= _LISTED_DAYS):
             return reader.load(self.location) if self.location else reader.load()
         root = self.location.rstrip("/")
-        names = ",".join(f"{self.date_column}={day}" for day in sorted(days))
+        names = ",".join(f"{self.date_column}={day}" for day in sorted(dates_of(spans)))
         try:
             return reader.option("basePath", root).load(f"{root}/{{{names}}}")
         except AnalysisException as error:

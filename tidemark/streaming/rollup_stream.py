@@ -36,8 +36,10 @@ def stream_rollup(
     """Start one scheduled run; it ends by itself when the present input is consumed.
 
     ``start`` leaves older rows to a batch refresh, so that a first run over a long
-    history need not hold all its hours in state. Rows later than ``delay`` behind the
-    watermark are dropped here and need a windowed refresh of their hours.
+    history need not hold all its hours in state. ``max_files`` splits the input into
+    several batches, oldest files first, and suits files that arrive in order of time.
+    Rows more than ``delay`` behind the newest one of earlier batches may be dropped here
+    and need a windowed refresh of their hours.
     """
     raw = raw.resolved(spark)
     time = time_of(raw)
@@ -53,7 +55,8 @@ def stream_rollup(
         rows = rows.filter(column(time.name) >= literal(first_hour, time.dataType))
     # Watermarks need the type ``timestamp``; the hours go back to the type of the input.
     rows = rows.withColumn(time.name, utc_instant(column(time.name), time.dataType))
-    closed = hourly(rows.withWatermark(quoted(time.name), delay), time.name, rollup.dims, rollup.values)
+    rows = rows.withWatermark(quoted(time.name), delay)
+    closed = hourly(rows, time.name, rollup.dims, rollup.values)
     if isinstance(time.dataType, T.TimestampNTZType):
         hour = utc_wall_clock(column("bucket"), T.TimestampType())
         closed = closed.withColumn("bucket", hour)
@@ -81,5 +84,6 @@ def absorb(spark: SparkSession, rollup: Source, landing: str) -> Span | None:
     span = (max([first, *[end for _, end in known]]), last + HOUR)
     if span[0] >= span[1]:
         return None
-    replace_hours(spark, rollup, landed.filter(within(landed.schema["bucket"], [span], DATE)), span)
+    fresh = landed.filter(within(landed.schema["bucket"], [span], DATE))
+    replace_hours(spark, rollup, fresh, span)
     return span
