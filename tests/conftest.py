@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import sys
 import uuid
 from pathlib import Path
@@ -23,7 +24,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .appName("tidemark-tests")
         .config("spark.sql.shuffle.partitions", "3")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", os.environ.get("TEST_ZONE", "UTC"))
         .config("spark.sql.warehouse.dir", str(root / "warehouse"))
         .config("spark.checkpoint.dir", str(root / "checkpoints"))
         .config("spark.sql.maxMetadataStringLength", "2000")

@@ -215,7 +215,7 @@ def test_filter_values_must_fit(home, filters):
 def test_filter_values_of_every_type(spark, path):
     where = path("t")
     spark.sql(
-        "SELECT timestamp'2024-01-01' AS time, 1 AS i, 1.5D AS d, 2.25BD AS n, true AS b, "
+        "SELECT timestamp'2024-01-01T00:00:00Z' AS time, 1 AS i, 1.5D AS d, 2.25BD AS n, true AS b, "
         "date'2024-02-03' AS day, 'x' AS s, 9223372036854775807 AS big"
     ).write.parquet(where)
     space = Workspace(spark, Source("t", where))
