@@ -101,12 +101,14 @@ def newest_part(
     high = collected_micros(span["max"], time.dataType)
     if high is None:
         return frame
-    length = (high - low) // 4096 + 1
+    length = (high - low) // 2**16 + 1
     while high - length >= low:
         part = frame.filter(within(time, [(high - length, high + 1)], date_column))
-        if (part.agg(F.sum(weight)).first()[0] or 0) >= n:
+        found = part.agg(F.sum(weight)).first()[0] or 0
+        if found >= n:
             return part
-        length *= 8
+        # Twice what the density so far asks for, within reason.
+        length *= min(64, 2 * n // found) if found else 64
     return frame
 
 
