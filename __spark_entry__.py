@@ -107,10 +107,9 @@ def _routed(columns: list[str], aggregation: str, bucket: str, mode: str = "exac
 
 
 def _row_cap_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = plan_timeseries(
-        spark, Registry(_source(sf_dir, "orders")), "orders", ["o_totalprice"], *ALWAYS, "max", "1 day"
-    )
-    return answer.capped(5000)
+    registry = Registry(_source(sf_dir, "orders"))
+    columns = ["o_totalprice"]
+    return plan_timeseries(spark, registry, "orders", columns, *ALWAYS, "max", "1 day").capped(5000)
 
 
 def _time_range(table: str):
@@ -432,11 +431,16 @@ def oracle_sql() -> dict[str, str]:
             {"props_k_avg": _avg("CAST(props ->> '$.k' AS DOUBLE)")}, "1 day"
         ),
         "json_field_count": events(
-            {"props_k_count": "count(props ->> '$.k')", "props_none_count": "count(props ->> '$.none')"},
+            {
+                "props_k_count": "count(props ->> '$.k')",
+                "props_none_count": "count(props ->> '$.none')",
+            },
             "1 week",
         ),
         "time_range": "SELECT min(ts) AS min, max(ts) AS max FROM events",
-        "time_range_lineitem": "SELECT min(l_shipdate) AS min, max(l_shipdate) AS max FROM lineitem",
+        "time_range_lineitem": (
+            "SELECT min(l_shipdate) AS min, max(l_shipdate) AS max FROM lineitem"
+        ),
         "time_range_by_day": "SELECT min(ts) AS min, max(ts) AS max FROM events",
         "source_inventory": _inventory_sql(),
         "source_description": _DESCRIPTION_SQL,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.buckets import HOUR
-from ..functions.instants import literal, to_micros, utc_instant, utc_wall_clock
+from ..functions.instants import date_literal, literal, to_micros, utc_instant, utc_wall_clock
 from ..functions.names import column, quoted
 from ..functions.spans import Span
 from ..operators.filters import within
@@ -53,6 +53,8 @@ def stream_rollup(
     if start is not None:
         first_hour = to_micros(start) // HOUR * HOUR
         rows = rows.filter(column(time.name) >= literal(first_hour, time.dataType))
+        if raw.date_column is not None:
+            rows = rows.filter(column(raw.date_column) >= date_literal(first_hour))
     # Watermarks need the type ``timestamp``; the hours go back to the type of the input.
     rows = rows.withColumn(time.name, utc_instant(column(time.name), time.dataType))
     rows = rows.withWatermark(quoted(time.name), delay)
