@@ -12,6 +12,7 @@ from tidemark import Source, Workspace, create_rollup, full_refresh, refresh_pol
 from tidemark.functions.instants import to_micros
 from tidemark.functions.spans import merge, subtract
 from tidemark.operators.refresh import coverage, replace_hours
+from tidemark.plans import timeseries
 from tidemark.sources.storage import store_by_day
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -244,6 +245,28 @@ def test_lost_coverage_is_made_good_by_raw_rows(spark, path):
     assert coverage(spark, rollup) == [(to_micros("2024-05-02"), to_micros("2024-05-02T23:00"))]
 
 
+def test_a_refresh_during_planning_sends_the_query_to_raw_rows(spark, path, monkeypatch):
+    where = path("raw")
+    store_by_day(day_rows(spark, datetime(2024, 5, 1), range(0, 2 * 1440, 7), 2), where, "time")
+    raw = Source("r", where, date_column="date")
+    rollup = create_rollup(spark, raw, path("r_1h"), values=("v",))
+    full_refresh(spark, raw, rollup)
+    space = Workspace(spark, raw, rollup)
+    call = {"columns": ["v"], "from_ts": "2024-05-01", "to_ts": "2024-05-03", "bucket": "1 day"}
+    before = space.query_timeseries("r", **call)
+    assert before["table_used"] == "r_1h"
+    merged = timeseries.merged_aggregate
+
+    def interrupted(*args):
+        refresh_window(spark, raw, rollup, "2024-05-01", "2024-05-01T05:00")
+        return merged(*args)
+
+    monkeypatch.setattr(timeseries, "merged_aggregate", interrupted)
+    during = space.query_timeseries("r", **call)
+    assert during["table_used"] == "r"
+    agree(before, during)
+
+
 def test_reserved_and_non_numeric_columns(spark, path):
     raw = Source("events", EVENTS)
     with pytest.raises(ValueError, match="unknown_columns"):

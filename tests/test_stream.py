@@ -45,22 +45,24 @@ def zone(spark, request):
 def test_closed_hours_equal_the_batch_rollup(spark, path, kind, zone):
     where, landing, state = path("raw"), path("landing"), path("state")
     places = {"landing": landing, "state": state}
+
+    def micros(hours):
+        return to_micros(START + timedelta(hours=hours))
+
     raw = Source("r", where)
     readings(spark, range(0, 300), kind).write.parquet(where)
     stream = create_rollup(spark, raw, path("s"), dims=("k",), values=("v",))
     batch = create_rollup(spark, raw, path("b"), dims=("k",), values=("v",))
 
     run(spark, raw, stream, places.get)
-    assert absorb(spark, stream, landing) == (to_micros(START), to_micros(START + timedelta(hours=4)))
+    assert absorb(spark, stream, landing) == [(micros(0), micros(4))]
     # Rows up to 04:59 have closed the hours before four o'clock.
     assert stream.read(spark).count() == 4 * 2
     # A second run goes on where the first stopped, and closes the hour it left open.
     readings(spark, range(300, 550), kind).write.mode("append").parquet(where)
     run(spark, raw, stream, places.get)
-    assert absorb(spark, stream, landing) == (
-        to_micros(START + timedelta(hours=4)), to_micros(START + timedelta(hours=9))
-    )
-    assert absorb(spark, stream, landing) is None
+    assert absorb(spark, stream, landing) == [(micros(4), micros(9))]
+    assert absorb(spark, stream, landing) == []
 
     full_refresh(spark, raw, batch)
     stored = batch.read(spark)
@@ -87,6 +89,22 @@ def test_stream_follows_a_batch_refresh(spark, path):
     assert exact["table_used"] == "r_1h" and exact["rows"] == never["rows"]
 
 
+def test_absorb_keeps_covered_hours(spark, path):
+    where, landing = path("raw"), path("landing")
+    raw = Source("r", where)
+    readings(spark, range(0, 500)).write.parquet(where)
+    rollup = create_rollup(spark, raw, path("r"), dims=("k",), values=("v",))
+    run(spark, raw, rollup, {"landing": landing, "state": path("state")}.get)
+    hour = timedelta(hours=1)
+    refresh_window(spark, raw, rollup, START + 2 * hour, START + 4 * hour)
+    assert absorb(spark, rollup, landing) == [
+        (to_micros(START), to_micros(START + 2 * hour)),
+        (to_micros(START + 4 * hour), to_micros(START + 8 * hour)),
+    ]
+    assert coverage(spark, rollup) == [(to_micros(START), to_micros(START + 8 * hour))]
+    assert rollup.read(spark).agg(F.sum("samples"), F.count("*")).first() == (480, 16)
+
+
 def test_late_rows_need_a_windowed_refresh(spark, path):
     where, landing, state = path("raw"), path("landing"), path("state")
     raw = Source("r", where)

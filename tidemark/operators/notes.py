@@ -5,19 +5,32 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.local import rows_of
 
 
 def read_notes(spark: SparkSession, location: str, kind: str, columns: T.StructType) -> list[Row]:
+    notes = _notes(spark, location, kind, columns)
+    return notes.collect() if notes is not None else []
+
+
+def notes_version(spark: SparkSession, location: str, kind: str) -> list[str]:
+    """The files of a table, which no two writes share."""
+    notes = _notes(spark, location, kind, T.StructType())
+    return sorted(notes.inputFiles()) if notes is not None else []
+
+
+def _notes(
+    spark: SparkSession, location: str, kind: str, columns: T.StructType
+) -> DataFrame | None:
     try:
-        return spark.read.schema(columns).json(_path(location, kind)).collect()
+        return spark.read.schema(columns).json(_path(location, kind))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return []
+        return None
 
 
 def write_notes(

@@ -21,7 +21,7 @@ from ..functions.names import column
 from ..functions.spans import Span, dates_of, intersect, merge, subtract, whole_hours
 from ..sources.registry import Source
 from .filters import within
-from .notes import read_notes, write_notes
+from .notes import notes_version, read_notes, write_notes
 from .rollup import DATE, hourly, stored_range, time_of
 
 # The default policy refreshes from seven days to five minutes ago.
@@ -164,6 +164,11 @@ def coverage(spark: SparkSession, rollup: Source) -> list[Span]:
     return sorted((r["start_us"], r["end_us"]) for r in rows)
 
 
+def coverage_version(spark: SparkSession, rollup: Source) -> list[str]:
+    """Differs after any change of the coverage."""
+    return notes_version(spark, rollup.location, "coverage")
+
+
 def raw_files(
     spark: SparkSession, raw: Source, window: Span | None = None
 ) -> dict[date, Files] | None:

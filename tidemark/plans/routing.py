@@ -21,7 +21,7 @@ from ..operators.aggregates import (
     partial_name,
 )
 from ..operators.filters import equal_to, within
-from ..operators.refresh import coverage
+from ..operators.refresh import coverage, coverage_version
 from ..sources.registry import RAW, Registry, Source
 
 MODES = ("exact", "stored", "never")
@@ -29,10 +29,12 @@ MODES = ("exact", "stored", "never")
 
 @dataclass(frozen=True)
 class Split:
-    """A range answered from whole hours of a rollup and raw rows for the rest."""
+    """A range answered from whole hours of a rollup and raw rows for the rest, as of a
+    version of the rollup's coverage."""
 
     rolled: list[Span]
     raw: list[Span]
+    version: list[str]
 
 
 def candidate(registry: Registry, source: Source, width: Width) -> Source | None:
@@ -43,9 +45,18 @@ def candidate(registry: Registry, source: Source, width: Width) -> Source | None
 
 
 def split_range(spark: SparkSession, rollup: Source, span: Span) -> Split:
-    low, high = whole_hours(*span)
-    rolled = intersect(coverage(spark, rollup), (low, high))
-    return Split(rolled, subtract([span], rolled) if span[0] < span[1] else [])
+    version = coverage_version(spark, rollup)
+    rolled = intersect(coverage(spark, rollup), whole_hours(*span))
+    return Split(rolled, subtract([span], rolled) if span[0] < span[1] else [], version)
+
+
+def still_holds(spark: SparkSession, rollup: Source, split: Split) -> bool:
+    """Whether no refresh changed the coverage since the split.
+
+    Asked after the rollup's files are listed: else the listing may fall between the
+    removal of a day's old files and the arrival of its new ones.
+    """
+    return coverage_version(spark, rollup) == split.version
 
 
 def can_merge(rollup: Source, measures: list[Measure], filters: Mapping[str, Any]) -> bool:

@@ -17,7 +17,7 @@ from ..functions.names import column
 from ..operators.aggregates import AGGREGATES, Measure, aggregate
 from ..operators.filters import equal_to, within
 from ..sources.registry import Registry, Source
-from .routing import MODES, can_merge, candidate, merged_aggregate, split_range
+from .routing import MODES, can_merge, candidate, merged_aggregate, split_range, still_holds
 
 # Fixed value: the default cap on result rows.
 ROW_LIMIT = 5000
@@ -114,10 +114,11 @@ def plan_timeseries(
     if routed is not None and can_merge(routed, measures, wanted):
         split = split_range(spark, routed, span)
         if split.rolled:
-            used = routed
-            result = merged_aggregate(
+            merged = merged_aggregate(
                 spark, routed, source, split, width, measures, aggregation, wanted
             )
+            if still_holds(spark, routed, split):
+                used, result = routed, merged
     if result is None:
         selected = source.read(spark, [span]).filter(within(time, [span], source.date_column))
         selected = reduce(DataFrame.filter, conditions, selected)

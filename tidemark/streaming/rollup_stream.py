@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.buckets import HOUR
 from ..functions.instants import date_literal, literal, to_micros, utc_instant, utc_wall_clock
 from ..functions.names import column, quoted
-from ..functions.spans import Span
+from ..functions.spans import Span, subtract
 from ..operators.filters import within
 from ..operators.refresh import coverage, replace_hours
 from ..operators.rollup import DATE, hourly, stored_range, time_of
@@ -73,19 +73,17 @@ def stream_rollup(
     )
 
 
-def absorb(spark: SparkSession, rollup: Source, landing: str) -> Span | None:
-    """Move landed hours that follow the rollup's coverage into it; return their span.
+def absorb(spark: SparkSession, rollup: Source, landing: str) -> list[Span]:
+    """Move landed hours that the rollup does not cover into it; return their spans.
 
-    Hours are closed in order, so all up to the last landed one are complete.
+    Hours are closed in order, so all from the first to the last landed one are complete.
     """
     landed = spark.read.schema(rollup.columns).parquet(landing)
     first, last = stored_range(landed)
     if first is None:
-        return None
-    known = coverage(spark, rollup)
-    span = (max([first, *[end for _, end in known]]), last + HOUR)
-    if span[0] >= span[1]:
-        return None
-    fresh = landed.filter(within(landed.schema["bucket"], [span], DATE))
-    replace_hours(spark, rollup, fresh, span)
-    return span
+        return []
+    spans = subtract([(first, last + HOUR)], coverage(spark, rollup))
+    for span in spans:
+        fresh = landed.filter(within(landed.schema["bucket"], [span], DATE))
+        replace_hours(spark, rollup, fresh, span)
+    return spans
