@@ -77,7 +77,7 @@ _COMPONENTS = """
 _EMBEDDINGS_SQL = f"""
     WITH RECURSIVE v AS (
         SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-    u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS n FROM v),
+    u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
     edges AS (
         SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id
         WHERE list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.95),
@@ -91,12 +91,12 @@ _NEAR_SQL = f"""
     WITH RECURSIVE words AS (
         SELECT doc_id, list_filter(
             string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+                'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
         FROM documents),
     sets AS (
         SELECT doc_id, CASE WHEN len(w) >= 5
             THEN list_distinct(list_transform(range(1, len(w) - 3),
-                i -> array_to_string(w[i:i + 4], ' ')))
+                lambda i: array_to_string(w[i:i + 4], ' ')))
             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
         FROM words),
     parts AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
