@@ -13,13 +13,11 @@ SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and written to the checkpoint folder that the cluster shares.
+def checkpoint_folder(session: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares.
 
-    Later steps read the files, so nothing before them is run again and no executor holds the
-    only copy. Where ``spark.checkpoint.dir`` is unset, a local session gets a temporary folder.
+    Where ``spark.checkpoint.dir`` is unset, a local session gets a temporary folder.
     """
-    session = frame.sparkSession
     context = session.sparkContext
     if not context.getCheckpointDir():
         folder = session.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +26,16 @@ def stored(frame: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
             folder = tempfile.mkdtemp(prefix="tidemark-llm-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame, computed once and written to the checkpoint folder.
+
+    Later steps read the files, so nothing before them is run again and no executor holds the
+    only copy.
+    """
+    checkpoint_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

@@ -6,13 +6,16 @@ candidates when at most ``MOST_DIFFERENT`` slots of their signatures differ. By
 differing slots leave one of the 16 chunks of four slots with at most one of them, so a class
 gets a key for each chunk and each slot that may differ in it: the chunk with that slot blanked.
 Every pair under the distance meets in a key. At similarity 0.75 a slot differs with
-probability 1/4, so more than 31 of 64 do with probability about 1e-5, and less above it. Links are confirmed on the full sets.
+probability 1/4, so more than 31 of 64 do with probability about 1e-5, and less above it. Links
+are confirmed on the full sets.
 
-Groups of copies are never expanded into pairs. First every class is held against the nearest
-leader (smallest id) of its keys; the links found so far make components. Then only keys whose
-classes lie in several components are left: there, classes outside the most common component
-are held against all classes of other components under the distance. No candidate between
-components is left out, and one within a component cannot change the result.
+Groups of copies are never expanded into pairs. In rounds, each key draws a leader from its classes,
+and every class is held against the nearest leader, by signature, that it met in another
+component; the links found make the next components. When a round finds no more, only keys whose
+classes lie in several components matter: there, classes outside the most common component are
+held against all classes of other components under the distance, each pair in the first key that
+it shares. No candidate between components is left out, and one within a component cannot change
+the result.
 
 Defined cases: a null or blank text has an empty set and no link. A row without doc_id has no
 link and stays (component null). Rows of one doc_id are one document. Extra columns of the
@@ -24,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +75,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SIGNED = "doc_id long, n_shingles long, digest binary, " + ", ".join(f"{p} long" for p in _PARTS)
 
 
-def _differing(left: str, right: str) -> Column:
-    """The number of slots in which two signatures differ."""
+def _differing(left: str, right: str) -> list[Column]:
+    """The number of slots in which two signatures differ, chunk by chunk."""
 
     def chunk(part: str) -> Column:
         x = F.col(f"{left}.{part}").bitwiseXOR(F.col(f"{right}.{part}"))
@@ -80,7 +84,7 @@ def _differing(left: str, right: str) -> Column:
             x = x.bitwiseOR(F.shiftrightunsigned(x, bits))
         return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
 
-    return reduce(Column.__add__, map(chunk, _PARTS))
+    return [chunk(part) for part in _PARTS]
 
 
 def _blanked(slot: int) -> int:
@@ -89,11 +93,13 @@ def _blanked(slot: int) -> int:
 
 
 def _keys() -> Column:
-    """All keys of a signature, one for each chunk and slot."""
+    """All keys of a signature. The lowest 6 bits of a key name its chunk and slot."""
     return F.explode(
         F.array(
             *[
                 F.xxhash64(F.lit(CHUNK * c + j), F.col(part).bitwiseAND(F.lit(_blanked(j))))
+                .bitwiseAND(F.lit(-SLOTS))
+                .bitwiseOR(F.lit(CHUNK * c + j).cast("long"))
                 for c, part in enumerate(_PARTS)
                 for j in range(CHUNK)
             ]
@@ -101,6 +107,16 @@ def _keys() -> Column:
     )
 
 
+def _first_key(differing: list[Column], key: Column) -> Column:
+    """Whether ``key`` is the first in which two signatures meet, one that both have."""
+    number = key.bitwiseAND(F.lit(SLOTS - 1))
+    chunk = F.floor(number / CHUNK)
+    earlier = [(d >= 2) | (chunk <= c) for c, d in enumerate(differing[:-1])]
+    # A chunk without a differing slot is met in each of its keys.
+    equal = F.element_at(F.array(*differing), (chunk + 1).cast("int")) == 0
+    return reduce(Column.__and__, earlier) & (~equal | (number % CHUNK == 0))
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lefts, rights, last = [], [], (None, None)
@@ -132,6 +148,56 @@ def confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirm, "a long, b long")
 
 
+def _nearest(active: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
+    """Each class of the keys ``active`` with the nearest leader of another component.
+
+    The leader of a key has the least id after the bits that the key and the turn draw are flipped.
+    """
+    flips = F.xxhash64("key", F.lit(turn))
+    leads = active.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(flips)).alias("least"))
+    leads = leads.select("key", F.col("least").bitwiseXOR(flips).alias("lead"))
+    met = active.join(leads, "key").where("rep <> lead").select("rep", "lead").distinct()
+    x, y = placed.alias("x"), placed.alias("y")
+    met = met.alias("m").join(x, F.col("m.rep") == F.col("x.rep")).select("m.lead", "x.*")
+    met = met.alias("x").join(y, F.col("x.lead") == F.col("y.rep"))
+    met = met.where(F.col("x.component") != F.col("y.component"))
+    distance = reduce(Column.__add__, _differing("x", "y"))
+    near = met.select(F.col("x.rep").alias("a"), "lead", distance.alias("d"))
+    near = near.where(F.col("d") <= MOST_DIFFERENT).groupBy("a")
+    near = near.agg(F.min(F.struct("d", "lead")).alias("n"))
+    return near.select("a", F.col("n.lead").alias("b"))
+
+
+def _divided(active: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of the keys whose classes lie in several components."""
+    rows = active.select("key", "rep").join(placed.select("rep", "component"), "rep")
+    ends = rows.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    return active.select("key", "rep").join(ends.where("low < high").select("key"), "key")
+
+
+def _crossing(active: DataFrame, placed: DataFrame) -> DataFrame:
+    """All pairs of classes of different components that share a key and are near enough."""
+    rows = active.join(placed, "rep")
+    shares = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"))
+    rows = rows.join(main.select("key", F.col("most.component").alias("main")), "key")
+    rows = stored(rows)
+    outside, other = rows.where("component <> main").alias("x"), rows.alias("y")
+    differing = _differing("x", "y")
+    pairs = outside.join(
+        other,
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & (reduce(Column.__add__, differing) <= MOST_DIFFERENT)
+        & _first_key(differing, F.col("x.key")),
+    )
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return pairs.distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``documents``."""
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -148,49 +214,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     sketches = classes.select("rep", *_PARTS)
     keys = sketches.select("rep", _keys().alias("key"))
-    leaders = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"))
-    leaders = leaders.where(F.col("lead") < F.col("last")).select("key", "lead")
-    met = stored(keys.join(leaders, "key"))
-
-    # Each class against the nearest leader that it met.
-    stars = met.where("rep <> lead").select("rep", "lead").distinct().alias("p")
-    lead, own = sketches.alias("y"), sketches.alias("x")
-    near = stars.join(own, F.col("p.rep") == F.col("x.rep"))
-    near = near.join(lead, F.col("p.lead") == F.col("y.rep"))
-    near = near.select("p.rep", "p.lead", _differing("x", "y").alias("d"))
-    near = near.where(F.col("d") <= MOST_DIFFERENT).groupBy("rep")
-    near = near.agg(F.min(F.struct("d", "lead")).alias("n"))
-    pairs = stored(near.select(F.col("rep").alias("a"), F.col("n.lead").alias("b")))
-    links = stored(confirmed(documents, pairs))
-
-    # Keys whose classes lie in several components so far.
-    joined = components(links)
-    placed = met.join(joined, met.rep == joined.id, "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = shares.groupBy("key").agg(
-        F.max(F.struct("n", "component")).alias("most"),
-        F.count("*").alias("parts"),
-    )
-    split = split.where("parts > 1").select("key", F.col("most.component").alias("main"))
-    left_over = placed.join(split, "key").join(sketches, "rep")
-    left_over = stored(left_over.select("key", "rep", "component", "main", *_PARTS))
-    outside = left_over.where(F.col("component") != F.col("main")).alias("x")
-    within = left_over.alias("y")
-    crossing = outside.join(
-        within,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (_differing("x", "y") <= MOST_DIFFERENT),
-    )
-    crossing = crossing.select(
-        F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")
-    ).distinct()
-    crossing = stored(crossing.join(pairs, ["a", "b"], "left_anti"))
-    more = confirmed(documents, crossing)
-
-    whole = components(links.union(more).union(copies))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    shared = shared.where("low < high").select("key")
+    active = stored(keys.join(shared, "key"))
+
+    links = copies
+    placed = sketches.withColumn("component", F.col("rep"))
+    for turn in count():
+        pairs = stored(_nearest(active, placed, turn))
+        found = stored(confirmed(documents, pairs))
+        links = stored(components(links.union(found)))
+        links = links.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        placed = sketches.join(links, sketches.rep == links.a, "left").select(
+            "rep", F.coalesce("b", "rep").alias("component"), *_PARTS
+        )
+        active = stored(_divided(active, placed))
+        if found.isEmpty():
+            break
+    crossing = stored(_crossing(active, placed))
+    whole = components(links.union(confirmed(documents, crossing)))
     marked = signed.join(whole, signed.doc_id == whole.id, "left")
     reached = F.coalesce("component", "doc_id")
     return marked.select(

@@ -11,9 +11,12 @@ from . import (
     decontaminate,
     embedding_passes,
     language,
+    line_dedup,
     minhash_hamming,
     mixing,
+    personal_data,
     sharding,
+    suffix_dedup,
     url_filter,
 )
 from .common import table
@@ -55,15 +58,33 @@ def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_hamming.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"))
+    return found.drop("kept")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", kept.alias("kept_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sorted_projection_passes": _embeddings,
         "op2_best_fit_decreasing": _sharding,
         "op3_template_canonicalisation": _decontamination,
+        "op4_bootstrapped_extraction": _personal_data,
         "op5_character_model_ratio": _urls,
         "op6_hyperdimensional_profiles": _language,
         "op7_hash_threshold_histograms": _mixing,
+        "op8_suffix_merge_sort": _repeated_strings,
         "op9_multi_index_hamming": _near_duplicates,
+        "op10_set_similarity_lines": _lines,
     }
 
 
@@ -111,6 +132,48 @@ _NEAR_SQL = f"""
         s.doc_id = c.component_id AS kept
     FROM sets s JOIN comp c ON c.id = s.doc_id"""
 
+_LINES_SQL = """
+    WITH lines AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+            unnest(range(len(string_split(text, chr(10))))) AS at
+        FROM documents),
+    words AS (
+        SELECT doc_id, at, line, list_filter(
+            string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM lines),
+    sets AS (
+        SELECT doc_id, at, line, CASE WHEN len(w) >= 5
+            THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3),
+                lambda i: array_to_string(w[i:i + 4], ' '))))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+        FROM words),
+    classes AS (
+        SELECT row_number() OVER (ORDER BY min(struct_pack(d := doc_id, p := at))) AS id, s,
+            len(s) AS n, min(struct_pack(d := doc_id, p := at)) AS place
+        FROM sets WHERE len(s) > 0 GROUP BY s),
+    parts AS (SELECT id, n, unnest(s) AS g FROM classes),
+    ranked AS (
+        SELECT id, n, g, row_number() OVER (PARTITION BY id ORDER BY f, g) AS pos
+        FROM (SELECT id, n, g, count(*) OVER (PARTITION BY g) AS f FROM parts)),
+    prefix AS (SELECT id, n, g FROM ranked WHERE pos <= n - ceil(0.75 * n) + 1),
+    pairs AS (
+        SELECT DISTINCT x.id AS later, y.id AS earlier FROM prefix x JOIN prefix y
+        ON x.g = y.g AND y.id < x.id AND 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)),
+    shared AS (
+        SELECT later, any_value(c.n) AS n, any_value(d.n) AS m,
+            len(list_intersect(any_value(c.s), any_value(d.s))) AS k
+        FROM pairs JOIN classes c ON c.id = later JOIN classes d ON d.id = earlier
+        GROUP BY later, earlier),
+    matched AS (SELECT DISTINCT later FROM shared WHERE 4 * k >= 3 * (n + m - k)),
+    judged AS (
+        SELECT doc_id, at, line, len(sets.s) > 0 AND (
+            struct_pack(d := doc_id, p := at) <> place OR id IN (SELECT later FROM matched)) AS gone
+        FROM sets LEFT JOIN classes ON classes.s = sets.s)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+        md5(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT coalesce(gone, false)),
+            '')) AS kept_md5
+    FROM judged GROUP BY doc_id"""
+
 _MIXING_SQL = """
     WITH sized AS (
         SELECT doc_id, source,
@@ -156,4 +219,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_sorted_projection_passes": _EMBEDDINGS_SQL,
         "op7_hash_threshold_histograms": _MIXING_SQL,
         "op9_multi_index_hamming": _NEAR_SQL,
+        "op10_set_similarity_lines": _LINES_SQL,
     }
