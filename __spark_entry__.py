@@ -31,9 +31,10 @@ from tidemark.sources.registry import time_column
 from tidemark.sources.storage import shared_folder
 
 try:  # a part of its own, which may be absent
+    import corpus_pipeline
     from tidemark.llm import registered as llm
 except ImportError:
-    llm = None
+    llm = corpus_pipeline = None
 
 ALWAYS = ("1900-01-01", "2100-01-01")
 TABLES = (
@@ -216,7 +217,9 @@ _ERROR = {"event_type": "error"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _own_queries() | (llm.queries() if llm else {})
+    if llm is None:
+        return _own_queries()
+    return _own_queries() | llm.queries() | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
