@@ -135,21 +135,21 @@ _NEAR_SQL = f"""
 _LINES_SQL = """
     WITH lines AS (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-            unnest(range(len(string_split(text, chr(10))))) AS at
+            unnest(range(len(string_split(text, chr(10))))) AS ln
         FROM documents),
     words AS (
-        SELECT doc_id, at, line, list_filter(
+        SELECT doc_id, ln, line, list_filter(
             string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
         FROM lines),
     sets AS (
-        SELECT doc_id, at, line, CASE WHEN len(w) >= 5
+        SELECT doc_id, ln, line, CASE WHEN len(w) >= 5
             THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3),
                 lambda i: array_to_string(w[i:i + 4], ' '))))
             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
         FROM words),
     classes AS (
-        SELECT row_number() OVER (ORDER BY min(struct_pack(d := doc_id, p := at))) AS id, s,
-            len(s) AS n, min(struct_pack(d := doc_id, p := at)) AS place
+        SELECT row_number() OVER (ORDER BY min(struct_pack(d := doc_id, p := ln))) AS id, s,
+            len(s) AS n, min(struct_pack(d := doc_id, p := ln)) AS place
         FROM sets WHERE len(s) > 0 GROUP BY s),
     parts AS (SELECT id, n, unnest(s) AS g FROM classes),
     ranked AS (
@@ -166,11 +166,11 @@ _LINES_SQL = """
         GROUP BY later, earlier),
     matched AS (SELECT DISTINCT later FROM shared WHERE 4 * k >= 3 * (n + m - k)),
     judged AS (
-        SELECT doc_id, at, line, len(sets.s) > 0 AND (
-            struct_pack(d := doc_id, p := at) <> place OR id IN (SELECT later FROM matched)) AS gone
+        SELECT doc_id, ln, line, len(sets.s) > 0 AND (
+            struct_pack(d := doc_id, p := ln) <> place OR id IN (SELECT later FROM matched)) AS gone
         FROM sets LEFT JOIN classes ON classes.s = sets.s)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-        md5(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT coalesce(gone, false)),
+        md5(coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE NOT coalesce(gone, false)),
             '')) AS kept_md5
     FROM judged GROUP BY doc_id"""
 
