@@ -1,7 +1,7 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 Every text becomes the set of its distinct runs of five words, and the set a signature of 64
-slots of 16 bits, the low bits of 64 minima. Texts of equal sets are one class. Two classes are
+slots of 14 bits, the low bits of 64 minima. Texts of equal sets are one class. Two classes are
 candidates when at most ``MOST_DIFFERENT`` slots of their signatures differ. By pigeonhole, 31
 differing slots leave one of the 16 chunks of four slots with at most one of them, so a class
 gets a key for each chunk and each slot that may differ in it: the chunk with that slot blanked.
@@ -38,7 +38,7 @@ from .common import mixed, shingles, stored, word_hashes
 from .components import components
 
 WORDS = 5
-SLOTS, CHUNK = 64, 4
+SLOTS, CHUNK, BITS = 64, 4, 14
 CHUNKS = SLOTS // CHUNK
 MOST_DIFFERENT = 2 * CHUNKS - 1
 _PARTS = [f"s{i}" for i in range(CHUNKS)]
@@ -48,12 +48,13 @@ _FACTORS = _random.integers(0, 2**64, SLOTS, dtype=np.uint64) | np.uint64(1)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """16 signed longs of four 16-bit slots each."""
+    """16 longs of four slots each. A slot has 14 bits, and one above them that stays 0."""
     least = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 512):
         block = (hashes[at : at + 512, None] ^ _FLIPS) * _FACTORS
         np.minimum(least, block.min(axis=0), out=least)
-    return mixed(least).astype("<u2").view("<i8")
+    slots = (mixed(least) & np.uint64(2**BITS - 1)).astype(np.int64).reshape(CHUNKS, CHUNK)
+    return (slots << (BITS + 1) * np.arange(CHUNK)).sum(axis=1)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,18 +79,20 @@ _SIGNED = "doc_id long, n_shingles long, digest binary, " + ", ".join(f"{p} long
 def _differing(left: str, right: str) -> list[Column]:
     """The number of slots in which two signatures differ, chunk by chunk."""
 
+    lanes = [(BITS + 1) * slot for slot in range(CHUNK)]
+    full = F.lit(sum((2**BITS - 1) << lane for lane in lanes))
+    spare = F.lit(sum(2**BITS << lane for lane in lanes))
+
     def chunk(part: str) -> Column:
-        x = F.col(f"{left}.{part}").bitwiseXOR(F.col(f"{right}.{part}"))
-        for bits in (8, 4, 2, 1):  # the lowest bit of a slot becomes 1 iff any of its bits is
-            x = x.bitwiseOR(F.shiftrightunsigned(x, bits))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        differs = F.col(f"{left}.{part}").bitwiseXOR(F.col(f"{right}.{part}"))
+        # Adding all ones carries into the spare bit of a slot iff the slot is not zero.
+        return F.bit_count((differs + full).bitwiseAND(spare))
 
     return [chunk(part) for part in _PARTS]
 
 
 def _blanked(slot: int) -> int:
-    mask = ~(0xFFFF << 16 * slot) & 0xFFFFFFFFFFFFFFFF
-    return mask - 2**64 if mask >= 2**63 else mask
+    return 2 ** (CHUNK * (BITS + 1)) - 1 - ((2**BITS - 1) << (BITS + 1) * slot)
 
 
 def _keys() -> Column:
