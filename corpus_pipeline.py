@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language, minhash_hamming, mixing, sharding
-from tidemark.llm.common import checkpoint_folder, table
+from tidemark.llm.common import checkpoint_folder, sized, stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates."""
     found = minhash_hamming.near_duplicates(docs)
-    dropped = found.where("NOT kept").select("doc_id").distinct()
+    dropped = sized(stored(found.where("NOT kept").select("doc_id").distinct()))
     kept = docs.join(dropped, "doc_id", "left_anti")
     # Rows of one doc_id are one document; a row without doc_id stays.
     numbered = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

@@ -39,6 +39,18 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+#: Rows of a few longs that may go to every executor: 32 MB at most.
+MOST_BROADCAST = 1_000_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys`` (stored rows of a few longs), to be broadcast if they are counted as few enough.
+
+    Beyond that Spark joins them by a shuffle, with the same result.
+    """
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,8 +10,8 @@ document's passage, and no two values for the same. So a question whose numbers,
 caught, and a text that shares a frequent pattern with slots at random is not. Windows of fewer
 than ``LITERALS`` literal words are left out of the join, as templates of placeholders say little.
 
-The benchmark's windows go to every executor only if they are at most ``MOST_BROADCAST`` rows of
-two longs (counted before); else they are joined by a shuffle that adaptive execution can split.
+The benchmark's hashes go to every executor only if they were counted as few enough (``sized``); else
+they are joined by a shuffle that adaptive execution can split.
 
 Defined cases: a null or blank text on either side matches nothing; an item of fewer than
 ``WINDOW`` words is one window of its own length if it has ``LITERALS`` literal words, else it is not
@@ -25,10 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, stored
+from .common import SPACE, WORD, sized, stored
 
 WINDOW, ENOUGH, LITERALS = 8, 6, 5
-MOST_BROADCAST = 1_000_000
 _NUMBER, _NAME, _UNIT = "\x01", "\x02", "\x03"
 #: Units that are slots when they follow a number.
 UNITS = (
@@ -137,10 +136,7 @@ def _numbered(documents: DataFrame) -> DataFrame:
 
 def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     items, windows = _items(benchmark)
-    n_windows = windows.count()
-    hashes = windows.select("hash").distinct()
-    if n_windows <= MOST_BROADCAST:
-        hashes = F.broadcast(hashes)
+    hashes = sized(stored(windows.select("hash").distinct()))
     found = _windows(rows, ["row"]).join(hashes, "hash", "left_semi")
     hits = stored(found.distinct())
 
@@ -155,7 +151,7 @@ def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     passages = stored(passages.where(long_enough & F.col("row").isNotNull()))
 
     # Slot values of both sides, of the rows that have passages only.
-    wanted = passages.select("row").distinct()
+    wanted = sized(stored(passages.select("row").distinct()))
     texts = rows.join(wanted, "row", "left_semi")
     texts = texts.select("row", "doc_id", _values(F.col("text")).alias("doc_words"))
     sides = passages.join(
@@ -209,6 +205,7 @@ def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` that match no item of the benchmark."""
     marked = _matched(_numbered(documents), benchmark).select("row").distinct()
+    marked = sized(stored(marked))
     inputs = F.struct(*[F.col(c) for c in documents.columns]).alias("inputs")
     rows = documents.select(F.xxhash64("doc_id", "text").alias("row"), inputs)
     return rows.join(marked, "row", "left_anti").select("inputs.*")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, sized, stored
 
 WORDS = 5
 BUCKETS = 1 << 16
@@ -106,7 +106,7 @@ def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> Dat
     texts = documents.select(
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"
     )
-    keys = wanted.select("doc_id", "text_hash").distinct()
+    keys = sized(stored(wanted.select("doc_id", "text_hash").distinct()))
     same_text = (texts.text_hash == keys.text_hash) & texts.doc_id.eqNullSafe(keys.doc_id)
     lines = _tokens(_lines(texts.join(keys, same_text, "left_semi"))).select(*_PLACE, "tokens")
     x, y = lines.alias("x"), wanted.alias("y")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shingles, stored, word_hashes
+from .common import mixed, shingles, sized, stored, word_hashes
 from .components import components
 
 WORDS = 5
@@ -139,12 +139,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` of doc_ids whose full sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(
-        documents.join(wanted, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.collect_set("text").alias("texts"))
-        .select("doc_id", F.explode("texts").alias("text"))
-    )
+    texts = documents.join(sized(stored(wanted)), "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
