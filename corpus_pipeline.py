@@ -25,8 +25,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     dropped = sized(stored(found.where("NOT kept").select("doc_id").distinct()))
     kept = docs.join(dropped, "doc_id", "left_anti")
     # Rows of one doc_id are one document; a row without doc_id stays.
-    numbered = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return numbered.unionByName(kept.where("doc_id IS NULL"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
+    repeated = sized(stored(repeated.select("doc_id")))
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, sized, stored
 
-WINDOW, ENOUGH, LITERALS = 8, 6, 5
+WINDOW, ENOUGH, LITERALS = 8, 4, 5
 _NUMBER, _NAME, _UNIT = "\x01", "\x02", "\x03"
 #: Units that are slots when they follow a number.
 UNITS = (
@@ -99,6 +99,10 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, stored(windows.where(literal).select("item", "at", "hash"))
 
 
+def _phrases(starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, n)))
+
+
 def _short_matches(rows: DataFrame, items: DataFrame) -> DataFrame:
     """row, item of texts that hold all words of an item that is shorter than a window."""
     words = _words(F.col("text"))
@@ -109,10 +113,8 @@ def _short_matches(rows: DataFrame, items: DataFrame) -> DataFrame:
     found = None
     lengths = [r["n"] for r in short.select("n").distinct().collect()]  # WINDOW - 1 at most
     for n in sorted(lengths):
-        runs = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))),
-            lambda i, n=n: F.concat_ws(" ", F.slice("w", i, n)),
-        )
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+        runs = _phrases(starts, n)
         texts = rows.select("row", words.alias("w")).where(F.size("w") >= n)
         texts = texts.select("row", F.explode(F.array_distinct(runs)).alias("phrase"))
         hits = texts.join(short.where(F.col("n") == n), "phrase").select("row", "item")

@@ -42,7 +42,8 @@ GRAM, SPAN = 16, 256
 CORE = LENGTH - SPAN + 1
 RUN_BYTES = 24 << 20
 RANGE_BYTES = 12 << 20
-SAMPLE = 20_000
+#: Prefixes sampled for the bounds, and their length (CORE at most, so that groups stay whole).
+SAMPLE, HEAD = 4_000, 48
 _PIECE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _VALUES = np.random.Generator(np.random.Philox(key=8)).integers(0, 2**64, 256, np.uint64)
@@ -365,7 +366,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = []
         for text, places in zip(*batch.columns, strict=True):
             raw = _bytes(text.as_py())
-            heads += [raw[p["anchor"] :][:CORE] for p in places.as_py() if p["core"] % 16 == 0]
+            heads += [raw[p["anchor"] :][:HEAD] for p in places.as_py() if p["core"] % 16 == 0]
         yield pa.RecordBatch.from_arrays([pa.array(heads, pa.binary())], names=["head"])
 
 
