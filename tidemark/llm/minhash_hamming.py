@@ -227,7 +227,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             "rep", F.coalesce("b", "rep").alias("component"), *_PARTS
         )
         active = stored(_divided(active, placed))
-        if found.isEmpty():
+        if active.isEmpty() or found.isEmpty():
             break
     crossing = stored(_crossing(active, placed))
     whole = components(links.union(confirmed(documents, crossing)))
