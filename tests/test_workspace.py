@@ -1,4 +1,4 @@
-"""The three questions over the synthetic home, end to end."""
+"""The three questions over a small home, end to end."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from conftest import END
+from conftest import END, MINUTES
 
 from tidemark import Registry, Source, Workspace, plan_timeseries
 
@@ -16,13 +16,17 @@ LAST = datetime.fromisoformat(END)
 
 def readings():
     """Time and value of the bus readings, computed without Spark."""
-    return [(LAST - timedelta(minutes=i), f"1/2/{i % 5}", 20.0 + i % 10) for i in range(201)]
+    first = LAST - timedelta(minutes=MINUTES - 1)
+    return [
+        (first + timedelta(minutes=i), f"zone-{i // 3 % 4}", 5.5 + 7 * i % 16 / 4)
+        for i in range(MINUTES)
+    ]
 
 
-def bucketed(minutes, keep=lambda t, ga: True):
+def bucketed(minutes, keep=lambda t, zone: True):
     groups = defaultdict(list)
-    for at, ga, value in readings():
-        if keep(at, ga):
+    for at, zone, value in readings():
+        if keep(at, zone):
             seconds = int(at.timestamp()) // (minutes * 60) * minutes * 60
             groups[datetime.fromtimestamp(seconds, timezone.utc).isoformat()].append(value)
     return dict(sorted(groups.items()))
@@ -35,7 +39,7 @@ def test_sources(home):
         ("bus", "hypertable", "time"),
         ("bus_1h", "continuous_aggregate", "bucket"),
     ]
-    assert records[1]["time_range"] == {"min": "2024-03-10T08:20:00+00:00", "max": END}
+    assert records[1]["time_range"] == {"min": "2024-03-10T08:00:00+00:00", "max": END}
     assert records[2]["time_range"]["max"] == "2024-03-10T11:00:00+00:00"
     assert records[1]["description"] == "Bus telegrams" and records[0]["description"] is None
     assert set(records[0]) == {
@@ -46,10 +50,10 @@ def test_sources(home):
 def test_schema(home):
     record = home.get_schema("boiler")
     assert record["time_column"] == "time"
-    assert [c["name"] for c in record["columns"]] == ["time", "topic", "raw"]
+    assert [c["name"] for c in record["columns"]] == ["time", "device", "raw"]
     assert record["columns"][0] == {"name": "time", "type": "timestamp", "nullable": True}
     assert {k["key"]: k["occurrences"] for k in record["jsonb_top_keys"]["raw"]} == {
-        "flow_temp": 201, "return_temp": 201, "burner_power": 201,
+        "speed": 221, "load": 221, "alarm": 221,
     }
     assert record["hint"] is None
     assert "elsewhere" in home.get_schema("bus")["hint"]
@@ -66,7 +70,7 @@ def test_minute_buckets_read_raw_rows(home):
     assert (result["table_requested"], result["table_used"]) == ("bus", "bus")
     assert result["kind_used"] == "hypertable"
     expected = bucketed(5)
-    assert result["row_count"] == len(expected) == 41
+    assert result["row_count"] == len(expected) == 45
     assert {r["bucket"]: r["value_avg"] for r in result["rows"]} == pytest.approx(
         {k: sum(v) / len(v) for k, v in expected.items()}
     )
@@ -88,10 +92,10 @@ def test_hour_buckets_use_the_rollup(home, bucket):
     [("sum", sum), ("min", min), ("max", max), ("count", len), ("avg", lambda v: sum(v) / len(v))],
 )
 def test_aggregates_agree_in_both_ways(home, aggregation, fold):
-    expected = {k: fold(v) for k, v in bucketed(60, lambda t, ga: ga == "1/2/3").items()}
+    expected = {k: fold(v) for k, v in bucketed(60, lambda t, zone: zone == "zone-3").items()}
     for mode in ("exact", "never"):
         result = home.query_timeseries(
-            "bus", ["value"], FROM, TO, aggregation, "1 hour", {"ga": "1/2/3"}, rollup=mode
+            "bus", ["value"], FROM, TO, aggregation, "1 hour", {"zone": "zone-3"}, rollup=mode
         )
         got = {r["bucket"]: r[f"value_{aggregation}"] for r in result["rows"]}
         assert got == pytest.approx(expected)
@@ -102,29 +106,29 @@ def test_stored_mode_aggregates_the_stored_columns(home):
         "bus", ["value", "samples"], FROM, TO, "sum", "1 day", rollup="stored"
     )
     groups = defaultdict(list)
-    for at, ga, value in readings():
-        groups[at.replace(minute=0), ga].append(value)
+    for at, zone, value in readings():
+        groups[at.replace(minute=0), zone].append(value)
     assert result["table_used"] == "bus_1h"
     assert result["row_count"] == 1
     row = result["rows"][0]
     assert row["bucket"] == "2024-03-10T00:00:00+00:00"
-    assert row["samples_sum"] == 201
+    assert row["samples_sum"] == MINUTES
     assert row["value_sum"] == pytest.approx(sum(sum(v) / len(v) for v in groups.values()))
 
 
 def test_stored_mode_checks_columns_of_the_rollup(home):
     with pytest.raises(ValueError, match="unknown_columns"):
-        home.query_timeseries("bus", ["dpt"], FROM, TO, "count", "1 hour", rollup="stored")
-    result = home.query_timeseries("bus", ["dpt"], FROM, TO, "count", "1 hour")
+        home.query_timeseries("bus", ["unit"], FROM, TO, "count", "1 hour", rollup="stored")
+    result = home.query_timeseries("bus", ["unit"], FROM, TO, "count", "1 hour")
     assert result["table_used"] == "bus"
-    assert sum(r["dpt_count"] for r in result["rows"]) == 201
+    assert sum(r["unit_count"] for r in result["rows"]) == MINUTES
 
 
 def test_columns_of_the_rollup_alone_are_read_as_stored(home):
-    result = home.query_timeseries("bus", ["samples"], FROM, TO, "sum", "1 hour", {"ga": "1/2/1"})
+    result = home.query_timeseries("bus", ["samples"], FROM, TO, "sum", "1 hour", {"zone": "zone-1"})
     assert result["table_used"] == "bus_1h"
-    assert [r["samples_sum"] for r in result["rows"]] == [8, 12, 12, 8]
-    for refused in ({"bucket": "5 minutes"}, {"columns": ["samples", "dpt"]}, {"rollup": "never"}):
+    assert [r["samples_sum"] for r in result["rows"]] == [len(v) for v in bucketed(60, lambda t, zone: zone == "zone-1").values()]
+    for refused in ({"bucket": "5 minutes"}, {"columns": ["samples", "unit"]}, {"rollup": "never"}):
         call = {"table": "bus", "columns": ["samples"], "from_ts": FROM, "to_ts": TO, **refused}
         with pytest.raises(ValueError, match=r"unknown_columns: \['samples'\]"):
             home.query_timeseries(**call)
@@ -133,7 +137,7 @@ def test_columns_of_the_rollup_alone_are_read_as_stored(home):
 def test_rollup_can_be_asked_for(home):
     result = home.query_timeseries("bus_1h", ["samples"], FROM, TO, "sum", "30 minutes")
     assert result["table_used"] == "bus_1h"
-    assert [r["samples_sum"] for r in result["rows"]] == [40, 60, 60, 41]
+    assert [r["samples_sum"] for r in result["rows"]] == [60, 60, 60, 41]
 
 
 def test_a_short_range_is_read_from_raw_rows(home):
@@ -146,9 +150,9 @@ def test_a_short_range_is_read_from_raw_rows(home):
 
 def test_json_fields_are_measures(home):
     result = home.query_timeseries(
-        "boiler", ["raw->>'flow_temp'", "raw->>'nothing'"], FROM, TO, "max", "1 day"
+        "boiler", ["raw->>'speed'", "raw->>'nothing'"], FROM, TO, "max", "1 day"
     )
-    assert result["rows"][0]["raw_flow_temp_max"] == 54.0
+    assert result["rows"][0]["raw_speed_max"] == 1100.0
     assert result["rows"][0]["raw_nothing_max"] is None
 
 
@@ -160,14 +164,14 @@ def test_without_columns_the_buckets_are_listed(home):
 
 def test_the_cap_is_a_top_n_without_a_full_sort(spark, home):
     answer = plan_timeseries(
-        spark, home.registry, "bus", ["value"], FROM, TO, "avg", "1 minute", {"ga": "1/2/3"}
+        spark, home.registry, "bus", ["value"], FROM, TO, "avg", "1 minute", {"zone": "zone-3"}
     )
     plan = answer.capped(10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject(limit=11" in plan and "rangepartitioning" not in plan
     assert plan.count("Exchange") == 1 and "partial_avg" in plan
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
-    assert "EqualTo(ga,1/2/3)" in scan and "GreaterThanOrEqual(time" in scan
-    assert "ReadSchema: struct<time:timestamp,ga:string,value:double>" in scan
+    assert "EqualTo(zone,zone-3)" in scan and "GreaterThanOrEqual(time" in scan
+    assert "ReadSchema: struct<time:timestamp,zone:string,value:double>" in scan
 
 
 def test_bounds_are_inclusive_and_may_be_reversed(home):
@@ -197,16 +201,17 @@ def test_filters(home):
         rows = home.query_timeseries("bus", ["value"], FROM, TO, "count", "1 day", filters)["rows"]
         return sum(r["value_count"] for r in rows)
 
-    assert count(ga="1/2/1") == 40
-    assert count(ga="1/2/1", value=21) == 20
-    assert count(ga="1/2/1", value="21.0") == 20
-    assert count(ga="1/2/2", value=21) == 0
+    assert count(zone="zone-1") == sum(z == "zone-1" for _, z, _ in readings())
+    low = sum((z, v) == ("zone-1", 8.5) for _, z, v in readings())
+    assert count(zone="zone-1", value=8.5) == low > 0
+    assert count(zone="zone-1", value="8.50") == low
+    assert count(zone="zone-2", value=21) == 0
     assert count(time="2024-03-10T13:40:00+02:00") == 1
-    assert count(ga=None) == 0
-    assert count(dpt="9.001") == 201
+    assert count(zone=None) == 0
+    assert count(unit="C") == MINUTES
 
 
-@pytest.mark.parametrize("filters", [{"ga": 5}, {"value": "warm"}, {"value": True}])
+@pytest.mark.parametrize("filters", [{"zone": 5}, {"value": "warm"}, {"value": True}])
 def test_filter_values_must_fit(home, filters):
     with pytest.raises(ValueError, match="invalid_filter_value"):
         home.query_timeseries("bus", ["value"], FROM, TO, filters=filters)
@@ -245,8 +250,8 @@ def test_filter_values_of_every_type(spark, path):
 def test_row_limit(home):
     with pytest.raises(ValueError, match="row_limit_exceeded"):
         home.query_timeseries("bus", ["value"], FROM, TO, "avg", "1 minute", row_limit=2)
-    kept = home.query_timeseries("bus", ["value"], FROM, TO, "avg", "1 minute", row_limit=201)
-    assert kept["row_count"] == 201
+    kept = home.query_timeseries("bus", ["value"], FROM, TO, "avg", "1 minute", row_limit=MINUTES)
+    assert kept["row_count"] == MINUTES
 
 
 @pytest.mark.parametrize(
@@ -254,14 +259,14 @@ def test_row_limit(home):
     [
         ({"table": "not_a_table"}, "unknown_table"),
         ({"columns": ["value", "does_not_exist"]}, r"unknown_columns: \['does_not_exist'\]"),
-        ({"columns": ["ga->>'x'"]}, "unknown_columns"),
+        ({"columns": ["zone->>'x'"]}, "unknown_columns"),
         ({"columns": ["date"]}, "unknown_columns"),
         ({"bucket": "DROP TABLE bus"}, "invalid_bucket_interval"),
         ({"bucket": "0 hours"}, "invalid_bucket_interval"),
         ({"bucket": "1 year"}, "invalid_bucket_interval"),
         ({"aggregation": "median"}, "invalid_aggregation"),
         ({"filters": {"nothing": 1}}, r"unknown_filter_columns: \['nothing'\]"),
-        ({"columns": ["ga"]}, "invalid_column_type"),
+        ({"columns": ["zone"]}, "invalid_column_type"),
         ({"columns": ["raw"], "aggregation": "max"}, "invalid_column_type"),
         ({"from_ts": "yesterday"}, "invalid_timestamp"),
         ({"rollup": "sometimes"}, "invalid_rollup_mode"),
@@ -284,9 +289,9 @@ def test_repeated_columns_collapse(home):
 
 
 def test_min_and_max_of_text_and_time(home):
-    result = home.query_timeseries("bus", ["ga", "time"], FROM, TO, "max", "1 day")
+    result = home.query_timeseries("bus", ["zone", "time"], FROM, TO, "max", "1 day")
     assert result["rows"] == [
-        {"bucket": "2024-03-10T00:00:00+00:00", "ga_max": "1/2/4", "time_max": END}
+        {"bucket": "2024-03-10T00:00:00+00:00", "zone_max": "zone-3", "time_max": END}
     ]
 
 
@@ -308,3 +313,10 @@ def test_no_time_column(spark):
     assert space.get_schema("region")["time_column"] is None
     with pytest.raises(ValueError, match="no_time_column_detected"):
         space.query_timeseries("region", ["r_regionkey"], FROM, TO)
+
+
+def test_capped_rows_beyond_the_cap_are_an_error(spark, home):
+    answer = plan_timeseries(spark, home.registry, "bus", ["value"], FROM, TO, "avg", "1 minute")
+    assert answer.capped(MINUTES).count() == MINUTES
+    with pytest.raises(Exception, match="row_limit_exceeded"):
+        answer.capped(MINUTES - 1).collect()

@@ -8,7 +8,8 @@ from datetime import datetime
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..functions.buckets import bucket_start, parse_width
 from ..functions.instants import isoformat, to_micros
@@ -23,6 +24,10 @@ from .routing import MODES, can_merge, candidate, merged_aggregate, split_range,
 ROW_LIMIT = 5000
 
 
+def _over(row_limit: int) -> str:
+    return f"row_limit_exceeded: the answer has over {row_limit} buckets, ask for fewer"
+
+
 @dataclass(frozen=True)
 class Answer:
     """A planned query. ``frame`` is lazy, sorted by bucket and not capped."""
@@ -35,17 +40,18 @@ class Answer:
     frame: DataFrame
 
     def capped(self, row_limit: int = ROW_LIMIT) -> DataFrame:
-        """At most one row beyond the cap, which is enough to tell that it is exceeded."""
-        return self.frame.limit(row_limit + 1)
+        """The rows, lazily; reading them fails if there are more than ``row_limit``."""
+        first = self.frame.limit(row_limit + 1)  # a row too many tells that there are more
+        number = F.row_number().over(Window.orderBy("bucket"))
+        excess = F.raise_error(F.lit(_over(row_limit))).cast("boolean")
+        fits = F.when(F.col("_number") > row_limit, excess).otherwise(F.lit(True))
+        return first.withColumn("_number", number).where(fits).drop("_number")
 
     def record(self, row_limit: int = ROW_LIMIT) -> dict[str, Any]:
         """The result as a dict with rows of plain values; an error beyond the cap."""
-        rows = self.capped(row_limit).collect()
+        rows = self.frame.limit(row_limit + 1).collect()
         if len(rows) > row_limit:
-            raise ValueError(
-                f"row_limit_exceeded: more than {row_limit} rows; "
-                "use a wider bucket or a shorter time range"
-            )
+            raise ValueError(_over(row_limit))
         types = {f.name: f.dataType for f in self.frame.schema.fields}
         return {
             "table_requested": self.table_requested,
