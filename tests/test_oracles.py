@@ -1,4 +1,4 @@
-"""Every registered query against DuckDB on the same files."""
+"""Every registered query of the library itself against DuckDB on the same files."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as registered
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
+QUERIES, ORACLES = registered._own_queries(), registered._own_oracle_sql()
 
 
 @pytest.fixture(scope="module")
