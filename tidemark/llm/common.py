@@ -41,14 +41,24 @@ def stored(frame: DataFrame) -> DataFrame:
 
 #: Rows of a few longs that may go to every executor: 32 MB at most.
 MOST_BROADCAST = 1_000_000
+#: Tasks that ``few`` leaves at least.
+LEAST_TASKS = 16
 
 
-def sized(keys: DataFrame) -> DataFrame:
-    """``keys`` (stored rows of a few longs), to be broadcast if they are counted as few enough.
+def sized(keys: DataFrame, longs: int = 4) -> DataFrame:
+    """``keys`` (stored rows of ``longs`` longs), to be broadcast if they are counted as few enough.
 
     Beyond that Spark joins them by a shuffle, with the same result.
     """
-    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+    return F.broadcast(keys) if keys.count() * longs <= 4 * MOST_BROADCAST else keys
+
+
+def few(frame: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """The frame, which has about ``rows`` rows, in no more tasks than they need.
+
+    Without it, every shuffle of a small table writes a block for each pair of partitions.
+    """
+    return frame.coalesce(max(LEAST_TASKS, -(-rows // per_task)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

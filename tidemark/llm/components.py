@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import MOST_BROADCAST, few, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _beside(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """The edges with the one row of their ``a`` in ``least``; at most ``rows`` rows each."""
+    small = rows <= MOST_BROADCAST
+    return few(edges.join(F.broadcast(least) if small else least, "a"), rows)
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Each node passes its larger neighbours on to its smallest neighbour."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    passed = both.join(least, "a").where(F.col("b") > F.col("a"))
-    return passed.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    passed = _beside(both, least, 2 * rows).where(F.col("b") > F.col("a"))
+    return few(passed.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), rows)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Each node hangs itself and its smaller neighbours below the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    passed = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = few(edges.groupBy("a").agg(F.min("b").alias("m")), rows)
+    passed = _beside(edges, least, rows).select(F.col("b").alias("a"), F.col("m").alias("b"))
     passed = passed.where(F.col("a") != F.col("b"))
-    return passed.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return few(passed.union(least.select("a", F.col("m").alias("b"))).distinct(), rows)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,13 +39,15 @@ def components(links: DataFrame) -> DataFrame:
     each is written to the checkpoint folder. The driver gets one row per round.
     """
     larger, smaller = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    edges = links.where(F.col("a") != F.col("b")).select(larger, smaller).distinct()
-    seen = None
-    while True:
-        edges = stored(_small_star(_large_star(edges)))
+    edges = stored(links.where(F.col("a") != F.col("b")).select(larger, smaller))
+    seen, rows = None, edges.count()
+    edges = few(edges, rows)
+    while rows:
+        # A step never has more edges than two for each edge before it.
+        edges = stored(_small_star(_large_star(edges, rows), 2 * rows))
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break
-        seen = state
+        seen, rows = state, state[0]
     hung = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return hung.union(edges.select(F.col("b").alias("id"), "b").distinct())
+    return few(hung.union(edges.select(F.col("b").alias("id"), "b").distinct()), 2 * rows)

@@ -11,9 +11,10 @@ are confirmed on the full sets.
 
 Groups of copies are never expanded into pairs. In rounds, each key draws a leader from its classes,
 and every class is held against the nearest leader, by signature, that it met in another
-component; the links found make the next components. When a round finds no more, only keys whose
-classes lie in several components matter: there, classes outside the most common component are
-held against all classes of other components under the distance, each pair in the first key that
+component; the links found make the next components. Only keys whose classes lie in several
+components matter: there, when the pairs left to look at are counted as no more than a fixed
+number for each class, or a round ended fewer than a tenth of them, classes outside the most
+common component are held against all classes of other components under the distance, each pair in the first key that
 it shares. No candidate between components is left out, and one within a component cannot change
 the result.
 
@@ -24,6 +25,7 @@ input are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -34,13 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shingles, sized, stored, word_hashes
+from .common import few, mixed, shingles, sized, stored, word_hashes
 from .components import components
 
 WORDS = 5
 SLOTS, CHUNK, BITS = 64, 4, 14
 CHUNKS = SLOTS // CHUNK
 MOST_DIFFERENT = 2 * CHUNKS - 1
+#: Pairs whose texts one task compares.
+PAIRS_PER_TASK = 2_000
+#: Rounds end when the pairs left are no more than this many for each key of each class.
+PAIRS_PER_KEY = 2
 _PARTS = [f"s{i}" for i in range(CHUNKS)]
 _random = np.random.Generator(np.random.Philox(key=77))
 _FLIPS = _random.integers(0, 2**64, SLOTS, dtype=np.uint64)
@@ -137,16 +143,20 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` of doc_ids whose full sets are similar enough."""
+    """The pairs ``a``, ``b`` (stored) of doc_ids whose full sets are similar enough."""
+    rows = pairs.count()
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = documents.join(sized(stored(wanted)), "doc_id", "left_semi")
+    wanted = stored(few(wanted, 2 * rows))
+    texts = documents.join(sized(wanted), "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(_confirm, "a long, b long")
+    return few(both.mapInArrow(_confirm, "a long, b long"), rows, PAIRS_PER_TASK)
 
 
-def _nearest(active: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
+def _nearest(
+    active: DataFrame, placed: DataFrame, sketches: DataFrame, rows: int, turn: int
+) -> DataFrame:
     """Each class of the keys ``active`` with the nearest leader of another component.
 
     The leader of a key has the least id after the bits that the key and the turn draw are flipped.
@@ -154,35 +164,43 @@ def _nearest(active: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
     flips = F.xxhash64("key", F.lit(turn))
     leads = active.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(flips)).alias("least"))
     leads = leads.select("key", F.col("least").bitwiseXOR(flips).alias("lead"))
-    met = active.join(leads, "key").where("rep <> lead").select("rep", "lead").distinct()
+    leads = sized(stored(few(leads, rows)))
+    met = few(active.join(leads, "key").where("rep <> lead"), rows)
+    met = few(met.select("rep", "lead").distinct(), rows).alias("m")
     x, y = placed.alias("x"), placed.alias("y")
-    met = met.alias("m").join(x, F.col("m.rep") == F.col("x.rep")).select("m.lead", "x.*")
-    met = met.alias("x").join(y, F.col("x.lead") == F.col("y.rep"))
-    met = met.where(F.col("x.component") != F.col("y.component"))
+    met = met.join(x, F.col("m.rep") == F.col("x.rep")).join(y, F.col("m.lead") == F.col("y.rep"))
+    met = met.where(F.col("x.component") != F.col("y.component")).select("m.rep", "m.lead")
+    met, x, y = few(met, rows).alias("m"), sketches.alias("x"), sketches.alias("y")
+    met = met.join(x, F.col("m.rep") == F.col("x.rep")).join(y, F.col("m.lead") == F.col("y.rep"))
     distance = reduce(Column.__add__, _differing("x", "y"))
-    near = met.select(F.col("x.rep").alias("a"), "lead", distance.alias("d"))
+    near = few(met, rows).select(F.col("m.rep").alias("a"), "lead", distance.alias("d"))
     near = near.where(F.col("d") <= MOST_DIFFERENT).groupBy("a")
     near = near.agg(F.min(F.struct("d", "lead")).alias("n"))
-    return near.select("a", F.col("n.lead").alias("b"))
+    return few(near.select("a", F.col("n.lead").alias("b")), rows)
 
 
-def _divided(active: DataFrame, placed: DataFrame) -> DataFrame:
-    """The rows of the keys whose classes lie in several components."""
-    rows = active.select("key", "rep").join(placed.select("rep", "component"), "rep")
-    ends = rows.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    return active.select("key", "rep").join(ends.where("low < high").select("key"), "key")
+def _divided(active: DataFrame, placed: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """The rows of the keys whose classes lie in several components, and the number of pairs that
+    ``_crossing`` would look at for them."""
+    met = few(active.join(placed, "rep"), rows)
+    shares = few(met.groupBy("key", "component").agg(F.count("*").alias("n")), rows)
+    keys = shares.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    keys = keys.where("most < all").selectExpr("key", "(all - most) * all AS pairs")
+    keys = stored(few(keys, rows))
+    pairs = keys.agg(F.sum(F.col("pairs").cast("decimal(38)"))).first()[0]
+    return few(active.join(sized(keys.select("key")), "key", "left_semi"), rows), int(pairs or 0)
 
 
-def _crossing(active: DataFrame, placed: DataFrame) -> DataFrame:
+def _crossing(
+    active: DataFrame, placed: DataFrame, sketches: DataFrame, rows: int
+) -> DataFrame:
     """All pairs of classes of different components that share a key and are near enough."""
-    rows = active.join(placed, "rep")
-    shares = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"))
-    rows = rows.join(main.select("key", F.col("most.component").alias("main")), "key")
-    rows = stored(rows)
-    outside, other = rows.where("component <> main").alias("x"), rows.alias("y")
+    met = few(active.join(placed, "rep"), rows)
+    shares = few(met.groupBy("key", "component").agg(F.count("*").alias("n")), rows)
+    main = few(shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most")), rows)
+    main = sized(stored(main.select("key", F.col("most.component").alias("main"))))
+    met = stored(few(met.join(main, "key").join(sketches, "rep"), rows))
+    outside, other = met.where("component <> main").alias("x"), met.alias("y")
     differing = _differing("x", "y")
     pairs = outside.join(
         other,
@@ -193,7 +211,7 @@ def _crossing(active: DataFrame, placed: DataFrame) -> DataFrame:
         & _first_key(differing, F.col("x.key")),
     )
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    return pairs.distinct()
+    return few(few(pairs, rows).distinct(), rows)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -210,27 +228,36 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     copies = same.where(F.col("doc_id") != F.col("rep"))
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    sketches = classes.select("rep", *_PARTS)
+    n = classes.count()
+    sketches = few(classes.select("rep", *_PARTS), n)
     keys = sketches.select("rep", _keys().alias("key"))
+    rows = SLOTS * n
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    shared = shared.where("low < high").select("key")
-    active = stored(keys.join(shared, "key"))
+    shared = few(shared.where("low < high").select("key"), rows)
+    active = stored(few(keys.join(shared, "key"), rows))
+    sketches = sized(sketches, 1 + CHUNKS)
 
-    links = copies
-    placed = sketches.withColumn("component", F.col("rep"))
+    # Links of classes; those of equal texts come in at the end.
+    links, before = None, math.inf
+    placed = sized(stored(few(classes.select("rep", F.col("rep").alias("component")), n)))
     for turn in count():
-        pairs = stored(_nearest(active, placed, turn))
+        rows = active.count()
+        pairs = stored(_nearest(active, placed, sketches, rows, turn))
         found = stored(confirmed(documents, pairs))
-        links = stored(components(links.union(found)))
-        links = links.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        placed = sketches.join(links, sketches.rep == links.a, "left").select(
-            "rep", F.coalesce("b", "rep").alias("component"), *_PARTS
+        reached = components(found if links is None else links.union(found))
+        links = stored(reached.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        reps = classes.select("rep").distinct()
+        placed = reps.join(sized(links), F.col("rep") == F.col("a"), "left").select(
+            "rep", F.coalesce("b", "rep").alias("component")
         )
-        active = stored(_divided(active, placed))
-        if active.isEmpty() or found.isEmpty():
+        placed = sized(stored(few(placed, n)))
+        active, left = _divided(active, placed, rows)
+        active = stored(active)
+        if left <= PAIRS_PER_KEY * SLOTS * n or 10 * left > 9 * before:
             break
-    crossing = stored(_crossing(active, placed))
-    whole = components(links.union(confirmed(documents, crossing)))
+        before = left
+    crossing = stored(_crossing(active, placed, sketches, active.count()))
+    whole = components(copies.union(links).union(confirmed(documents, crossing)))
     marked = signed.join(whole, signed.doc_id == whole.id, "left")
     reached = F.coalesce("component", "doc_id")
     return marked.select(
