@@ -6,8 +6,7 @@ candidates when at most ``MOST_DIFFERENT`` slots of their signatures differ. By
 differing slots leave one of the 16 chunks of four slots with at most one of them, so a class
 gets a key for each chunk and each slot that may differ in it: the chunk with that slot blanked.
 Every pair under the distance meets in a key. At similarity 0.75 a slot differs with
-probability 1/4, so more than 31 of 64 do with probability about 1e-5, and less above it. Links
-are confirmed on the full sets.
+probability 1/4, so more than 31 of 64 do with probability about 1e-5, and less above it. Candidates whose set sizes rule out a link are passed over; links are confirmed on the full sets.
 
 Groups of copies are never expanded into pairs. In rounds, each key draws a leader from its classes,
 and every class is held against the nearest leader, by signature, that it met in another
@@ -97,6 +96,12 @@ def _differing(left: str, right: str) -> list[Column]:
     return [chunk(part) for part in _PARTS]
 
 
+def _sizes_allow(left: str, right: str) -> Column:
+    """Whether sets of these sizes can be similar enough: the smaller is all that they share."""
+    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    return 100 * F.least(n, m) >= 75 * F.greatest(n, m)
+
+
 def _blanked(slot: int) -> int:
     return 2 ** (CHUNK * (BITS + 1)) - 1 - ((2**BITS - 1) << (BITS + 1) * slot)
 
@@ -172,6 +177,7 @@ def _nearest(
     met = met.where(F.col("x.component") != F.col("y.component")).select("m.rep", "m.lead")
     met, x, y = few(met, rows).alias("m"), sketches.alias("x"), sketches.alias("y")
     met = met.join(x, F.col("m.rep") == F.col("x.rep")).join(y, F.col("m.lead") == F.col("y.rep"))
+    met = met.where(_sizes_allow("x", "y"))
     distance = reduce(Column.__add__, _differing("x", "y"))
     near = few(met, rows).select(F.col("m.rep").alias("a"), "lead", distance.alias("d"))
     near = near.where(F.col("d") <= MOST_DIFFERENT).groupBy("a")
@@ -207,6 +213,7 @@ def _crossing(
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & _sizes_allow("x", "y")
         & (reduce(Column.__add__, differing) <= MOST_DIFFERENT)
         & _first_key(differing, F.col("x.key")),
     )
@@ -221,7 +228,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(
         linkable.groupBy("digest").agg(
-            F.min("doc_id").alias("rep"), *[F.min(p).alias(p) for p in _PARTS]
+            F.min("doc_id").alias("rep"),
+            F.min("n_shingles").alias("n"),
+            *[F.min(p).alias(p) for p in _PARTS],
         )
     )
     same = linkable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
@@ -229,13 +238,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     n = classes.count()
-    sketches = few(classes.select("rep", *_PARTS), n)
+    sketches = few(classes.select("rep", "n", *_PARTS), n)
     keys = sketches.select("rep", _keys().alias("key"))
     rows = SLOTS * n
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     shared = few(shared.where("low < high").select("key"), rows)
     active = stored(few(keys.join(shared, "key"), rows))
-    sketches = sized(sketches, 1 + CHUNKS)
+    sketches = sized(sketches, 2 + CHUNKS)
 
     # Links of classes; those of equal texts come in at the end.
     links, before = None, math.inf
