@@ -6,15 +6,16 @@ candidates when at most ``MOST_DIFFERENT`` slots of their signatures differ. By
 differing slots leave one of the 16 chunks of four slots with at most one of them, so a class
 gets a key for each chunk and each slot that may differ in it: the chunk with that slot blanked.
 Every pair under the distance meets in a key. At similarity 0.75 a slot differs with
-probability 1/4, so more than 31 of 64 do with probability about 1e-5, and less above it. Candidates whose set sizes rule out a link are passed over; links are confirmed on the full sets.
+probability 1/4, so more than 31 of 64 do with probability about 1e-5, and less above it.
+Candidates whose set sizes rule out a link are passed over; links are confirmed on the full sets.
 
 Groups of copies are never expanded into pairs. In rounds, each key draws a leader from its classes,
 and every class is held against the nearest leader, by signature, that it met in another
 component; the links found make the next components. Only keys whose classes lie in several
 components matter: there, when the pairs left to look at are counted as no more than a fixed
 number for each class, or a round ended fewer than a tenth of them, classes outside the most
-common component are held against all classes of other components under the distance, each pair in the first key that
-it shares. No candidate between components is left out, and one within a component cannot change
+common component are held against all classes of other components under the distance, each pair
+in the first key that it shares. No candidate between components is left out, and one within a component cannot change
 the result.
 
 Defined cases: a null or blank text has an empty set and no link. A row without doc_id has no
