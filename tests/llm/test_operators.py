@@ -408,12 +408,50 @@ def test_pairs_under_the_distance_share_their_first_key(spark):
         [(i, *map(int, p)) for i, p in enumerate(packed)], "rep long, " + ", ".join(f"{p} long" for p in names)
     )
     keys = frame.select("*", minhash_hamming._keys().alias("key"))
-    differing = minhash_hamming._differing("x", "y")
     met = keys.alias("x").join(keys.alias("y"), "key").where("x.rep < y.rep")
-    met = met.where(minhash_hamming._first_key(differing, met["key"])).select("x.rep", "y.rep").collect()
+    met = met.select("key", "x.rep", "y.rep").collect()
+    key, left, right = np.array(met, np.int64).T
+    first = minhash_hamming.under_distance(key, packed[left], packed[right])
+    met = [(int(a), int(b)) for a, b in zip(left[first], right[first])]
     assert len(met) == len(set(met))
     near = {(a, b) for a in range(40) for b in range(a + 1, 40) if (slots[a] != slots[b]).sum() <= 31}
-    assert near and near <= {tuple(r) for r in met}
+    assert near and near == set(met)
+
+
+def test_parities_pass_no_link_over():
+    draw = np.random.default_rng(5)
+    for size in (1, 7, 146, 3000):
+        base = np.unique(draw.integers(0, 2**64, size, dtype=np.uint64))
+        other = np.unique(np.append(base[size // 7 :], draw.integers(0, 2**64, size // 7, np.uint64)))
+        apart = len(np.setxor1d(base, other))
+        odd = minhash_hamming.parities(base) ^ minhash_hamming.parities(other)
+        assert sum(int(x).bit_count() for x in odd.view(np.uint64)) <= apart
+        assert len(odd) == minhash_hamming.PARITIES
+
+
+def test_links_that_only_the_crossing_finds(spark, monkeypatch):
+    """Rounds are cut to one, classes of a key are split, links are those of brute force."""
+    monkeypatch.setattr(minhash_hamming, "PAIRS_PER_KEY", 1 << 40)
+    monkeypatch.setattr(minhash_hamming, "OUTSIDE_PER_TASK", 3)
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(90):
+        words = list(base)
+        for at in draw.sample(range(120), draw.randint(0, 7)):
+            words[at] = f"x{draw.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    rows = [(i, text) for i, text in enumerate(texts)]
+    found = minhash_hamming.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    groups = Sets(range(90))
+    for a in range(90):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                groups.link(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert got == {i: groups.find(i) for i in range(90)}
+    assert 1 < len(set(got.values())) < 90
 
 
 def test_lines(spark, nothing):

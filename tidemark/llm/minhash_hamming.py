@@ -7,7 +7,10 @@ differing slots leave one of the 16 chunks of four slots with at most one of the
 gets a key for each chunk and each slot that may differ in it: the chunk with that slot blanked.
 Every pair under the distance meets in a key. At similarity 0.75 a slot differs with
 probability 1/4, so more than 31 of 64 do with probability about 1e-5, and less above it.
-Candidates whose set sizes rule out a link are passed over; links are confirmed on the full sets.
+Candidates whose set sizes or parities rule out a link are passed over; links are confirmed on the
+full sets. The parities of a set are 512 bits, each telling whether an odd number of its runs hash
+to it: two sets differ in at least as many runs as bits, and linked ones in a seventh of their
+sizes at most, so no link is passed over.
 
 Groups of copies are never expanded into pairs. In rounds, each key draws a leader from its classes,
 and every class is held against the nearest leader, by signature, that it met in another
@@ -15,8 +18,8 @@ component; the links found make the next components. Only keys whose classes lie
 components matter: there, when the pairs left to look at are counted as no more than a fixed
 number for each class, or a round ended fewer than a tenth of them, classes outside the most
 common component are held against all classes of other components under the distance, each pair
-in the first key that it shares. No candidate between components is left out, and one within a component cannot change
-the result.
+in the first key that it shares; a key with many classes outside is split over tasks. No candidate
+between components is left out, and one within a component cannot change the result.
 
 Defined cases: a null or blank text has an empty set and no link. A row without doc_id has no
 link and stays (component null). Rows of one doc_id are one document. Extra columns of the
@@ -46,8 +49,13 @@ MOST_DIFFERENT = 2 * CHUNKS - 1
 #: Pairs whose texts one task compares.
 PAIRS_PER_TASK = 2_000
 #: Rounds end when the pairs left are no more than this many for each key of each class.
-PAIRS_PER_KEY = 2
+PAIRS_PER_KEY = 16
+#: Classes outside the main component of a key that one task holds against the others.
+OUTSIDE_PER_TASK = 2_000
+#: Longs of parity bits.
+PARITIES = 8
 _PARTS = [f"s{i}" for i in range(CHUNKS)]
+_BITS = [f"p{i}" for i in range(PARITIES)]
 _random = np.random.Generator(np.random.Philox(key=77))
 _FLIPS = _random.integers(0, 2**64, SLOTS, dtype=np.uint64)
 _FACTORS = _random.integers(0, 2**64, SLOTS, dtype=np.uint64) | np.uint64(1)
@@ -63,6 +71,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (slots << (BITS + 1) * np.arange(CHUNK)).sum(axis=1)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITIES values of the top bits, whether an odd number of hashes has it."""
+    width = 64 * PARITIES
+    counts = np.bincount((hashes >> np.uint64(65 - width.bit_length())).astype(int), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts, digests, parts = batch.column(0), [], [], []
@@ -70,16 +85,17 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = shingles(word_hashes(text.as_py()), WORDS)
             counts.append(len(found))
             digests.append(blake2b(found.tobytes(), digest_size=16).digest())
-            parts.append(signature(found))
-        columns = np.array(parts, np.int64).reshape(-1, CHUNKS).T
+            parts.append(np.concatenate([signature(found), parities(found)]))
+        columns = np.array(parts, np.int64).reshape(-1, CHUNKS + PARITIES).T
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary())]
             + [pa.array(c, pa.int64()) for c in columns],
-            names=["doc_id", "n_shingles", "digest", *_PARTS],
+            names=["doc_id", "n_shingles", "digest", *_PARTS, *_BITS],
         )
 
 
-_SIGNED = "doc_id long, n_shingles long, digest binary, " + ", ".join(f"{p} long" for p in _PARTS)
+_SIGNED = "doc_id long, n_shingles long, digest binary, "
+_SIGNED += ", ".join(f"{p} long" for p in _PARTS + _BITS)
 
 
 def _differing(left: str, right: str) -> list[Column]:
@@ -97,10 +113,13 @@ def _differing(left: str, right: str) -> list[Column]:
     return [chunk(part) for part in _PARTS]
 
 
-def _sizes_allow(left: str, right: str) -> Column:
-    """Whether sets of these sizes can be similar enough: the smaller is all that they share."""
+def _may_link(left: str, right: str) -> Column:
+    """Whether sets of these sizes and parities can be similar enough. The smaller is all that
+    they share, and they differ in at least as many elements as parities."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    return 100 * F.least(n, m) >= 75 * F.greatest(n, m)
+    odd = [F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}"))) for p in _BITS]
+    sizes = 100 * F.least(n, m) >= 75 * F.greatest(n, m)
+    return sizes & (7 * reduce(Column.__add__, odd) <= n + m)
 
 
 def _blanked(slot: int) -> int:
@@ -122,14 +141,26 @@ def _keys() -> Column:
     )
 
 
-def _first_key(differing: list[Column], key: Column) -> Column:
-    """Whether ``key`` is the first in which two signatures meet, one that both have."""
-    number = key.bitwiseAND(F.lit(SLOTS - 1))
-    chunk = F.floor(number / CHUNK)
-    earlier = [(d >= 2) | (chunk <= c) for c, d in enumerate(differing[:-1])]
+def under_distance(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the signatures in each row of ``left`` and ``right`` are near enough and ``keys``
+    holds the first key in which they meet, one that both have."""
+    apart = left ^ right
+    lanes = [(apart >> (BITS + 1) * slot) & (2**BITS - 1) != 0 for slot in range(CHUNK)]
+    differing = np.sum(lanes, axis=0)
+    number = keys & (SLOTS - 1)
+    chunk = number // CHUNK
+    first = np.argmax(differing <= 1, axis=1)
     # A chunk without a differing slot is met in each of its keys.
-    equal = F.element_at(F.array(*differing), (chunk + 1).cast("int")) == 0
-    return reduce(Column.__and__, earlier) & (~equal | (number % CHUNK == 0))
+    equal = differing[np.arange(len(keys)), chunk] == 0
+    near = differing.sum(axis=1) <= MOST_DIFFERENT
+    return near & (first == chunk) & (~equal | (number % CHUNK == 0))
+
+
+def _under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1)
+        near = under_distance(columns[:, 0], columns[:, 1 : 1 + CHUNKS], columns[:, 1 + CHUNKS :])
+        yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +209,7 @@ def _nearest(
     met = met.where(F.col("x.component") != F.col("y.component")).select("m.rep", "m.lead")
     met, x, y = few(met, rows).alias("m"), sketches.alias("x"), sketches.alias("y")
     met = met.join(x, F.col("m.rep") == F.col("x.rep")).join(y, F.col("m.lead") == F.col("y.rep"))
-    met = met.where(_sizes_allow("x", "y"))
+    met = met.where(_may_link("x", "y"))
     distance = reduce(Column.__add__, _differing("x", "y"))
     near = few(met, rows).select(F.col("m.rep").alias("a"), "lead", distance.alias("d"))
     near = near.where(F.col("d") <= MOST_DIFFERENT).groupBy("a")
@@ -204,21 +235,35 @@ def _crossing(
     """All pairs of classes of different components that share a key and are near enough."""
     met = few(active.join(placed, "rep"), rows)
     shares = few(met.groupBy("key", "component").agg(F.count("*").alias("n")), rows)
-    main = few(shares.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most")), rows)
-    main = sized(stored(main.select("key", F.col("most.component").alias("main"))))
+    main = shares.groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")
+    )
+    outside = F.ceil((F.col("all") - F.col("most.n")) / OUTSIDE_PER_TASK)
+    main = main.select(
+        "key", F.col("most.component").alias("main"), F.greatest(outside, F.lit(1)).alias("splits")
+    )
+    main = sized(stored(few(main, rows)))
     met = stored(few(met.join(main, "key").join(sketches, "rep"), rows))
-    outside, other = met.where("component <> main").alias("x"), met.alias("y")
-    differing = _differing("x", "y")
+    part = F.pmod(F.xxhash64("rep"), F.col("splits"))
+    outside = met.where("component <> main").withColumn("part", part).alias("x")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1))
+    other = met.withColumn("part", parts).alias("y")
     pairs = outside.join(
         other,
         (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.part") == F.col("y.part"))
         & (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & _sizes_allow("x", "y")
-        & (reduce(Column.__add__, differing) <= MOST_DIFFERENT)
-        & _first_key(differing, F.col("x.key")),
+        & _may_link("x", "y"),
+    )
+    pairs = pairs.select(
+        F.col("x.rep").alias("a"),
+        F.col("y.rep").alias("b"),
+        "x.key",
+        *[F.col(f"x.{p}").alias(f"x{p}") for p in _PARTS],
+        *[F.col(f"y.{p}").alias(f"y{p}") for p in _PARTS],
     )
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    pairs = pairs.mapInArrow(_under, "a long, b long")
     return few(few(pairs, rows).distinct(), rows)
 
 
@@ -231,7 +276,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         linkable.groupBy("digest").agg(
             F.min("doc_id").alias("rep"),
             F.min("n_shingles").alias("n"),
-            *[F.min(p).alias(p) for p in _PARTS],
+            *[F.min(p).alias(p) for p in _PARTS + _BITS],
         )
     )
     same = linkable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
@@ -239,13 +284,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     n = classes.count()
-    sketches = few(classes.select("rep", "n", *_PARTS), n)
+    sketches = few(classes.select("rep", "n", *_PARTS, *_BITS), n)
     keys = sketches.select("rep", _keys().alias("key"))
     rows = SLOTS * n
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     shared = few(shared.where("low < high").select("key"), rows)
     active = stored(few(keys.join(shared, "key"), rows))
-    sketches = sized(sketches, 2 + CHUNKS)
+    sketches = sized(sketches, 2 + CHUNKS + PARITIES)
 
     # Links of classes; those of equal texts come in at the end.
     links, before = None, math.inf
