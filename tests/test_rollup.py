@@ -204,14 +204,41 @@ def test_scheduled_refresh_recomputes_what_changed(spark, path):
     assert run(5) == [(48, 72), (96, 101)]
     assert run(5) == []
     assert run(6) == [(101, 102)]
-    # The window begins within the second day: its rows count from seven o'clock on.
+    # The window begins within the second day, whose covered hours are all taken in.
     add([1440 + 3, 1440 + 423])
-    assert run(6) == [(31, 48)]
-    assert run(6) == [(31, 48)]
+    assert run(6) == [(24, 48)]
+    assert run(6) == []
     hours = rollup.read(spark).groupBy("bucket").agg(F.sum("samples").alias("n")).collect()
     counts = {(r["bucket"] - start) // timedelta(hours=1): r["n"] for r in hours}
-    assert counts[24] == 6 and counts[31] == 7 and counts[48] == 7 and counts[99] == 6
-    assert sum(counts.values()) == raw.read(spark).count() - 1
+    assert counts[24] == 7 and counts[31] == 7 and counts[48] == 7 and counts[99] == 6
+    assert sum(counts.values()) == raw.read(spark).count()
+
+
+def test_late_rows_are_counted_before_and_after_their_refresh(spark, path):
+    where = path("raw")
+    start = datetime(2024, 5, 1)
+    store_by_day(day_rows(spark, start, range(0, 12 * 1440, 7), 2), where, "time")
+    raw = Source("r", where, date_column="date")
+    rollup = create_rollup(spark, raw, path("r_1h"), values=("v",))
+    full_refresh(spark, raw, rollup)
+    space = Workspace(spark, raw, rollup)
+
+    def counts(mode):
+        call = (["v"], "2024-05-01", "2024-05-12", "count", "1 day")
+        return space.frame("r", *call, rollup=mode).collect()
+
+    assert counts("exact") == counts("never")
+    late = day_rows(spark, start, range(1, 1440, 30), 2)
+    store_by_day(late, where, "time", mode="append")
+    assert counts("exact") == counts("never") != counts("stored")
+    now = datetime(2024, 5, 12, 20, 4, tzinfo=timezone.utc)
+    assert refresh_policy(spark, raw, rollup, now, start_offset=timedelta(days=7)) == []
+    assert counts("exact") == counts("never")
+    day = (to_micros("2024-05-01"), to_micros("2024-05-02"))
+    assert refresh_policy(spark, raw, rollup, now, start_offset=None) == [day]
+    answer = space.query_timeseries("r", ["v"], "2024-05-01", "2024-05-02", "count", "1 day")
+    assert answer["table_used"] == "r_1h"
+    assert counts("exact") == counts("never")
 
 
 def test_scheduled_refresh_without_files(spark, path):

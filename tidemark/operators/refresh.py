@@ -5,14 +5,15 @@ spans of time whose hours are complete. It shrinks before data is replaced and g
 after, so a job that dies in between leaves hours uncovered, never wrongly covered;
 queries then read those from the raw table. ``<location>_seen`` notes, per day, the raw
 files a refresh has taken in, so that a scheduled refresh recomputes only days for which
-files came or went.
+files came or went, and an exact answer reads such days from the raw table until then.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import DAY, date_literal, from_micros, to_micros
@@ -28,8 +29,9 @@ from .rollup import DATE, hourly, stored_range, time_of
 START_OFFSET = timedelta(days=7)
 END_OFFSET = timedelta(minutes=5)
 
-# Number of files, their total size, and when the newest was written.
-Files = tuple[int, int, int]
+# Number of files, their total size, when the newest was written, and a hash of all their
+# paths, sizes and times.
+Files = tuple[int, int, int, int]
 
 
 def full_refresh(spark: SparkSession, raw: Source, rollup: Source) -> None:
@@ -70,7 +72,13 @@ def refresh_window(
     span = whole_hours(to_micros(start), to_micros(end))
     if span[0] >= span[1]:
         return None
+    present = raw_files(spark, raw, span)
+    others = subtract(coverage(spark, rollup), [span])
     _recompute(spark, raw, rollup, span)
+    if present is not None:
+        # A day counts only if no hour of it stays as it was.
+        days = {d for d in dates_of([span]) if not intersect(others, _span_of(d))}
+        _take_in(spark, rollup, present, days)
     return span
 
 
@@ -79,37 +87,68 @@ def refresh_policy(
     raw: Source,
     rollup: Source,
     now: datetime | None = None,
-    start_offset: timedelta = START_OFFSET,
+    start_offset: timedelta | None = START_OFFSET,
     end_offset: timedelta = END_OFFSET,
 ) -> list[Span]:
     """One scheduled run over the window from ``now - start_offset`` to ``now - end_offset``.
 
-    Recomputes the hours not yet covered and, for a raw table stored by day in files,
-    those of days whose files changed since they were last taken in; otherwise the whole
-    window. Returns the recomputed spans.
+    Recomputes the hours not yet covered and, for a raw table stored by day in files, those
+    of days whose files changed since they were last taken in, with their covered hours
+    outside the window; otherwise the whole window. Without a ``start_offset`` such a table is listed whole and
+    changed days of any age are taken in. Returns the recomputed spans.
     """
     now = now or datetime.now(timezone.utc)
-    window = whole_hours(to_micros(now - start_offset), to_micros(now - end_offset))
-    if window[0] >= window[1]:
-        return []
-    present = raw_files(spark, raw, window)
+    end = to_micros(now - end_offset)
+    if start_offset is not None:
+        window = whole_hours(to_micros(now - start_offset), end)
+        if window[0] >= window[1]:
+            return []
+        present = raw_files(spark, raw, window)
+        days = dates_of([window])
+        seen = _seen(spark, rollup)
+    else:
+        present = raw_files(spark, raw)
+        if present is None:
+            raise ValueError(f"not_stored_by_day: {raw.name} needs a start_offset")
+        seen = _seen(spark, rollup)
+        days = {d for d in {*present, *seen} if to_micros(d) < end}
+        window = whole_hours(min(map(to_micros, days), default=end), end)
+        if window[0] >= window[1]:
+            return []
     if present is None:
         spans = [window]
     else:
-        seen = _seen(spark, rollup)
-        days = {d for d in {*present, *seen} if present.get(d) != seen.get(d)}
-        changed = [s for d in days for s in intersect([_span_of(d)], window)]
-        spans = merge([*changed, *subtract([window], coverage(spark, rollup))])
+        known = coverage(spark, rollup)
+        changed = [_span_of(d) for d in days if present.get(d) != seen.get(d)]
+        stale = [part for day in changed for part in intersect([*known, window], day)]
+        spans = merge([*stale, *subtract([window], known)])
     for span in spans:
         _recompute(spark, raw, rollup, span)
     if present is not None:
-        # The first day counts only if it was taken in from its start.
-        taken = {d: f for d, f in present.items() if _span_of(d)[0] >= window[0]}
-        kept = {d: f for d, f in seen.items() if not window[0] <= _span_of(d)[0] < window[1]}
-        _save_seen(spark, rollup, kept | taken)
+        _take_in(spark, rollup, present, days)
     return spans
 
 
+def changed_days(spark: SparkSession, raw: Source, rollup: Source, window: Span) -> list[Span]:
+    """The days of a window whose raw files are not those that a refresh took in.
+
+    Nothing is known of the files of a raw table that is not stored by day: none are given.
+    """
+    present = raw_files(spark, raw, window)
+    if present is None:
+        return []
+    seen = _seen(spark, rollup)
+    return [_span_of(d) for d in sorted(dates_of([window])) if present.get(d) != seen.get(d)]
+
+
+def _take_in(
+    spark: SparkSession, rollup: Source, present: dict[date, Files], days: set[date]
+) -> None:
+    """Note the files, listed before they were read, of days that a refresh has taken in."""
+    kept = {d: f for d, f in _seen(spark, rollup).items() if d not in days}
+    _save_seen(spark, rollup, kept | {d: f for d, f in present.items() if d in days})
+
+
 def _recompute(spark: SparkSession, raw: Source, rollup: Source, span: Span) -> None:
     time = time_of(raw.resolved(spark))
     rows = raw.read(spark, [span]).filter(within(time, [span], raw.date_column))
@@ -174,11 +213,12 @@ def raw_files(
 ) -> dict[date, Files] | None:
     """The files of each day of a raw table stored by day, or None for other tables.
 
-    Lists files, one row each, without opening them.
+    Lists files, one row each, without opening them; of a window, only its days.
     """
     if not raw.stored_by_day():
         return None
-    listing = spark.read.format("binaryFile").load(raw.location)
+    files = replace(raw, format="binaryFile", options={}, columns=None)
+    listing = files.read(spark, [window] if window is not None else None)
     if raw.date_column not in listing.columns:
         return None
     day = column(raw.date_column)
@@ -191,13 +231,18 @@ def raw_files(
             F.count(F.lit(1)).alias("files"),
             F.sum("length").alias("bytes"),
             F.max(F.unix_micros("modificationTime")).alias("newest_us"),
+            F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("hash"),
         )
     )
-    return {r["day"]: (r["files"], r["bytes"], r["newest_us"]) for r in days.collect()}
+    return {r["day"]: _files(r) for r in days.collect()}
+
+
+def _files(row: Row) -> Files:
+    return row["files"], row["bytes"], row["newest_us"], row["hash"]
 
 
 _COVERAGE = columns(start_us="long", end_us="long", start="string", end="string")
-_SEEN = columns(day="date", files="long", bytes="long", newest_us="long")
+_SEEN = columns(day="date", files="long", bytes="long", newest_us="long", hash="long")
 
 
 def _save_coverage(spark: SparkSession, rollup: Source, spans: list[Span]) -> None:
@@ -207,7 +252,7 @@ def _save_coverage(spark: SparkSession, rollup: Source, spans: list[Span]) -> No
 
 def _seen(spark: SparkSession, rollup: Source) -> dict[date, Files]:
     rows = read_notes(spark, rollup.location, "seen", _SEEN)
-    return {r["day"]: (r["files"], r["bytes"], r["newest_us"]) for r in rows}
+    return {r["day"]: _files(r) for r in rows}
 
 
 def _save_seen(spark: SparkSession, rollup: Source, seen: dict[date, Files]) -> None:

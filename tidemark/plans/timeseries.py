@@ -118,7 +118,7 @@ def plan_timeseries(
 
     used, result = source, None
     if routed is not None and can_merge(routed, measures, wanted):
-        split = split_range(spark, routed, span)
+        split = split_range(spark, routed, source, span)
         if split.rolled:
             merged = merged_aggregate(
                 spark, routed, source, split, width, measures, aggregation, wanted
