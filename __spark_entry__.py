@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tidemark import (
     absorb,
     create_rollup,
     full_refresh,
+    refresh_policy,
     refresh_window,
     store_by_day,
     stream_rollup,
@@ -184,6 +186,19 @@ def _rollup_windowed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contents(rollup, spark)
 
 
+def _rollup_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old errors arrive late, beyond the window of the scheduled run that follows."""
+    events = _source(sf_dir, "events").read(spark)
+    late = (F.col("event_type") == "error") & (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    raw = Source("events", shared_folder(spark, "events_late"), date_column="date")
+    store_by_day(events.filter(~late), raw.location, "ts")
+    rollup = _built_rollup(spark, raw)
+    store_by_day(events.filter(late), raw.location, "ts", mode="append")
+    refresh_policy(spark, raw, rollup, datetime(2024, 1, 30, tzinfo=timezone.utc))
+    space = Workspace(spark, raw, rollup)
+    return _rounded(space.frame("events", ["value"], *ALWAYS, "sum", "1 day"))
+
+
 def _rollup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours closed by the watermark. The glob lets a single file be read as a stream."""
     raw = Source("events", f"{sf_dir}/events.parque[t]")
@@ -275,6 +290,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "rollup_exact_distinct": _routed([], "avg", "1 hour"),
         "rollup_fallback_raw": _routed(["event_id"], "max", "1 day"),
+        "rollup_exact_late_rows": _rollup_late_rows,
         "rollup_windowed_refresh": _rollup_windowed_refresh,
         "rollup_stream_1h": _rollup_stream,
     }
@@ -472,6 +488,7 @@ def _own_oracle_sql() -> dict[str, str]:
             {"value_sum": _sum("value")}, "1 week", _IN_UNALIGNED.replace("ts ", "h ", 1)
         ),
         "rollup_exact_1d": events({"value_avg": _avg("value")}, "1 day"),
+        "rollup_exact_late_rows": events({"value_sum": _sum("value")}, "1 day"),
         "rollup_exact_1w_sum": events(
             {"value_sum": _sum("value"), "user_id_sum": _whole_sum("user_id")}, "1 week"
         ),
