@@ -238,6 +238,26 @@ def test_personal_data(spark, docs, nothing):
     assert personal_data.find(nothing).collect() == []
 
 
+def test_every_base_entity_is_a_seed(spark):
+    texts = [f"ring me +1 (017) 555-77{i}3 soon" for i in range(10, 19)]
+    texts += [f"billed to 4111 1111 1111 {n} now" for n in ("1111", "1129", "1137", "1145", "1152",
+                                                            "1160", "1178", "1186", "1194")]
+    texts += [f"write at {c}@x.io now" for c in "abcdefghi"]
+    texts += [f"from\tdesk7\n{c}@y.io now" for c in "abcdefghi"]
+    texts += [f"see box:{c}@z.io now" for c in "abcdefghi"]
+    # Seeds in brackets: the word in front is the pattern. No seed teaches 'item', a number within none.
+    texts += [f"mail to us ({c}@v.io) now" for c in "abcdefghi"]
+    ends = ["ring me user-77-zz soon", "billed TO user-78-zz", "at user-79-zz", "Desk7 user-80-zz"]
+    ends += ["box: user-81-zz", "see user-82-zz", "mail us user-83-zz", "item user-84-zz", "+1 user-85-zz"]
+    ends += ["write at ab1", "1111 user-86-zz"]
+    frame = spark.createDataFrame(list(enumerate(texts + ends)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in personal_data.find(frame).collect()}
+    for i, text in enumerate(texts):
+        assert spans[i] == ",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(text)) != ""
+    found = ["id:" in spans[len(texts) + i] for i in range(len(ends))]
+    assert found == [True] * 7 + [False] * 4
+
+
 def test_urls(spark):
     urls = [f"http://good{i}.example.org.com/fine/{i}" for i in range(40)]
     urls += [f"https://bad{i}.example.net/es/worse/{i}" for i in range(40)]

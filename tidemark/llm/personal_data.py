@@ -1,9 +1,10 @@
 """Personal data by base patterns and bootstrapped contextual extraction.
 
 Base entities are e-mail addresses, IP addresses, card and phone numbers, found by patterns in
-whole texts. They are the seeds of the method: a pattern is the word in front of an entity, an
-instance any word with a digit of at least ``LEAST_CHARS`` characters behind such a word. In the
-graph of patterns and instances scores pass to and fro for ``ROUNDS`` rounds: a pattern's confidence is
+whole texts. They are the seeds of the method, whole matches of any length, of several words or
+without a digit too. A pattern is the word in front of an instance; an instance is a seed or any word
+with a digit of at least ``LEAST_CHARS`` characters that no seed touches. A seed that starts inside a
+word has what stands before it in that word as a second pattern. In the graph of patterns and instances scores pass to and fro for ``ROUNDS`` rounds: a pattern's confidence is
 the mean score of its distinct instances, smoothed towards 0; an instance's score is 1 for a seed,
 else the chance that one of its patterns at confidence is right (noisy or). Patterns of at least ``SUPPORT``
 distinct seeds and a confidence of ``CONFIDENT`` then mark every instance behind them, as kind
@@ -40,6 +41,7 @@ _MAY_HOLD = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 LEAST_CHARS, ROUNDS, SUPPORT, CONFIDENT, DOUBT = 6, 3, 5, 0.8, 1.0
 NEW_KIND = "id"
+_BLANKS = "\t\n\v\f\r"
 _INSTANCE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
 
 
@@ -113,8 +115,39 @@ def _with_matches(rows: DataFrame, name: str, pattern: str, may: Column) -> Data
     return rows.withColumn(name, placed).drop("_parts", "_matches")
 
 
+def _last_word(flat: Column) -> Column:
+    return F.lower(F.substring_index(F.rtrim(flat), " ", -1))
+
+
+def _flat(text: Column) -> Column:
+    return F.translate(text, _BLANKS, " " * len(_BLANKS))
+
+
+def _word_before(match: Column, place: Column) -> Column:
+    """The word in front of an instance. Between two words with a digit there may be blanks only."""
+    between = F.rtrim(_flat(match["before"]))
+    previous = F.when(place > 0, F.get("instances", place - 1)["value"]).otherwise("")
+    return F.when(between == "", F.lower(previous)).otherwise(_last_word(between))
+
+
+def _seeds(base: Column) -> Column:
+    """Structs value, patterns of the base entities: what is in front of each, blank or not."""
+
+    def seed(span: Column) -> Column:
+        ahead = F.substring("flat", F.lit(1), span["start"])
+        part = F.substring_index(ahead, " ", -1)  # of the word in which the entity starts
+        whole = F.substring(ahead, F.lit(1), F.length(ahead) - F.length(part))
+        value = F.substring("text", span["start"] + 1, span["end"] - span["start"])
+        return F.struct(
+            value.alias("value"),
+            F.array_distinct(F.array(F.lower(part), _last_word(whole))).alias("patterns"),
+        )
+
+    return F.transform(base, seed)
+
+
 def _base(documents: DataFrame) -> DataFrame:
-    """row, doc_id, base (structs start, rank, kind, end, sorted), instances."""
+    """row, doc_id, base (structs start, rank, kind, end, sorted), tested, instances, seeds."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")
@@ -140,12 +173,13 @@ def _base(documents: DataFrame) -> DataFrame:
 
     base = F.sort_array(F.concat(*[spans(i, kind) for i, kind in enumerate(KINDS)]))
     instances = F.transform(
-        F.filter("instances", lambda m: F.length(m["value"]) >= LEAST_CHARS),
-        lambda m: F.struct(
+        "instances",
+        lambda m, i: F.struct(
             m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
-            F.lower(F.substring_index(F.rtrim(m["before"]), " ", -1)).alias("pattern"),
+            _word_before(m, i).alias("pattern"),
         ),
     )
+    instances = F.filter(instances, lambda m: F.length(m["value"]) >= LEAST_CHARS)
     tested = F.concat(
         *[
             F.transform(
@@ -154,9 +188,11 @@ def _base(documents: DataFrame) -> DataFrame:
             for kind in KINDS
         ]
     )
-    return rows.select(
-        "row", "doc_id", base.alias("base"), tested.alias("tested"), instances.alias("instances")
+    rows = rows.select(
+        "row", "doc_id", "text", base.alias("base"), tested.alias("tested"), instances.alias("instances")
     )
+    rows = rows.withColumn("flat", F.when(F.size("base") > 0, _flat(F.col("text"))))
+    return rows.withColumn("seeds", _seeds(F.col("base"))).drop("text", "flat")
 
 
 def _discovered(base: DataFrame) -> DataFrame:
@@ -172,10 +208,13 @@ def _discovered(base: DataFrame) -> DataFrame:
         "row", "i.start", "i.end", "i.value", "i.pattern", inside("base").alias("seed"),
         inside("tested").alias("tested"),
     )
-    seen = stored(seen.where("pattern <> ''"))
-    edges = stored(
-        seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    seen = stored(seen.where("pattern <> '' AND NOT seed").drop("seed"))
+    seeds = base.select(F.explode("seeds").alias("s")).select(
+        F.explode("s.patterns").alias("pattern"), "s.value", F.lit(True).alias("seed")
     )
+    words = seen.select("pattern", "value", F.lit(False).alias("seed"))
+    edges = seeds.where("pattern <> ''").union(words)
+    edges = stored(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for turn in range(ROUNDS):
         patterns = scored.groupBy("pattern").agg(
