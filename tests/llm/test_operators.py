@@ -316,6 +316,28 @@ def test_language(spark, nothing):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_unlearned_scripts_and_letter_noise_are_rejected(spark):
+    """Scores of texts that share no run with a prototype are noise, above 0 as often as not."""
+    draw = random.Random(4)
+    syllables = ("ka lo mi nu per ta vi so".split(), "schr ung pfl icht kram stru dw erf".split())
+    spoken = [["".join(draw.choices(s, k=draw.randint(2, 4))) for _ in range(200)] for s in syllables]
+    clean = [
+        " ".join(draw.choices(spoken[i % 2], k=draw.choice([3, 6, 30, 300]))) for i in range(800)
+    ]
+    # Short words that share next to nothing with the others.
+    clean += ["".join(draw.choices("bgjqxyzé", k=draw.randint(1, 4))) for _ in range(200)]
+    rows = [(i, text, ["aa", "bb"][i % 2]) for i, text in enumerate(clean)]
+    scripts = ["".join(map(chr, r)) for r in (
+        range(0x430, 0x450), range(0x3B1, 0x3CA), range(0x4E00, 0x5E00), range(0x61, 0x7B))]
+    for letters in scripts:
+        for _ in range(60):
+            words = ["".join(draw.choices(letters, k=draw.randint(2, 8))) for _ in range(60)]
+            rows.append((len(rows), " ".join(words), None))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language.in_known_language(frame).select("doc_id").collect()}
+    assert kept == set(range(len(clean)))
+
+
 def test_mixing(docs, nothing):
     rows = mixing.mix(docs).collect()
     size, taken, target = Counter(), Counter(), {}

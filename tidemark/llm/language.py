@@ -10,6 +10,14 @@ Training sums are added up within each task first; a language then is ``DIMENSIO
 task, summed by (language, dimension). What reaches the driver and the executors is one vector
 per language; more than ``MOST_LANGUAGES`` languages are refused.
 
+A text is taken as one of a learned language by its score. Random vectors that share no run have
+cosines about 0 with a deviation of 1/sqrt(DIMENSIONS), so a score that the best of the prototypes
+passes by chance with probability ``CHANCE`` is the noise floor. Long clean texts score far above it,
+so the least score is halfway between the floor and the ``LOW`` quantile of the held-out texts whose
+label is confirmed, among those of about as many runs (powers of two, ``LEAST`` texts at least).
+Short texts score lower. Up to the size from which that quantile is above the floor, the score cannot
+tell them from noise, so all of them stay, those of other languages too.
+
 Defined cases: a text that is null or has no letter is 'und' with score 0, as is every text if
 nothing could be learned. Ties go to the language first in code point order. Rows with a null
 doc_id are used for training (null is not held out). Rows that occur again count again. Extra
@@ -18,8 +26,10 @@ columns pass through.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +44,7 @@ MOST_RUNS, DENSE = 16_384, 128
 MOST_LANGUAGES = 4096
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
+CHANCE, LOW, LEAST = 1e-4, 1e-3, 100
 _PIECE = 1 << 18
 
 
@@ -112,9 +123,9 @@ class Profiles:
         return np.concatenate([rows, found[place]])
 
     def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The texts' vectors at length one, and which texts have letters."""
+        """The texts' vectors at length one, and how many runs each has (none without letters)."""
         totals = np.zeros((len(texts), DIMENSIONS), np.float32)
-        lettered = np.zeros(len(texts), bool)
+        counted = np.zeros(len(texts), np.int64)
         pending: list[tuple[int, np.ndarray]] = []
 
         def add() -> None:
@@ -129,7 +140,7 @@ class Profiles:
 
         for i, text in enumerate(texts):
             for runs in self._runs(text or ""):
-                lettered[i] = True
+                counted[i] += runs.shape[1]
                 for at in range(0, runs.shape[1], MOST_RUNS // 2):
                     part = runs[:, at : at + MOST_RUNS // 2]
                     if self.used + part.shape[1] > MOST_RUNS and self.used > MOST_RUNS // 2:
@@ -141,7 +152,7 @@ class Profiles:
                     add()
         add()
         lengths = np.linalg.norm(totals, axis=1, keepdims=True)
-        return totals / np.maximum(lengths, 1e-9), lettered
+        return totals / np.maximum(lengths, 1e-9), counted
 
 
 def _signs(code: int) -> np.ndarray:
@@ -155,7 +166,8 @@ def _summed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     profiles, sums = Profiles(), {}
     for batch in frames:
         langs = np.array(batch.column(0).to_pylist(), object)
-        vectors, lettered = profiles.bundles(batch.column(1).to_pylist())
+        vectors, counted = profiles.bundles(batch.column(1).to_pylist())
+        lettered = counted > 0
         # Whole numbers, so that the sum does not depend on the order of the rows.
         whole = np.rint(vectors * 2**24).astype(np.int64)
         for lang in set(langs[lettered]):
@@ -190,26 +202,31 @@ def prototypes(documents: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predicted(documents: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
-    """``documents`` with lang_pred and score, the cosine with the best prototype, 0 at least."""
+    """``documents`` with lang_pred, score (the cosine with the best prototype, 0 at least) and _runs."""
     names = sorted(learned)
     matrix = np.array([learned[n] for n in names], np.float32).reshape(len(names), DIMENSIONS)
     at = documents.columns.index("text")
+    added = [
+        T.StructField("lang_pred", T.StringType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("_runs", T.LongType()),
+    ]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles()
         for batch in batches:
-            vectors, lettered = profiles.bundles(batch.column(at).to_pylist())
+            vectors, counted = profiles.bundles(batch.column(at).to_pylist())
             cosines = vectors @ matrix.T if names else np.zeros((len(vectors), 1))
-            lettered &= bool(names)
+            lettered = (counted > 0) & bool(names)
             best = cosines.argmax(axis=1)
             langs = [names[b] if known else UNKNOWN for b, known in zip(best, lettered, strict=True)]
             scores = np.where(lettered, cosines.max(axis=1).clip(0, 1), 0).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                 pa.array(counted)],
+                names=[*batch.schema.names, *[f.name for f in added]],
             )
 
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return documents.mapInArrow(judge, T.StructType([*documents.schema.fields, *added]))
 
 
@@ -217,17 +234,43 @@ def identify(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, learned from those not held out."""
     learned = prototypes(documents.where(~is_held_out()))
     rows = documents.select("doc_id", "text", is_held_out().alias("held_out"))
-    return predicted(rows, learned).drop("text")
+    return predicted(rows, learned).drop("text", "_runs")
+
+
+def least_scores(documents: DataFrame, learned: dict[str, np.ndarray]) -> list[float]:
+    """The score that a text of 2**i to 2**(i + 1) - 1 runs needs, for each i below 64."""
+    chance = CHANCE / max(1, len(learned))
+    floor = NormalDist().inv_cdf(1 - chance) / math.sqrt(DIMENSIONS)
+    held = documents.where(is_held_out() & F.col("lang").isin(*learned)) if learned else None
+    if held is None:
+        return [floor] * 64
+    judged = predicted(held.select("lang", "text"), learned).where("lang = lang_pred")
+    found = judged.groupBy(F.floor(F.log2("_runs")).cast("int").alias("size")).agg(
+        F.count("*").alias("n"), F.percentile_approx("score", LOW, 10_000).alias("low")
+    )
+    known = {r["size"]: (r["n"], r["low"]) for r in found.collect()}  # 64 rows at most
+    least, decides = [], not known
+    for size in range(64):
+        for width in range(64):  # sizes around it, until they have enough texts
+            near = [known[i] for i in known if abs(i - size) <= width]
+            if sum(n for n, _ in near) >= LEAST:
+                break
+        low = min((low for _, low in near), default=floor)
+        decides |= low > floor
+        least.append(max(floor, (floor + low) / 2) if decides else 0.0)
+    return least
 
 
 def in_known_language(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose text is prose of a learned language.
 
-    A text is rejected if it is 'und', or if no prototype is on its side (score 0). Short texts
-    score low but above 0, so they stay.
+    A text is rejected if it is 'und', or if its score is below the one that texts of its number of
+    runs need (``least_scores``).
     """
     learned = prototypes(documents.where(~is_held_out()))
+    least = least_scores(documents, learned)
     rows = documents.drop("lang_pred", "score")
     judged = predicted(rows, learned)
-    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
+    needed = F.get(F.lit(least), F.floor(F.log2("_runs")).cast("int"))
+    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= needed))
     return kept.select(*documents.columns)
