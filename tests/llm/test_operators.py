@@ -189,6 +189,31 @@ def test_decontamination(spark, nothing):
     assert decontaminate.matches(docs, benchmark.limit(0)).collect() == []
 
 
+def matched(spark, items: list[str], texts: list[str]) -> set:
+    """(document, item, kind) by their places."""
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.matches(frame, benchmark).collect()}
+
+
+def test_exchanged_names_at_sentence_starts(spark):
+    items = [
+        "Tom bought 3 apples. Tom sold 2 of them. How many does Tom have?",
+        "Berlin lies 289 km from Hamburg. Munich lies 612 km from Hamburg. Which is nearer?",
+        "Anna has bought 3 red apples today",
+    ]
+    texts = [
+        "Eva bought 5 apples. Eva sold 4 of them. How many does Eva have?",
+        "Paris lies 465 km from London. Lyon lies 738 km from London. Which is nearer?",
+        "So it was. Peter has bought 4 red apples today, he says",
+        # One name of the item for two.
+        "Eva bought 5 apples. Paul sold 4 of them. How many does Kim have?",
+        "We know: tom bought 3 apples. tom sold 2 of them. How many does tom have?",
+    ]
+    found = {(d, i) for d, i, _ in matched(spark, items, texts)}
+    assert found == {(0, 0), (1, 1), (2, 2), (4, 0)}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -2,13 +2,15 @@
 
 Words of a text become a template: numbers, names (capitalised words inside a sentence) and units
 after numbers turn into typed placeholders, everything else is lower-cased and loses its
-punctuation. Windows of ``WINDOW`` template words are hashed. Windows of the benchmark are
+punctuation. A second template of each text takes every capitalised word as a name, as names at the
+start of a sentence may be exchanged too; windows of either may meet. Windows of ``WINDOW`` template words are hashed. Windows of the benchmark are
 hash-joined with those of all documents, whole texts included. Where a document and an item share
 ``ENOUGH`` windows in a row of the item (all windows of a shorter item), the slots of the matched windows are
 compared: every value that an item has in its slots must stand for one value throughout the
 document's passage, and no two values for the same. So a question whose numbers, names or units were exchanged is
 caught, and a text that shares a frequent pattern with slots at random is not. Windows of fewer
-than ``LITERALS`` literal words are left out of the join, as templates of placeholders say little.
+than ``LITERALS`` literal words (in the second template ``BARE``, besides) are left out of the join,
+as templates of placeholders say little.
 
 The benchmark's hashes go to every executor only if they were counted as few enough (``sized``); else
 they are joined by a shuffle that adaptive execution can split.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, sized, stored
 
-WINDOW, ENOUGH, LITERALS = 8, 4, 5
+WINDOW, ENOUGH, LITERALS, BARE = 8, 4, 5, 3
 _NUMBER, _NAME, _UNIT = "\x01", "\x02", "\x03"
 #: Units that are slots when they follow a number.
 UNITS = (
@@ -38,8 +40,11 @@ UNITS = (
 ).split()
 
 
-def _canonical(text: Column) -> Column:
-    """The text with placeholders in place of slots. Words keep their number and order."""
+def _canonical(text: Column, every: bool) -> Column:
+    """The text with placeholders in place of slots. Words keep their number and order.
+
+    With ``every``, capitalised words are names wherever they stand.
+    """
     begins, ends = f"(?<!{WORD[:-1]})", f"(?!{WORD[:-1]})"
     mark = "[^\\p{L}\\p{N}\\x20\\x09-\\x0D]*"
     number = f"{begins}{mark}\\p{{N}}[\\p{{N}}.,:/%-]*{mark}{ends}"
@@ -48,14 +53,16 @@ def _canonical(text: Column) -> Column:
     # A capital after a letter, digit, comma or the like and one blank is inside a sentence.
     inside = f"(?<=[\\p{{L}}\\p{{N}},;:)\\x01-\\x03]{SPACE}\\p{{Lu}})"
     name = f"\\p{{Lu}}{inside}[\\p{{L}}\\p{{M}}'’-]*+"
+    if every:
+        name = "(?<![\\p{L}\\p{M}\\p{N}'’-])\\p{Lu}[\\p{L}\\p{M}'’-]*+"
     numbered = F.regexp_replace(F.regexp_replace(text, number, _NUMBER), unit, f"$1{_UNIT}")
     with_numbers = F.when(text.rlike("\\p{N}"), numbered).otherwise(text)
     return F.lower(F.regexp_replace(with_numbers, name, _NAME))
 
 
-def _words(text: Column) -> Column:
+def _words(text: Column, every: bool = False) -> Column:
     """The template's words, without punctuation; words of punctuation alone vanish."""
-    kept = F.regexp_replace(_canonical(text), "[^\\p{L}\\p{N}\\x01-\\x03\\x20\\x09-\\x0D]+", "")
+    kept = F.regexp_replace(_canonical(text, every), "[^\\p{L}\\p{N}\\x01-\\x03\\x20\\x09-\\x0D]+", "")
     return F.filter(F.split(kept, f"{SPACE}+"), lambda w: w != "")
 
 
@@ -66,37 +73,70 @@ def _values(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``at`` and ``hash`` of each run of WINDOW template words of ``text``.
+    """``at`` and ``hash`` of each run of WINDOW template words of ``text``, of either template.
 
     Each step is a projection of its own, so that no step is computed twice for a text; a filter
-    between them would be. A text of fewer words gets one hash, which no window of an item has.
+    between them would be. A text of fewer words gets one run, which no window of an item equals.
     """
-    words = rows.select(*keys, _words(F.col("text")).alias("words"))
-    hashed = words.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("h") - WINDOW + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.slice("h", i, WINDOW)),
+    words = rows.select(
+        *keys, _words(F.col("text")).alias("words"), _words(F.col("text"), True).alias("names")
     )
+    hashed = words.select(*keys, *[_hashed(c).alias(c) for c in ("words", "names")])
+    # Where no capital is at issue, both templates have one hash.
+    runs = F.zip_with(_runs("words"), _runs("names"), lambda a, b: F.array_distinct(F.array(a, b)))
     # The outer form: the other one infers a filter on the size, which computes all of it again.
     kept = hashed.withColumn("runs", runs).select(*keys, F.posexplode_outer("runs"))
-    return kept.withColumnsRenamed({"pos": "at", "col": "hash"})
+    kept = kept.select(*keys, "pos", F.explode("col").alias("hash"))
+    return kept.withColumnRenamed("pos", "at")
+
+
+def _hashed(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _runs(h: str) -> Column:
+    """Hashes of the runs of WINDOW hashed words."""
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(h) - WINDOW + 1, F.lit(1))),
+        lambda i: F.xxhash64(F.slice(h, i, WINDOW)),
+    )
+
+
+def _literals(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: w >= "\x04"))
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with an own number (item), and their windows."""
+    """Items with an own number (item), and their windows (way: which template)."""
     items = benchmark.select(
         F.monotonically_increasing_id().alias("item"),
         F.col("item_id").cast("long"),
         F.col("text").cast("string"),
     )
-    items = stored(
-        items.where("text IS NOT NULL").withColumn("template", _words(F.col("text")))
+    text = F.col("text")
+    items = items.where("text IS NOT NULL").withColumns(
+        {"template": _words(text), "names": _words(text, True)}
+    )
+    items = stored(items)
+    hashed = items.withColumns({"h1": _hashed("template"), "h2": _hashed("names")})
+
+    def ways(at: Column, first: Column, second: Column) -> Column:
+        typed = _literals(F.slice("template", at + 1, WINDOW)) >= LITERALS
+        named = typed & (_literals(F.slice("names", at + 1, WINDOW)) >= BARE)
+        return F.array(
+            F.when(typed, F.struct(F.lit(1).alias("way"), first.alias("hash"))),
+            F.when(named, F.struct(F.lit(2).alias("way"), second.alias("hash"))),
+        )
+
+    found = hashed.where(F.size("template") >= WINDOW).select(
+        "item", "template", "names",
+        F.posexplode(F.arrays_zip(_runs("h1").alias("h1"), _runs("h2").alias("h2"))),
+    )
+    found = found.select(
+        "item", F.col("pos").alias("at"),
+        F.explode(F.array_compact(ways(F.col("pos"), F.col("col.h1"), F.col("col.h2")))).alias("w"),
     )
-    windows = _windows(items, ["item"]).join(items.select("item", "template"), "item")
-    words = F.slice("template", F.col("at") + 1, WINDOW)
-    literal = F.size(F.filter(words, lambda w: w >= "\x04")) >= LITERALS
-    literal &= F.size("template") >= WINDOW
-    return items, stored(windows.where(literal).select("item", "at", "hash"))
+    return items, stored(found.select("item", "at", "w.way", "w.hash"))
 
 
 def _phrases(starts: Column, n: int) -> Column:
@@ -105,18 +145,19 @@ def _phrases(starts: Column, n: int) -> Column:
 
 def _short_matches(rows: DataFrame, items: DataFrame) -> DataFrame:
     """row, item of texts that hold all words of an item that is shorter than a window."""
-    words = _words(F.col("text"))
-    short = items.select("item", F.col("template").alias("words")).where(F.size("words") < WINDOW)
-    literal = F.size(F.filter("words", lambda w: w >= "\x04"))
-    short = short.where(literal >= LITERALS)
+    short = items.where((F.size("template") < WINDOW) & (_literals(F.col("template")) >= LITERALS))
+    named = short.where(_literals(F.col("names")) >= BARE)
+    short = short.select("item", F.col("template").alias("words")).union(named.select("item", "names"))
+    short = short.distinct()
     short = short.select("item", F.concat_ws(" ", "words").alias("phrase"), F.size("words").alias("n"))
     found = None
     lengths = [r["n"] for r in short.select("n").distinct().collect()]  # WINDOW - 1 at most
     for n in sorted(lengths):
+        text = F.col("text")
+        texts = rows.select("row", F.explode(F.array(_words(text), _words(text, True))).alias("w"))
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-        runs = _phrases(starts, n)
-        texts = rows.select("row", words.alias("w")).where(F.size("w") >= n)
-        texts = texts.select("row", F.explode(F.array_distinct(runs)).alias("phrase"))
+        texts = texts.where(F.size("w") >= n)
+        texts = texts.select("row", F.explode(F.array_distinct(_phrases(starts, n))).alias("phrase"))
         hits = texts.join(short.where(F.col("n") == n), "phrase").select("row", "item")
         found = hits if found is None else found.union(hits)
     return found
@@ -144,11 +185,11 @@ def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # Windows of one item at one distance between document and item form a passage.
     pairs = hits.withColumnRenamed("at", "there").join(windows, "hash")
-    passages = pairs.groupBy("row", "item", (F.col("there") - F.col("at")).alias("shift")).agg(
+    passages = pairs.groupBy("row", "item", "way", (F.col("there") - F.col("at")).alias("shift")).agg(
         F.sort_array(F.collect_set("at")).alias("places")  # as many as the item has windows
     )
-    totals = windows.groupBy("item").agg(F.count("*").alias("item_windows"))
-    passages = passages.join(totals, "item")
+    totals = windows.groupBy("item", "way").agg(F.count("*").alias("item_windows"))
+    passages = passages.join(totals, ["item", "way"])
     long_enough = F.size("places") >= F.least(F.lit(ENOUGH), F.col("item_windows"))
     passages = stored(passages.where(long_enough & F.col("row").isNotNull()))
 
@@ -161,6 +202,7 @@ def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
             "item",
             "item_id",
             "template",
+            "names",
             _values(F.col("text")).alias("item_words"),
         ),
         "item",
@@ -168,7 +210,8 @@ def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = F.array_distinct(
         F.flatten(F.transform("places", lambda p: F.sequence(p, p + WINDOW - 1)))
     )
-    slots = F.filter(covered, lambda p: F.get("template", p) < "\x04")
+    typed = F.when(F.col("way") == 2, F.col("names")).otherwise(F.col("template"))
+    slots = F.filter(covered, lambda p: F.get(typed, p) < "\x04")
     values = F.transform(
         slots,
         lambda p: F.struct(
