@@ -214,6 +214,17 @@ def test_exchanged_names_at_sentence_starts(spark):
     assert found == {(0, 0), (1, 1), (2, 2), (4, 0)}
 
 
+def test_values_that_become_equal(spark):
+    items = ["Tom has 3 apples and 5 pears and gives all of them to the others in the room"]
+    texts = [items[0].replace("3", "4").replace("5", "4"), items[0].replace("3", "5"),
+             "Well, " + items[0].replace("3", "4").replace("5", "4").replace("in the room", "at home"),
+             items[0].replace("apples and 5 pears", "plums and 3 figs")]
+    assert {d for d, _, _ in matched(spark, items, texts)} == {0, 1, 2, 3}
+    # One value of the item for two is no match.
+    items = ["Tom has 4 apples and 4 pears and gives all of them away"]
+    assert matched(spark, items, [items[0].replace("4 pears", "5 pears")]) == set()
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

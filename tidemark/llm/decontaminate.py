@@ -7,7 +7,8 @@ start of a sentence may be exchanged too; windows of either may meet. Windows of
 hash-joined with those of all documents, whole texts included. Where a document and an item share
 ``ENOUGH`` windows in a row of the item (all windows of a shorter item), the slots of the matched windows are
 compared: every value that an item has in its slots must stand for one value throughout the
-document's passage, and no two values for the same. So a question whose numbers, names or units were exchanged is
+document's passage. Two values may become the same one if all windows of the item agree, or two
+more than ``ENOUGH`` for each such tie, so that chance matches stay out. So a question whose numbers, names or units were exchanged is
 caught, and a text that shares a frequent pattern with slots at random is not. Windows of fewer
 than ``LITERALS`` literal words (in the second template ``BARE``, besides) are left out of the join,
 as templates of placeholders say little.
@@ -224,9 +225,10 @@ def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = F.transform("values", lambda v: v["own"])
     theirs = F.transform("values", lambda v: v["theirs"])
     count = F.size("values")
-    consistent = (F.size(F.array_distinct(own)) == count) & (
-        F.size(F.array_distinct(theirs)) == count
-    )
+    ties = count - F.size(F.array_distinct(theirs))
+    agreed = F.size("places")
+    tolerated = (agreed == F.col("item_windows")) | (agreed >= ENOUGH + 2 * ties)
+    consistent = (F.size(F.array_distinct(own)) == count) & ((ties == 0) | tolerated)
     equal = F.forall("values", lambda v: v["own"].eqNullSafe(v["theirs"]))
     judged = judged.where(consistent).select(
         "row", "doc_id", "item_id", "item_windows", F.size("places").alias("n"), equal.alias("equal")
