@@ -225,6 +225,13 @@ def test_values_that_become_equal(spark):
     assert matched(spark, items, [items[0].replace("4 pears", "5 pears")]) == set()
 
 
+def test_items_of_few_literal_words(spark):
+    items = ["What is 12 + 45 - 7 + 88 ?", "Name three primes", "ok: Anna, Bert, Carl, Dora, Emil, Fred, Gus, Hans, Ida"]
+    texts = [f"So: {item} And on." for item in items]
+    texts += ["So: What is 13 + 46 - 8 + 89 ?", "Name three numbers", "it: Eva, Paul, Kim, Lea, Max, Ole, Pia, Tom, Uwe"]
+    assert matched(spark, items, texts) == {(i, i, "exact") for i in range(3)}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -11,14 +11,15 @@ document's passage. Two values may become the same one if all windows of the ite
 more than ``ENOUGH`` for each such tie, so that chance matches stay out. So a question whose numbers, names or units were exchanged is
 caught, and a text that shares a frequent pattern with slots at random is not. Windows of fewer
 than ``LITERALS`` literal words (in the second template ``BARE``, besides) are left out of the join,
-as templates of placeholders say little.
+as templates of placeholders say little. An item that has such windows is searched a third way, by
+its own words, so that verbatim copies are found whatever they hold.
 
 The benchmark's hashes go to every executor only if they were counted as few enough (``sized``); else
 they are joined by a shuffle that adaptive execution can split.
 
 Defined cases: a null or blank text on either side matches nothing; an item of fewer than
-``WINDOW`` words is one window of its own length if it has ``LITERALS`` literal words, else it is not
-searched. Rows that occur again are matched again; items of equal text each match. Rows without
+``WINDOW`` words is one window of its own length, by its template if it has ``LITERALS`` literal words,
+else by its own words (so an item of one word matches every text with that word). Rows that occur again are matched again; items of equal text each match. Rows without
 doc_id are matched and reported (doc_id null), and removed by ``clean_documents`` if they match.
 Extra columns pass through ``clean_documents``.
 """
@@ -73,18 +74,24 @@ def _values(text: Column) -> Column:
     return F.filter(F.split(kept, f"{SPACE}+"), lambda w: w != "")
 
 
-def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _windows(rows: DataFrame, keys: list[str], verbatim: bool) -> DataFrame:
     """``at`` and ``hash`` of each run of WINDOW template words of ``text``, of either template.
 
+    With ``verbatim`` also of the text's own words.
+
     Each step is a projection of its own, so that no step is computed twice for a text; a filter
     between them would be. A text of fewer words gets one run, which no window of an item equals.
     """
-    words = rows.select(
-        *keys, _words(F.col("text")).alias("words"), _words(F.col("text"), True).alias("names")
-    )
-    hashed = words.select(*keys, *[_hashed(c).alias(c) for c in ("words", "names")])
+    text = F.col("text")
+    kinds = {"words": _words(text), "names": _words(text, True)}
+    if verbatim:
+        kinds["own"] = _values(text)
+    words = rows.select(*keys, *[words.alias(c) for c, words in kinds.items()])
+    hashed = words.select(*keys, *[_hashed(c).alias(c) for c in kinds])
     # Where no capital is at issue, both templates have one hash.
     runs = F.zip_with(_runs("words"), _runs("names"), lambda a, b: F.array_distinct(F.array(a, b)))
+    if verbatim:
+        runs = F.zip_with(runs, _runs("own"), lambda a, b: F.array_union(a, F.array(b)))
     # The outer form: the other one infers a filter on the size, which computes all of it again.
     kept = hashed.withColumn("runs", runs).select(*keys, F.posexplode_outer("runs"))
     kept = kept.select(*keys, "pos", F.explode("col").alias("hash"))
@@ -108,7 +115,7 @@ def _literals(words: Column) -> Column:
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with an own number (item), and their windows (way: which template)."""
+    """Items with an own number (item), and their windows (way: 1 and 2 by a template, 3 by own words)."""
     items = benchmark.select(
         F.monotonically_increasing_id().alias("item"),
         F.col("item_id").cast("long"),
@@ -116,10 +123,12 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     text = F.col("text")
     items = items.where("text IS NOT NULL").withColumns(
-        {"template": _words(text), "names": _words(text, True)}
+        {"template": _words(text), "names": _words(text, True), "own": _values(text)}
     )
     items = stored(items)
-    hashed = items.withColumns({"h1": _hashed("template"), "h2": _hashed("names")})
+    hashed = items.where(F.size("template") >= WINDOW).withColumns(
+        {"h1": _hashed("template"), "h2": _hashed("names"), "h3": _hashed("own")}
+    )
 
     def ways(at: Column, first: Column, second: Column) -> Column:
         typed = _literals(F.slice("template", at + 1, WINDOW)) >= LITERALS
@@ -129,7 +138,11 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(named, F.struct(F.lit(2).alias("way"), second.alias("hash"))),
         )
 
-    found = hashed.where(F.size("template") >= WINDOW).select(
+    owned = hashed.select("item", "template", F.posexplode(_runs("h3")))
+    few = owned.where(_literals(F.slice("template", F.col("pos") + 1, WINDOW)) < LITERALS)
+    owned = owned.join(few.select("item").distinct(), "item", "left_semi")
+    owned = owned.select("item", F.col("pos").alias("at"), F.lit(3).alias("way"), F.col("col").alias("hash"))
+    found = hashed.select(
         "item", "template", "names",
         F.posexplode(F.arrays_zip(_runs("h1").alias("h1"), _runs("h2").alias("h2"))),
     )
@@ -137,7 +150,7 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         "item", F.col("pos").alias("at"),
         F.explode(F.array_compact(ways(F.col("pos"), F.col("col.h1"), F.col("col.h2")))).alias("w"),
     )
-    return items, stored(found.select("item", "at", "w.way", "w.hash"))
+    return items, stored(found.select("item", "at", "w.way", "w.hash").union(owned))
 
 
 def _phrases(starts: Column, n: int) -> Column:
@@ -146,16 +159,18 @@ def _phrases(starts: Column, n: int) -> Column:
 
 def _short_matches(rows: DataFrame, items: DataFrame) -> DataFrame:
     """row, item of texts that hold all words of an item that is shorter than a window."""
-    short = items.where((F.size("template") < WINDOW) & (_literals(F.col("template")) >= LITERALS))
+    brief = items.where(F.size("template").between(1, WINDOW - 1))
+    short = brief.where(_literals(F.col("template")) >= LITERALS)
+    verbatim = brief.where(_literals(F.col("template")) < LITERALS).select("item", "own")
     named = short.where(_literals(F.col("names")) >= BARE)
     short = short.select("item", F.col("template").alias("words")).union(named.select("item", "names"))
-    short = short.distinct()
+    short = short.union(verbatim).distinct()
     short = short.select("item", F.concat_ws(" ", "words").alias("phrase"), F.size("words").alias("n"))
     found = None
     lengths = [r["n"] for r in short.select("n").distinct().collect()]  # WINDOW - 1 at most
     for n in sorted(lengths):
         text = F.col("text")
-        texts = rows.select("row", F.explode(F.array(_words(text), _words(text, True))).alias("w"))
+        texts = rows.select("row", F.explode(F.array(_words(text), _words(text, True), _values(text))).alias("w"))
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
         texts = texts.where(F.size("w") >= n)
         texts = texts.select("row", F.explode(F.array_distinct(_phrases(starts, n))).alias("phrase"))
@@ -181,7 +196,8 @@ def _numbered(documents: DataFrame) -> DataFrame:
 def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     items, windows = _items(benchmark)
     hashes = sized(stored(windows.select("hash").distinct()))
-    found = _windows(rows, ["row"]).join(hashes, "hash", "left_semi")
+    verbatim = not windows.where("way = 3").isEmpty()
+    found = _windows(rows, ["row"], verbatim).join(hashes, "hash", "left_semi")
     hits = stored(found.distinct())
 
     # Windows of one item at one distance between document and item form a passage.
@@ -242,9 +258,10 @@ def _matched(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     if short is None:
         return result
     brief = short.distinct().join(rows.select("row", "doc_id"), "row")
-    brief = brief.join(items.select("item", "item_id"), "item").select(
+    own = F.when(_literals(F.col("template")) < LITERALS, "exact").otherwise("template")
+    brief = brief.join(items.select("item", "item_id", own.alias("kind")), "item").select(
         "row", "doc_id", "item_id", F.lit(1).cast("long").alias("n_windows"),
-        F.lit(1).cast("long").alias("item_windows"), F.lit("template").alias("kind"),
+        F.lit(1).cast("long").alias("item_windows"), "kind",
     )
     return result.union(brief.distinct())
 
