@@ -1,0 +1,265 @@
+"""Line quality, phrases and spellings against brute force, on small tables with awkward rows."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import line_quality, phrase_mining, spelling_variants
+
+DOCUMENTS = (
+    "doc_id long, text string, lang string, n_words string, lines string, word string, n string, "
+    "id string, rank int"
+)
+
+
+def frame(spark, rows):
+    """Rows of (doc_id, text, lang) with further columns of clashing names."""
+    return spark.createDataFrame([(*r, "a", "b", "c", "d", "e", 1) for r in rows], DOCUMENTS)
+
+
+# Line quality
+
+
+def brute_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    runs = defaultdict(list)
+    for i in range(len(words) - 4):
+        runs[tuple(words[i : i + 5])].append(i)
+    covered = {p for at in runs.values() if len(at) > 1 for i in at for p in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text)),
+        len(lines) - len(set(lines)),
+        len(covered),
+        len(words) < 10 or 100 * len(covered) > 20 * len(words),
+    )
+
+
+def awkward_texts():
+    draw = random.Random(5)
+    prose = [" ".join(draw.choices("ab cd é 𝄞x ef g".split(), k=draw.randint(0, 60))) for _ in range(60)]
+    texts = [p + draw.choice([".", "", "!", " |", "\n", "\r\n"]) for p in prose]
+    texts += ["\n".join(draw.choices(texts, k=4)) for _ in range(60)]
+    texts += [None, "", " \n\t ", "\n", "a\x0bb\x0cc", "of " * 3000, " ".join(map(str, range(30_000)))]
+    return texts + texts[:5]
+
+
+def test_counts_of_quality(spark):
+    rows = [(i, t, "en") for i, t in enumerate(awkward_texts())] + [(None, "x " * 12, None)]
+    judged = line_quality.judge(frame(spark, rows))
+    found = [
+        (r.document.doc_id, r.document.text, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines,
+         r.n_repeat_words, r.base_failed)
+        for r in judged.collect()
+    ]
+    expected = [(i, t, *brute_counts(t)) for i, t, _ in rows]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize(
+    "line, rule",
+    [
+        ("A sentence ends here.", None),
+        ('He said "go on."', None),
+        ("これは文です。", None),
+        ("", None),
+        ("  \t", None),
+        ("A heading without a mark", "punctuation"),
+        ("Home | News | Sport | Weather", "navigation"),
+        ("Sign in", "navigation"),
+        ("Read more", "navigation"),
+        ("One bar | in a long sentence of many words does no harm at all to it.", None),
+        ("We use cookies to improve this page.", "boilerplate"),
+        ("Copyright 2020. All Rights Reserved.", "boilerplate"),
+        ("buy$$$ now### it%%% is*** so&&& cheap.", "symbols"),
+        ("BUY!! THIS!! NOW!! OR NEVER.", "shouting"),
+        ("A costs 5 % of B.", None),
+    ],
+)
+def test_rules_of_lines(spark, line, rule):
+    signs = F.struct(*[c.alias(k) for k, c in line_quality.text_signs(F.col("x")).items()])
+    row = spark.createDataFrame([(line,)], "x string")
+    assert row.select(line_quality.failing_rule(F.col("x"), signs)).first()[0] == rule
+
+
+def test_clean_documents(spark):
+    good = "This is a whole sentence of prose that has many words in it."
+    bars = "Home | News | Sport | More"
+    more = "Another one follows here, of other words, and it is long enough too."
+    texts = [good, f"{good}\n{bars}\n{more}", f"{bars}\n{good[:40]}.\n{bars} | Now | Then", None]
+    found = line_quality.clean_documents(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]))
+    assert found.columns == frame(spark, []).columns
+    assert {r.doc_id: r.text for r in found.collect()} == {0: good, 1: f"{good}\n{more}"}
+    assert line_quality.judge(frame(spark, [])).count() == 0
+
+
+# Phrases
+
+
+def brute_collocations(rows, least, first):
+    f, n = defaultdict(Counter), Counter()
+    for _, text, lang in rows:
+        lang = lang or "und"
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", text):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, 6):
+                for i in range(len(words) - k + 1):
+                    f[lang][tuple(words[i : i + k])] += 1
+    out = []
+    for lang, counts in f.items():
+        often = {p: a for p, a in counts.items() if a >= least and len(p) > 1}
+        inside = {
+            p[i : i + k]
+            for p, a in often.items()
+            for k in range(2, len(p))
+            for i in range(len(p) - k + 1)
+            if a >= often[p[i : i + k]]
+        }
+        ranked = []
+        for p, a in often.items():
+            if p not in inside:
+                score, cut = min(
+                    (1000 * a * n[lang] // (counts[p[:j]] * counts[p[j:]]), j) for j in range(1, len(p))
+                )
+                ranked.append((-score, -a, " ".join(p).encode(), counts[p[:cut]], counts[p[cut:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(ranked)[:first], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return out
+
+
+def phrase_rows(seed, docs=120):
+    draw = random.Random(seed)
+    vocabulary = ["a", "B", "cé", "dd", "été", "x-y", "𝄞", "of", "the"]
+    rows = []
+    for i in range(docs):
+        text = ""
+        for _ in range(draw.randint(0, 40)):
+            text += draw.choice(["of the a B ", "the cé.", "dd dd dd ", "été\tx-y ", "\n", ", ", "? "])
+            text += draw.choice(vocabulary) + draw.choice([" ", "  ", "\t", ". ", "\x0b"])
+        rows.append((i, text, draw.choice(["en", "de", None])))
+    return [*rows, (None, None, "en"), (7, "", "en"), (8, "x", "only"), *rows[:3]]
+
+
+@pytest.mark.parametrize("seed, least, first", [(1, 20, 2000), (2, 5, 40), (3, 100, 3)])
+def test_collocations(spark, seed, least, first):
+    rows = phrase_rows(seed)
+    found = phrase_mining.collocations(frame(spark, rows), least=least, first=first)
+    assert sorted(map(tuple, found.collect())) == sorted(brute_collocations(rows, least, first))
+
+
+def test_collocations_of_nothing(spark):
+    assert phrase_mining.collocations(frame(spark, [])).count() == 0
+    assert phrase_mining.collocations(frame(spark, [(1, None, None)])).count() == 0
+
+
+def test_tiles_agree_with_coordinates():
+    """Dense tiles, thin tiles and words without a rank count alike."""
+    draw = np.random.default_rng(3)
+    hashes = draw.integers(0, 2**63, 700, dtype=np.uint64)
+    order = np.argsort(hashes[:600])
+    ranks = {"en": (hashes[:600][order], order.astype(np.int64), hashes[:600])}
+    counts = phrase_mining._Counts(ranks, ranks)
+    expected = Counter()
+    for size in (20_000, 3000, 20_000):
+        a, b = (hashes[(700 * draw.random(size) ** 3).astype(int)] for _ in range(2))
+        counts.add("en", a, b)
+        expected.update(zip(a.tolist(), b.tolist(), strict=True))
+    assert counts.tiles
+    found = Counter()
+    for batch in counts.out(final=True):
+        for row in batch.to_pylist():
+            found[row["prefix"] % 2**64, row["last"] % 2**64] += row["n"]
+    assert found == expected
+
+
+def test_long_texts_come_in_blocks(monkeypatch):
+    draw = random.Random(8)
+    text = "".join(draw.choice(["ab ", "c. ", "def ", "gh, ", "longer-word ", "\n"]) for _ in range(4000))
+    whole = next(phrase_mining._blocks([text.encode()]))
+    monkeypatch.setattr(phrase_mining, "BLOCK", 100)
+    parts = list(phrase_mining._blocks([text.encode()]))
+    assert len(parts) > 100
+    assert np.array_equal(np.concatenate([p.hashes[p.old :] for p in parts]), whole.hashes)
+    pairs = sum(
+        int((p.pieces[1:] == p.pieces[:-1])[max(0, p.old - 1) :].sum()) for p in parts
+    )
+    assert pairs == int((whole.pieces[1:] == whole.pieces[:-1]).sum())
+
+
+# Spellings
+
+
+def brute_groups(rows, every):
+    n = Counter()
+    for doc_id, text, _ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            check = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if check % every == 0:
+                run = run[: check % len(run)] + run[check % len(run) + 1 :]
+            n[run] += 1
+    words = {w: c for w, c in n.items() if len(w) >= 6 and c >= 5}
+
+    def apart(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    near = {w: [x for x in words if apart(w, x)] for w in words}
+    form = {}
+    for word, others in near.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        if best and words[best] >= 5 * words[word]:
+            form[word] = best
+
+    def root(word):
+        while word in form:
+            word = form[word]
+        return word
+
+    return [(w, form.get(w), root(w), c, len(near[w]), words.get(form.get(w))) for w, c in words.items()]
+
+
+def spelling_rows(seed):
+    draw = random.Random(seed)
+    stems = ["".join(draw.choices("abcéÿ", k=draw.randint(5, 9))) for _ in range(12)]
+    words = []
+    for stem in [*stems, "b" * 70]:
+        word = stem
+        for size in (2000, 300, 50, 9, 5):
+            words += [word] * draw.choice([size, size // 3, size])
+            at = draw.randrange(len(word))
+            word = draw.choice([word[:at] + word[at + 1 :], word[:at] + "Bc"[at % 2] + word[at:],
+                                word[:at] + "d" + word[at + 1 :]])
+    draw.shuffle(words)
+    rows = [(i, draw.choice([" ", ", ", "1"]).join(words[i::40]), "en") for i in range(40)]
+    return [*rows, (None, None, None), (41, "", "en"), (None, words[0], "en"), rows[0]]
+
+
+@pytest.mark.parametrize("seed, every", [(1, 199), (2, 7), (3, 199)])
+def test_groups_of_spellings(spark, seed, every):
+    rows = spelling_rows(seed)
+    counts = spelling_variants.counted_words(frame(spark, rows), "text", "doc_id", every)
+    found = sorted(map(tuple, spelling_variants.group_words(counts).collect()))
+    expected = sorted(brute_groups(rows, every))
+    assert found == expected and any(w[1] and w[2] != w[1] for w in expected)
+
+
+def test_spellings_of_nothing(spark):
+    for rows in ([], [(1, None, None)], [(1, "abcdef " * 5, "en")]):
+        counts = spelling_variants.counted_words(frame(spark, rows))
+        found = spelling_variants.group_words(counts).collect()
+        assert [tuple(r) for r in found] == [("abcdef", None, "abcdef", 5, 0, None)][: len(rows) and bool(rows[0][1])]

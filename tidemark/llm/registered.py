@@ -12,10 +12,13 @@ from . import (
     embedding_passes,
     language,
     line_dedup,
+    line_quality,
     minhash_hamming,
     mixing,
     personal_data,
+    phrase_mining,
     sharding,
+    spelling_variants,
     suffix_dedup,
     url_filter,
 )
@@ -73,6 +76,32 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", kept.alias("kept_md5"))
 
 
+def _line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "document.doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "lost_chars",
+    )
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return spelling_variants.group_words(
+        spelling_variants.counted_words(documents, "text", "doc_id", every=199)
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sorted_projection_passes": _embeddings,
@@ -85,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_merge_sort": _repeated_strings,
         "op9_multi_index_hamming": _near_duplicates,
         "op10_set_similarity_lines": _lines,
+        "op11_line_first_cleaning": _line_quality,
+        "op12_direct_address_tiling": _phrases,
+        "op13_reduced_alphabet_generation": _spellings,
     }
 
 
@@ -214,10 +246,113 @@ _MIXING_SQL = """
     FROM along"""
 
 
+_BLANK_SQL = "[\\x20\\x09-\\x0D]"
+
+
+def _any_sql(text: str, phrases: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains({text}, '{p}')" for p in phrases)
+
+
+def _less_sql(text: str, marks: str) -> str:
+    return f"length({text}) - length(regexp_replace({text}, '{marks}', '', 'g'))"
+
+
+_QUALITY_SQL = f"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    words AS (
+        SELECT *, list_filter(string_split_regex(text, '{_BLANK_SQL}+'), lambda x: x <> '') AS w,
+            string_split(text, chr(10)) AS ls
+        FROM docs),
+    runs AS (
+        SELECT row, unnest(range(1, len(w) - 3)) AS i,
+            unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+        FROM words),
+    twice AS (SELECT row, i FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS c FROM runs) WHERE c > 1),
+    covered AS (
+        SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM twice)
+        GROUP BY row),
+    lines AS (SELECT row, unnest(ls) AS x FROM words),
+    signs AS (
+        SELECT *, len(list_filter(string_split_regex(x, '{_BLANK_SQL}+'), lambda y: y <> '')) AS nw,
+            length(regexp_replace(x, '{_BLANK_SQL}+', '', 'g')) AS chars,
+            {_less_sql('x', f'[{line_quality.SEPARATORS}]')} AS bars,
+            {_less_sql('x', f'[{line_quality.SYMBOLS}]')} AS symbols,
+            {_less_sql('x', '\\p{Lu}')} AS capitals, {_less_sql('x', '\\p{L}')} AS letters
+        FROM lines),
+    lost AS (
+        SELECT row, sum(chars) AS lost FROM signs
+        WHERE nw > 0 AND (
+            {_any_sql('lower(x)', line_quality.BOILERPLATE)}
+            OR (length(x) < 60
+                AND regexp_matches(lower(x), '^{_BLANK_SQL}*({line_quality.MENU}){_BLANK_SQL}*$'))
+            OR (bars > 0 AND 6 * bars >= nw)
+            OR (symbols > 0 AND 10 * symbols >= chars)
+            OR (contains(x, '!!') AND letters >= 10 AND 10 * capitals >= 7 * letters)
+            OR NOT regexp_matches(
+                x, '[{line_quality.SENTENCE_MARKS}]["''”’»)\\]\\x20\\x09-\\x0D]*$'))
+        GROUP BY row),
+    counted AS (
+        SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n_words,
+            CAST(length(regexp_replace(text, '{_BLANK_SQL}+', '', 'g')) AS BIGINT) AS word_chars,
+            CAST({_less_sql('text', f'[{line_quality.SYMBOLS}]')} AS BIGINT) AS n_symbols,
+            list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS spoken
+        FROM words),
+    judged AS (
+        SELECT c.*, coalesce(v.n, 0) AS n_repeat_words, CAST(coalesce(l.lost, 0) AS BIGINT) AS lost_chars
+        FROM counted c LEFT JOIN covered v ON v.row = c.row LEFT JOIN lost l ON l.row = c.row)
+    SELECT doc_id, n_words, word_chars, n_symbols,
+        CAST(len(spoken) - len(list_distinct(spoken)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words
+            OR 10 * lost_chars > 3 * word_chars) AS kept,
+        lost_chars
+    FROM judged"""
+
+_PHRASES_SQL = """
+    WITH pieces AS (
+        SELECT lang, row_number() OVER () AS piece,
+            list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+        FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    spans AS (
+        SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM pieces, (SELECT unnest(range(1, 6)) AS k)),
+    often AS (
+        SELECT lang, words, k, f FROM (
+            SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS words, k, count(*) AS f
+            FROM spans GROUP BY 1, 2, 3)
+        WHERE f >= 100),
+    cuts AS (
+        SELECT lang, words, k, f AS a, string_split(words, ' ') AS w, unnest(range(1, k)) AS cut
+        FROM often WHERE k > 1),
+    scored AS (
+        SELECT c.lang, c.words, c.k, c.a, c.cut, x.f AS l, y.f AS r, t.n,
+            CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+        FROM cuts c
+        JOIN often x ON x.lang = c.lang AND x.words = array_to_string(c.w[1:cut], ' ')
+        JOIN often y ON y.lang = c.lang AND y.words = array_to_string(c.w[cut + 1:], ' ')
+        JOIN totals t ON t.lang = c.lang),
+    lowest AS (
+        SELECT * FROM scored
+        QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1),
+    stay AS (
+        SELECT * FROM lowest s WHERE NOT EXISTS (
+            SELECT 1 FROM often o WHERE o.lang = s.lang AND o.k > s.k AND 100 * o.f >= 100 * s.a
+                AND contains(' ' || o.words || ' ', ' ' || s.words || ' ')))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, words) AS rank,
+        words AS phrase, a, l, r, n, score
+    FROM stay QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sorted_projection_passes": _EMBEDDINGS_SQL,
         "op7_hash_threshold_histograms": _MIXING_SQL,
         "op9_multi_index_hamming": _NEAR_SQL,
         "op10_set_similarity_lines": _LINES_SQL,
+        "op11_line_first_cleaning": _QUALITY_SQL,
+        "op12_direct_address_tiling": _PHRASES_SQL,
     }
