@@ -167,7 +167,7 @@ def test_collocations_of_nothing(spark):
 def test_tiles_agree_with_coordinates():
     """Dense tiles, thin tiles and words without a rank count alike."""
     draw = np.random.default_rng(3)
-    hashes = draw.integers(0, 2**63, 700, dtype=np.uint64)
+    hashes = draw.integers(2**63, 2**64, 700, dtype=np.uint64)
     order = np.argsort(hashes[:600])
     ranks = {"en": (hashes[:600][order], order.astype(np.int64), hashes[:600])}
     counts = phrase_mining._Counts(ranks, ranks)
@@ -178,7 +178,9 @@ def test_tiles_agree_with_coordinates():
         expected.update(zip(a.tolist(), b.tolist(), strict=True))
     assert counts.tiles
     found = Counter()
-    for batch in counts.out(final=True):
+    for batch in phrase_mining._unranked(ranks, ranks)(
+        b.select(["lang", "prefix", "last", "n"]) for b in counts.out(final=True)
+    ):
         for row in batch.to_pylist():
             found[row["prefix"] % 2**64, row["last"] % 2**64] += row["n"]
     assert found == expected

@@ -10,6 +10,7 @@ so nothing is lost).
 * **Tiles.** Each task sorts the pairs of a block of text by tile of ``TILE`` x ``TILE`` ranks.
   A tile with many of them is counted by one dense ``bincount`` into an array that the task keeps;
   pairs of thin tiles, and those with a part that has no rank, are counted as sorted coordinates.
+  Parts with a rank leave a task as their rank, which takes a fraction of the bytes of a hash.
 * **Recursion.** Tasks emit counts, Spark adds them up per pair, the frequent pairs are ranked anew
   and are the prefixes of the next level.
 
@@ -46,7 +47,7 @@ LONGEST = 5
 FIRST = 2000
 TILE = 512
 #: Ranked prefixes and words of a level, over all languages.
-HEAD = 16_384
+HEAD = 65_536
 #: Pairs of a block from which a tile is counted densely, and dense tiles that a task keeps.
 DENSE_FROM = 4096
 MOST_TILES = 96
@@ -77,11 +78,13 @@ _ARROW = pa.schema(
     ]
 )
 _TOTAL, _WORD, _COUNT = 0, 1, 2
+#: Set in every hash, so that none looks like a rank.
+_HASH = np.uint64(1 << 63)
 
 
 def _followed(prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The hash of a phrase from those of its first words and its last."""
-    return mixed(prefix * _BASE + last)
+    return mixed(prefix * _BASE + last) | _HASH
 
 
 class _Words:
@@ -102,7 +105,9 @@ class _Words:
         powers = np.multiply.accumulate(powers)
         values = np.where(inside, _BYTE_VALUE[self.letters], np.uint64(0)) * powers[place]
         ends = np.cumsum(kinds == 2, dtype=np.int64)
-        hashes = mixed(np.add.reduceat(values, self.starts)) if len(self.starts) else values[:0]
+        hashes = values[:0]
+        if len(self.starts):
+            hashes = mixed(np.add.reduceat(values, self.starts)) | _HASH
         pieces = ends[self.starts]
         self.old, self.breaks = 0, int(ends[-1]) if len(ends) else 0
         if before is not None:
@@ -177,7 +182,9 @@ class _Counts:
                     self.tiles[key] = self.tiles[key] + found if known else found
                 else:
                     rest[own] = True
-        self._add_sparse(lang, *_summed(prefix[rest], last[rest], None))
+        prefix = np.where(rows >= 0, rows.astype(np.uint64), prefix)[rest]
+        last = np.where(cols >= 0, cols.astype(np.uint64), last)[rest]
+        self._add_sparse(lang, *_summed(prefix, last, None))
 
     def _add_sparse(self, lang: str, prefix, last, n) -> None:
         self.sparse.setdefault(lang, []).append((prefix, last, n))
@@ -199,8 +206,8 @@ class _Counts:
             for (lang, tile), counts in self.tiles.items():
                 cells = np.flatnonzero(counts)
                 row, col = divmod(tile, 1 + HEAD // TILE)
-                prefix = self.prefix_ranks[lang][2][row * TILE + cells // TILE]
-                last = self.word_ranks[lang][2][col * TILE + cells % TILE]
+                prefix = (row * TILE + cells // TILE).astype(np.uint64)
+                last = (col * TILE + cells % TILE).astype(np.uint64)
                 yield _batch(_COUNT, lang, prefix, last, counts[cells])
 
 
@@ -323,11 +330,29 @@ def _ranked(frequent: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.n
     return found
 
 
-def _phrase_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prefix, last = (batch.column(c).to_numpy().view(np.uint64) for c in ("prefix", "last"))
-        own = _followed(prefix, last) if len(prefix) else last
-        yield batch.append_column("id", pa.array(np.ascontiguousarray(own).view(np.int64)))
+def _unranked(prefix_ranks: dict, word_ranks: dict):
+    """Ranks back to hashes, and the hash of each phrase beside."""
+
+    def hashes(langs: np.ndarray, codes: np.ndarray, ranks: dict) -> np.ndarray:
+        found = codes.copy()
+        for lang in ranks:
+            own = (langs == lang) & (codes < _HASH)
+            found[own] = ranks[lang][2][codes[own]]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            prefix = hashes(langs, batch.column("prefix").to_numpy().view(np.uint64), prefix_ranks)
+            last = hashes(langs, batch.column("last").to_numpy().view(np.uint64), word_ranks)
+            own = _followed(prefix, last) if len(prefix) else last
+            parts = [pa.array(x.view(np.int64)) for x in (prefix, last, own)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), *parts, batch.column("n")],
+                names=["lang", "prefix", "last", "id", "n"],
+            )
+
+    return run
 
 
 def frequent_phrases(
@@ -342,8 +367,8 @@ def frequent_phrases(
 
     def level(k: int, *known) -> DataFrame:
         counted = read.mapInArrow(_counter(k, *known), _SCHEMA)
-        summed = counted.groupBy("kind", "lang", "prefix", "last").agg(
-            F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other")
+        summed = counted.groupBy("kind", "lang", "prefix", "last", "word").agg(
+            F.sum("n").alias("n")
         )
         return stored(summed.where((F.col("kind") != _COUNT) | (F.col("n") >= least)))
 
@@ -355,10 +380,9 @@ def frequent_phrases(
     for k in range(2, LONGEST + 1):
         found = level(k, _bit_map(before), prefix_ranks, word_ranks)
         if k == 2:
-            same = F.assert_true(F.col("word").eqNullSafe(F.col("other")), F.lit("hash of two words"))
-            spelled = found.where(F.col("kind") == _WORD).select(
-                "lang", F.col("last").alias("id"), F.coalesce(same.cast("string"), "word").alias("word")
-            )
+            spelled = found.where(F.col("kind") == _WORD).groupBy("lang", F.col("last").alias("id"))
+            same = F.assert_true(F.count("word") == 1, F.lit("two words have one hash"))
+            spelled = spelled.agg(F.coalesce(same.cast("string"), F.min("word")).alias("word"))
             singles = stored(singles.join(spelled, ["lang", "id"]))
             phrases.append(
                 singles.select(
@@ -368,7 +392,8 @@ def frequent_phrases(
             )
         pairs = found.where(F.col("kind") == _COUNT).select("lang", "prefix", "last", "n")
         pairs = pairs.mapInArrow(
-            _phrase_hash, "lang string, prefix long, last long, n long, id long"
+            _unranked(prefix_ranks, word_ranks),
+            "lang string, prefix long, last long, id long, n long",
         )
         ending = singles.select("lang", F.col("id").alias("last"), "word")
         starting = phrases[-1].select("lang", F.col("id").alias("prefix"), "words", "phrase")
