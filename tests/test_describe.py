@@ -122,11 +122,19 @@ def test_variant_payloads(spark):
 
 def test_newest_part_reads_the_end(spark):
     rows = spark.range(100_000).select(F.timestamp_seconds(F.col("id")).alias("time"))
-    part = newest_part(rows, field("time"), F.lit(1), 100)
+    part = newest_part(rows, field("time"), 100)
     low = part.agg(F.min(F.unix_seconds("time"))).first()[0]
-    assert 99_000 < low <= 99_900
-    assert newest_part(rows.limit(0), field("time"), F.lit(1), 100).count() == 0
-    assert newest_part(rows, field("time"), F.lit(1), 10**6).count() == 100_000
+    assert low == 99_900
+    assert newest_part(rows.limit(0), field("time"), 100).count() == 0
+    assert newest_part(rows, field("time"), 10**6).count() == 100_000
+    # A stray row far ahead, and a crowd within a second and at one instant.
+    stray = rows.union(spark.sql("SELECT timestamp'9999-12-31T23:00:00Z'"))
+    assert newest_part(stray, field("time"), 100).count() == 100
+    crowd = spark.range(50_000).select(F.timestamp_micros(F.col("id") * 7).alias("time"))
+    assert newest_part(crowd, field("time"), 100).count() == 100
+    same = rows.unionByName(spark.range(9000).selectExpr("timestamp_seconds(200000) AS time"))
+    assert newest_part(same, field("time"), 100).count() == 9000
+    assert newest_part(same, field("time"), 9050).count() == 9000 + 2800  # the last whole hour
 
 
 def test_latest(spark):

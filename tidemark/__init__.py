@@ -2,6 +2,7 @@
 
 from .operators.refresh import full_refresh, refresh_policy, refresh_window
 from .operators.rollup import create_rollup
+from .operators.zones import update_zones
 from .plans.timeseries import plan_timeseries
 from .sources.registry import Registry, Source, discover
 from .sources.storage import store_by_day
@@ -21,4 +22,5 @@ __all__ = [
     "refresh_window",
     "store_by_day",
     "stream_rollup",
+    "update_zones",
 ]

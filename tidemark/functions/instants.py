@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 MICROS = 1_000_000
 DAY = 86_400 * MICROS
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+#: First instant of year 1 and last of year 9999, as microseconds.
+ALWAYS = (-62_135_596_800 * MICROS, 253_402_300_800 * MICROS - 1)
 
 
 def is_time(dtype: T.DataType) -> bool:

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.instants import date_literal, from_micros, is_time, literal, to_micros
+from ..functions.instants import ALWAYS, date_literal, from_micros, is_time, literal, to_micros
 from ..functions.names import column
 from ..functions.spans import Span
 
@@ -23,14 +23,20 @@ def within(
     """Rows whose time lies in one of the half-open spans ``[from, through)``.
 
     Storage is partitioned by a date derived from the time, which Catalyst cannot see,
-    so the matching date range is stated as well and prunes partitions.
+    so the matching date range is stated as well and prunes partitions. A span that begins
+    or ends with ``ALWAYS`` is open there: it holds instants that no literal can name, too.
     """
     parts = []
     for start, end in spans:
-        at = column(time.name)
-        part = (at >= literal(start, time.dataType)) & (at <= literal(end - 1, time.dataType))
-        if date_column is not None:
-            part &= column(date_column).between(date_literal(start), date_literal(end - 1))
+        at, part = column(time.name), column(time.name).isNotNull()
+        if start > ALWAYS[0]:
+            part &= at >= literal(start, time.dataType)
+            if date_column is not None:
+                part &= column(date_column) >= date_literal(start)
+        if end <= ALWAYS[1]:
+            part &= at <= literal(end - 1, time.dataType)
+            if date_column is not None:
+                part &= column(date_column) <= date_literal(end - 1)
         parts.append(part)
     return reduce(Column.__or__, parts) if parts else F.lit(False)
 

@@ -6,24 +6,34 @@ after, so a job that dies in between leaves hours uncovered, never wrongly cover
 queries then read those from the raw table. ``<location>_seen`` notes, per day, the raw
 files a refresh has taken in, so that a scheduled refresh recomputes only days for which
 files came or went, and an exact answer reads such days from the raw table until then.
+
+For raw files that are not stored by day the same is known by the hour: a zone map says which
+hours each file holds, and ``<location>_hours`` is a log of the files that each hour was
+computed from. An hour whose present files are others is stale. ``<location>_listing`` holds a
+digest of the files as they were when no hour was stale; while it fits, none can be. It goes
+before any hour is computed anew.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date, datetime, timedelta, timezone
+from time import time_ns
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.instants import DAY, date_literal, from_micros, to_micros
-from ..functions.local import columns, no_rows
+from ..functions.buckets import HOUR
+from ..functions.instants import ALWAYS, DAY, date_literal, from_micros, to_micros
+from ..functions.local import columns, no_rows, rows_of
 from ..functions.names import column
 from ..functions.spans import Span, dates_of, intersect, merge, subtract, whole_hours
 from ..sources.registry import Source
 from .filters import within
 from .notes import notes_version, read_notes, write_notes
 from .rollup import DATE, hourly, stored_range, time_of
+from .zones import files, has_files, hours_of, listing_digest, update_zones, zones
 
 # The default policy refreshes from seven days to five minutes ago.
 START_OFFSET = timedelta(days=7)
@@ -38,6 +48,10 @@ def full_refresh(spark: SparkSession, raw: Source, rollup: Source) -> None:
     """Rebuild the whole rollup. The hour of the newest row may still be filling: it is
     stored but not covered."""
     seen = raw_files(spark, raw)
+    by_hour = seen is None and has_files(raw)
+    if by_hour:  # before the rows are read: a file that comes in between counts as new
+        listing = _open_hours(spark, raw, rollup)
+        present = present_hours(spark, raw, rollup, note=True)
     frame = raw.read(spark)
     time = time_of(raw.resolved(spark))
     if coverage(spark, rollup):
@@ -55,6 +69,9 @@ def full_refresh(spark: SparkSession, raw: Source, rollup: Source) -> None:
         _save_coverage(spark, rollup, [(first, last)])
     if seen is not None:
         _save_seen(spark, rollup, seen)
+    if by_hour:
+        _log_hours(rollup, present.withColumn("version", F.lit(time_ns())), "overwrite")
+        _close_hours(spark, raw, rollup, present, listing)
 
 
 def refresh_window(
@@ -74,7 +91,14 @@ def refresh_window(
         return None
     present = raw_files(spark, raw, span)
     others = subtract(coverage(spark, rollup), [span])
+    by_hour = present is None and has_files(raw)
+    if by_hour:
+        listing = _open_hours(spark, raw, rollup)
+        hours = present_hours(spark, raw, rollup, note=True)
     _recompute(spark, raw, rollup, span)
+    if by_hour:
+        take_in_hours(spark, rollup, hours, [span])
+        _close_hours(spark, raw, rollup, hours, listing)
     if present is not None:
         # A day counts only if no hour of it stays as it was.
         days = {d for d in dates_of([span]) if not intersect(others, _span_of(d))}
@@ -94,8 +118,9 @@ def refresh_policy(
 
     Recomputes the hours not yet covered and, for a raw table stored by day in files, those
     of days whose files changed since they were last taken in, with their covered hours
-    outside the window; otherwise the whole window. Without a ``start_offset`` such a table is listed whole and
-    changed days of any age are taken in. Returns the recomputed spans.
+    outside the window; for other files the hours whose files changed; for tables of the
+    catalog the whole window. Without a ``start_offset`` files are listed whole and
+    changes of any age are taken in. Returns the recomputed spans.
     """
     now = now or datetime.now(timezone.utc)
     end = to_micros(now - end_offset)
@@ -106,39 +131,155 @@ def refresh_policy(
         present = raw_files(spark, raw, window)
         days = dates_of([window])
         seen = _seen(spark, rollup)
+    elif not has_files(raw):
+        raise ValueError(f"not_stored_in_files: {raw.name} needs a start_offset")
+    elif not raw.stored_by_day():
+        present, window = None, (ALWAYS[0], whole_hours(0, end)[1])
     else:
         present = raw_files(spark, raw)
-        if present is None:
-            raise ValueError(f"not_stored_by_day: {raw.name} needs a start_offset")
         seen = _seen(spark, rollup)
         days = {d for d in {*present, *seen} if to_micros(d) < end}
         window = whole_hours(min(map(to_micros, days), default=end), end)
         if window[0] >= window[1]:
             return []
-    if present is None:
+    hours = present_hours(spark, raw, rollup, note=True) if present is None else None
+    if hours is not None:
+        known = coverage(spark, rollup)
+        stale = _stale_hours(spark, rollup, hours, window)
+        if window[0] == ALWAYS[0]:
+            first = hours.agg(F.min("hour_us")).first()[0]
+            window = (min([window[1], *[a for a, _ in [*stale, *known]], first or window[1]]), window[1])
+        spans = merge([*stale, *subtract([window], known)])
+    elif present is None:
         spans = [window]
     else:
         known = coverage(spark, rollup)
         changed = [_span_of(d) for d in days if present.get(d) != seen.get(d)]
         stale = [part for day in changed for part in intersect([*known, window], day)]
         spans = merge([*stale, *subtract([window], known)])
+    if hours is not None and spans:
+        listing = _open_hours(spark, raw, rollup)
     for span in spans:
         _recompute(spark, raw, rollup, span)
+    if hours is not None and spans:
+        take_in_hours(spark, rollup, hours, spans)
+        _close_hours(spark, raw, rollup, hours, listing)
     if present is not None:
         _take_in(spark, rollup, present, days)
     return spans
 
 
-def changed_days(spark: SparkSession, raw: Source, rollup: Source, window: Span) -> list[Span]:
-    """The days of a window whose raw files are not those that a refresh took in.
+def changed_spans(spark: SparkSession, raw: Source, rollup: Source, window: Span) -> list[Span]:
+    """The parts of a window whose raw files are not those that a refresh took in.
 
-    Nothing is known of the files of a raw table that is not stored by day: none are given.
+    Whole days of a raw table stored by day, and hours of other files. Nothing is known of the
+    files of a catalog table, nor of a rollup that was never refreshed from files: none are given.
     """
     present = raw_files(spark, raw, window)
-    if present is None:
+    if present is not None:
+        seen = _seen(spark, rollup)
+        return [_span_of(d) for d in sorted(dates_of([window])) if present.get(d) != seen.get(d)]
+    if not has_files(raw) or _hour_log(spark, rollup) is None:
         return []
-    seen = _seen(spark, rollup)
-    return [_span_of(d) for d in sorted(dates_of([window])) if present.get(d) != seen.get(d)]
+    noted = read_notes(spark, rollup.location, "listing", _LISTING)
+    if noted and tuple(noted[0]) == listing_digest(files(spark, raw)):
+        return []
+    return _stale_hours(spark, rollup, present_hours(spark, raw, rollup), window)
+
+
+def present_hours(
+    spark: SparkSession, raw: Source, rollup: Source, note: bool = False
+) -> DataFrame | None:
+    """``hour_us``, ``files``, ``rows``, ``hash`` per hour of raw files; None for other tables.
+
+    Files that the zone map does not know are read, their time column only, and with ``note``
+    put on it."""
+    if not has_files(raw):
+        return None
+    location = raw.zones or f"{rollup.location.rstrip('/')}_zones"
+    if note:
+        update_zones(spark, raw, location)
+    return hours_of(zones(spark, raw, location))
+
+
+def _open_hours(spark: SparkSession, raw: Source, rollup: Source) -> tuple:
+    """Withdraw the digest of the files before hours are computed anew; returns the present one."""
+    withdraw_digest(spark, rollup)
+    return listing_digest(files(spark, raw))
+
+
+def withdraw_digest(spark: SparkSession, rollup: Source) -> None:
+    write_notes(spark, rollup.location, "listing", _LISTING, [])
+
+
+def _close_hours(
+    spark: SparkSession, raw: Source, rollup: Source, hours: DataFrame, listing: tuple
+) -> None:
+    """Note the digest again if no file came or went meanwhile and no hour is stale."""
+    if listing == listing_digest(files(spark, raw)):
+        known = coverage(spark, rollup)
+        if not (known and _stale_hours(spark, rollup, hours, (known[0][0], known[-1][1]))):
+            write_notes(spark, rollup.location, "listing", _LISTING, [listing])
+
+
+def _hour_log(spark: SparkSession, rollup: Source) -> DataFrame | None:
+    """The files that each hour was last computed from, ``files`` 0 where its rows are gone."""
+    if not has_files(rollup):
+        return None
+    try:
+        log = spark.read.schema(_HOURS).parquet(f"{rollup.location.rstrip('/')}_hours")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    state = F.struct("version", "files", "rows", "hash")
+    return log.groupBy("hour_us").agg(F.max(state).alias("state")).select("hour_us", "state.*")
+
+
+def _log_hours(rollup: Source, hours: DataFrame, mode: str) -> None:
+    rows = hours.select(*[F.col(f.name).cast(f.dataType) for f in _HOURS.fields])
+    rows.coalesce(1).write.mode(mode).parquet(f"{rollup.location.rstrip('/')}_hours")
+
+
+def take_in_hours(
+    spark: SparkSession, rollup: Source, hours: DataFrame, spans: list[Span]
+) -> None:
+    """Log the files of hours that were computed from them, listed before they were read."""
+    chosen = among(hours, spans)
+    log = _hour_log(spark, rollup)
+    if log is not None:
+        gone = among(log, spans).where("files > 0").select("hour_us")
+        gone = gone.join(chosen.select("hour_us"), "hour_us", "left_anti")
+        zero = F.lit(0).cast("long")
+        chosen = chosen.unionByName(
+            gone.select("hour_us", *[zero.alias(c) for c in ("files", "rows", "hash")])
+        )
+    _log_hours(rollup, chosen.withColumn("version", F.lit(time_ns())), "append")
+
+
+def _stale_hours(
+    spark: SparkSession, rollup: Source, hours: DataFrame, window: Span
+) -> list[Span]:
+    """Hours of a window whose present files are not those that they were computed from, as
+    spans within days: the driver gets one row per day that changed."""
+    log = _hour_log(spark, rollup)
+    now = among(hours, [window]).select("hour_us", F.struct("files", "hash").alias("now"))
+    if log is None:
+        changed = now
+    else:
+        then = among(log, [window]).where("files > 0")
+        then = then.select("hour_us", F.struct("files", "hash").alias("then"))
+        changed = now.join(then, "hour_us", "full_outer").where(~F.col("now").eqNullSafe(F.col("then")))
+    day = F.col("hour_us") - F.pmod("hour_us", F.lit(DAY))
+    rows = changed.groupBy(day.alias("day")).agg(F.sort_array(F.collect_list("hour_us")).alias("hours"))
+    return merge([(h, h + HOUR) for r in rows.collect() for h in r["hours"]])
+
+
+def among(hours: DataFrame, spans: list[Span]) -> DataFrame:
+    inside: Column = F.lit(False)
+    for low, high in spans:
+        inside |= (F.col("hour_us") >= low) & (F.col("hour_us") < high)
+    return hours.where(inside)
 
 
 def _take_in(
@@ -203,6 +344,26 @@ def coverage(spark: SparkSession, rollup: Source) -> list[Span]:
     return sorted((r["start_us"], r["end_us"]) for r in rows)
 
 
+def rollup_state(spark: SparkSession, raw: Source, rollup: Source) -> DataFrame:
+    """What a rollup holds, in order of time: ``start``, ``end`` (timestamps), ``hours``, ``state``.
+
+    ``held`` hours answer queries; ``stale`` ones are stored, but their raw files changed, so
+    that exact answers read raw rows until a refresh. Hours in no row are not covered; of a rollup
+    without data there are no rows. One row per stretch, from metadata."""
+    known = coverage(spark, rollup)
+    changed = changed_spans(spark, raw, rollup, (known[0][0], known[-1][1])) if known else []
+    stale = [part for span in changed for part in intersect(known, span)]
+    spans = [(*s, "held") for s in subtract(known, stale)] + [(*s, "stale") for s in merge(stale)]
+    rows = [(a, b, (b - a) // HOUR, state) for a, b, state in sorted(spans)]
+    shape = columns(start_us="long", end_us="long", hours="long", state="string")
+    return rows_of(spark, rows, shape).select(
+        F.timestamp_micros("start_us").alias("start"),
+        F.timestamp_micros("end_us").alias("end"),
+        "hours",
+        "state",
+    )
+
+
 def coverage_version(spark: SparkSession, rollup: Source) -> list[str]:
     """Differs after any change of the coverage."""
     return notes_version(spark, rollup.location, "coverage")
@@ -242,6 +403,8 @@ def _files(row: Row) -> Files:
 
 
 _COVERAGE = columns(start_us="long", end_us="long", start="string", end="string")
+_LISTING = columns(files="long", bytes="long", hash="long")
+_HOURS = columns(hour_us="long", files="long", rows="long", hash="long", version="long")
 _SEEN = columns(day="date", files="long", bytes="long", newest_us="long", hash="long")
 
 

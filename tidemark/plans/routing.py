@@ -21,7 +21,7 @@ from ..operators.aggregates import (
     partial_name,
 )
 from ..operators.filters import equal_to, within
-from ..operators.refresh import changed_days, coverage, coverage_version
+from ..operators.refresh import changed_spans, coverage, coverage_version
 from ..sources.registry import RAW, Registry, Source
 
 MODES = ("exact", "stored", "never")
@@ -45,12 +45,12 @@ def candidate(registry: Registry, source: Source, width: Width) -> Source | None
 
 
 def split_range(spark: SparkSession, rollup: Source, raw: Source, span: Span) -> Split:
-    """Covered hours go to the rollup, but for days whose raw files changed since."""
+    """Covered hours go to the rollup, but for those whose raw files changed since."""
     version = coverage_version(spark, rollup)
     rolled = intersect(coverage(spark, rollup), whole_hours(*span))
     if rolled:
         within_days = (rolled[0][0], rolled[-1][1])
-        rolled = subtract(rolled, changed_days(spark, raw, rollup, within_days))
+        rolled = subtract(rolled, changed_spans(spark, raw, rollup, within_days))
     return Split(rolled, subtract([span], rolled) if span[0] < span[1] else [], version)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import bucket_start, parse_width
-from ..functions.instants import isoformat, to_micros
+from ..functions.instants import ALWAYS, isoformat, to_micros
 from ..functions.json_fields import split_field
 from ..functions.names import column
 from ..operators.aggregates import AGGREGATES, Measure, aggregate
@@ -75,14 +75,15 @@ def plan_timeseries(
     registry: Registry,
     table: str,
     columns: Sequence[str],
-    from_ts: str | datetime,
-    to_ts: str | datetime,
+    from_ts: str | datetime | None,
+    to_ts: str | datetime | None,
     aggregation: str = "avg",
     bucket: str = "1 hour",
     filters: Mapping[str, Any] | None = None,
     rollup: str = "exact",
 ) -> Answer:
-    """Aggregate ``columns`` per time bucket between two instants, both inclusive.
+    """Aggregate ``columns`` per time bucket between two instants, both inclusive; None leaves
+    an end open.
 
     ``rollup`` says how an hourly rollup may be used when buckets are made of whole
     hours: ``exact`` takes covered hours from it and the rest from raw rows, giving the
@@ -114,7 +115,10 @@ def plan_timeseries(
     for m in measures:
         m.check(aggregation, payload=m.column in source.json_columns)
     conditions = equal_to(wanted, fields)
-    span = (to_micros(from_ts), to_micros(to_ts) + 1)
+    span = (
+        ALWAYS[0] if from_ts is None else to_micros(from_ts),
+        (ALWAYS[1] if to_ts is None else to_micros(to_ts)) + 1,
+    )
 
     used, result = source, None
     if routed is not None and can_merge(routed, measures, wanted):

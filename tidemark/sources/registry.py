@@ -30,7 +30,7 @@ class Source:
     ``columns`` declares the schema, which spares Spark from inferring it from files and
     keeps NOT NULL. ``date_column`` names a storage partition column that holds the UTC
     date of the time column, and nothing else; it prunes scans and is not shown to
-    callers. ``dims`` and ``values`` are set on rollups that carry mergeable partial
+    callers. ``zones`` is where the zone map of the source is kept, if it has one. ``dims`` and ``values`` are set on rollups that carry mergeable partial
     aggregates.
     """
 
@@ -45,6 +45,7 @@ class Source:
     columns: T.StructType | None = None
     json_columns: tuple[str, ...] = ()
     date_column: str | None = None
+    zones: str | None = None
     rollup_of: str | None = None
     dims: tuple[str, ...] = ()
     values: tuple[str, ...] = ()

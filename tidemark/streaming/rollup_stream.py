@@ -9,16 +9,31 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.buckets import HOUR
-from ..functions.instants import date_literal, literal, to_micros, utc_instant, utc_wall_clock
+from ..functions.instants import (
+    DAY,
+    date_literal,
+    literal,
+    to_micros,
+    utc_instant,
+    utc_wall_clock,
+)
 from ..functions.names import column, quoted
-from ..functions.spans import Span, subtract
+from ..functions.spans import Span, merge, subtract
 from ..operators.filters import within
-from ..operators.refresh import coverage, replace_hours
+from ..operators.refresh import (
+    among,
+    coverage,
+    present_hours,
+    replace_hours,
+    take_in_hours,
+    withdraw_digest,
+)
 from ..operators.rollup import DATE, hourly, stored_range, time_of
 from ..sources.registry import Source
 
@@ -38,8 +53,8 @@ def stream_rollup(
     ``start`` leaves older rows to a batch refresh, so that a first run over a long
     history need not hold all its hours in state. ``max_files`` splits the input into
     several batches, oldest files first, and suits files that arrive in order of time.
-    Rows more than ``delay`` behind the newest one of earlier batches may be dropped here
-    and need a windowed refresh of their hours.
+    Rows more than ``delay`` behind the newest one of earlier batches may be dropped here;
+    ``absorb`` finds their hours by the number of rows, and a refresh fills them.
     """
     raw = raw.resolved(spark)
     time = time_of(raw)
@@ -73,17 +88,42 @@ def stream_rollup(
     )
 
 
-def absorb(spark: SparkSession, rollup: Source, landing: str) -> list[Span]:
+def absorb(
+    spark: SparkSession, rollup: Source, landing: str, raw: Source | None = None
+) -> list[Span]:
     """Move landed hours that the rollup does not cover into it; return their spans.
 
-    Hours are closed in order, so all from the first to the last landed one are complete.
+    Hours are closed in order, so all from the first to the last landed one are complete, but
+    for rows that came behind the watermark. With ``raw``, the rows that landed in each hour
+    are counted against those of the raw files, which the zone map knows: an hour that lacks
+    some stays uncovered, so exact answers read it from raw rows until a refresh fills it.
     """
     landed = spark.read.schema(rollup.columns).parquet(landing)
     first, last = stored_range(landed)
     if first is None:
         return []
     spans = subtract([(first, last + HOUR)], coverage(spark, rollup))
+    hours = present_hours(spark, raw, rollup, note=True) if raw is not None and spans else None
+    if hours is not None:
+        if not raw.stored_by_day():
+            withdraw_digest(spark, rollup)
+        spans = subtract(spans, _incomplete(landed, hours, spans))
     for span in spans:
         fresh = landed.filter(within(landed.schema["bucket"], [span], DATE))
         replace_hours(spark, rollup, fresh, span)
+    if hours is not None and spans and not raw.stored_by_day():
+        take_in_hours(spark, rollup, hours, spans)
     return spans
+
+
+def _incomplete(landed: DataFrame, hours: DataFrame, spans: list[Span]) -> list[Span]:
+    """Hours of which other rows landed than the raw files hold; one row per day is collected."""
+    bucket = landed.schema["bucket"]
+    start = F.unix_micros(utc_instant(column("bucket"), bucket.dataType))
+    arrived = landed.filter(within(bucket, spans, DATE)).groupBy(start.alias("hour_us"))
+    both = arrived.agg(F.sum("samples").alias("arrived")).join(
+        among(hours, spans).select("hour_us", "rows"), "hour_us", "full_outer"
+    )
+    wrong = both.where(~F.col("arrived").eqNullSafe(F.col("rows")))
+    days = wrong.groupBy(F.floor(F.col("hour_us") / DAY)).agg(F.collect_list("hour_us").alias("h"))
+    return merge([(h, h + HOUR) for r in days.collect() for h in r["h"]])

@@ -8,7 +8,13 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.describe import KEY_SAMPLE, json_key_profile, source_inventory
+from .operators.describe import (
+    KEY_SAMPLE,
+    TOP_KEYS,
+    json_key_profile,
+    rows_by_hour,
+    source_inventory,
+)
 from .plans.timeseries import ROW_LIMIT, plan_timeseries
 from .sources.registry import Registry, Source, discover
 
@@ -46,19 +52,24 @@ class Workspace:
             records.append({**record, "time_range": {"min": low, "max": high}})
         return records
 
-    def get_schema(self, table: str, jsonb_sample_size: int = KEY_SAMPLE) -> dict[str, Any]:
+    def get_schema(
+        self, table: str, jsonb_sample_size: int = KEY_SAMPLE, top_keys: int = TOP_KEYS
+    ) -> dict[str, Any]:
         """Columns, types, time column and the most common keys of JSON columns."""
         source = self.registry.get(table).resolved(self.spark)
         time = source.time()
         keys = {}
         if time is not None:
+            by_hour = rows_by_hour(self.spark, source) if source.payloads() else None
             for payload in source.payloads():
                 profile = json_key_profile(
                     source.read(self.spark),
                     payload,
                     time,
                     sample=jsonb_sample_size,
+                    top=top_keys,
                     date_column=source.date_column,
+                    by_hour=by_hour,
                 )
                 keys[payload] = [row.asDict() for row in profile.collect()]
         columns = [
@@ -79,8 +90,8 @@ class Workspace:
         self,
         table: str,
         columns: Sequence[str],
-        from_ts: str | datetime,
-        to_ts: str | datetime,
+        from_ts: str | datetime | None,
+        to_ts: str | datetime | None,
         aggregation: str = "avg",
         bucket: str = "1 hour",
         filters: Mapping[str, Any] | None = None,
