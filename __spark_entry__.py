@@ -17,6 +17,7 @@ from tidemark import (
     absorb,
     create_rollup,
     full_refresh,
+    publish_rollup,
     refresh_policy,
     refresh_window,
     store_by_day,
@@ -238,6 +239,21 @@ def _rollup_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(space.frame("events", ["value"], *ALWAYS, "sum", "1 day"))
 
 
+def _rollup_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table and its rollup found in the catalog; the rollup answers by itself."""
+    place = shared_folder(spark, "home")
+    database = "home_" + place[-32:]
+    spark.sql(f"CREATE DATABASE {database}")
+    events = _source(sf_dir, "events").read(spark)
+    events.write.option("path", f"{place}/events").saveAsTable(f"{database}.events")
+    raw = Source("events", f"{database}.events", format="table")
+    rollup = create_rollup(spark, raw, f"{place}/events_1h", _DIMS, _VALUES)
+    full_refresh(spark, raw, rollup)
+    publish_rollup(spark, rollup, f"{database}.events_1h")
+    space = Workspace.of_database(spark, database)
+    return _rounded(space.frame("events", ["value", "user_id"], *ALWAYS, "avg", "1 day"))
+
+
 def _rollup_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rollup just created holds nothing, and the answer comes from raw rows."""
     raw = _source(sf_dir, "events")
@@ -369,6 +385,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_exact_late_files": _rollup_late_files,
         "rollup_stream_late_rows": _rollup_stream_late,
         "rollup_exact_empty": _rollup_empty,
+        "rollup_exact_catalog": _rollup_catalog,
         "time_range_zones": _time_range_zones,
         "source_inventory_zones": _inventory_zones,
         "latest_rows_zones": _latest_zones,
@@ -591,6 +608,9 @@ def _own_oracle_sql() -> dict[str, str]:
         "rollup_exact_late_files": events({"value_sum": _sum("value")}, "1 day"),
         "rollup_stream_late_rows": events({"value_sum": _sum("value")}, "1 day"),
         "rollup_exact_empty": events({"value_avg": _avg("value")}, "1 day"),
+        "rollup_exact_catalog": events(
+            {"value_avg": _avg("value"), "user_id_avg": _avg("user_id")}, "1 day"
+        ),
         "time_range_zones": "SELECT min(ts) AS min, max(ts) AS max FROM events",
         "source_inventory_zones": _inventory_sql("events"),
         "latest_rows_zones": "SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 1000",

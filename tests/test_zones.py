@@ -16,6 +16,7 @@ from tidemark import (
     absorb,
     create_rollup,
     full_refresh,
+    publish_rollup,
     refresh_policy,
     refresh_window,
     stream_rollup,
@@ -248,3 +249,30 @@ def test_open_bounds_keep_all_times(spark, path):
 
     assert days(None, None) == [1, 1, 1, 1]
     assert days("1900-01-01", None) == [1, 1] and days(None, "1900-01-01") == [1, 1]
+
+
+def test_a_published_rollup_answers_exact_queries(spark, path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS published")
+    readings(spark, range(0, 3000)).write.option("path", path("raw")).saveAsTable("published.r")
+    raw = Source("r", "published.r", format="table")
+    rollup = create_rollup(
+        spark, raw, path("it's"), values=("v",), description="Hours of 'r'"
+    )
+    full_refresh(spark, raw, rollup)
+    publish_rollup(spark, rollup, "published.r_1h")
+    publish_rollup(spark, rollup, "published.r_1h")
+    assert spark.table("published.r_1h").agg(F.sum("samples")).first()[0] == 3000
+    space = Workspace.of_database(spark, "published", json_columns={"r": ["raw"]})
+    found = space.registry.get("r_1h")
+    assert (found.dims, found.values, found.description) == ((), ("v",), "Hours of 'r'")
+    answer = space.query_timeseries("r", ["v"], START, START + timedelta(days=2), "avg", "1 day")
+    assert answer["table_used"] == "r_1h"
+    assert counts(space) == counts(space, "never")
+    assert space.get_schema("r")["jsonb_top_keys"]["raw"]
+    # Hours that a refresh adds are found without publishing again.
+    readings(spark, range(3000, 3600)).write.mode("append").insertInto("published.r")
+    refresh_window(spark, raw, rollup, START, START + timedelta(days=5))
+    assert counts(Workspace.of_database(spark, "published")) == counts(space, "never")
+    with pytest.raises(ValueError, match="rollup_mismatch"):
+        other = create_rollup(spark, raw, path("other"), values=("v",))
+        publish_rollup(spark, other, "published.r_1h")

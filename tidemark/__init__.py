@@ -1,7 +1,7 @@
 """Bounded questions over stored telemetry, answered by Spark."""
 
 from .operators.refresh import full_refresh, refresh_policy, refresh_window
-from .operators.rollup import create_rollup
+from .operators.rollup import create_rollup, publish_rollup
 from .operators.zones import update_zones
 from .plans.timeseries import plan_timeseries
 from .sources.registry import Registry, Source, discover
@@ -18,6 +18,7 @@ __all__ = [
     "discover",
     "full_refresh",
     "plan_timeseries",
+    "publish_rollup",
     "refresh_policy",
     "refresh_window",
     "store_by_day",

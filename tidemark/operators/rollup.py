@@ -8,14 +8,16 @@ from which coarser buckets are merged exactly.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.instants import collected_micros, utc_date
 from ..functions.local import columns, no_rows
-from ..functions.names import column
-from ..sources.registry import ROLLUP, ROLLUP_SUFFIX, Source
+from ..functions.names import column, quoted
+from ..sources.registry import ROLLUP, ROLLUP_PROPERTY, ROLLUP_SUFFIX, Source, table_facts
 from .aggregates import mean, partial_name
 from .describe import time_range
 from .notes import read_notes, write_notes
@@ -101,6 +103,34 @@ def create_rollup(
     )
 
 
+def publish_rollup(spark: SparkSession, rollup: Source, table: str) -> None:
+    """Put a rollup in the catalog, as an external table over its files.
+
+    Its definition goes into the table's properties, from which ``discover`` makes the same
+    source again, coverage and all. Publishing again takes new days into a catalog that keeps
+    partitions, and refuses a table that holds anything else.
+    """
+    location = rollup.location.rstrip("/")
+    if not spark.catalog.tableExists(table):
+        definition = {"rollup_of": rollup.rollup_of, "dims": rollup.dims, "values": rollup.values}
+        fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rollup.columns)
+        spark.sql(
+            f"CREATE TABLE {table} ({fields}) USING parquet PARTITIONED BY ({quoted(DATE)}) "
+            f"LOCATION {_text(location)} COMMENT {_text(rollup.description or '')} "
+            f"TBLPROPERTIES ({_text(ROLLUP_PROPERTY)} = {_text(json.dumps(definition))})"
+        )
+    about = table_facts(spark, table)
+    if about.get("Location", "").split(":", 1)[-1].lstrip("/") != location.split(":", 1)[-1].lstrip("/"):
+        raise ValueError(f"rollup_mismatch: {table} lies elsewhere")
+    if about.get("Partition Provider") == "Catalog":
+        spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def time_of(source: Source) -> T.StructField:
     """The time column of a resolved source that must have one."""
     time = source.time()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -19,6 +20,9 @@ RAW = "hypertable"
 ROLLUP = "continuous_aggregate"
 ROLLUP_SUFFIX = "_1h"
 
+#: The table property that holds the definition of a published rollup, as JSON.
+ROLLUP_PROPERTY = "tidemark.rollup"
+
 # Beyond this many days the whole table is listed.
 _LISTED_DAYS = 400
 
@@ -137,11 +141,45 @@ class Registry:
         return iter(sorted(self._sources.values(), key=lambda s: (s.kind != RAW, s.name)))
 
 
+def table_facts(spark: SparkSession, table: str) -> dict[str, str]:
+    """What the catalog says of a table besides its columns."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()
+    facts = [r["col_name"] for r in rows].index("# Detailed Table Information")
+    return {r["col_name"]: r["data_type"] for r in rows[facts:]}
+
+
+def _published(spark: SparkSession, database: str, name: str, description: str | None) -> Source | None:
+    """The rollup that a table was published from, if any: the files with the definition."""
+    table = f"`{database}`.`{name}`"
+    properties = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    if ROLLUP_PROPERTY not in properties:
+        return None
+    definition = json.loads(properties[ROLLUP_PROPERTY])
+    shape = spark.table(table).schema
+    return Source(
+        name=name,
+        location=table_facts(spark, table)["Location"],
+        kind=ROLLUP,
+        schema=database,
+        description=description or None,
+        columns=T.StructType([T.StructField(f.name, f.dataType) for f in shape.fields]),
+        date_column=spark.catalog.listColumns(table)[-1].name,
+        rollup_of=definition["rollup_of"],
+        dims=tuple(definition["dims"]),
+        values=tuple(definition["values"]),
+    )
+
+
 def discover(
-    spark: SparkSession, database: str, date_columns: Mapping[str, str] | None = None
+    spark: SparkSession,
+    database: str,
+    date_columns: Mapping[str, str] | None = None,
+    json_columns: Mapping[str, Sequence[str]] | None = None,
 ) -> list[Source]:
     """Every table of a catalog database, with its comment.
 
+    A table that a rollup was published as is that rollup, with its stored partials and coverage,
+    and answers exact queries. ``json_columns`` names text columns that hold JSON, per table.
     ``<table>_1h`` counts as the rollup of ``<table>`` when it has a column named
     ``bucket``. ``date_columns`` names, per table, a partition column that holds the UTC
     date of the time column; no partition column is taken to be one unasked, as a date
@@ -151,6 +189,10 @@ def discover(
     found = []
     for name, table in sorted(tables.items()):
         qualified = f"`{database}`.`{name}`"
+        published = _published(spark, database, name, table.description)
+        if published is not None:
+            found.append(published)
+            continue
         base = name.removesuffix(ROLLUP_SUFFIX)
         is_rollup = base != name and base in tables and "bucket" in spark.table(qualified).columns
         found.append(
@@ -161,6 +203,7 @@ def discover(
                 format="table",
                 schema=database,
                 description=table.description,
+                json_columns=tuple((json_columns or {}).get(name, ())),
                 date_column=(date_columns or {}).get(name),
                 rollup_of=base if is_rollup else None,
             )

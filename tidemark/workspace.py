@@ -34,9 +34,10 @@ class Workspace:
         spark: SparkSession,
         database: str,
         date_columns: Mapping[str, str] | None = None,
+        json_columns: Mapping[str, Sequence[str]] | None = None,
     ) -> Workspace:
         """Every table of a catalog database; see ``discover``."""
-        return cls(spark, *discover(spark, database, date_columns))
+        return cls(spark, *discover(spark, database, date_columns, json_columns))
 
     def register(self, source: Source) -> Source:
         """Add a source. The columns of one stored by day are looked up now, so that its
