@@ -265,3 +265,20 @@ def test_spellings_of_nothing(spark):
         counts = spelling_variants.counted_words(frame(spark, rows))
         found = spelling_variants.group_words(counts).collect()
         assert [tuple(r) for r in found] == [("abcdef", None, "abcdef", 5, 0, None)][: len(rows) and bool(rows[0][1])]
+
+
+def test_near_words_of_any_length(spark):
+    """All words over two letters, of one letter up."""
+    draw = random.Random(1)
+    words = sorted({"".join(draw.choices("abé", k=draw.randint(1, 7))) for _ in range(500)})
+    frame_ = spark.createDataFrame(list(enumerate(words)), "id long, word string")
+    found = {(words[r.id], words[r.near_id]) for r in spelling_variants.near_words(frame_).collect()}
+
+    def cuts(word):
+        return {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+    def apart(a, b):
+        same = len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        return same or a in cuts(b) or b in cuts(a)
+
+    assert found == {(a, b) for a in words for b in words if apart(a, b)}

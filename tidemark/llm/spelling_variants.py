@@ -9,18 +9,17 @@ Words are counted first, in Spark. Then, for the words that are frequent enough
   of the same symbol). Over a small alphabet that is a few dozen, over the alphabet of all letters
   it would be hundreds or thousands.
 * **Join.** The neighbourhoods meet the reduced vocabulary. One edit leaves the first or the last
-  ``ENDS`` letters of both words as they are, so the two must share those exactly as well: an edit
-  at an early place goes with the last letters, one at a late place with the first. Without it all
-  words of one reduced word would meet each other.
+  half of the word that it makes as it is, so the two must share that half exactly as well: an
+  edit at an early place goes with the last letters, one at a late place with the first. Without
+  it all words of one reduced word would meet each other.
 * **Verification** on the original strings: Levenshtein distance 1 in code points.
 
-A reduced word is kept as a 64-bit polynomial hash with its end letters, which numpy updates
+A reduced word is kept as a 64-bit polynomial hash with that of one half, which numpy updates
 for every edit at a cost of one step, so a word of any length needs work and rows in proportion to
 its length. Different reduced words with one hash only add pairs to verify.
 
 Scale: counting is one aggregate per word, combined before its shuffle. Neighbourhoods are rows, not
-groups; a key holds words that share ``ENDS`` letters at one end and a reduced word, and its join
-can be split by adaptive execution. A word has few near words (one edit away, over the letters in
+groups; a key holds words that share half of their letters and a reduced word, and its join can be split by adaptive execution. A word has few near words (one edit away, over the letters in
 use), so hubs are bounded. Roots are found by doubling: each round a word takes over the root
 of its root; forms are five times as frequent, so there are at most about 5 rounds.
 
@@ -46,8 +45,6 @@ LEAST_COUNT = 5
 #: A form is at least so many times as frequent as the word that points to it.
 TIMES = 5
 SYMBOLS = 4
-#: With words of twice as many letters at least, one edit leaves one end of both as it is.
-ENDS = 3
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -100,32 +97,41 @@ def _keys(generate: bool):
         running = np.cumsum(terms, dtype=np.uint64)
         until = running - (running - terms)[starts][owner]  # of the word, this letter included
         total = until[ends - 1]
-        first, last = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-        for i in range(ENDS):
-            first = first * _BASE + codes[starts + i] + np.uint64(1)
-            last = last * _BASE + codes[ends - ENDS + i] + np.uint64(1)
-        end_of = np.stack([mixed(first), mixed(last + np.uint64(1 << 63))])
+        letters = np.cumsum(np.append(np.uint64(0), (codes + np.uint64(1)) * powers[place]))
+        unpowers = np.multiply.accumulate(
+            np.append(np.uint64(1), np.full(int(size.max()), _UNBASE))
+        )
+
+        def halves(made: np.ndarray) -> np.ndarray:
+            """Hashes of the first and the last letters that words of ``made`` letters keep."""
+            half = made // 2
+            first = letters[starts + half] - letters[starts]
+            last = (letters[ends] - letters[ends - half]) * unpowers[size - half]
+            return np.stack([mixed(first), mixed(last + np.uint64(1 << 63))])
 
-        def key(reduced, words_of, late):
+        def key(reduced, of, kept, early):
             """Late edits keep the first letters, early ones the last."""
-            return mixed(reduced + end_of[np.where(late, 0, 1), words_of])
+            return mixed(reduced + kept[early.astype(np.int64), of])
 
-        every = np.arange(len(words))
-        found = [(every, key(total, every, True)), (every, key(total, every, False))]
+        every, kept = np.arange(len(words)), halves(size)
+        nowhere = np.zeros(len(words), bool)
+        found = [(every, key(total, every, kept, side)) for side in (nowhere, ~nowhere)]
         if generate:
-            whole, late, early = total[owner], place >= ENDS, place < ENDS
+            whole = total[owner]
             before, after = until - terms, whole - until
+            shorter, longer = halves(size - 1), halves(size + 1)
             deleted = before + after * _UNBASE
-            for side, at in ((True, late), (False, early)):
-                found.append((owner[at], key(deleted[at], owner[at], side)))
-                for value in _VALUES:
-                    replaced = (whole - terms + value * powers[place])[at]
-                    changed = terms[at] != (value * powers[place])[at]
-                    found.append((owner[at][changed], key(replaced, owner[at], side)[changed]))
-                    inserted = (before + value * powers[place] + (whole - before) * _BASE)[at]
-                    found.append((owner[at], key(inserted, owner[at], side)))
-            for value in _VALUES:  # behind the last letter
-                found.append((every, key(total + value * powers[size], every, True)))
+            found.append((owner, key(deleted, owner, shorter, place < ((size - 1) // 2)[owner])))
+            for value in _VALUES:
+                put = value * powers[place]
+                replaced, other = whole - terms + put, terms != put
+                keys = key(replaced, owner, kept, place < (size // 2)[owner])
+                found.append((owner[other], keys[other]))
+                inserted = before + put + (whole - before) * _BASE
+                early = place < ((size + 1) // 2)[owner]
+                found.append((owner, key(inserted, owner, longer, early)))
+                behind = total + value * powers[size]  # the last letter
+                found.append((every, key(behind, every, longer, nowhere)))
         own = np.concatenate([x for x, _ in found])
         keys = np.concatenate([x for _, x in found])
         pairs = np.unique(np.stack([own.astype(np.uint64), keys]), axis=1)
@@ -152,7 +158,7 @@ def _keys(generate: bool):
 
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs ``id``, ``near_id`` of words exactly one edit apart, in both directions; ``words``
-    holds distinct ``word``s of at least 2 * ``ENDS`` letters with an ``id`` (long), stored."""
+    holds distinct, non-empty ``word``s with an ``id`` (long), stored."""
     schema = "id long, key long"
     edits = words.select("id", "word").mapInArrow(_keys(True), schema)
     reduced = words.select("id", "word").mapInArrow(_keys(False), schema)
