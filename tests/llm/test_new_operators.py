@@ -11,7 +11,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_quality, phrase_mining, spelling_variants
+from tidemark.llm import (
+    language,
+    line_dedup,
+    line_quality,
+    mixing,
+    phrase_mining,
+    sharding,
+    spelling_variants,
+)
 
 DOCUMENTS = (
     "doc_id long, text string, lang string, n_words string, lines string, word string, n string, "
@@ -282,3 +290,33 @@ def test_near_words_of_any_length(spark):
         return same or a in cuts(b) or b in cuts(a)
 
     assert found == {(a, b) for a in words for b in words if apart(a, b)}
+
+
+NAMES = (
+    "text_key cell start place base first item bytes rows within all task bundle hash threshold rounds "
+    "rest prefix lines gone _hash text_hash at n_lines n_removed _runs lang_pred score _others _salt "
+    "size target taken source_size law shard slot text_crc32 id lead rep component n key row"
+).split()
+REPLACED = {
+    sharding.shard: ["size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    mixing.mix: ["size", "source_size", "target", "taken", "text"],
+    mixing.mixed_documents: [],
+    language.in_known_language: [],
+    line_dedup.clean_lines: ["n_lines", "n_removed"],
+}
+
+
+@pytest.mark.parametrize("operator", list(REPLACED), ids=lambda f: f.__name__)
+def test_clashing_columns_pass_through(spark, operator):
+    rows = [(i, f"some words of text {i} here and there, {'ab cd ' * i}", "en", "s1") for i in range(40)]
+    plain_rows = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    clashing = plain_rows.select("*", *[F.lit(f"own {c}").alias(c) for c in NAMES])
+    found = operator(clashing)
+    kept = [c for c in NAMES if c not in REPLACED[operator]]
+    assert set(kept) <= set(found.columns)
+    known = [c for c in operator(plain_rows).columns]
+    got = found.collect()
+    assert got and all(r[c] == f"own {c}" for r in got for c in kept)
+    assert sorted(tuple(r[c] for c in known) for r in got) == sorted(
+        map(tuple, operator(plain_rows).select(*known).collect())
+    )

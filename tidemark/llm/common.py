@@ -65,6 +65,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(rows: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct, so that their names clash with nothing."""
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in needed]
+    return rows.select(*needed, *([F.struct(*others).alias("_others")] if others else []))
+
+
+def restored(names: list[str], *needed: str) -> list[Column]:
+    """Columns by name again, after ``aside``."""
+    return [
+        F.col(c) if c in needed else F.col("_others").getField(c).alias(c) for c in names
+    ]
+
+
 def salted_join(
     many: DataFrame, few: DataFrame, keys: list[str], salt: Column, salts: int = 32
 ) -> DataFrame:

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import aside, restored
+
 DIMENSIONS = 1024
 RUN = 3
 #: Vectors of runs kept by a task, and letters whose runs are looked up in a table.
@@ -269,8 +271,8 @@ def in_known_language(documents: DataFrame) -> DataFrame:
     """
     learned = prototypes(documents.where(~is_held_out()))
     least = least_scores(documents, learned)
-    rows = documents.drop("lang_pred", "score")
-    judged = predicted(rows, learned)
+    needed_columns = ("doc_id", "text", "lang")
+    judged = predicted(aside(documents, *needed_columns), learned)
     needed = F.get(F.lit(least), F.floor(F.log2("_runs")).cast("int"))
     kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= needed))
-    return kept.select(*documents.columns)
+    return kept.select(*restored(documents.columns, *needed_columns))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, sized, stored
+from .common import SPACE, aside, restored, sized, stored
 
 WORDS = 5
 BUCKETS = 1 << 16
@@ -178,9 +178,11 @@ def removed_lines(documents: DataFrame) -> DataFrame:
 
 
 def clean_lines(documents: DataFrame) -> DataFrame:
-    """``documents`` with the kept lines in ``text``, n_lines and n_removed."""
+    """``documents`` with the kept lines in ``text``, n_lines and n_removed, which replace columns
+    of their names; others can have any name."""
     gone = removed_lines(documents).alias("g")
-    rows = documents.drop("n_lines", "n_removed").withColumn("_hash", F.xxhash64("text")).alias("d")
+    packed = aside(documents, "doc_id", "text")
+    rows = packed.withColumn("_hash", F.xxhash64("text")).alias("d")
     same = (F.col("d._hash") == F.col("g.text_hash")) & F.col("d.doc_id").eqNullSafe(
         F.col("g.doc_id")
     )
@@ -193,9 +195,12 @@ def clean_lines(documents: DataFrame) -> DataFrame:
     )
     kept = F.filter("lines", lambda _, i: ~F.array_contains("gone", i))
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
-    return marked.select(
+    cleaned = marked.select(
         *names,
         F.when(F.col("lines").isNotNull(), F.array_join(kept, "\n")).alias("text"),
         n_lines.alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
     )
+    added = ["text", "n_lines", "n_removed"]
+    kept_names = [c for c in documents.columns if c not in added]
+    return cleaned.select(*restored(kept_names, "doc_id"), *added)

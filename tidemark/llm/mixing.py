@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, salted_join, stored
+from .common import WORD, aside, restored, salted_join, stored
 
 #: Bits of the hash per level, from the top. 60 bits in all.
 LEVELS = (12, 12, 12, 12, 12)
@@ -145,15 +145,18 @@ def mix(documents: DataFrame) -> DataFrame:
 
     A source with target ``t`` and ``n`` words takes every document ``floor(t / n)`` times, and
     the documents below its threshold once more. ``taken`` is the words of a document that the
-    mix takes.
+    mix takes. The new columns replace those of their names; others can have any name.
     """
-    rows = documents.withColumn("size", size_in_words(F.col("text")))
-    rows = rows.withColumn("hash", id_hash(F.col("doc_id")))
-    clashes = ["text", "source_size", "target", "threshold", "rounds", "taken"]
-    rows = stored(rows.drop(*clashes))
+    added = ["size", "source_size", "target", "taken"]
+    rows = aside(documents, "doc_id", "source", "text")
+    rows = rows.withColumn("size", size_in_words(F.col("text")))
+    rows = stored(rows.withColumn("hash", id_hash(F.col("doc_id"))).drop("text"))
     marked = salted_join(rows, _plan(rows), ["source"], F.col("hash"))
     taken = (F.col("size") * _times()).cast("long")
-    return marked.withColumn("taken", taken).drop("hash", "threshold", "rounds")
+    names = [c for c in documents.columns if c not in [*added, "text"]]
+    return marked.withColumn("taken", taken).select(
+        *restored(names, "doc_id", "source"), *added
+    )
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:

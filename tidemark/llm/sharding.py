@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import aside, restored, stored
 
 SHARDS, GRAIN, CELLS = 16, 256, 64
 STEPS = 24
@@ -100,10 +100,18 @@ def _final(shards: int):
 
 
 def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``documents`` with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null)."""
+    """``documents`` with size, text_crc32, law ('bytes'), shard, slot and grown_shard (null).
+
+    Those replace columns of their names; other columns can have any name."""
     named = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    placed = _placed(aside(documents, "doc_id", "text"), shards)
+    names = [c for c in documents.columns if c not in named]
+    return placed.select(*restored(names, "doc_id", "text"), *named)
+
+
+def _placed(documents: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.drop(*named).select(
+    rows = documents.select(
         "*",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
@@ -180,7 +188,7 @@ def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     numbered = rows.withColumn("place", F.row_number().over(in_cell) - 1)
     result = numbered.join(starts, ["text_key", "cell"])
     return result.select(
-        *[c for c in documents.columns if c not in named],
+        *documents.columns,
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
