@@ -37,8 +37,9 @@ from tidemark.plans.timeseries import plan_timeseries
 from tidemark.sources.registry import time_column
 from tidemark.sources.storage import shared_folder
 
-# A part of its own, which may be absent; its own errors show.
-if find_spec("corpus_pipeline") and find_spec("tidemark.llm.registered"):
+# A part of its own, which may be absent, but for a folder without modules; its own errors show.
+_part = find_spec("tidemark.llm")
+if _part and _part.origin and find_spec("corpus_pipeline"):
     import corpus_pipeline
     from tidemark.llm import registered as llm
 else:
