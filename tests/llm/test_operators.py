@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import (
     decontaminate,
@@ -494,10 +495,10 @@ def test_pairs_under_the_distance_share_their_first_key(spark):
     )
     keys = frame.select("*", minhash_hamming._keys().alias("key"))
     met = keys.alias("x").join(keys.alias("y"), "key").where("x.rep < y.rep")
-    met = met.select("key", "x.rep", "y.rep").collect()
-    key, left, right = np.array(met, np.int64).T
-    first = minhash_hamming.under_distance(key, packed[left], packed[right])
-    met = [(int(a), int(b)) for a, b in zip(left[first], right[first])]
+    apart = sum(minhash_hamming._differing("x", "y"))
+    met = met.where(apart <= minhash_hamming.MOST_DIFFERENT)
+    met = met.where(minhash_hamming._first_key("x", "y", F.col("key")))
+    met = [tuple(r) for r in met.select("x.rep", "y.rep").collect()]
     assert len(met) == len(set(met))
     near = {(a, b) for a in range(40) for b in range(a + 1, 40) if (slots[a] != slots[b]).sum() <= 31}
     assert near and near == set(met)
@@ -516,7 +517,7 @@ def test_parities_pass_no_link_over():
 
 def test_links_that_only_the_crossing_finds(spark, monkeypatch):
     """Rounds are cut to one, classes of a key are split, links are those of brute force."""
-    monkeypatch.setattr(minhash_hamming, "PAIRS_PER_KEY", 1 << 40)
+    monkeypatch.setattr(minhash_hamming, "PAIRS_PER_CLASS", 1 << 40)
     monkeypatch.setattr(minhash_hamming, "OUTSIDE_PER_TASK", 3)
     draw = random.Random(9)
     base = [f"w{i}" for i in range(120)]

@@ -16,7 +16,7 @@ Groups of copies are never expanded into pairs. In rounds, each key draws a lead
 and every class is held against the nearest leader, by signature, that it met in another
 component; the links found make the next components. Only keys whose classes lie in several
 components matter: there, when the pairs left to look at are counted as no more than a fixed
-number for each class, or a round ended fewer than a tenth of them, classes outside the most
+number for each class, or a round ended fewer than a quarter of them, classes outside the most
 common component are held against all classes of other components under the distance, each pair
 in the first key that it shares; a key with many classes outside is split over tasks. No candidate
 between components is left out, and one within a component cannot change the result.
@@ -48,8 +48,8 @@ CHUNKS = SLOTS // CHUNK
 MOST_DIFFERENT = 2 * CHUNKS - 1
 #: Pairs whose texts one task compares.
 PAIRS_PER_TASK = 2_000
-#: Rounds end when the pairs left are no more than this many for each key of each class.
-PAIRS_PER_KEY = 16
+#: Rounds end when the pairs left are no more than this many for each class.
+PAIRS_PER_CLASS = 1
 #: Classes outside the main component of a key that one task holds against the others.
 OUTSIDE_PER_TASK = 2_000
 #: Longs of parity bits.
@@ -141,26 +141,19 @@ def _keys() -> Column:
     )
 
 
-def under_distance(keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether the signatures in each row of ``left`` and ``right`` are near enough and ``keys``
-    holds the first key in which they meet, one that both have."""
-    apart = left ^ right
-    lanes = [(apart >> (BITS + 1) * slot) & (2**BITS - 1) != 0 for slot in range(CHUNK)]
-    differing = np.sum(lanes, axis=0)
-    number = keys & (SLOTS - 1)
-    chunk = number // CHUNK
-    first = np.argmax(differing <= 1, axis=1)
-    # A chunk without a differing slot is met in each of its keys.
-    equal = differing[np.arange(len(keys)), chunk] == 0
-    near = differing.sum(axis=1) <= MOST_DIFFERENT
-    return near & (first == chunk) & (~equal | (number % CHUNK == 0))
-
-
-def _under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = np.stack([c.to_numpy() for c in batch.columns[2:]], axis=1)
-        near = under_distance(columns[:, 0], columns[:, 1 : 1 + CHUNKS], columns[:, 1 + CHUNKS :])
-        yield batch.select(["a", "b"]).filter(pa.array(near))
+def _first_key(left: str, right: str, key: Column) -> Column:
+    """Whether ``key``, which both signatures have, is the first key in which they meet."""
+    chunks = _differing(left, right)
+    # A chunk without a differing slot is met in each of its keys; the first of them counts.
+    return reduce(
+        lambda later, c: F.when(
+            chunks[c] <= 1,
+            (key.bitwiseAND(F.lit(SLOTS - CHUNK)) == CHUNK * c)
+            & ((chunks[c] == 1) | (key.bitwiseAND(F.lit(CHUNK - 1)) == 0)),
+        ).otherwise(later),
+        reversed(range(CHUNKS)),
+        F.lit(False),
+    )
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +189,10 @@ def _nearest(
 ) -> DataFrame:
     """Each class of the keys ``active`` with the nearest leader of another component.
 
-    The leader of a key has the least id after the bits that the key and the turn draw are flipped.
+    The leader of a key has the least id after the bits that the turn draws are flipped. As all
+    keys order ids alike, the keys of near copies agree on few leaders, and a class meets few.
     """
-    flips = F.xxhash64("key", F.lit(turn))
+    flips = F.xxhash64(F.lit(turn))
     leads = active.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(flips)).alias("least"))
     leads = leads.select("key", F.col("least").bitwiseXOR(flips).alias("lead"))
     leads = sized(stored(few(leads, rows)))
@@ -254,17 +248,11 @@ def _crossing(
         & (F.col("x.part") == F.col("y.part"))
         & (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & _may_link("x", "y"),
-    )
-    pairs = pairs.select(
-        F.col("x.rep").alias("a"),
-        F.col("y.rep").alias("b"),
-        "x.key",
-        *[F.col(f"x.{p}").alias(f"x{p}") for p in _PARTS],
-        *[F.col(f"y.{p}").alias(f"y{p}") for p in _PARTS],
+        & _may_link("x", "y")
+        & (reduce(Column.__add__, _differing("x", "y")) <= MOST_DIFFERENT)
+        & _first_key("x", "y", F.col("x.key")),
     )
-    pairs = pairs.mapInArrow(_under, "a long, b long")
-    return few(few(pairs, rows).distinct(), rows)
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -308,7 +296,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         placed = sized(stored(few(placed, n)))
         active, left = _divided(active, placed, rows)
         active = stored(active)
-        if left <= PAIRS_PER_KEY * SLOTS * n or 10 * left > 9 * before:
+        if left <= PAIRS_PER_CLASS * n or 4 * left > 3 * before:
             break
         before = left
     crossing = stored(_crossing(active, placed, sketches, active.count()))
