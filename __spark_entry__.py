@@ -17,11 +17,13 @@ from tidemark import (
     absorb,
     create_rollup,
     full_refresh,
+    key_profile,
     publish_rollup,
     refresh_policy,
     refresh_window,
     store_by_day,
     stream_rollup,
+    update_key_counts,
     update_zones,
 )
 from tidemark.operators.describe import (
@@ -311,6 +313,18 @@ def _storage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(space.frame("events", ["value"], *UNALIGNED, "avg", "30 minutes"))
 
 
+def _key_profile_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys of a range that cuts days, from counts kept by day; errors arrived after the counts."""
+    events = _source(sf_dir, "events").read(spark)
+    raw = Source("events", shared_folder(spark, "events_keys"), date_column="date")
+    late = (F.col("event_type") == "error") & (F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))
+    counts = shared_folder(spark, "key_counts")
+    store_by_day(events.filter(~late), raw.location, "ts")
+    update_key_counts(spark, raw, "props", counts)
+    store_by_day(events.filter(late), raw.location, "ts", mode="append")
+    return key_profile(spark, raw, "props", counts, *UNALIGNED)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Hourly average of the error events."""
     space = Workspace(spark, _source("/root/testdata/sf0.001", "events"))
@@ -363,6 +377,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "source_description": _description,
         "json_key_profile": _key_profile,
         "json_key_profile_many": _key_profile_many,
+        "json_key_profile_by_day": _key_profile_by_day,
         "latest_rows": _latest,
         "storage_by_day": _storage_by_day,
         "rollup_1h_build": _rollup_build,
@@ -491,6 +506,11 @@ _PROFILE_SQL = """
         ORDER BY ts DESC, key LIMIT 1000)
     GROUP BY key ORDER BY occurrences DESC, key LIMIT 30"""
 
+_PROFILE_BY_DAY_SQL = f"""
+    SELECT key, count(*) AS occurrences
+    FROM (SELECT unnest(json_keys(props)) AS key FROM events WHERE {_IN_UNALIGNED})
+    GROUP BY key ORDER BY occurrences DESC, key"""
+
 _PROFILE_MANY_SQL = """
     WITH keys AS (
         SELECT l_shipdate, 'returned' AS key FROM lineitem WHERE l_returnflag = 'R'
@@ -578,6 +598,7 @@ def _own_oracle_sql() -> dict[str, str]:
         "source_description": _DESCRIPTION_SQL,
         "json_key_profile": _PROFILE_SQL,
         "json_key_profile_many": _PROFILE_MANY_SQL,
+        "json_key_profile_by_day": _PROFILE_BY_DAY_SQL,
         "latest_rows": "SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 1000",
         "storage_by_day": events({"value_avg": _avg("value")}, "30 minutes", _IN_UNALIGNED),
         "rollup_1h_build": _hourly_sql("events"),

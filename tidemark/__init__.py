@@ -1,5 +1,6 @@
 """Bounded questions over stored telemetry, answered by Spark."""
 
+from .operators.key_counts import key_profile, update_key_counts
 from .operators.refresh import full_refresh, refresh_policy, refresh_window
 from .operators.rollup import create_rollup, publish_rollup
 from .operators.zones import update_zones
@@ -17,11 +18,13 @@ __all__ = [
     "create_rollup",
     "discover",
     "full_refresh",
+    "key_profile",
     "plan_timeseries",
     "publish_rollup",
     "refresh_policy",
     "refresh_window",
     "store_by_day",
     "stream_rollup",
+    "update_key_counts",
     "update_zones",
 ]
