@@ -260,11 +260,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stored(documents.mapInArrow(_signed, _SIGNED))
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Never null; said here, it halves the code that joins run for each pair.
+    none = F.lit(0).cast("long")
     classes = stored(
         linkable.groupBy("digest").agg(
             F.min("doc_id").alias("rep"),
-            F.min("n_shingles").alias("n"),
-            *[F.min(p).alias(p) for p in _PARTS + _BITS],
+            F.coalesce(F.min("n_shingles"), none).alias("n"),
+            *[F.coalesce(F.min(p), none).alias(p) for p in _PARTS + _BITS],
         )
     )
     same = linkable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
