@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta, timezone
 from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from tidemark import (
     publish_rollup,
     refresh_policy,
     refresh_window,
+    retire_landed,
     store_by_day,
     stream_rollup,
     update_key_counts,
@@ -242,6 +244,41 @@ def _rollup_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(space.frame("events", ["value"], *ALWAYS, "sum", "1 day"))
 
 
+def _rollup_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the stream; landed days that the first one brought are deleted in between."""
+    raw, later = _parts(spark, sf_dir, "ts >= timestamp_ntz'2024-01-20'")
+    root = shared_folder(spark, "events_stream")
+    rollup = create_rollup(spark, raw, f"{root}/rollup", _DIMS, _VALUES)
+    for arriving in (None, later):
+        if arriving is not None:
+            retire_landed(spark, rollup, f"{root}/landing", timedelta(days=1))
+            arriving.write.mode("append").parquet(raw.location)
+        query = stream_rollup(spark, raw, rollup, f"{root}/landing", f"{root}/checkpoint")
+        query.awaitTermination()
+        absorb(spark, rollup, f"{root}/landing", raw)
+    space = Workspace(spark, raw, rollup)
+    return _rounded(space.frame("events", ["value"], *ALWAYS, "sum", "1 day"))
+
+
+def _rollup_refreshed_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refreshes of overlapping windows run at once; one that meets another's days gives way."""
+    raw = _stored_by_day(spark, sf_dir)
+    rollup = create_rollup(spark, raw, shared_folder(spark, "events_1h"), _DIMS, _VALUES)
+    windows = [("2024-01-02", "2024-01-09T05:00"), ("2024-01-08", "2024-01-15"), LATE_WINDOW]
+
+    def refresh(window: tuple[str, str]) -> None:
+        try:
+            refresh_window(spark, raw, rollup, *window)
+        except ValueError as error:
+            if not str(error).startswith("refresh_in_progress"):
+                raise
+
+    with ThreadPoolExecutor(len(windows)) as pool:
+        list(pool.map(refresh, windows))
+    space = Workspace(spark, raw, rollup)
+    return _rounded(space.frame("events", ["value"], *ALWAYS, "sum", "1 day"))
+
+
 def _rollup_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table and its rollup found in the catalog; the rollup answers by itself."""
     place = shared_folder(spark, "home")
@@ -400,6 +437,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rollup_stream_1h": _rollup_stream,
         "rollup_exact_late_files": _rollup_late_files,
         "rollup_stream_late_rows": _rollup_stream_late,
+        "rollup_stream_absorbed": _rollup_absorbed,
+        "rollup_exact_refreshed_at_once": _rollup_refreshed_at_once,
         "rollup_exact_empty": _rollup_empty,
         "rollup_exact_catalog": _rollup_catalog,
         "time_range_zones": _time_range_zones,
@@ -629,6 +668,8 @@ def _own_oracle_sql() -> dict[str, str]:
         "rollup_stream_1h": _STREAM_SQL,
         "rollup_exact_late_files": events({"value_sum": _sum("value")}, "1 day"),
         "rollup_stream_late_rows": events({"value_sum": _sum("value")}, "1 day"),
+        "rollup_stream_absorbed": events({"value_sum": _sum("value")}, "1 day"),
+        "rollup_exact_refreshed_at_once": events({"value_sum": _sum("value")}, "1 day"),
         "rollup_exact_empty": events({"value_avg": _avg("value")}, "1 day"),
         "rollup_exact_catalog": events(
             {"value_avg": _avg("value"), "user_id_avg": _avg("user_id")}, "1 day"

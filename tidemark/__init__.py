@@ -7,7 +7,7 @@ from .operators.zones import update_zones
 from .plans.timeseries import plan_timeseries
 from .sources.registry import Registry, Source, discover
 from .sources.storage import store_by_day
-from .streaming.rollup_stream import absorb, stream_rollup
+from .streaming.rollup_stream import absorb, retire_landed, stream_rollup
 from .workspace import Workspace
 
 __all__ = [
@@ -23,6 +23,7 @@ __all__ = [
     "publish_rollup",
     "refresh_policy",
     "refresh_window",
+    "retire_landed",
     "store_by_day",
     "stream_rollup",
     "update_key_counts",

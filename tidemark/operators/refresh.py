@@ -12,11 +12,21 @@ hours each file holds, and ``<location>_hours`` is a log of the files that each
 computed from. An hour whose present files are others is stale. ``<location>_listing`` holds a
 digest of the files as they were when no hour was stale; while it fits, none can be. It goes
 before any hour is computed anew.
+
+Refreshes may run at once. Each claims the days that it rewrites before it reads raw rows, in the
+same numbered notes that hold the coverage. A refresh that meets the claim of another one on its
+days fails with ``refresh_in_progress`` and changes nothing; refreshes of other days go on beside
+it. A refresh that fails gives its claim back and leaves its days uncovered. The claim of a driver that
+was lost ends after ``CLAIM_LIMIT``; should its job come back after that, it fails with
+``refresh_overtaken`` and declares nothing. No refresh may take longer than that.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timedelta, timezone
 from time import time_ns
 
@@ -31,13 +41,15 @@ from ..functions.names import column
 from ..functions.spans import Span, dates_of, intersect, merge, subtract, whole_hours
 from ..sources.registry import Source
 from .filters import within
-from .notes import notes_version, read_notes, write_notes
+from .notes import notes_version, read_notes, update_notes, write_notes, write_notes_after
 from .rollup import DATE, hourly, stored_range, time_of
 from .zones import files, has_files, hours_of, listing_digest, update_zones, zones
 
 # The default policy refreshes from seven days to five minutes ago.
 START_OFFSET = timedelta(days=7)
 END_OFFSET = timedelta(minutes=5)
+#: How long the claim of a refresh stands that neither ended nor failed.
+CLAIM_LIMIT = timedelta(hours=12)
 
 # Number of files, their total size, when the newest was written, and a hash of all their
 # paths, sizes and times.
@@ -52,25 +64,25 @@ def full_refresh(spark: SparkSession, raw: Source, rollup: Source) -> None:
     if by_hour:  # before the rows are read: a file that comes in between counts as new
         listing = _open_hours(spark, raw, rollup)
         present = present_hours(spark, raw, rollup, note=True)
-    frame = raw.read(spark)
-    time = time_of(raw.resolved(spark))
-    if coverage(spark, rollup):
-        _save_coverage(spark, rollup, [])
-    (
-        hourly(frame, time.name, rollup.dims, rollup.values)
-        .hint("rebalance", DATE)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(DATE)
-        .parquet(rollup.location)
-    )
-    first, last = stored_range(rollup.read(spark))
-    if first is not None and last > first:
-        _save_coverage(spark, rollup, [(first, last)])
-    if seen is not None:
-        _save_seen(spark, rollup, seen)
+    with claimed(spark, rollup, [ALWAYS]) as claim:
+        claim.held.clear()
+        time = time_of(raw.resolved(spark))
+        (
+            hourly(raw.read(spark), time.name, rollup.dims, rollup.values)
+            .hint("rebalance", DATE)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(DATE)
+            .parquet(rollup.location)
+        )
+        first, last = stored_range(rollup.read(spark))
+        if first is not None and last > first:
+            claim.done.append((first, last))
+        if seen is not None:
+            write_notes(spark, rollup.location, "seen", _SEEN, _seen_rows(seen))
+        if by_hour:
+            _log_hours(rollup, present.withColumn("version", F.lit(time_ns())), "overwrite")
     if by_hour:
-        _log_hours(rollup, present.withColumn("version", F.lit(time_ns())), "overwrite")
         _close_hours(spark, raw, rollup, present, listing)
 
 
@@ -90,12 +102,11 @@ def refresh_window(
     if span[0] >= span[1]:
         return None
     present = raw_files(spark, raw, span)
-    others = subtract(coverage(spark, rollup), [span])
     by_hour = present is None and has_files(raw)
     if by_hour:
         listing = _open_hours(spark, raw, rollup)
         hours = present_hours(spark, raw, rollup, note=True)
-    _recompute(spark, raw, rollup, span)
+    others = subtract(_recompute(spark, raw, rollup, [span]), [span])
     if by_hour:
         take_in_hours(spark, rollup, hours, [span])
         _close_hours(spark, raw, rollup, hours, listing)
@@ -159,13 +170,14 @@ def refresh_policy(
         spans = merge([*stale, *subtract([window], known)])
     if hours is not None and spans:
         listing = _open_hours(spark, raw, rollup)
-    for span in spans:
-        _recompute(spark, raw, rollup, span)
+    held = _recompute(spark, raw, rollup, spans) if spans else []
     if hours is not None and spans:
         take_in_hours(spark, rollup, hours, spans)
         _close_hours(spark, raw, rollup, hours, listing)
     if present is not None:
-        _take_in(spark, rollup, present, days)
+        # Hours that another refresh filled meanwhile, maybe from fewer files than listed here.
+        others = dates_of(subtract(held, [*known, *spans]))
+        _take_in(spark, rollup, present, days - others)
     return spans
 
 
@@ -215,11 +227,13 @@ def withdraw_digest(spark: SparkSession, rollup: Source) -> None:
 def _close_hours(
     spark: SparkSession, raw: Source, rollup: Source, hours: DataFrame, listing: tuple
 ) -> None:
-    """Note the digest again if no file came or went meanwhile and no hour is stale."""
-    if listing == listing_digest(files(spark, raw)):
+    """Note the digest again if no file came or went meanwhile, no hour is stale and no other
+    refresh is under way. One that begins meanwhile withdraws the digest, so that it is not written."""
+    version = notes_version(spark, rollup.location, "listing")
+    if listing == listing_digest(files(spark, raw)) and not _claims(_state(spark, rollup)):
         known = coverage(spark, rollup)
         if not (known and _stale_hours(spark, rollup, hours, (known[0][0], known[-1][1]))):
-            write_notes(spark, rollup.location, "listing", _LISTING, [listing])
+            write_notes_after(spark, rollup.location, "listing", _LISTING, [listing], version)
 
 
 def _hour_log(spark: SparkSession, rollup: Source) -> DataFrame | None:
@@ -286,14 +300,77 @@ def _take_in(
     spark: SparkSession, rollup: Source, present: dict[date, Files], days: set[date]
 ) -> None:
     """Note the files, listed before they were read, of days that a refresh has taken in."""
-    kept = {d: f for d, f in _seen(spark, rollup).items() if d not in days}
-    _save_seen(spark, rollup, kept | {d: f for d, f in present.items() if d in days})
 
+    def change(rows: list[Row]) -> list[tuple]:
+        kept = {r["day"]: _files(r) for r in rows if r["day"] not in days}
+        return _seen_rows(kept | {d: f for d, f in present.items() if d in days})
+
+    update_notes(spark, rollup.location, "seen", _SEEN, change)
+
+
+@dataclass
+class Claim:
+    """What was covered of the days that one refresh may rewrite, and what it has done."""
+
+    writer: str
+    held: list[Span] = field(default_factory=list)
+    done: list[Span] = field(default_factory=list)
+
+
+@contextmanager
+def claimed(spark: SparkSession, rollup: Source, spans: list[Span]) -> Iterator[Claim]:
+    """Withdraw the days of some spans from the coverage and keep other refreshes off them.
+
+    At the end, what was held and done is covered; after a failure nothing of these days is."""
+    days = _whole_days(spans)
+    claim = Claim(uuid.uuid4().hex)
+
+    def begin(rows: list[Row]) -> list[tuple]:
+        now = time_ns() // 1000
+        oldest = now - CLAIM_LIMIT // timedelta(microseconds=1)
+        others = [r for r in _claims(rows) if r["since_us"] >= oldest]
+        for r in others:
+            if _shared(days, [(r["start_us"], r["end_us"])]):
+                raise ValueError(f"refresh_in_progress: {rollup.name} {r['start']} to {r['end']}")
+        known = _spans(rows)
+        claim.held = _shared(known, days)
+        mine = [_note(d, claim.writer, now) for d in days]
+        return [*map(_note, subtract(known, days)), *map(tuple, others), *mine]
 
-def _recompute(spark: SparkSession, raw: Source, rollup: Source, span: Span) -> None:
+    def end(rows: list[Row]) -> list[tuple]:
+        claims = _claims(rows)
+        if claim.writer not in {r["writer"] for r in claims}:
+            raise ValueError(f"refresh_overtaken: {rollup.name} took over {CLAIM_LIMIT}")
+        others = [tuple(r) for r in claims if r["writer"] != claim.writer]
+        return [*map(_note, merge([*_spans(rows), *covered])), *others]
+
+    covered: list[Span] = []
+    update_notes(spark, rollup.location, "coverage", _COVERAGE, begin)
+    try:
+        if notes_version(spark, rollup.location, "listing"):
+            withdraw_digest(spark, rollup)
+        yield claim
+        covered = [*claim.held, *claim.done]
+    finally:
+        update_notes(spark, rollup.location, "coverage", _COVERAGE, end)
+
+
+def _whole_days(spans: list[Span]) -> list[Span]:
+    return merge([(a // DAY * DAY, min(-(-b // DAY) * DAY, ALWAYS[1])) for a, b in spans])
+
+
+def _shared(some: list[Span], others: list[Span]) -> list[Span]:
+    return [part for other in others for part in intersect(some, other)]
+
+
+def _recompute(spark: SparkSession, raw: Source, rollup: Source, spans: list[Span]) -> list[Span]:
+    """Returns what was covered of the days that the spans touch."""
     time = time_of(raw.resolved(spark))
-    rows = raw.read(spark, [span]).filter(within(time, [span], raw.date_column))
-    replace_hours(spark, rollup, hourly(rows, time.name, rollup.dims, rollup.values), span)
+    with claimed(spark, rollup, spans) as claim:  # before files are listed for reading
+        rows = raw.read(spark, spans).filter(within(time, spans, raw.date_column))
+        fresh = hourly(rows, time.name, rollup.dims, rollup.values)
+        write_hours(spark, rollup, fresh, spans, claim)
+    return claim.held
 
 
 def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: Span) -> None:
@@ -301,19 +378,24 @@ def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: S
 
     Running it again with the same input gives the same table.
     """
-    low, high = span
-    days = (low // DAY * DAY, -(-high // DAY) * DAY)
-    known = coverage(spark, rollup)
-    if subtract(known, [days]) != known:
-        _save_coverage(spark, rollup, subtract(known, [days]))
+    with claimed(spark, rollup, [span]) as claim:
+        write_hours(spark, rollup, fresh, [span], claim)
 
-    stored = rollup.read(spark, [days])
+
+def write_hours(
+    spark: SparkSession, rollup: Source, fresh: DataFrame, spans: list[Span], claim: Claim
+) -> None:
+    """The same for some spans in one job, under a claim on their days."""
+    days = _whole_days(spans)
+    stored = rollup.read(spark, days)
     bucket = stored.schema["bucket"]
-    in_days = F.col(DATE).between(date_literal(days[0]), date_literal(days[1] - 1))
+    in_days: Column = F.lit(False)
+    for low, high in days:
+        in_days |= F.col(DATE).between(date_literal(low), date_literal(high - 1))
     touched = stored.filter(in_days)
     before = _files_by_day(stored, days)
     (
-        fresh.unionByName(touched.filter(~within(bucket, [span])))
+        fresh.unionByName(touched.filter(~within(bucket, spans)))
         .hint("rebalance", DATE)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -323,14 +405,14 @@ def replace_hours(spark: SparkSession, rollup: Source, fresh: DataFrame, span: S
     # Dynamic overwrite leaves a day alone for which nothing was written: one whose raw
     # rows are gone. Its old files are still there.
     nothing = no_rows(spark, stored.drop(DATE).schema)
-    for day in {day for day, _ in before & _files_by_day(rollup.read(spark, [days]), days)}:
+    for day in {day for day, _ in before & _files_by_day(rollup.read(spark, days), days)}:
         nothing.write.mode("overwrite").parquet(f"{rollup.location}/{DATE}={day}")
-    _save_coverage(spark, rollup, merge([*known, span]))
+    claim.done += spans
 
 
-def _files_by_day(frame: DataFrame, days: Span) -> set[tuple[date, str]]:
+def _files_by_day(frame: DataFrame, days: list[Span]) -> set[tuple[date, str]]:
     """Day and path of the files a rollup frame would read for some days."""
-    wanted = dates_of([days])
+    wanted = dates_of(days)
     paths = [(path.rsplit(f"/{DATE}=", 1)[1][:10], path) for path in frame.inputFiles()]
     files = {(date.fromisoformat(day), path) for day, path in paths}
     return {(day, path) for day, path in files if day in wanted}
@@ -340,8 +422,19 @@ def coverage(spark: SparkSession, rollup: Source) -> list[Span]:
     """Spans of time for which the rollup holds every hour; a few rows of metadata."""
     if rollup.format == "table":
         return []
-    rows = read_notes(spark, rollup.location, "coverage", _COVERAGE)
-    return sorted((r["start_us"], r["end_us"]) for r in rows)
+    return _spans(_state(spark, rollup))
+
+
+def _state(spark: SparkSession, rollup: Source) -> list[Row]:
+    return read_notes(spark, rollup.location, "coverage", _COVERAGE)
+
+
+def _spans(rows: list[Row]) -> list[Span]:
+    return sorted((r["start_us"], r["end_us"]) for r in rows if r["writer"] is None)
+
+
+def _claims(rows: list[Row]) -> list[Row]:
+    return [r for r in rows if r["writer"] is not None]
 
 
 def rollup_state(spark: SparkSession, raw: Source, rollup: Source) -> DataFrame:
@@ -364,8 +457,8 @@ def rollup_state(spark: SparkSession, raw: Source, rollup: Source) -> DataFrame:
     )
 
 
-def coverage_version(spark: SparkSession, rollup: Source) -> list[str]:
-    """Differs after any change of the coverage."""
+def coverage_version(spark: SparkSession, rollup: Source) -> int:
+    """Differs after any change of the coverage, and once a refresh has begun."""
     return notes_version(spark, rollup.location, "coverage")
 
 
@@ -402,15 +495,18 @@ def _files(row: Row) -> Files:
     return row["files"], row["bytes"], row["newest_us"], row["hash"]
 
 
-_COVERAGE = columns(start_us="long", end_us="long", start="string", end="string")
+_COVERAGE = columns(
+    start_us="long", end_us="long", start="string", end="string", writer="string", since_us="long"
+)
 _LISTING = columns(files="long", bytes="long", hash="long")
 _HOURS = columns(hour_us="long", files="long", rows="long", hash="long", version="long")
 _SEEN = columns(day="date", files="long", bytes="long", newest_us="long", hash="long")
 
 
-def _save_coverage(spark: SparkSession, rollup: Source, spans: list[Span]) -> None:
-    rows = [(a, b, from_micros(a).isoformat(), from_micros(b).isoformat()) for a, b in spans]
-    write_notes(spark, rollup.location, "coverage", _COVERAGE, rows)
+def _note(span: Span, writer: str | None = None, since_us: int | None = None) -> tuple:
+    """A span that is covered, or claimed by a writer."""
+    start, end = (from_micros(at).isoformat() for at in span)
+    return *span, start, end, writer, since_us
 
 
 def _seen(spark: SparkSession, rollup: Source) -> dict[date, Files]:
@@ -418,9 +514,8 @@ def _seen(spark: SparkSession, rollup: Source) -> dict[date, Files]:
     return {r["day"]: _files(r) for r in rows}
 
 
-def _save_seen(spark: SparkSession, rollup: Source, seen: dict[date, Files]) -> None:
-    rows = [(d, *f) for d, f in sorted(seen.items())]
-    write_notes(spark, rollup.location, "seen", _SEEN, rows)
+def _seen_rows(seen: dict[date, Files]) -> list[tuple]:
+    return [(d, *f) for d, f in sorted(seen.items())]
 
 
 def _span_of(day: date) -> Span:

@@ -34,7 +34,7 @@ class Split:
 
     rolled: list[Span]
     raw: list[Span]
-    version: list[str]
+    version: int
 
 
 def candidate(registry: Registry, source: Source, width: Width) -> Source | None:
