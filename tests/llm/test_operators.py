@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -127,6 +128,28 @@ def test_a_group_larger_than_window_and_reach(spark, monkeypatch):
     assert all(got[i]["n_links"] >= 69 for i in range(70))
 
 
+def test_links_are_counted_as_longs(spark):
+    """Structs would be compared all with all: the work of a vector grew with the square of its links."""
+    draw = np.random.default_rng(7)
+    centre = draw.normal(size=8)
+    rows, i = [], 0
+    for copies in (1, 1, 2, 3, 5, 8):
+        vector = (centre + draw.normal(size=8) * 0.01).tolist()
+        rows += [(i + k, vector) for k in range(copies)]
+        i += copies
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embedding_passes.near_duplicates(frame).collect()
+    assert {r["n_links"] for r in got} == {len(rows) - 1}
+    many = 40_000
+    linked = spark.range(2).selectExpr(
+        "0L AS rep", "CAST(id AS INT) AS bit",
+        f"flatten(array_repeat(sequence(1L, {many}L - 10000 * id), 3)) AS links",
+    )
+    begun = time.perf_counter()
+    assert embedding_passes._others(linked.union(linked)).collect() == [(0, many + 2 * (many - 10000))]
+    assert time.perf_counter() - begun < 30
+
+
 def test_sharding(docs, nothing):
     rows = sharding.shard(docs).collect()
     assert len(rows) == len(documents())

@@ -13,11 +13,15 @@ from that and from N, so that such a pair is missed with probability ``MISSED``;
 angles far less often. What is found depends on these random draws, what is linked does not.
 
 Spark sorts: rows of all passes are range-partitioned and sorted by (length, pass, key) and ranked by
-the counts of the partitions, which are one small row each. Ranks are cut into blocks of
+the counts of the partitions, which are one small row each. Vectors stay behind and join their ranks
+on the way to the blocks, so that they are moved once. Ranks are cut into blocks of
 ``BLOCK`` rows; a block also gets the next ``REACH``. A vector that has links up to the end of
 that goes on to the next block in a further round. A block gives one row per linked vector: its links
 there as one array, and the smallest vector that it reaches within the block. No pair is a row of
-its own, so a group of copies gives as many rows as it has members.
+its own, so a group of copies gives as many rows as it has members. A link to a class of several
+equal vectors counts as often: the block gives a row for each bit that is set in the sizes of
+the classes linked, with those that have it. So a vector's links are distinct longs per bit, which
+Spark counts by hashing; distinct structs would be compared with each other, all with all.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; vectors of different lengths do not link. A row without vec_id links with nothing and stays.
@@ -45,7 +49,7 @@ WINDOW, REACH, BLOCK = 64, 1024, 4096
 MISSED = 1e-4
 
 _VALID = "vec_id long, digest binary, length int, vector binary"
-_KEYED = "length int, pass int, key long, rep long, size long, vector binary"
+_KEYED = "length int, pass int, key long, rep long, class long"
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,16 +96,17 @@ def _keyed(passes: int):
                             part.column(0),
                             pa.array(np.full(len(vectors), number, np.int32)),
                             pa.array(signs.astype(np.int64) @ places),
-                            *part.columns[1:],
+                            part.column(1),
+                            part.column(2),
                         ],
-                        names=["length", "pass", "key", "rep", "size", "vector"],
+                        names=["length", "pass", "key", "rep", "class"],
                     )
 
     return keyed
 
 
 def _compared(block: list[tuple], total: int) -> Iterator[pa.RecordBatch]:
-    """Rows rep, root, links of one block, and the queries that are to go on, from ``open``.
+    """Rows rep, root, bit, links of one block, and the queries that are to go on, from ``open``.
 
     A row of ``block`` is (role, rank, from, length, pass, key, rep, size, vector); role 0 is only
     compared against, 1 is a member, 2 came from an earlier block and starts at ``from``. There
@@ -164,23 +169,27 @@ def _compared(block: list[tuple], total: int) -> Iterator[pa.RecordBatch]:
         if (label == before).all():
             break
     pairs = np.unique(np.concatenate([np.stack([a, b], 1), np.stack([b, a], 1)]), axis=0)
-    starts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
-    near = pa.StructArray.from_arrays(
-        [pa.array(names[pairs[:, 1]]), pa.array(size[pairs[:, 1]])], names=["id", "size"]
-    )
-    offsets = pa.array(np.append(starts, len(pairs)).astype(np.int32))
-    linked = pairs[starts, 0]
-    found = [
-        pa.array(names[linked]),
-        pa.array(names[label[linked]]),
-        pa.ListArray.from_arrays(offsets, near),
-    ]
-    rest = [pa.nulls(len(linked), f.type) for f in _LINKED_ARROW][len(found) :]
-    yield pa.RecordBatch.from_arrays([*found, *rest], names=_LINKED_ARROW.names)
+    roots = label[pairs[:, 0]]
+    for bit in range(int(size[pairs[:, 1]].max(initial=1)).bit_length()):
+        having = (size[pairs[:, 1]] >> bit) & 1 == 1
+        if not having.any():
+            continue
+        a, b = pairs[having].T
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        found = [
+            pa.array(names[a[starts]]),
+            pa.array(names[roots[having][starts]]),
+            pa.array(np.full(len(starts), bit, np.int32)),
+            pa.ListArray.from_arrays(
+                pa.array(np.append(starts, len(a)).astype(np.int32)), pa.array(names[b])
+            ),
+        ]
+        rest = [pa.nulls(len(starts), f.type) for f in _LINKED_ARROW][len(found) :]
+        yield pa.RecordBatch.from_arrays([*found, *rest], names=_LINKED_ARROW.names)
     again = [(queries[i], rank) for i, rank in unfinished.items()]
     if again:
         columns = zip(
-            *[(q[6], q[6], [], rank, q[1], q[3], q[4], q[5], q[7], q[8]) for q, rank in again],
+            *[(q[6], q[6], 0, [], rank, q[1], q[3], q[4], q[5], q[7], q[8]) for q, rank in again],
             strict=True,
         )
         arrays = [pa.array(c, f.type) for c, f in zip(columns, _LINKED_ARROW, strict=True)]
@@ -188,14 +197,15 @@ def _compared(block: list[tuple], total: int) -> Iterator[pa.RecordBatch]:
 
 
 _LINKED = (
-    "rep long, root long, links array<struct<id: long, size: long>>, open long, rank long, "
+    "rep long, root long, bit int, links array<long>, open long, rank long, "
     "length int, pass int, key long, size long, vector binary"
 )
 _LINKED_ARROW = pa.schema(
     [
         ("rep", pa.int64()),
         ("root", pa.int64()),
-        ("links", pa.list_(pa.struct([("id", pa.int64()), ("size", pa.int64())]))),
+        ("bit", pa.int32()),
+        ("links", pa.list_(pa.int64())),
         ("open", pa.int64()),
         ("rank", pa.int64()),
         ("length", pa.int32()),
@@ -227,7 +237,7 @@ def _blocks(total: int):
 
 def _sorted_ranks(keyed: DataFrame) -> DataFrame:
     """The rows with their rank in the order of length, pass and key."""
-    order = ["length", "pass", "key", "rep"]
+    order = ["length", "pass", "key", "rep", "class"]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(placed.withColumn("place", F.monotonically_increasing_id()))
     part, within = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit(2**33 - 1))
@@ -238,30 +248,27 @@ def _sorted_ranks(keyed: DataFrame) -> DataFrame:
     return ranked.select((F.col("first") + within).alias("rank"), *keyed.columns)
 
 
-def _linked(ranked: DataFrame, total: int) -> DataFrame:
-    """rep, root and links, a row for each block in which a class has links."""
+def _linked(ranked: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """rep, root, bit and links, a row for each block in which a class has links, and bit."""
     rest = ["rank", "from", "length", "pass", "key", "rep", "size", "vector"]
     block = F.floor(F.col("rank") / BLOCK)
-    members = ranked.select(
-        block.alias("block"), F.lit(1).alias("role"), "rank",
-        (F.col("rank") + 1).alias("from"), *rest[2:],
-    )
-    ahead = members.where(F.col("rank") % BLOCK < REACH)
-    ahead = ahead.withColumn("block", F.col("block") - 1).withColumn("role", F.lit(0))
-    found = None
-    asked = members
+    own = F.struct(block.alias("block"), F.lit(1).alias("role"))
+    before = F.struct((block - 1).alias("block"), F.lit(0).alias("role"))
+    ahead = (F.col("rank") % BLOCK < REACH) & (F.col("rank") >= BLOCK)
+    placed = ranked.select("*", F.explode(F.when(ahead, F.array(own, before)).otherwise(F.array(own))))
+    placed = placed.select("col.*", (F.col("rank") + 1).alias("from"), *ranked.columns)
+    vectors = classes.select("class", "size", "vector")
+    found = asked = None
     while True:
-        targets = members.union(ahead)
         if found is None:
-            rows = targets
+            rows = placed.join(vectors, "class").select("block", "role", *rest)
         else:
             wanted = asked.select("block").distinct()
-            rows = targets.withColumn("role", F.lit(0)).join(wanted, "block").select(
-                "block", "role", *rest
-            ).union(asked)
+            again = placed.withColumn("role", F.lit(0)).join(wanted, "block")
+            rows = again.join(vectors, "class").select("block", "role", *rest).union(asked)
         rows = rows.repartition("block").sortWithinPartitions("block")
         result = stored(rows.mapInArrow(_blocks(total), _LINKED))
-        links = result.where("open IS NULL").select("rep", "root", "links")
+        links = result.where("open IS NULL").select("rep", "root", "bit", "links")
         found = links if found is None else found.union(links)
         asked = result.where("open IS NOT NULL").select(
             F.floor(F.col("open") / BLOCK).alias("block"), F.lit(2).alias("role"), "rank",
@@ -271,11 +278,19 @@ def _linked(ranked: DataFrame, total: int) -> DataFrame:
             return found
 
 
+def _others(linked: DataFrame) -> DataFrame:
+    """rep and others: how many vectors its class links with, each once whatever block found it."""
+    counted = linked.groupBy("rep", "bit").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("links")))).alias("n")
+    )
+    return counted.groupBy("rep").agg(F.expr("sum(shiftleft(1L, bit) * n)").alias("others"))
+
+
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``embeddings``."""
     rows = embeddings.select(F.col("vec_id").cast("long"), "embedding")
     valid = stored(rows.mapInArrow(_valid, _VALID))
-    classes = stored(
+    grouped = stored(
         valid.groupBy("digest").agg(
             F.min("vec_id").alias("rep"),
             F.count_distinct("vec_id").alias("size"),
@@ -283,24 +298,22 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
             F.min("vector").alias("vector"),
         )
     )
+    # Stored rows keep their numbers.
+    classes = grouped.withColumn("class", F.monotonically_increasing_id())
     members = valid.select("vec_id", "digest").distinct()
     members = members.join(classes.select("digest", "rep", "size"), "digest")
     members = stored(members.select("vec_id", "rep", "size"))
-    keyed = classes.select("length", "rep", "size", "vector")
+    keyed = classes.select("length", "rep", "class", "vector")
     n = classes.count()
     passes = passes_for(n)
     keyed = keyed.mapInArrow(_keyed(passes), _KEYED)
-    linked = stored(_linked(_sorted_ranks(keyed), n * passes))
+    linked = stored(_linked(_sorted_ranks(keyed), classes, n * passes))
 
-    near = linked.groupBy("rep").agg(F.flatten(F.collect_list("links")).alias("links"))
-    others = F.aggregate(
-        F.array_distinct("links"), F.lit(0).cast("long"), lambda n, x: n + x["size"]
-    )
-    near = near.select("rep", others.alias("others"))
+    near = _others(linked)
     counted = members.join(near, "rep", "left").groupBy("vec_id").agg(
         F.sum(F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links")
     )
-    roots = linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    roots = linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
     copies = members.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     whole = components(roots.union(copies))
     marked = rows.select("vec_id").join(counted, "vec_id", "left")
