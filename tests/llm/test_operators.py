@@ -592,3 +592,37 @@ def test_lines(spark, nothing):
     got = line_dedup.clean_lines(frame).collect()
     assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in got} == expected
     assert line_dedup.clean_lines(nothing).collect() == []
+
+
+@pytest.mark.parametrize("hot", [1, 2, 64])
+def test_lines_in_either_order(spark, monkeypatch, hot):
+    """Tokens of many lines and of few, lines of one phrase, near copies, rows that occur again."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    draw = random.Random(hot)
+    phrase, rows = prose(1, 30), []
+    pool = [prose(10 + i, draw.randint(3, 60)) for i in range(8)]
+    for i in range(30):
+        lines = [f"{prose(200 + i, 25)} {phrase} {prose(300 + i, 25)}", draw.choice(pool)]
+        words = draw.choice(pool).split()
+        words[draw.choice([0, -1])] = f"w{i}"
+        rows.append((i, "\n".join([*lines, " " + " ".join(words)])))
+    earlier, expected = [], {}
+    for i, text in rows:
+        n = 0
+        for line in text.split("\n"):
+            words = line.split()
+            runs = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+            n += any(4 * len(runs & o) >= 3 * len(runs | o) for o in earlier)
+            earlier.append(runs)
+        expected[i] = n
+    frame = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    got = line_dedup.clean_lines(frame).collect()
+    assert len(got) == 33 and {r["doc_id"]: r["n_removed"] for r in got} == expected
+
+
+def test_lines_of_one_phrase_are_not_verified(spark):
+    """All pairs that shared one token were held against each other with all their tokens."""
+    rows = [(i, 100, p, t) for i in range(40) for p, t in [(0, 1000 + i), (3, 1), (4, 2)]]
+    rows += [(50 + i, 100, p, p + 5000) for i in range(2) for p in range(26)]
+    tokens = spark.createDataFrame(rows, "id long, n int, pos int, token long")
+    assert line_dedup._counted(tokens, tokens).collect() == [(51, 50)]

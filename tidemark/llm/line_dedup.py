@@ -3,19 +3,24 @@
 Lines are the parts of a text between line feeds. A line is the set of its runs of five words,
 lower-cased (of fewer words, the whole). It is removed if an earlier line, in order of doc_id and
 place, has a Jaccard similarity of at least 0.75 with it, whether that one is removed itself or
-not; so the result does not depend on any order of work. Lines of equal words are one class, led
-by the earliest.
+not; so the result does not depend on any order of work. Equal lines are one class, led by the
+earliest.
 
-The runs (tokens) of a line are ordered from rare to frequent. Rarity comes from counts of all
-tokens in ``BUCKETS`` hashed buckets, a table of fixed size; ties go by hash. All lines share that
-order, which makes the prefix filter exact: two sets that are similar enough share one of their first
-n - ceil(0.75 n) + 1 tokens. Pairs that share one pass the length filter (sizes within 3/4)
-and the positional filter (1 + the tokens after the shared one suffice), and are verified on all
-tokens of their lines.
+The distinct runs (tokens) of a line are ordered by hash. All lines share that order, which makes the
+prefix filter exact: two sets that are similar enough share their first common token within the first
+n - ceil(0.75 n) + 1 tokens of each. Tokens of the prefixes that occur in one line only are dropped.
+Pairs that share one of the others pass the length filter (sizes within 3/4) and the positional filter
+(the tokens shared so far and those behind suffice), and are verified on all tokens of their lines,
+which are read again from the texts.
 
-A line needs only one earlier match, so groups of copies are not expanded into pairs: first each
-class is held against the earliest class of each of its prefix tokens; only classes that are still
-unmatched are held against all earlier ones.
+A prefix token in more than ``HOT`` lines is not paired in that order. If the first common token of
+a pair is such a one, both lines have it in their prefix; so all lines that have any are joined among
+themselves in a second order, from rare to frequent, by the counts of these tokens in ``BUCKETS`` hashed
+buckets, a table of fixed size. There a line needs only one earlier match, so groups of near copies are
+not expanded into pairs: first each line is held against the earliest line of each of its prefix
+tokens; only lines that are still unmatched are held against all earlier ones.
+
+Tokens are made once for a line, and again only for lines of pairs.
 
 Defined cases: a null text stays null and has no lines; a line without words is never removed.
 Rows without doc_id come last. Rows of one doc_id are ordered by a hash of their text; rows equal in
@@ -25,71 +30,56 @@ they bear the name of a result column. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, aside, restored, sized, stored
+from .common import MOST_BROADCAST, SPACE, aside, restored, sized, stored, stored_columns
 
 WORDS = 5
+#: Lines of a token that are paired without an order of rarity.
+HOT = 64
 BUCKETS = 1 << 16
-#: Bits of a token's place in the order that hold its hash; its count is above them.
+#: Bits of a token's place in the order of rarity that hold its hash; its count is above them.
 HASH_BITS = 40
 _PLACE = ["late", "doc_id", "text_hash", "at"]
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """Place and word hashes of every line, null for those of null texts."""
+    """Place and text of every line, null for those of null texts."""
     rows = documents.select(
         F.col("doc_id").isNull().alias("late"),
         F.col("doc_id").cast("long"),
         F.xxhash64("text").alias("text_hash"),
         F.posexplode_outer(F.split(F.col("text").cast("string"), "\n", -1)),
     )
-    words = F.filter(F.split(F.lower("col"), f"{SPACE}+"), lambda w: w != "")
     return rows.select(
-        "late", "doc_id", "text_hash", F.col("pos").alias("at"),
-        F.transform(words, lambda w: F.xxhash64(w)).alias("words"),
+        "late", "doc_id", "text_hash", F.col("pos").alias("at"), F.col("col").alias("line")
     )
 
 
-def _class(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("c1"), F.xxhash64(F.lit(1), words).alias("c2")]
+def _class() -> list[Column]:
+    return [F.xxhash64("line").alias("c1"), F.xxhash64(F.lit(1), "line").alias("c2")]
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """``lines`` with the distinct tokens of each."""
+def _tokens(lines: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` and the distinct tokens of each line, in order; none without words."""
+    words = F.array_remove(F.split(F.lower("line"), f"{SPACE}+"), "")
+    hashed = lines.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
     n = F.size("words")
+    # Of fewer words, the whole: missing ones are null and add nothing to a hash.
     runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - WORDS + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.slice("words", i, WORDS)),
+        F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0))),
+        lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WORDS)]),
     )
     none = F.array().cast("array<bigint>")
-    return lines.withColumn("tokens", F.when(n > 0, F.array_distinct(runs)).otherwise(none))
-
-
-def _rarity(lines: DataFrame) -> Column:
-    """An array of counts by bucket, as a constant: BUCKETS numbers, whatever the input."""
-    tokens = lines.select(F.explode_outer("tokens").alias("token"))
-    counted = tokens.groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket")).count()
-    most = F.least("count", F.lit(1 << 22)).cast("int")
-    counts = [0] * BUCKETS
-    for bucket, n in counted.where("bucket IS NOT NULL").select("bucket", most).collect():
-        counts[bucket] = n
-    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<int>")
+    kept = [c for c in hashed.columns if c != "words"]
+    distinct = F.when(n > 0, F.sort_array(F.array_distinct(runs))).otherwise(none)
+    return hashed.select(*kept, distinct.alias("tokens"))
 
 
-def _prefixed(lines: DataFrame, rarity: Column) -> DataFrame:
-    def place(token: Column) -> Column:
-        count = F.get(rarity, F.pmod(token, F.lit(BUCKETS)).cast("int")).cast("long")
-        return F.shiftleft(count, HASH_BITS).bitwiseOR(token.bitwiseAND(F.lit(2**HASH_BITS - 1)))
-
-    ordered = lines.select(
-        *_PLACE, *_class(F.col("words")), F.size("tokens").alias("n"),
-        F.sort_array(F.transform("tokens", place)).alias("ordered"),
-    )
-    kept = F.col("n") - F.ceil(F.col("n") * 0.75) + 1
-    prefix = F.slice("ordered", F.lit(1), F.when(F.col("n") > 0, kept).otherwise(0).cast("int"))
-    return ordered.withColumn("prefix", prefix).drop("ordered")
+def _prefix(ordered: str) -> Column:
+    n = F.size(ordered)
+    return F.slice(ordered, F.lit(1), F.when(n > 0, n - F.ceil(n * 0.75) + 1).otherwise(0).cast("int"))
 
 
 def _near_enough(x: str, y: str) -> Column:
@@ -99,79 +89,136 @@ def _near_enough(x: str, y: str) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * after >= 3 * (n + m))
 
 
-def _verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The distinct ``later`` of ``pairs`` (later, earlier) that are similar enough."""
-    ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
-    wanted = stored(classes.select("id", *_PLACE).join(ids, "id"))
-    texts = documents.select(
-        F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text"
+def _paired(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct ``later``, ``earlier`` (by id) of rows that share a token and may be similar."""
+    x, y = rows.alias("x"), others.alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("y.id") < F.col("x.id"))
+    pairs = x.join(y, same & _near_enough("x", "y"))
+    return pairs.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).distinct()
+
+
+def _counted(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs like ``_paired``, of rows with all shared tokens of their lines, that may be similar by all tokens that their prefixes share.
+
+    Of c tokens that two prefixes share, all common tokens up to the last of them are known, and
+    behind it at most those of the shorter rest are common. The prefix that ends first in the order has
+    no other common tokens, so of its line at most c and those behind the prefix are.
+    """
+    x, y = rows.alias("x"), others.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("y.id") < F.col("x.id"))
+    both = x.join(y, same & (4 * F.least(n, m) >= 3 * F.greatest(n, m))).select(
+        F.col("x.id").alias("later"), F.col("y.id").alias("earlier"), n.alias("n"), m.alias("m"),
+        F.least(n - F.col("x.pos"), m - F.col("y.pos")).alias("after"),
     )
+    pairs = both.groupBy("later", "earlier", "n", "m").agg(
+        F.count("*").alias("c"), F.min("after").alias("after")
+    )
+    most = F.least(F.col("after"), F.ceil(F.greatest("n", "m") * 0.75)) + F.col("c") - 1
+    return pairs.where(7 * most >= 3 * (F.col("n") + F.col("m"))).select("later", "earlier")
+
+
+def _sets(documents: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
+    """id, place and all tokens of ``classes`` (stored), read again from the texts.
+
+    ``repeated`` tells whether rows of one doc_id and text occur again.
+    """
+    wanted = classes.select("id", F.struct(*_PLACE).alias("place"), *_PLACE)
     keys = sized(stored(wanted.select("doc_id", "text_hash").distinct()))
+    texts = documents.withColumn("text_hash", F.xxhash64("text"))
     same_text = (texts.text_hash == keys.text_hash) & texts.doc_id.eqNullSafe(keys.doc_id)
-    lines = _tokens(_lines(texts.join(keys, same_text, "left_semi"))).select(*_PLACE, "tokens")
-    x, y = lines.alias("x"), wanted.alias("y")
+    x = _lines(texts.join(keys, same_text, "left_semi")).alias("x")
+    y = sized(wanted, 8).alias("y")
     at_place = F.col("x.text_hash") == F.col("y.text_hash")
     at_place &= F.col("x.at") == F.col("y.at")
     at_place &= F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))
-    sets = x.join(y, at_place).select("y.id", "x.tokens").dropDuplicates(["id"])
-    sets = stored(sets)
-    left = sets.select(F.col("id").alias("later"), F.col("tokens").alias("a"))
-    right = sets.select(F.col("id").alias("earlier"), F.col("tokens").alias("b"))
+    lines = x.join(y, at_place).select("y.id", "y.place", "x.line")
+    if repeated:
+        lines = lines.dropDuplicates(["id"])
+    return stored(_tokens(lines, "id", "place"))
+
+
+def _similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (later, earlier) that are similar enough, with their places."""
+    left = sets.select(F.col("id").alias("later"), F.col("tokens").alias("a"), F.col("place").alias("p"))
+    right = sets.select(F.col("id").alias("earlier"), F.col("tokens").alias("b"), F.col("place").alias("q"))
     both = pairs.join(left, "later").join(right, "earlier")
     shared = F.size(F.array_intersect("a", "b"))
-    similar = 4 * shared >= 3 * (F.size("a") + F.size("b") - shared)
-    return both.where(similar).select("later").distinct()
+    return both.where(4 * shared >= 3 * (F.size("a") + F.size("b") - shared)).drop("a", "b")
 
 
-def removed_lines(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the places of the lines to remove, for documents that have any."""
-    documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = _tokens(_lines(documents))
-    found = _prefixed(lines, _rarity(lines)).groupBy("c1", "c2").agg(
-        F.min(F.struct(*_PLACE)).alias("place"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix"),
-    )
-    found = found.where("n > 0").select("place.*", "c1", "c2", "n", "prefix")
+def _by_rarity(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """The ids of ``sets`` that have an earlier match in it, by an order from rare to frequent."""
+    # An array of counts by bucket, as a constant: BUCKETS numbers, whatever the input.
+    counted = hot.groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket")).count()
+    counts = [0] * BUCKETS
+    for bucket, n in counted.select("bucket", F.least("count", F.lit(1 << 22)).cast("int")).collect():
+        counts[bucket] = n
+    rarity = F.split(F.lit(",".join(map(str, counts))), ",").cast("array<int>")
+
+    def order(token: Column) -> Column:
+        count = F.get(rarity, F.pmod(token, F.lit(BUCKETS)).cast("int")).cast("long")
+        return F.shiftleft(count, HASH_BITS).bitwiseOR(token.bitwiseAND(F.lit(2**HASH_BITS - 1)))
+
     # Numbered in order of place.
-    ordered = found.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
-    classes = stored(ordered.withColumn("id", F.monotonically_increasing_id()))
-    tokens = classes.select("id", "n", F.posexplode("prefix"))
-    tokens = tokens.withColumnRenamed("col", "token")
-
-    # Against the earliest class of each token.
-    leads = tokens.groupBy("token").agg(
-        F.min("id").alias("id"), F.max("id").alias("last")
-    ).where("id < last").select("token", "id")
-    shared = stored(tokens.join(leads.select("token"), "token"))
-    lead_rows = shared.join(leads, ["token", "id"])
-    x, y = shared.alias("x"), lead_rows.alias("y")
-    first = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("y.id") < F.col("x.id"))
-        & _near_enough("x", "y"),
+    ordered = sets.repartitionByRange("place").sortWithinPartitions("place")
+    ordered = stored(
+        ordered.withColumn("line_id", F.col("id")).withColumn("id", F.monotonically_increasing_id())
     )
-    first = first.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier"))
-    first = stored(first.distinct())
-    matched = stored(_verified(documents, classes, first))
+    rows = ordered.select("id", F.sort_array(F.transform("tokens", order)).alias("ordered"))
+    rows = rows.select("id", F.size("ordered").alias("n"), F.posexplode(_prefix("ordered")))
+    shared = _in_several(rows.withColumnRenamed("col", "token"))
+    first_id = F.min("id").over(Window.partitionBy("token"))
+    shared = stored(shared.withColumn("first", first_id))
 
-    # The rest against all earlier classes of their tokens.
+    first = stored(_paired(shared, shared.where("id = first")))
+    matched = stored(_similar(ordered, first).select("later").distinct())
     rest = shared.join(matched, shared.id == matched.later, "left_anti")
-    x, y = rest.alias("x"), shared.alias("y")
-    other = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("y.id") < F.col("x.id"))
-        & _near_enough("x", "y"),
-    )
-    other = other.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).distinct()
-    other = stored(other.join(first, ["later", "earlier"], "left_anti"))
-    matched = matched.union(_verified(documents, classes, other))
+    other = stored(_counted(rest, shared).join(first, ["later", "earlier"], "left_anti"))
+    matched = matched.union(_similar(ordered, other).select("later").distinct())
+    return ordered.join(matched, ordered.id == matched.later).select(F.col("line_id").alias("id"))
 
-    ends = classes.join(matched, classes.id == matched.later, "left").select(
-        "c1", "c2", F.struct(*_PLACE).alias("place"), F.col("later").isNotNull().alias("similar")
+
+def _in_several(tokens: DataFrame) -> DataFrame:
+    """The rows of tokens that occur in several lines, and in how many (lines)."""
+    counted = tokens.withColumn("lines", F.count("*").over(Window.partitionBy("token")))
+    return counted.where("lines > 1")
+
+
+def removed_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash and the places of the lines to remove, for documents that have any."""
+    documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    lines = _tokens(_lines(documents), *_PLACE, *_class())
+    lines = lines.select(*_PLACE, "c1", "c2", F.size("tokens").alias("n"), _prefix("tokens").alias("prefix"))
+    found = lines.groupBy("c1", "c2").agg(
+        F.min(F.struct(*_PLACE)).alias("place"), F.count("*").alias("copies"),
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"),
     )
-    every = _lines(documents).select(*_PLACE, *_class(F.col("words")))
+    found = found.where("n > 0").select("place.*", "c1", "c2", "copies", "n", "prefix")
+    classes = stored_columns(found.withColumn("id", F.monotonically_increasing_id()))
+    tokens = classes.select("id", "n", F.posexplode("prefix")).withColumnRenamed("col", "token")
+    shared = stored(_in_several(tokens))
+
+    keys = documents.groupBy("doc_id", F.xxhash64("text")).count()
+    repeated = not keys.where("count > 1").isEmpty()
+    # Pairs that share a token of more lines are found below.
+    usual = shared.where(F.col("lines") <= HOT)
+    pairs = stored(_counted(usual, usual))
+    ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
+    sets = _sets(documents, stored(classes.select("id", *_PLACE).join(ids, "id")), repeated)
+    later = F.when(F.col("p") > F.col("q"), F.col("later")).otherwise(F.col("earlier"))
+    matched = _similar(sets, pairs).select(later.alias("id"))
+    hot = shared.where(F.col("lines") > HOT)
+    if not hot.isEmpty():
+        ids = hot.select("id").distinct()
+        sets = _sets(documents, stored(classes.select("id", *_PLACE).join(ids, "id")), repeated)
+        matched = matched.union(_by_rarity(sets, hot))
+    matched = stored(matched.distinct()).withColumn("similar", F.lit(True))
+
+    ends = classes.select("id", "c1", "c2", "copies", F.struct(*_PLACE).alias("place"))
+    ends = ends.join(matched, "id", "left").where("copies > 1 OR similar")
+    ends = sized(stored(ends.select("c1", "c2", "place", "similar")), 8)
+    every = _lines(documents).select(*_PLACE, *_class())
     gone = every.join(ends, ["c1", "c2"])
     gone = gone.where(F.col("similar") | (F.struct(*[every[c] for c in _PLACE]) > F.col("place")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("gone"))
@@ -180,7 +227,10 @@ def removed_lines(documents: DataFrame) -> DataFrame:
 def clean_lines(documents: DataFrame) -> DataFrame:
     """``documents`` with the kept lines in ``text``, n_lines and n_removed, which replace columns
     of their names; others can have any name."""
-    gone = removed_lines(documents).alias("g")
+    gone = stored(removed_lines(documents))
+    size = gone.agg(F.coalesce(F.sum(F.size("gone") + 4), F.lit(0))).first()[0]
+    # Few enough lines to remove go to the texts; else texts are shuffled.
+    gone = (F.broadcast(gone) if size <= 4 * MOST_BROADCAST else gone).alias("g")
     packed = aside(documents, "doc_id", "text")
     rows = packed.withColumn("_hash", F.xxhash64("text")).alias("d")
     same = (F.col("d._hash") == F.col("g.text_hash")) & F.col("d.doc_id").eqNullSafe(
