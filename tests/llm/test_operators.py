@@ -620,6 +620,34 @@ def test_lines_in_either_order(spark, monkeypatch, hot):
     assert len(got) == 33 and {r["doc_id"]: r["n_removed"] for r in got} == expected
 
 
+def test_near_copies_that_differ_too_much_are_not_verified(spark, monkeypatch):
+    """Nearly all pairs of a group of copies with three words changed were verified, though few are similar."""
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    similar, candidates = line_dedup._similar, []
+
+    def counted(sets, pairs):
+        candidates.append(pairs.count())
+        return similar(sets, pairs)
+
+    monkeypatch.setattr(line_dedup, "_similar", counted)
+    draw = random.Random(5)
+    rows, earlier, expected, alike = [], [], {}, 0
+    for i in range(30):
+        words = [f"t{k}" for k in range(120)]
+        for k in range(3):
+            words[draw.randrange(120)] = f"w{i}x{k}"
+        rows.append((i, " ".join(words)))
+        runs = {tuple(words[k : k + 5]) for k in range(116)}
+        found = sum(4 * len(runs & o) >= 3 * len(runs | o) for o in earlier)
+        alike += found
+        expected[i] = min(found, 1)
+        earlier.append(runs)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.clean_lines(frame).collect()}
+    assert got == expected and 0 < sum(expected.values()) < 30
+    assert sum(candidates) < 100 + alike  # of 435 pairs
+
+
 def test_lines_of_one_phrase_are_not_verified(spark):
     """All pairs that shared one token were held against each other with all their tokens."""
     rows = [(i, 100, p, t) for i in range(40) for p, t in [(0, 1000 + i), (3, 1), (4, 2)]]

@@ -20,7 +20,10 @@ buckets, a table of fixed size. There a line needs only one earlier match, so gr
 not expanded into pairs: first each line is held against the earliest line of each of its prefix
 tokens; only lines that are still unmatched are held against all earlier ones.
 
-Tokens are made once for a line, and again only for lines of pairs.
+Tokens are made once for a line, and again only for lines of pairs. These also get parities: the tokens
+are dealt into 64 * ``PARITIES`` groups by hash, and a bit tells whether a line has an odd number of a
+group. Two lines differ in as many tokens, at least, as in bits, so pairs that differ in more bits than
+similar lines can in tokens are dropped before verification; in the second order within the join.
 
 Defined cases: a null text stays null and has no lines; a line without words is never removed.
 Rows without doc_id come last. Rows of one doc_id are ordered by a hash of their text; rows equal in
@@ -33,12 +36,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, SPACE, aside, restored, sized, stored, stored_columns
+from .common import MOST_BROADCAST, aside, restored, sized, stored, stored_columns
 
 WORDS = 5
 #: Lines of a token that are paired without an order of rarity.
 HOT = 64
 BUCKETS = 1 << 16
+#: Longs of parities of a line.
+PARITIES = 4
 #: Bits of a token's place in the order of rarity that hold its hash; its count is above them.
 HASH_BITS = 40
 _PLACE = ["late", "doc_id", "text_hash", "at"]
@@ -63,14 +68,17 @@ def _class() -> list[Column]:
 
 def _tokens(lines: DataFrame, *columns: str | Column) -> DataFrame:
     """``columns`` and the distinct tokens of each line, in order; none without words."""
-    words = F.array_remove(F.split(F.lower("line"), f"{SPACE}+"), "")
+    spaced = F.lower("line")
+    for mark in "\x09\x0a\x0b\x0c\x0d":
+        spaced = F.replace(spaced, F.lit(mark), F.lit(" "))
+    words = F.array_remove(F.split(spaced, " "), "")
     hashed = lines.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
     n = F.size("words")
     # Of fewer words, the whole: missing ones are null and add nothing to a hash.
     runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WORDS)]),
+        "words", lambda w, i: F.xxhash64(w, *[F.get("words", i + k) for k in range(1, WORDS)])
     )
+    runs = F.slice(runs, F.lit(1), F.greatest(n - WORDS + 1, F.lit(1)))
     none = F.array().cast("array<bigint>")
     kept = [c for c in hashed.columns if c != "words"]
     distinct = F.when(n > 0, F.sort_array(F.array_distinct(runs))).otherwise(none)
@@ -82,19 +90,40 @@ def _prefix(ordered: str) -> Column:
     return F.slice(ordered, F.lit(1), F.when(n > 0, n - F.ceil(n * 0.75) + 1).otherwise(0).cast("int"))
 
 
-def _near_enough(x: str, y: str) -> Column:
-    """Length and positional filters for rows of one token."""
+def _parities(sets: DataFrame) -> DataFrame:
+    """id, n and, of 64 * PARITIES groups of tokens by hash, whether a line has an odd number of each."""
+    tokens = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    bit = "shiftleft(1L, CAST(pmod(shiftright(token, 8), 64) AS INT))"
+    odd = [
+        F.expr(f"bit_xor(CASE WHEN pmod(token, {PARITIES}) = {k} THEN {bit} ELSE 0L END)").alias(f"odd{k}")
+        for k in range(PARITIES)
+    ]
+    return tokens.groupBy("id", "n").agg(*odd)
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """False only if too many tokens are in one of the lines alone: by length, and by their parities.
+
+    Lines are similar enough if at most (n + m) / 7 tokens are; each makes one parity differ at most.
+    """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    after = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * after >= 3 * (n + m))
+    differ = F.lit(0)
+    for k in range(PARITIES):
+        differ += F.bit_count(F.col(f"{x}.odd{k}").bitwiseXOR(F.col(f"{y}.odd{k}")))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * differ <= n + m)
 
 
 def _paired(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Distinct ``later``, ``earlier`` (by id) of rows that share a token and may be similar."""
+    """Distinct ``later``, ``earlier`` (line_id, by id) of rows that share a token and may be similar.
+
+    All filters are part of the join, so that pairs of a frequent token that fail are not made.
+    """
     x, y = rows.alias("x"), others.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    after = F.least(n - F.col("x.pos"), m - F.col("y.pos"))
     same = (F.col("x.token") == F.col("y.token")) & (F.col("y.id") < F.col("x.id"))
-    pairs = x.join(y, same & _near_enough("x", "y"))
-    return pairs.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).distinct()
+    pairs = x.join(y, same & (7 * after >= 3 * (n + m)) & _may_be_similar("x", "y"))
+    return pairs.select(F.col("x.line_id").alias("later"), F.col("y.line_id").alias("earlier")).distinct()
 
 
 def _counted(rows: DataFrame, others: DataFrame) -> DataFrame:
@@ -119,11 +148,11 @@ def _counted(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _sets(documents: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
-    """id, place and all tokens of ``classes`` (stored), read again from the texts.
+    """id, place, hot and all tokens of ``classes`` (stored), read again from the texts.
 
     ``repeated`` tells whether rows of one doc_id and text occur again.
     """
-    wanted = classes.select("id", F.struct(*_PLACE).alias("place"), *_PLACE)
+    wanted = classes.select("id", "hot", F.struct(*_PLACE).alias("place"), *_PLACE)
     keys = sized(stored(wanted.select("doc_id", "text_hash").distinct()))
     texts = documents.withColumn("text_hash", F.xxhash64("text"))
     same_text = (texts.text_hash == keys.text_hash) & texts.doc_id.eqNullSafe(keys.doc_id)
@@ -132,14 +161,23 @@ def _sets(documents: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame
     at_place = F.col("x.text_hash") == F.col("y.text_hash")
     at_place &= F.col("x.at") == F.col("y.at")
     at_place &= F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))
-    lines = x.join(y, at_place).select("y.id", "y.place", "x.line")
+    lines = x.join(y, at_place).select("y.id", "y.place", "y.hot", "x.line")
     if repeated:
         lines = lines.dropDuplicates(["id"])
-    return stored(_tokens(lines, "id", "place"))
+    return stored(_tokens(lines, "id", "place", "hot"))
+
+
+def _likely(parities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (later, earlier) that may be similar by the ``parities`` of their lines."""
+    x = pairs.join(parities.withColumnRenamed("id", "later"), "later").alias("x")
+    both = x.join(parities.alias("y"), F.col("x.earlier") == F.col("y.id"))
+    return both.where(_may_be_similar("x", "y")).select("later", "earlier")
 
 
 def _similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (later, earlier) that are similar enough, with their places."""
+    """The ``pairs`` (later, earlier; stored) that are similar enough, with their places."""
+    ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
+    sets = sets.join(sized(stored(ids), 1), "id", "left_semi")
     left = sets.select(F.col("id").alias("later"), F.col("tokens").alias("a"), F.col("place").alias("p"))
     right = sets.select(F.col("id").alias("earlier"), F.col("tokens").alias("b"), F.col("place").alias("q"))
     both = pairs.join(left, "later").join(right, "earlier")
@@ -147,7 +185,7 @@ def _similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(4 * shared >= 3 * (F.size("a") + F.size("b") - shared)).drop("a", "b")
 
 
-def _by_rarity(sets: DataFrame, hot: DataFrame) -> DataFrame:
+def _by_rarity(sets: DataFrame, parities: DataFrame, hot: DataFrame) -> DataFrame:
     """The ids of ``sets`` that have an earlier match in it, by an order from rare to frequent."""
     # An array of counts by bucket, as a constant: BUCKETS numbers, whatever the input.
     counted = hot.groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket")).count()
@@ -160,23 +198,24 @@ def _by_rarity(sets: DataFrame, hot: DataFrame) -> DataFrame:
         count = F.get(rarity, F.pmod(token, F.lit(BUCKETS)).cast("int")).cast("long")
         return F.shiftleft(count, HASH_BITS).bitwiseOR(token.bitwiseAND(F.lit(2**HASH_BITS - 1)))
 
-    # Numbered in order of place.
-    ordered = sets.repartitionByRange("place").sortWithinPartitions("place")
-    ordered = stored(
-        ordered.withColumn("line_id", F.col("id")).withColumn("id", F.monotonically_increasing_id())
+    rows = sets.select(
+        F.col("id").alias("line_id"), F.sort_array(F.transform("tokens", order)).alias("ordered")
     )
-    rows = ordered.select("id", F.sort_array(F.transform("tokens", order)).alias("ordered"))
-    rows = rows.select("id", F.size("ordered").alias("n"), F.posexplode(_prefix("ordered")))
-    shared = _in_several(rows.withColumnRenamed("col", "token"))
+    rows = rows.select("line_id", F.posexplode(_prefix("ordered")).alias("pos", "token"))
+    # Numbered in order of place.
+    numbered = sets.select("id", "place").repartitionByRange("place").sortWithinPartitions("place")
+    numbered = stored(numbered.select(F.col("id").alias("line_id"), F.monotonically_increasing_id().alias("id")))
+    numbered = numbered.join(parities.withColumnRenamed("id", "line_id"), "line_id")
+    shared = _in_several(rows).join(numbered, "line_id")
     first_id = F.min("id").over(Window.partitionBy("token"))
     shared = stored(shared.withColumn("first", first_id))
 
     first = stored(_paired(shared, shared.where("id = first")))
-    matched = stored(_similar(ordered, first).select("later").distinct())
-    rest = shared.join(matched, shared.id == matched.later, "left_anti")
-    other = stored(_counted(rest, shared).join(first, ["later", "earlier"], "left_anti"))
-    matched = matched.union(_similar(ordered, other).select("later").distinct())
-    return ordered.join(matched, ordered.id == matched.later).select(F.col("line_id").alias("id"))
+    matched = stored(_similar(sets, first).select("later").distinct())
+    rest = shared.join(matched, shared.line_id == matched.later, "left_anti")
+    other = stored(_paired(rest, shared).join(first, ["later", "earlier"], "left_anti"))
+    matched = matched.union(_similar(sets, other).select("later").distinct())
+    return matched.select(F.col("later").alias("id"))
 
 
 def _in_several(tokens: DataFrame) -> DataFrame:
@@ -204,15 +243,16 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     # Pairs that share a token of more lines are found below.
     usual = shared.where(F.col("lines") <= HOT)
     pairs = stored(_counted(usual, usual))
-    ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
+    hot = shared.where(F.col("lines") > HOT)
+    ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier"))
+    ids = ids.select("id", F.lit(False).alias("hot")).union(hot.select("id", F.lit(True)))
+    ids = ids.groupBy("id").agg(F.max("hot").alias("hot"))
     sets = _sets(documents, stored(classes.select("id", *_PLACE).join(ids, "id")), repeated)
+    parities = stored(_parities(sets))
     later = F.when(F.col("p") > F.col("q"), F.col("later")).otherwise(F.col("earlier"))
-    matched = _similar(sets, pairs).select(later.alias("id"))
-    hot = shared.where(F.col("lines") > HOT)
+    matched = _similar(sets, stored(_likely(parities, pairs))).select(later.alias("id"))
     if not hot.isEmpty():
-        ids = hot.select("id").distinct()
-        sets = _sets(documents, stored(classes.select("id", *_PLACE).join(ids, "id")), repeated)
-        matched = matched.union(_by_rarity(sets, hot))
+        matched = matched.union(_by_rarity(sets.where("hot"), parities, hot))
     matched = stored(matched.distinct()).withColumn("similar", F.lit(True))
 
     ends = classes.select("id", "c1", "c2", "copies", F.struct(*_PLACE).alias("place"))
