@@ -256,6 +256,20 @@ def test_items_of_few_literal_words(spark):
     assert matched(spark, items, texts) == {(i, i, "exact") for i in range(3)}
 
 
+def test_hashes_of_runs_copy_no_slices(spark):
+    """Each window was a slice, copied before it was hashed."""
+    rows = [(i, [f"w{k % 7}" for k in range(i)]) for i in (1, 3, 7, 8, 9, 30)]
+    words = spark.createDataFrame(rows, "id int, w array<string>")
+    hashed = words.select("id", decontaminate._hashed("w").alias("h"))
+    runs = decontaminate._runs("h")
+    assert "lambdafunction(xxhash64(slice" not in str(runs) + hashed.select(runs)._jdf.queryExecution().toString()
+    n = decontaminate.WINDOW
+    starts = F.sequence(F.lit(1), F.greatest(F.size("h") - n + 1, F.lit(1)))
+    expected = F.transform(starts, lambda i: F.xxhash64(F.slice("h", i, n)))
+    for r in hashed.select(runs.alias("runs"), expected.alias("expected")).collect():
+        assert r["runs"] == r["expected"]
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

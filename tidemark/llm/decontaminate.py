@@ -89,7 +89,7 @@ def _windows(rows: DataFrame, keys: list[str], verbatim: bool) -> DataFrame:
     words = rows.select(*keys, *[words.alias(c) for c, words in kinds.items()])
     hashed = words.select(*keys, *[_hashed(c).alias(c) for c in kinds])
     # Where no capital is at issue, both templates have one hash.
-    runs = F.zip_with(_runs("words"), _runs("names"), lambda a, b: F.array_distinct(F.array(a, b)))
+    runs = F.zip_with(_runs("words"), _runs("names"), _either)
     if verbatim:
         runs = F.zip_with(runs, _runs("own"), lambda a, b: F.array_union(a, F.array(b)))
     # The outer form: the other one infers a filter on the size, which computes all of it again.
@@ -102,12 +102,15 @@ def _hashed(words: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _either(a: Column, b: Column) -> Column:
+    return F.when(a == b, F.array(a)).otherwise(F.array(a, b))
+
+
 def _runs(h: str) -> Column:
-    """Hashes of the runs of WINDOW hashed words."""
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(h) - WINDOW + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.slice(h, i, WINDOW)),
-    )
+    """Hashes of the runs of WINDOW hashed words; of fewer words, of the whole."""
+    # The words of a run are looked up one by one: slices would be copied. Missing ones add nothing.
+    runs = F.transform(h, lambda w, i: F.xxhash64(w, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+    return F.slice(runs, F.lit(1), F.greatest(F.size(h) - WINDOW + 1, F.lit(1)))
 
 
 def _literals(words: Column) -> Column:
