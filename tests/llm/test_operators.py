@@ -270,6 +270,40 @@ def test_hashes_of_runs_copy_no_slices(spark):
         assert r["runs"] == r["expected"]
 
 
+def test_windows_of_both_templates_from_one_pass(spark):
+    """Each template was made from the text by itself, and runs were hashed in lambdas, which are not compiled."""
+    texts = [
+        None, "", " ", "a b c", "Foo 3 km bar. Baz x y z A b, C",
+        "So it was ^Bar` in A^B. \u0391\u03a3.\u0391 \u039f\u03a3 `Foo/Bar\tBaz O'Neil-Foo's U.S.A. 3Foo\nwent 1,000.5 kg",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    windows = decontaminate._windows(frame, ["row"], False)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("kilometers") == 1 and "lambdafunction(xxhash64(get" not in plan
+    found = {}
+    for r in windows.collect():
+        found.setdefault((r["row"], r["at"]), set()).add(r["hash"])
+    name, number, unit = "\x02", "\x01", "\x03"
+    words = {
+        3: ["a b c".split()] * 2,
+        4: [["foo", number, unit, "bar", "baz", "x", "y", "z", name, "b", name],
+            [name, number, unit, "bar", name, "x", "y", "z", name, "b", name]],
+        5: [["so", "it", "was", "bar", "in", name + "b", "\u03b1\u03c3\u03b1", name, "foobar", name, name,
+             name + "sa", "3foo", "went", number, unit],
+            [name, "it", "was", name, "in", name + name, name + name, name, name + name, name, name,
+             name * 3, "3foo", "went", number, unit]],
+    }
+    expected = {}
+    for row, kinds in words.items():
+        for kind in kinds:
+            runs = [(i, kind[i : i + 8]) for i in range(max(1, len(kind) - 7))]
+            hashed = spark.createDataFrame(runs, "at int, w array<string>").select(
+                "at", F.xxhash64(F.transform("w", lambda w: F.xxhash64(w))).alias("hash"))
+            for r in hashed.collect():
+                expected.setdefault((row, r["at"]), set()).add(r["hash"])
+    assert found == expected
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -26,6 +26,8 @@ Extra columns pass through ``clean_documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ from .common import SPACE, WORD, sized, stored
 
 WINDOW, ENOUGH, LITERALS, BARE = 8, 4, 5, 3
 _NUMBER, _NAME, _UNIT = "\x01", "\x02", "\x03"
+_BEGIN, _END = "`", "^"
 #: Units that are slots when they follow a number.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l gal s sec min h hr hrs day days week weeks "
@@ -42,11 +45,15 @@ UNITS = (
 ).split()
 
 
-def _canonical(text: Column, every: bool) -> Column:
-    """The text with placeholders in place of slots. Words keep their number and order.
+def _marked(text: Column) -> Column:
+    """The text with placeholders in place of slots, in lower case and without punctuation.
 
-    With ``every``, capitalised words are names wherever they stand.
+    Words keep their number and order. Capitalised words that are a name only if they are one wherever
+    they stand are between ``_BEGIN`` and ``_END``, so that one pass serves both templates. These marks
+    are case-ignorable, as a final sigma depends on what follows; in the text others stand for them.
     """
+    for mark in (_BEGIN, _END):
+        text = F.replace(text, F.lit(mark), F.lit("\u00a8"))
     begins, ends = f"(?<!{WORD[:-1]})", f"(?!{WORD[:-1]})"
     mark = "[^\\p{L}\\p{N}\\x20\\x09-\\x0D]*"
     number = f"{begins}{mark}\\p{{N}}[\\p{{N}}.,:/%-]*{mark}{ends}"
@@ -55,17 +62,30 @@ def _canonical(text: Column, every: bool) -> Column:
     # A capital after a letter, digit, comma or the like and one blank is inside a sentence.
     inside = f"(?<=[\\p{{L}}\\p{{N}},;:)\\x01-\\x03]{SPACE}\\p{{Lu}})"
     name = f"\\p{{Lu}}{inside}[\\p{{L}}\\p{{M}}'’-]*+"
-    if every:
-        name = "(?<![\\p{L}\\p{M}\\p{N}'’-])\\p{Lu}[\\p{L}\\p{M}'’-]*+"
+    anywhere = "\\p{Lu}(?<![\\p{L}\\p{M}\\p{N}'’-]\\p{Lu})[\\p{L}\\p{M}'’-]*+"
     numbered = F.regexp_replace(F.regexp_replace(text, number, _NUMBER), unit, f"$1{_UNIT}")
     with_numbers = F.when(text.rlike("\\p{N}"), numbered).otherwise(text)
-    return F.lower(F.regexp_replace(with_numbers, name, _NAME))
+    named = F.regexp_replace(with_numbers, name, _NAME)
+    marked = F.lower(F.regexp_replace(named, anywhere, f"{_BEGIN}$0{_END}"))
+    return F.regexp_replace(marked, f"[^\\p{{L}}\\p{{N}}\\x01-\\x03{_BEGIN}{_END}\\x20\\x09-\\x0D]+", "")
+
+
+def _split(text: Column) -> Column:
+    """The words of a text without punctuation; words of punctuation alone vanish."""
+    for blank in "\x09\x0a\x0b\x0c\x0d":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _typed(word: Column, every: bool) -> Column:
+    """A word of ``_marked`` as it is in a template: with ``every``, marked names are placeholders."""
+    pattern, slot = (f"{_BEGIN}[^{_END}]*.", _NAME) if every else (f"[{_BEGIN}{_END}]", "")
+    return F.when(F.contains(word, F.lit(_BEGIN)), F.regexp_replace(word, pattern, slot)).otherwise(word)
 
 
 def _words(text: Column, every: bool = False) -> Column:
-    """The template's words, without punctuation; words of punctuation alone vanish."""
-    kept = F.regexp_replace(_canonical(text, every), "[^\\p{L}\\p{N}\\x01-\\x03\\x20\\x09-\\x0D]+", "")
-    return F.filter(F.split(kept, f"{SPACE}+"), lambda w: w != "")
+    """The template's words. With ``every``, capitalised words are names wherever they stand."""
+    return F.transform(_split(_marked(text)), lambda w: _typed(w, every))
 
 
 def _values(text: Column) -> Column:
@@ -83,33 +103,38 @@ def _windows(rows: DataFrame, keys: list[str], verbatim: bool) -> DataFrame:
     between them would be. A text of fewer words gets one run, which no window of an item equals.
     """
     text = F.col("text")
-    kinds = {"words": _words(text), "names": _words(text, True)}
+    split = {"words": _split(_marked(text))}
+    kinds = {"h1": _hashed("words", lambda w: _typed(w, False)), "h2": _hashed("words", lambda w: _typed(w, True))}
     if verbatim:
-        kinds["own"] = _values(text)
-    words = rows.select(*keys, *[words.alias(c) for c, words in kinds.items()])
-    hashed = words.select(*keys, *[_hashed(c).alias(c) for c in kinds])
+        split["own"] = _values(text)
+        kinds["h3"] = _hashed("own")
+    words = rows.select(*keys, *[w.alias(c) for c, w in split.items()])
+    hashed = words.select(*keys, *[h.alias(c) for c, h in kinds.items()])
+    # Runs are hashed as rows, not within a lambda, which Spark does not compile. The outer forms: the
+    # others infer a filter on the size, which computes all of it again.
+    last = F.greatest(*[F.size(c) for c in kinds], F.lit(WINDOW)) - WINDOW
+    places = F.when(F.size("h1") > 0, F.sequence(F.lit(0), last))
+    starts = hashed.select(*keys, *kinds, F.explode_outer(places).alias("at")).where("at IS NOT NULL")
+    runs = starts.select(*keys, "at", *[_run(c, F.col("at")).alias(c) for c in kinds])
     # Where no capital is at issue, both templates have one hash.
-    runs = F.zip_with(_runs("words"), _runs("names"), _either)
-    if verbatim:
-        runs = F.zip_with(runs, _runs("own"), lambda a, b: F.array_union(a, F.array(b)))
-    # The outer form: the other one infers a filter on the size, which computes all of it again.
-    kept = hashed.withColumn("runs", runs).select(*keys, F.posexplode_outer("runs"))
-    kept = kept.select(*keys, "pos", F.explode("col").alias("hash"))
-    return kept.withColumnRenamed("pos", "at")
+    either = F.when(F.col("h1") == F.col("h2"), F.array("h1")).otherwise(F.array("h1", "h2"))
+    hashes = F.array_distinct(F.array(*kinds)) if verbatim else either
+    return runs.select(*keys, "at", F.explode_outer(hashes).alias("hash"))
 
 
-def _hashed(words: str) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _hashed(words: str, read: Callable[[Column], Column] = lambda w: w) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(read(w)))
 
 
-def _either(a: Column, b: Column) -> Column:
-    return F.when(a == b, F.array(a)).otherwise(F.array(a, b))
+def _run(h: str, at: Column) -> Column:
+    """Hash of the run of WINDOW hashed words from ``at``. Missing ones add nothing."""
+    # The words of a run are looked up one by one: slices would be copied.
+    return F.xxhash64(*[F.get(h, at + k) for k in range(WINDOW)])
 
 
 def _runs(h: str) -> Column:
     """Hashes of the runs of WINDOW hashed words; of fewer words, of the whole."""
-    # The words of a run are looked up one by one: slices would be copied. Missing ones add nothing.
-    runs = F.transform(h, lambda w, i: F.xxhash64(w, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+    runs = F.transform(h, lambda _, i: _run(h, i))
     return F.slice(runs, F.lit(1), F.greatest(F.size(h) - WINDOW + 1, F.lit(1)))
 
 
