@@ -696,6 +696,34 @@ def test_near_copies_that_differ_too_much_are_not_verified(spark, monkeypatch):
     assert sum(candidates) < 100 + alike  # of 435 pairs
 
 
+def test_near_copies_are_paired_once(spark, monkeypatch):
+    """A pair was made at each frequent token that the prefixes of its lines share."""
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    draw = random.Random(9)
+    rows, earlier, expected = [], [], {}
+    for i in range(40):
+        words = [f"t{k}" for k in range(160)]
+        for k in range(4):
+            words[draw.randrange(160)] = f"w{i}x{k}"
+        rows.append((i, " ".join(words)))
+        runs = {tuple(words[k : k + 5]) for k in range(156)}
+        expected[i] = int(any(4 * len(runs & o) >= 3 * len(runs | o) for o in earlier))
+        earlier.append(runs)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct, joined = type(frame).distinct, []
+
+    def counted(pairs):
+        if pairs.columns == ["later", "earlier"]:
+            joined.append((pairs.count(), distinct(pairs).count()))
+        return distinct(pairs)
+
+    monkeypatch.setattr(type(frame), "distinct", counted)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.clean_lines(frame).collect()}
+    assert got == expected and 0 < sum(expected.values()) < 40
+    made, pairs = joined[1]  # of lines without a match among the first of their tokens
+    assert pairs > 0 and made == pairs
+
+
 def test_lines_of_one_phrase_are_not_verified(spark):
     """All pairs that shared one token were held against each other with all their tokens."""
     rows = [(i, 100, p, t) for i in range(40) for p, t in [(0, 1000 + i), (3, 1), (4, 2)]]

@@ -42,6 +42,8 @@ WORDS = 5
 #: Lines of a token that are paired without an order of rarity.
 HOT = 64
 BUCKETS = 1 << 16
+#: Tokens before a token that are looked up for an earlier meeting of a pair.
+BACK = 8
 #: Longs of parities of a line.
 PARITIES = 4
 #: Bits of a token's place in the order of rarity that hold its hash; its count is above them.
@@ -51,11 +53,15 @@ _PLACE = ["late", "doc_id", "text_hash", "at"]
 
 def _lines(documents: DataFrame) -> DataFrame:
     """Place and text of every line, null for those of null texts."""
-    rows = documents.select(
+    # Before the lines are dealt out, or each line would hash the text again.
+    hashed = documents.select(
         F.col("doc_id").isNull().alias("late"),
         F.col("doc_id").cast("long"),
         F.xxhash64("text").alias("text_hash"),
-        F.posexplode_outer(F.split(F.col("text").cast("string"), "\n", -1)),
+        F.col("text").cast("string"),
+    )
+    rows = hashed.select(
+        "late", "doc_id", "text_hash", F.posexplode_outer(F.split("text", "\n", -1))
     )
     return rows.select(
         "late", "doc_id", "text_hash", F.col("pos").alias("at"), F.col("col").alias("line")
@@ -69,7 +75,7 @@ def _class() -> list[Column]:
 def _tokens(lines: DataFrame, *columns: str | Column) -> DataFrame:
     """``columns`` and the distinct tokens of each line, in order; none without words."""
     spaced = F.lower("line")
-    for mark in "\x09\x0a\x0b\x0c\x0d":
+    for mark in "\x09\x0b\x0c\x0d":
         spaced = F.replace(spaced, F.lit(mark), F.lit(" "))
     words = F.array_remove(F.split(spaced, " "), "")
     hashed = lines.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
@@ -113,16 +119,21 @@ def _may_be_similar(x: str, y: str) -> Column:
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * differ <= n + m)
 
 
-def _paired(rows: DataFrame, others: DataFrame) -> DataFrame:
+def _paired(rows: DataFrame, others: DataFrame, once: bool = False) -> DataFrame:
     """Distinct ``later``, ``earlier`` (line_id, by id) of rows that share a token and may be similar.
 
-    All filters are part of the join, so that pairs of a frequent token that fail are not made.
+    All filters are part of the join, so that pairs of a frequent token that fail are not made. With
+    ``once``, where ``others`` have all their tokens, a pair is not made at a token if the lines share one
+    of the ``BACK`` before it; their first common one has none before it.
     """
     x, y = rows.alias("x"), others.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     after = F.least(n - F.col("x.pos"), m - F.col("y.pos"))
     same = (F.col("x.token") == F.col("y.token")) & (F.col("y.id") < F.col("x.id"))
-    pairs = x.join(y, same & (7 * after >= 3 * (n + m)) & _may_be_similar("x", "y"))
+    likely = (7 * after >= 3 * (n + m)) & _may_be_similar("x", "y")
+    if once:
+        likely &= ~F.arrays_overlap("x.before", "y.before")
+    pairs = x.join(y, same & likely)
     return pairs.select(F.col("x.line_id").alias("later"), F.col("y.line_id").alias("earlier")).distinct()
 
 
@@ -201,7 +212,11 @@ def _by_rarity(sets: DataFrame, parities: DataFrame, hot: DataFrame) -> DataFram
     rows = sets.select(
         F.col("id").alias("line_id"), F.sort_array(F.transform("tokens", order)).alias("ordered")
     )
-    rows = rows.select("line_id", F.posexplode(_prefix("ordered")).alias("pos", "token"))
+    rows = rows.select("line_id", _prefix("ordered").alias("prefix"))
+    rows = rows.select("line_id", "prefix", F.posexplode("prefix").alias("pos", "token"))
+    pos = F.col("pos")
+    before = F.slice("prefix", F.greatest(pos - BACK, F.lit(0)) + 1, F.least(pos, F.lit(BACK)))
+    rows = rows.select("line_id", "pos", "token", before.alias("before"))
     # Numbered in order of place.
     numbered = sets.select("id", "place").repartitionByRange("place").sortWithinPartitions("place")
     numbered = stored(numbered.select(F.col("id").alias("line_id"), F.monotonically_increasing_id().alias("id")))
@@ -213,7 +228,7 @@ def _by_rarity(sets: DataFrame, parities: DataFrame, hot: DataFrame) -> DataFram
     first = stored(_paired(shared, shared.where("id = first")))
     matched = stored(_similar(sets, first).select("later").distinct())
     rest = shared.join(matched, shared.line_id == matched.later, "left_anti")
-    other = stored(_paired(rest, shared).join(first, ["later", "earlier"], "left_anti"))
+    other = stored(_paired(rest, shared, once=True).join(first, ["later", "earlier"], "left_anti"))
     matched = matched.union(_similar(sets, other).select("later").distinct())
     return matched.select(F.col("later").alias("id"))
 
@@ -280,6 +295,7 @@ def clean_lines(documents: DataFrame) -> DataFrame:
     names = [c for c in rows.columns if c not in ("text", "_hash")]
     marked = joined.select(
         *[F.col(f"d.{c}") for c in names],
+        F.col("d.text").cast("string").alias("text"),
         F.split(F.col("d.text").cast("string"), "\n", -1).alias("lines"),
         F.coalesce("g.gone", F.array().cast("array<int>")).alias("gone"),
     )
@@ -287,7 +303,7 @@ def clean_lines(documents: DataFrame) -> DataFrame:
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
     cleaned = marked.select(
         *names,
-        F.when(F.col("lines").isNotNull(), F.array_join(kept, "\n")).alias("text"),
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         n_lines.alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
     )
