@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import components as module_of_components
 from tidemark.llm import (
     decontaminate,
     embedding_passes,
@@ -87,6 +88,45 @@ def test_components(spark):
     assert len(got) == len(linked)
 
 
+def test_settled_components_take_no_step(spark, monkeypatch):
+    def no_step(*args):
+        raise AssertionError("a step on a forest of stars")
+
+    monkeypatch.setattr(module_of_components, "_large_star", no_step)
+    stars = [(1, 5), (1, 6), (9, 2)]
+    got = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)]
+
+
+def test_a_large_star_is_made_once_a_round(spark, monkeypatch):
+    starts = []
+    small = module_of_components._small_star
+
+    def small_of_stored(edges, rows):
+        plan = edges._jdf.queryExecution().optimizedPlan().toString()
+        starts.append("Join" in plan or "Aggregate" in plan)
+        return small(edges, rows)
+
+    monkeypatch.setattr(module_of_components, "_small_star", small_of_stored)
+    chain = [(i, i + 1) for i in range(6)]
+    got = components(spark.createDataFrame(chain, "a long, b long")).collect()
+    assert {(r["id"], r["component"]) for r in got} == {(i, 0) for i in range(7)}
+    assert starts and not any(starts)
+
+
+def test_sketches_are_not_sent_through_the_driver(spark, monkeypatch):
+    widths = []
+
+    def sized(keys, longs=4):
+        widths.append(len(keys.columns))
+        return keys
+
+    monkeypatch.setattr(minhash_hamming, "sized", sized)
+    frame = spark.createDataFrame([r[:2] for r in documents()], "doc_id long, text string")
+    assert minhash_hamming.near_duplicates(frame).count() == len(documents())
+    assert widths and max(widths) <= 4
+
+
 def test_embeddings(spark):
     draw = np.random.default_rng(5)
     base = draw.normal(size=(60, 16))

@@ -175,6 +175,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` (stored) of doc_ids whose full sets are similar enough."""
     rows = pairs.count()
+    pairs = few(pairs, rows)  # a join that Spark split may have left thousands of parts
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     wanted = stored(few(wanted, 2 * rows))
     texts = documents.join(sized(wanted), "doc_id", "left_semi")
@@ -280,7 +281,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     shared = few(shared.where("low < high").select("key"), rows)
     active = stored(few(keys.join(shared, "key"), rows))
-    sketches = sized(sketches, 2 + CHUNKS + PARITIES)
+    # Not broadcast: rows this wide would be in the driver's memory several times, in each round.
 
     # Links of classes; those of equal texts come in at the end.
     links, before = None, math.inf
